@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from lotwise.llm.common import SLICE_BYTES, slices
 
@@ -169,7 +170,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and the ids of each whole text, as an array of int. Streams within each partition; no shuffle."""
-    schema = df.select(*keep).schema.add(ids, "array<int>")
+    schema = df.select(*keep).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path, pattern)

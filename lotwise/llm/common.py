@@ -160,3 +160,22 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw = lower_ascii(raw)
     starts, ends, bounds = words(raw, offsets)
     return span_hashes(raw, starts, ends), bounds
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, comp): each node of an undirected edge list with the least node of its component.
+
+    Least labels spread along edges and then jump to their own label's label, so rounds grow with the
+    logarithm of a component's width. Each round is a checkpoint; only the count of changes is collected.
+    """
+    pair = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node <> other")
+    both = shared_checkpoint(pair.unionByName(pair.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
+    labels = both.groupBy("node").agg(F.least("node", F.min("other")).alias("comp"))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("other"), "comp"), "other").groupBy("node").agg(F.min("comp").alias("near"))
+        spread = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        top = spread.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        done = shared_checkpoint(spread.join(top, "comp").select("node", "old", F.col("top").alias("comp")))
+        labels = done.select("node", "comp")
+        if done.where("old <> comp").isEmpty():
+            return labels
