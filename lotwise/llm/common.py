@@ -6,6 +6,7 @@ bounded size, so that a task's memory does not depend on the length of its parti
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -179,3 +180,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = done.select("node", "comp")
         if done.where("old <> comp").isEmpty():
             return labels
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that a checkpoint has replaced: it does so when their handles are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

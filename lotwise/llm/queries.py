@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, kdtree, langid, minhash, packing, quality, suffix
+from lotwise.llm import bpe, katz, kdtree, langid, minhash, packing, quality, suffix
 from lotwise.llm.common import crc_bucket, read
 
 RANKS, VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -39,6 +39,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.number(digest).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = katz.score(read(spark, sf_dir, "documents").select("doc_id", "text"), crc_bucket("doc_id", 7) != 2)
+    return scored.select("doc_id", (crc_bucket("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, read(spark, sf_dir, "labels").where(crc_bucket("doc_id", 4) != 2))
