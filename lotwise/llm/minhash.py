@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from lotwise.llm.common import components, mix, shared_checkpoint, slices, word_hashes
 
-#: At similarity 0.85 some band agrees for all but 1 pair in 10**6: (1 - 0.85**7)**36.
-BANDS, ROWS = 36, 7
+#: Bands of a signature. Each has as many rows as leave a pair at the threshold without a common band at most once in 10**6.
+BANDS = 36
 #: Hashes that one step of the verification compares.
 BATCH = 28
 #: Posterior chance of a link at which a pair is given up.
@@ -32,8 +32,8 @@ MISS = 1e-6
 #: Classes in a block; two blocks meet in one task.
 BLOCK = 1024
 _rng = np.random.default_rng(20240229)
-_A = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_A = _rng.integers(0, 1 << 32, BANDS * 16, dtype=np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 1 << 32, BANDS * 16, dtype=np.uint32)
 _C = [np.uint64(int(x) | 1) for x in _rng.integers(1 << 40, 1 << 63, 8)]
 
 
@@ -56,20 +56,25 @@ def shingle_sets(column: pa.Array, k: int = 3) -> list[np.ndarray]:
     return out
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    low = np.full(len(_A), 0xFFFFFFFF, np.uint32)
+def band_rows(numerator: int) -> int:
+    return max(1, *(r for r in range(1, 17) if (1 - (numerator / 100) ** r) ** BANDS <= 1e-6 or r == 1))
+
+
+def signature(s: np.ndarray, rows: int) -> np.ndarray:
+    a, b = _A[: BANDS * rows, None], _B[: BANDS * rows, None]
+    low = np.full(BANDS * rows, 0xFFFFFFFF, np.uint32)
     x = (s >> np.uint64(32)).astype(np.uint32)
     for i in range(0, len(x), 2048):
-        np.minimum(low, (_A[:, None] * x[None, i : i + 2048] + _B[:, None]).min(1), out=low)
+        np.minimum(low, (a * x[None, i : i + 2048] + b).min(1), out=low)
     return low
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     """A 64-bit key of each band of each signature."""
     with np.errstate(over="ignore"):
-        parts = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
+        parts = sig.reshape(len(sig), BANDS, rows).astype(np.uint64)
         key = np.arange(BANDS, dtype=np.uint64)[None, :] + np.zeros((len(sig), 1), np.uint64)
-        for r in range(ROWS):
+        for r in range(rows):
             key = mix(key * _C[0] + parts[:, :, r])
     return key
 
@@ -81,19 +86,19 @@ def set_class(s: np.ndarray) -> int:
         return int(mix(np.array([a * _C[3] + mix(np.array([b]))[0] + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def features(df: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """doc_id, n_shingles, cls (null for an empty set) and band keys."""
-    schema = df.select(doc_id).schema.add("n_shingles", "long").add("cls", "long").add("bands", T.ArrayType(T.LongType()))
+def features(df: DataFrame, doc_id: str, text: str, k: int, rows: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, what is to be carried, n_shingles, cls (null for an empty set) and band keys."""
+    schema = df.select(doc_id, *carry).schema.add("n_shingles", "long").add("cls", "long").add("bands", T.ArrayType(T.LongType()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
-            sets = shingle_sets(batch.column(1), k)
+            sets = shingle_sets(batch.column(1 + len(carry)), k)
             full = [len(s) > 0 for s in sets]
-            keys = band_keys(np.stack([signature(s) for s in sets]))[full].view(np.int64)
+            keys = band_keys(np.stack([signature(s, rows) for s in sets]), rows)[full].view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.array(full) * BANDS)]).astype(np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()), bands], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + len(carry)], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()), bands], names=schema.names)
 
-    return df.selectExpr(f"`{doc_id}`", f"`{text}` as __text").mapInArrow(task, schema)
+    return df.selectExpr(f"`{doc_id}`", *[f"`{c}`" for c in carry], f"`{text}` as __text").mapInArrow(task, schema)
 
 
 def fewest(threshold: float, n: int, miss: float) -> int:
@@ -146,9 +151,10 @@ def links(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool
     return out
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, numerator: int = 80, miss: float = MISS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: groups connected by similarity of numerator/100 or more (k words a shingle)."""
-    feats = shared_checkpoint(features(df, doc_id, text, k))
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, numerator: int = 80, miss: float = MISS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carried columns, n_shingles, component_id, kept: groups connected by similarity of numerator/100 or more (k words a shingle)."""
+    width = band_rows(numerator)
+    feats = shared_checkpoint(features(df, doc_id, text, k, width, carry))
     classes = feats.where("cls is not null").groupBy("cls").agg(F.min(doc_id).alias("rep"), F.first("bands").alias("bands"))
     keys = classes.select("cls", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -164,7 +170,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
             sets = shingle_sets(batch.column(3), k)
             right = np.array([set_class(s) == c for s, c in zip(sets, batch.column(0).to_pylist(), strict=True)])  # ids may repeat
             kept = [s for s, r in zip(sets, right, strict=True) if r]
-            yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(right)) for c in batch.columns[:3]), pa.array([signature(s).tobytes() for s in kept], pa.binary()), pa.array([s.tobytes() for s in kept], pa.binary())], names=["node", "comp", "blocks", "sig", "members"])
+            yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(right)) for c in batch.columns[:3]), pa.array([signature(s, width).tobytes() for s in kept], pa.binary()), pa.array([s.tobytes() for s in kept], pa.binary())], names=["node", "comp", "blocks", "sig", "members"])
 
     cells = (
         wanted.mapInArrow(load, "node long, comp long, blocks long, sig binary, members binary")
@@ -184,8 +190,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
 
     true = shared_checkpoint(cells.groupBy("comp", "b1", "b2").applyInArrow(verify, "a long, b long"))
     label = components(true).select(F.col("node").alias("cls"), "comp")
-    rows = feats.select(doc_id, "n_shingles", "cls").join(label, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    rows = feats.select(doc_id, *carry, "n_shingles", "cls").join(label, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = rows.where("comp is not null").groupBy("comp").agg(F.min(doc_id).alias("least"))
     return rows.join(least, "comp", "left").select(
-        doc_id, "n_shingles", F.when(F.col("cls").isNull(), F.col(doc_id)).otherwise(F.col("least")).alias("component_id")
+        doc_id, *carry, "n_shingles", F.when(F.col("cls").isNull(), F.col(doc_id)).otherwise(F.col("least")).alias("component_id")
     ).withColumn("kept", F.col(doc_id).eqNullSafe(F.col("component_id")))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, katz, kdtree, langid, minhash, packing, quality, suffix
+from lotwise.llm import bpe, chat, katz, kdtree, langid, minhash, packing, quality, suffix
 from lotwise.llm.common import crc_bucket, read
 
 RANKS, VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -20,7 +20,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.number(digest).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn is taken as a call, which the assistant's next turn answers; call i of a conversation needs call i / 2."""
+    turns = read(spark, sf_dir, "conversations")
+    name = lambda t: F.when(F.instr(t, "?") > 0, "ask").when(F.length(t) > 200, "write").otherwise("say")
+    call_id = lambda t: F.concat_ws("-", F.lit("call"), t.cast("string"))
+    calls = turns.where("role = 'user'").select(
+        "conv_id", "turn", call_id(F.col("turn")).alias("call_id"), name(F.col("text")).alias("name"),
+        F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("text"), F.length("text").alias("length"))).alias("arguments"),
+        F.when(F.col("turn") > 1, F.array(call_id(F.floor(F.col("turn") / 4) * 2))).otherwise(F.array().cast("array<string>")).alias("needs"),
+    )
+    results = turns.where("role = 'assistant'").select("conv_id", "turn", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    schemas = spark.createDataFrame(
+        [("say", "text", "STRING", True), ("say", "turn", "BIGINT", True), ("ask", "text", "STRING", True), ("ask", "turn", "BIGINT", True), ("write", "text", "STRING", True), ("write", "length", "BIGINT", True), ("write", "title", "STRING", False)],
+        "name string, field string, kind string, required boolean",
+    )
+    return chat.link_tool_calls(calls, results, schemas)
+
+
 def op7_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = katz.score(read(spark, sf_dir, "documents").select("doc_id", "text"), crc_bucket("doc_id", 7) != 2)
     return scored.select("doc_id", (crc_bucket("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -254,14 +254,14 @@ def find_spans(df: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
     return all_spans.groupBy("__id", "__th").agg(F.collect_list(span).alias("spans"))
 
 
-def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
-    """All columns of ``df``, with kept (the remaining bytes), n_bytes, n_removed and n_spans."""
+def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, as_text: bool = False) -> DataFrame:
+    """``row`` (a struct of all columns of ``df``), kept (the remaining bytes, or as text without the characters cut through), n_bytes, n_removed and n_spans."""
     spans = find_spans(df, doc_id, text, length)
     fields = df.columns
     docs = df.select(F.struct(*[F.col(f"`{c}`") for c in fields]).alias("row"), F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__th"), F.col(text).alias("__text"))
     s = spans.select(F.col("__id").alias("s_id"), F.col("__th").alias("s_th"), "spans")
     joined = docs.join(s, docs["__id"].eqNullSafe(s["s_id"]) & (docs["__th"] == s["s_th"]), "left").select("row", "__text", F.col("spans.first").alias("firsts"), F.col("spans.end").alias("ends"))
-    schema = joined.select("row").schema.add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+    schema = joined.select("row").schema.add("kept", "string" if as_text else "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
@@ -284,6 +284,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 size.append(b - a)
                 gone.append(b - a - len(kept[-1]))
                 runs.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (size, gone, runs))], names=schema.names)
+            out = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), out, *(pa.array(x, pa.int64()) for x in (size, gone, runs))], names=schema.names)
 
-    return joined.mapInArrow(cut, schema).select("row.*", "kept", "n_bytes", "n_removed", "n_spans")
+    return joined.mapInArrow(cut, schema)
