@@ -6,7 +6,6 @@ bounded size, so that a task's memory does not depend on the length of its parti
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -27,14 +26,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: A setting of Spark's: the files of a query's shuffles go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``; set one only where none is set."""
+    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``; set one only where none is set.
+
+    What is checkpointed no longer needs its shuffles, so Spark is told to delete their files at once.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         place = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(place or tempfile.mkdtemp(prefix="lotwise-checkpoint-"))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan made under the setting
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def crc_bucket(doc_id: Column | str, n: int) -> Column:
@@ -180,9 +191,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = done.select("node", "comp")
         if done.where("old <> comp").isEmpty():
             return labels
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that a checkpoint has replaced: it does so when their handles are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotwise.llm.common import mix, release, shared_checkpoint, slices, word_hashes
+from lotwise.llm.common import mix, shared_checkpoint, slices, word_hashes
 
 #: Tokens of a block, distinct n-grams of a partition (about), and occurrences of a context's part.
 BLOCK_TOKENS, PART_ENTRIES, CONTEXT_PART = 2 << 20, 1 << 20, 1 << 18
@@ -36,13 +36,17 @@ _zstd = "zstd"
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    raw = x.tobytes()
+    """Packed numbers: byte planes, so that high bytes, mostly equal, shrink together."""
+    raw = x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() if x.size else b""
     return np.uint32(len(raw)).tobytes() + pa.compress(raw, codec=_zstd, asbytes=True)
 
 
 def spread(raw: bytes, kind: type) -> np.ndarray:
     size = int(np.frombuffer(raw[:4], np.uint32)[0])
-    return np.frombuffer(pa.decompress(raw[4:], size, codec=_zstd, asbytes=True), kind) if size else np.zeros(0, kind)
+    if not size:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(raw[4:], size, codec=_zstd, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def discounts(n: dict[int, int]) -> np.ndarray:
@@ -238,7 +242,7 @@ def bigram_tables(state: DataFrame, numbers: DataFrame, parts: int, contexts: in
         for _, x, _, _ in rows:
             a.append(squeeze(counts[first : first + len(x)]))
             mine = np.searchsorted(context, np.unique(x))
-            b.append(squeeze(low[mine].T.copy()))
+            b.append(squeeze(low[mine].T.ravel()))
             c.append(squeeze(mass[mine]))
             first += len(x)
         k = len(value)
@@ -259,9 +263,7 @@ def score(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
     table = shared_checkpoint(unigram_tables(state, parts))
     unigrams = context.broadcast(Unigrams(parts, table.where("value is not null").select("part", "value", "many").toArrow()))  # one row for each count that occurs in a partition
     numbers = table.where("block is not null").select("block", "part", "numbers")
-    release(df.sparkSession)
     pairs = shared_checkpoint(bigram_tables(state, numbers, parts, contexts, unigrams))
-    release(df.sparkSession)
     found = {r["value"]: r["n"] for r in pairs.where("value is not null").groupBy("value").agg(F.sum("many").alias("n")).collect()}  # LOW + 1 rows
     d = discounts(found)
     empty = F.lit(None).cast("binary")
