@@ -64,7 +64,7 @@ def bucket_low(b: Column) -> Column:
 
 def days_between(end: Column, start: Column) -> Column:
     """DAT03: fractional days."""
-    return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(86400e6)
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(86400e6)
 
 
 def nhtsa_date(c: Column) -> Column:
@@ -86,7 +86,7 @@ def nanos_to_timestamp(c: Column) -> Column:
 def timeline_position(at: Column, now: Column, hours: int = 24) -> Column:
     """DAT07: struct of percent within now ± hours, clamped, and whether it overflowed."""
     span = F.lit(hours * 3600.0)
-    off = (F.unix_micros(at) - F.unix_micros(now)) / 1e6
+    off = days_between(at, now) * 86400.0
     return F.struct(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (off + span) / (2 * span) * 100)), 4).alias("percent"), (F.abs(off) > span).alias("overflow"))
 
 

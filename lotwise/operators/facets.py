@@ -11,7 +11,10 @@ from lotwise.operators.filters import Search
 def stacked(df: DataFrame, fields: list[str], arrays: list[str] = (), extra: list[str] = ()) -> DataFrame:
     """(facet, value) of every row in one pass; an array gives each distinct value once; blank, null and 0 are left out."""
     one = [F.array(F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value"))) for f in fields]
-    many = [F.transform(F.coalesce(F.array_distinct(a), F.array().cast("array<string>")), lambda v, a=a: F.struct(F.lit(a).alias("facet"), v.alias("value"))) for a in arrays]
+    def each(a: str) -> Column:
+        return F.transform(F.coalesce(F.array_distinct(a), F.array().cast("array<string>")), lambda v: F.struct(F.lit(a).alias("facet"), v.alias("value")))
+
+    many = [each(a) for a in arrays]
     rows = df.select(*extra, F.explode(F.concat(*one, *many)).alias("f")).select(*extra, "f.*")
     return rows.where("value is not null and value <> '' and value <> '0'")
 

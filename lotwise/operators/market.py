@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.functions.numeric import days_between
 from lotwise.operators.groups import first_last, representative
 from lotwise.operators.joins import covered_buckets
 
@@ -22,8 +23,8 @@ def pricing(listings: DataFrame, history: DataFrame, as_of: Column) -> DataFrame
     The price filter holds before the choice of representatives, but not for the drop rate.
     """
     priced = representative(listings.where("price_cents is not null"))
-    age = (F.unix_micros(as_of) - F.unix_micros("source_listed_at")) / F.lit(86400e6)
-    stats = priced.agg(F.count(F.lit(1)).alias("total"), *percentiles(F.col("price_cents")), F.expr("percentile(age, 0.5)").alias("median_age_days")) if "age" in priced.columns else priced.withColumn("age", age).agg(F.count(F.lit(1)).alias("total"), *percentiles(F.col("price_cents")), F.percentile("age", F.lit(0.5)).alias("median_age_days"))
+    age = days_between(as_of, F.col("source_listed_at"))
+    stats = priced.withColumn("age", age).agg(F.count(F.lit(1)).alias("total"), *percentiles(F.col("price_cents")), F.percentile("age", F.lit(0.5)).alias("median_age_days"))
     ends = first_last(history, "listing_id", "price_cents", ["recorded_at", "seq"])
     drops = representative(listings).join(ends, F.col("id") == F.col("listing_id")).agg(F.count_distinct("id").alias("with_history"), F.count_distinct(F.when(F.col("first_value") > F.col("last_value"), F.col("id"))).alias("dropped"))
     rate = F.when(F.col("with_history") > 0, F.round(F.col("dropped") / F.col("with_history"), 2))
@@ -35,7 +36,7 @@ def trends(listings: DataFrame, history: DataFrame, buckets: DataFrame, unit: st
     reps = representative(listings)
     inventory = covered_buckets(reps, F.col("listed_at"), F.col("gone_at"), unit, first, last).groupBy("bucket").agg(F.count_distinct("id").alias("inventory"))
     prices = history.join(reps.select(F.col("id").alias("listing_id")), "listing_id").groupBy(F.date_trunc(unit, "recorded_at").alias("bucket")).agg(F.percentile("price_cents", F.lit(0.5)).alias("median_price"))
-    gone = reps.where("gone_at is not null").groupBy(F.date_trunc(unit, "gone_at").alias("bucket")).agg(F.avg((F.unix_micros("gone_at") - F.unix_micros("source_listed_at")) / F.lit(86400e6)).alias("days_to_gone"))
+    gone = reps.where("gone_at is not null").groupBy(F.date_trunc(unit, "gone_at").alias("bucket")).agg(F.avg(days_between(F.col("gone_at"), F.col("source_listed_at"))).alias("days_to_gone"))
     out = F.broadcast(buckets).join(inventory, "bucket", "left").join(prices, "bucket", "left").join(gone, "bucket", "left")
     return out.select("bucket", F.coalesce("inventory", F.lit(0)).alias("inventory"), "median_price", "days_to_gone")
 
