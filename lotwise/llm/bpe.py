@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lotwise.llm.common import SLICE_BYTES, slices
+from lotwise.llm.common import slices
 
 #: Distinct pre-tokens whose ids a Python worker keeps between batches.
 MEMO_ENTRIES = 400_000
@@ -174,7 +174,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path, pattern)
-        for batch in slices(batches, "__text", SLICE_BYTES // 4):
+        for batch in slices(batches, "__text"):
             rows = [use.encode(t or "") for t in batch.column(len(keep)).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32))
@@ -203,7 +203,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", t
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path, pattern)
         decimal = {i: str(i) for i in use.token}
-        for batch in slices(batches, "__text", SLICE_BYTES // 4):
+        for batch in slices(batches, "__text"):
             n, first, second = [], [], []
             for t in batch.column(1).to_pylist():
                 ids = np.frombuffer(use.encode(t or ""), "<u4").tolist()

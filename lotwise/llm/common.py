@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; its temporaries are a small multiple of this.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 _M64 = (1 << 64) - 1

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.llm.bpe import MEMO_ENTRIES, splitter
-from lotwise.llm.common import SLICE_BYTES, slices
+from lotwise.llm.common import slices
 
 #: Sub-buckets of each length, among which sequence numbers are dealt without meeting in one task.
 SHARDS = 1024
@@ -68,7 +68,7 @@ def pieces(df: DataFrame, path: str, pattern: str, size: int = 2048, close: int
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = encoder(path, pattern)
-        for batch in slices(batches, "__text", SLICE_BYTES // 4):
+        for batch in slices(batches, "__text"):
             row, start, length, ids, total = [], [], [], [], []
             for i, packed in enumerate(use.encode(batch.column(1).to_pylist())):
                 packed, at = packed + end, 0

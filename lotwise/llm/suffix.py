@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import SLICE_BYTES, mix, shared_checkpoint, slices, span_hashes, utf8
+from lotwise.llm.common import mix, shared_checkpoint, slices, span_hashes, utf8
 
 K = 40
 #: Occurrences beyond which an anchor's group is dealt to salted shards.
