@@ -87,7 +87,7 @@ def timeline_position(at: Column, now: Column, hours: int = 24) -> Column:
     """DAT07: struct of percent within now ± hours, clamped, and whether it overflowed."""
     span = F.lit(hours * 3600.0)
     off = days_between(at, now) * 86400.0
-    return F.struct(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (off + span) / (2 * span) * 100)), 4).alias("percent"), (F.abs(off) > span).alias("overflow"))
+    return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (off + span) / (2 * span) * 100)).alias("percent"), (F.abs(off) > span).alias("overflow"))
 
 
 def price_band(price: Column, p10: Column, p25: Column, p50: Column, p75: Column, p90: Column) -> Column:
