@@ -76,7 +76,8 @@ def mark_missing(state: DataFrame, seen: DataFrame, runs: DataFrame, key: list[s
 
     Runs that are not complete, or that saw nothing, change nothing; a key seen again starts anew.
     """
-    source, real = key[0], seen.select(source, "run_id").distinct()
+    source = key[0]
+    real = seen.select(source, "run_id").distinct()
     complete = runs.where("complete").join(real, [source, "run_id"], "left_semi")
     last = seen.join(runs.select(source, "run_id", "run_no"), [source, "run_id"]).groupBy(*key).agg(F.max("run_no").alias("last_no"))
     known = state.select(*key, F.col("missing").alias("was")).join(last, key, "full_outer")
