@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, chat, katz, kdtree, langid, minhash, packing, quality, suffix
+from lotwise.llm import bpe, chat, katz, kdtree, langid, media, minhash, packing, quality, suffix
 from lotwise.llm.common import crc_bucket, read
 
 RANKS, VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -62,6 +62,11 @@ def op7_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_bucket("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no pictures: each embedding is drawn as one."""
+    return media.find_copies(media.drawn(read(spark, sf_dir, "embeddings")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, read(spark, sf_dir, "labels").where(crc_bucket("doc_id", 4) != 2))
