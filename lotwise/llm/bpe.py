@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from lotwise.llm.common import slices
 
 #: Distinct pre-tokens whose ids a Python worker keeps between batches.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 
 # Character classes of the split pattern below U+0250, where Python's faster engine can be used.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"

@@ -8,7 +8,8 @@ conversation of any length is never gathered.
 Defined results: of several calls or results with one identifier the first by turn (then text) counts, the
 others are ``duplicate``; a call without a result is ``unanswered``, a result without a call ``orphan``;
 needs that name no call are ignored and listed; calls on a cycle, and those behind one, have a null level;
-null or malformed arguments are invalid with error ``not an object``; null identifiers link with nothing.
+null or malformed arguments are invalid with error ``not an object``; rows with a null identifier
+link with nothing, are ``unidentified`` and not validated.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     )
     rows = linked.select("conv_id", F.coalesce("turn", "result_turn").alias("turn"), "call_id", "name", "level", "status", errors.alias("errors"), F.when(is_object, parsed).alias("args"), "arguments", "content")
     twice = [
-        d.where("not first").select("conv_id", "turn", "call_id", name.alias("name"), F.lit(None).cast("int").alias("level"), F.lit("duplicate").alias("status"), F.array().cast("array<string>").alias("errors"), F.lit(None).cast("variant").alias("args"), args.alias("arguments"), content.alias("content"))
+        d.where("not first").select("conv_id", "turn", "call_id", name.alias("name"), F.lit(None).cast("int").alias("level"), F.when(F.col("conv_id").isNull() | F.col("call_id").isNull(), "unidentified").otherwise("duplicate").alias("status"), F.array().cast("array<string>").alias("errors"), F.lit(None).cast("variant").alias("args"), args.alias("arguments"), content.alias("content"))
         for d, name, args, content in ((calls, F.col("name"), F.col("arguments"), F.lit(None).cast("string")), (results, F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("content")))
     ]
     # keys in byte order, no blanks; a variant's objects are written with sorted keys

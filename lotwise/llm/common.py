@@ -66,6 +66,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(start, stop - start)
             start, done = stop, int(ends[stop - 1])
+        batch = None
+    pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

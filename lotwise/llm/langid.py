@@ -67,7 +67,7 @@ def codewords(k: int) -> np.ndarray:
     """k rows of +1 and -1: the exhaustive code for up to 5 classes, else the best-spread of some seeded dense codes."""
     if k <= 5:
         bits = max(1, 2 ** (k - 1) - 1)
-        code = np.array([[1] * bits] + [[1 if (b + 1) >> (r - 1) & 1 else -1 for b in range(bits)] for r in range(1, k)])
+        code = np.array([[1] * bits] + [[1 if b >> (r - 1) & 1 else -1 for b in range(bits)] for r in range(1, k)])
         return code.reshape(max(1, k), bits) if k else np.ones((1, 1), int)
     rng, best, spread = np.random.default_rng(7), None, -1
     for _ in range(200):

@@ -134,7 +134,7 @@ class Model:
 def learn(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 0.002, steps: int = 600) -> Model:
     """Boost trees, take their paths as rules, and fit lasso logistic weights by accelerated proximal gradients."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Model([], [], float(np.log((share + 0.01) / (1.01 - share))) if len(y) else 0.0)
     cut = [np.unique(np.quantile(c, np.linspace(0.02, 0.98, 33), method="lower")) for c in x.T]
     score, rules = np.full(len(y), np.log(share / (1 - share))), {}
