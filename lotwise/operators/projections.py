@@ -9,6 +9,7 @@ from dataclasses import dataclass, fields
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotwise.functions import canonical, text
 from lotwise.functions.numeric import bucket
@@ -90,7 +91,7 @@ def clean(x, depth: int = 0):
     return x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def redact_json(s: pd.Series) -> pd.Series:
     """STR34: JSON text without sensitive values; what does not parse, or is too long, is dropped whole."""
 

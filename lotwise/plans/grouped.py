@@ -282,4 +282,4 @@ def agg36(spark, d):
 def map01(spark, d):
     n = events(spark, d).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
     m = n.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
-    return m.select("user_id", F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["event_type"], F.lit("="), e["n"].cast("string")))), ",").alias("counts"))
+    return m.select("user_id", F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",").alias("counts"))
