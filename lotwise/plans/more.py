@@ -47,7 +47,7 @@ def flt01(spark, d):
     return rows.where(published()).select("id")
 
 
-@query("flt07_csv", f"select id, array_to_string(list_distinct(words), '+') words from (select id, words[1:2] words from {PARTS}) where len(list_distinct(words)) = 2")
+@query("flt07_csv", f"select id, array_to_string(words, '+') words from (select id, words[1:2] words from {PARTS}) where len(list_distinct(words)) = 2")
 def flt07(spark, d):
     raw = F.concat_ws(",", F.col("words")[0], F.lit(" "), F.concat(F.lit(" "), F.col("words")[1]), F.col("words")[0])
     rows = parts(spark, d).select("id", text.csv_list(raw).alias("w")).where(F.size("w") == 2)
