@@ -177,19 +177,28 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, comp): each node of an undirected edge list with the least node of its component.
+    """(node, comp): each node of an undirected edge list with one node of its component, the same for all of them.
 
-    Least labels spread along edges and then jump to their own label's label, so rounds grow with the
-    logarithm of a component's width. Each round is a checkpoint; only the count of changes is collected.
+    Randomised contraction: every node points to the node of least hash among itself and its neighbours;
+    edges move to where their ends point, and loops and repeated edges go. So each round works on what is
+    left of the graph, expected to shrink by a fixed share. The pointers, one table for each round, are
+    followed at the end, from the last round to the first. Nothing but "is an edge left" reaches the driver.
     """
-    pair = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node <> other")
-    both = shared_checkpoint(pair.unionByName(pair.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
-    labels = both.groupBy("node").agg(F.least("node", F.min("other")).alias("comp"))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "comp"), "other").groupBy("node").agg(F.min("comp").alias("near"))
-        spread = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        top = spread.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        done = shared_checkpoint(spread.join(top, "comp").select("node", "old", F.col("top").alias("comp")))
-        labels = done.select("node", "comp")
-        if done.where("old <> comp").isEmpty():
-            return labels
+    left = shared_checkpoint(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct())
+    rounds: list[DataFrame] = []
+    while not left.isEmpty():
+        salt = F.lit(len(rounds) // 2)  # the second round of a pair ends what became stars in the first
+        ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        best = ends.groupBy(F.col("a").alias("node")).agg(F.min_by("b", F.xxhash64("b", salt)).alias("near"))
+        less = F.xxhash64("near", salt) < F.xxhash64("node", salt)
+        rounds.append(shared_checkpoint(best.select("node", F.when(less, F.col("near")).otherwise(F.col("node")).alias("comp"))))
+        first, second = (rounds[-1].select(F.col("node").alias(x), F.col("comp").alias(f"to_{x}")) for x in ("a", "b"))
+        moved = left.join(first, "a").join(second, "b").where("to_a <> to_b")
+        left = shared_checkpoint(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+    if not rounds:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    done = rounds.pop()
+    while rounds:
+        further = done.select(F.col("node").alias("comp"), F.col("comp").alias("last"))
+        done = shared_checkpoint(rounds.pop().join(further, "comp", "left").select("node", F.coalesce("last", "comp").alias("comp")))
+    return done

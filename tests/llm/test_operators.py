@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, chat, katz, kdtree, langid, media, minhash, packing, quality, queries, suffix
+from lotwise.llm import bpe, chat, common, katz, kdtree, langid, media, minhash, packing, quality, queries, suffix
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -282,3 +282,22 @@ def test_drawn_copies_share_a_class(spark):
 def test_every_number_has_one_query():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
     assert public_tokenizers.PATTERN == queries.PATTERN
+
+
+def test_components(spark):
+    rng = np.random.default_rng(4)
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2000 + int(x), 2000 + int(y)) for x, y in rng.integers(0, 80, (60, 2))] + [(5, 5), (7, 6), (1, 0)]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, y in edges:
+        up[root(x)] = root(y)
+    got = {r["node"]: r["comp"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    linked = {x for x, y in edges if x != y} | {y for x, y in edges if x != y}
+    assert set(got) == linked and set(got.values()) <= linked
+    assert len({(root(x), c) for x, c in got.items()}) == len({root(x) for x in linked}) == len(set(got.values()))
+    assert common.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
