@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
-from heapq import heappop, heappush
+from collections.abc import Callable, Iterable, Iterator
+from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from lotwise.llm.common import slices
 
-#: Distinct pre-tokens whose ids a Python worker keeps between batches.
-MEMO_ENTRIES = 200_000
+#: Distinct pre-tokens whose ids a Python worker keeps in each of its memo's two generations.
+MEMO_ENTRIES = 250_000
 
 # Character classes of the split pattern below U+0250, where Python's faster engine can be used.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -51,6 +51,24 @@ def splitter(pattern: str):
     return split
 
 
+class Memo(dict):
+    """Values made once for each key and kept while in use: when a generation is full, only what is asked for again moves to the next."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        self[key] = value = self.make(key) if value is None else value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > MEMO_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+
+
 class PerfectHash:
     """Minimal perfect hash of byte strings: a displacement for each first-level bucket, one slot for each key."""
 
@@ -95,44 +113,45 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
             pairs = [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, lines) if a]
-        self.ranks = dict(pairs)
         self.token = {b: a for a, b in pairs}
         self.order = [b for _, b in pairs]
         self.packed = {b: struct.pack("<I", b) for b in self.order}
         self.hash = PerfectHash([a for a, _ in pairs])
+        ranks = dict(pairs)
+        self.byte = [ranks[bytes([x])] for x in range(256)]
+        # the rank of two neighbours' union, by their ranks
+        self.union = {ranks[a[:i]] << 32 | ranks[a[i:]]: b for a, b in pairs for i in range(1, len(a)) if a[:i] in ranks and a[i:] in ranks}
         self.split = splitter(pattern)
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self.piece)
 
     def merge(self, piece: bytes) -> list[int]:
         """Merge the pair of lowest rank, leftmost first, until none is left. The heap may hold pairs that have gone."""
-        get, n = self.ranks.get, len(piece)
-        parts = [piece[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        now = [get(piece[i : i + 2], -1) for i in range(n)]  # the rank of the pair that begins here
-        now[-1] = -1
+        get, n = self.union.get, len(piece)
+        ids = [*map(self.byte.__getitem__, piece)]
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        now = [get(a << 32 | b, -1) for a, b in pairwise(ids)]  # the rank of the pair that begins here
+        now.append(-1)
         heap = [r * n + i for i, r in enumerate(now) if r >= 0]
-        heapq.heapify(heap)
+        heapify(heap)
         while heap:
             r, i = divmod(heappop(heap), n)
             if now[i] != r:
                 continue
-            j = after[i]
-            parts[i] = joined = parts[i] + parts[j]
-            parts[j], now[j] = b"", -1
+            j, h = after[i], before[i]
+            ids[i], ids[j], now[j] = r, -1, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                now[i] = r = get(joined + parts[k], -1)
-                if r >= 0:
-                    heappush(heap, r * n + i)
+                now[i] = x = get(r << 32 | ids[k], -1)
+                if x >= 0:
+                    heappush(heap, x * n + i)
             else:
                 now[i] = -1
-            h = before[i]
             if h >= 0:
-                now[h] = r = get(parts[h] + joined, -1)
-                if r >= 0:
-                    heappush(heap, r * n + h)
-        return [self.ranks[p] for p in parts if p]
+                now[h] = x = get(ids[h] << 32 | r, -1)
+                if x >= 0:
+                    heappush(heap, x * n + h)
+        return [x for x in ids if x >= 0]
 
     def piece(self, text: str) -> bytes:
         """Ids of one pre-token as little-endian unsigned 32-bit integers."""
@@ -143,16 +162,8 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        memo, pieces = self.memo, self.split(text)
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-            for p in pieces:
-                if p not in memo:
-                    memo[p] = self.piece(p)
-            return b"".join(map(memo.__getitem__, pieces))
+        self.memo.turn()
+        return b"".join(map(self.memo.__getitem__, self.split(text)))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))

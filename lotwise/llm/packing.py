@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.llm.bpe import MEMO_ENTRIES, splitter
+from lotwise.llm.bpe import Memo, splitter
 from lotwise.llm.common import slices
 
 #: Sub-buckets of each length, among which sequence numbers are dealt without meeting in one task.
@@ -35,16 +36,17 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.split, self.memo = splitter(pattern), {}
+        self.split, self.memo = splitter(pattern), Memo(lambda p: self._ids([p])[0])
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        rows = [self.split(t) if t else [] for t in texts]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        new = list({p for r in rows for p in r if p not in self.memo})
-        for p, x in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[p] = np.array(x.ids, "<u4").tobytes()
-        return [b"".join(map(self.memo.__getitem__, r)) for r in rows]
+        rows, memo = [self.split(t) if t else [] for t in texts], self.memo
+        memo.turn()
+        new = [*set(chain.from_iterable(rows)).difference(memo, memo.old)]
+        memo.update(zip(new, self._ids(new), strict=True))
+        return [b"".join(map(memo.__getitem__, r)) for r in rows]
 
 
 def encoder(path: str, pattern: str) -> PieceEncoder:
