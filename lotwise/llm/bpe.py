@@ -54,9 +54,9 @@ def splitter(pattern: str):
 class Memo(dict):
     """Values made once for each key and kept while in use: when a generation is full, only what is asked for again moves to the next."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.entries, self.old = make, entries, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
@@ -64,7 +64,7 @@ class Memo(dict):
         return value
 
     def turn(self) -> None:
-        if len(self) > MEMO_ENTRIES:
+        if len(self) > self.entries:
             self.old = dict(self)
             self.clear()
 

@@ -11,6 +11,7 @@ an empty table gives no pieces. Strings of special tokens within a text are ordi
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -22,24 +23,28 @@ from pyspark.sql import functions as F
 from lotwise.llm.bpe import Memo, splitter
 from lotwise.llm.common import slices
 
+#: Distinct pre-tokens whose ids a Python worker keeps in each of its memo's two generations.
+MEMO_ENTRIES = 400_000
 #: Sub-buckets of each length, among which sequence numbers are dealt without meeting in one task.
 SHARDS = 1024
 _encoders: dict[str, PieceEncoder] = {}
 
 
 class PieceEncoder:
-    """Ids by the ``tokenizers`` library, kept by pre-token between batches."""
+    """Ids by the ``tokenizers`` library, kept by pre-token between batches. ``pattern`` must be the vocabulary's own."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.split, self.memo = splitter(pattern), Memo(lambda p: self._ids([p])[0])
+        if isinstance(self.library.pre_tokenizer, pre_tokenizers.ByteLevel):  # what it gets is split already
+            self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.split, self.memo = splitter(pattern), Memo(lambda p: self._ids([p])[0], MEMO_ENTRIES)
 
     def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         rows, memo = [self.split(t) if t else [] for t in texts], self.memo

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import tokenizers
 from pyspark.sql import functions as F
 
 from lotwise.llm import bpe, chat, common, katz, kdtree, langid, media, minhash, packing, quality, queries, suffix
@@ -143,7 +144,9 @@ def test_codewords_differ():
 
 def test_packing(spark):
     rows = awkward(3)
-    whole = packing.PieceEncoder(queries.VOCABULARY, queries.PATTERN)
+    library = tokenizers.Tokenizer.from_file(queries.VOCABULARY)
+    library.encode_special_tokens = True
+    rows = [*rows, (91, "  x\t\n\n y  ½ ²3 'll 'S don't 　 z \x1c\x1f 日本語 テスト 12三 <|endoftext|> e\u0301 \u2028x")]
     got = packing.pack(docs(spark, rows), queries.VOCABULARY, queries.PATTERN).collect()
     assert len({r["sequence_id"] for r in got}) == len(got) and {r["offset"] for r in got} == {0}
     assert all(r["length"] & (r["length"] - 1) == 0 and r["length"] <= 2048 and len(r["ids"]) == 4 * r["length"] for r in got)
@@ -151,7 +154,7 @@ def test_packing(spark):
     for r in got:
         by[r["doc_id"], r["doc_tokens"]].append(r)
     for (i, t) in rows:
-        ids = [x for x in whole.library.encode(t or "", add_special_tokens=False).ids] + [1]
+        ids = [x for x in library.encode(t or "", add_special_tokens=False).ids] + [1]
         at, out = 0, b""
         for start in sorted({r["start"] for r in by[i, len(ids)]}):
             assert start == at
