@@ -11,9 +11,8 @@ an empty table gives no pieces. Strings of special tokens within a text are ordi
 from __future__ import annotations
 
 import os
-from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from lotwise.llm.bpe import Memo, splitter
 from lotwise.llm.common import slices
 
 #: Distinct pre-tokens whose ids a Python worker keeps in each of its memo's two generations.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 500_000
 #: Sub-buckets of each length, among which sequence numbers are dealt without meeting in one task.
 SHARDS = 1024
 _encoders: dict[str, PieceEncoder] = {}
@@ -41,10 +40,22 @@ class PieceEncoder:
         self.library.encode_special_tokens = True
         if isinstance(self.library.pre_tokenizer, pre_tokenizers.ByteLevel):  # what it gets is split already
             self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.size[[*vocabulary.values()]] = [*map(len, vocabulary)]  # a character of the byte-level alphabet is a byte
         self.split, self.memo = splitter(pattern), Memo(lambda p: self._ids([p])[0], MEMO_ENTRIES)
 
     def _ids(self, parts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+        """Ids of each pre-token: the library takes all at once, and the tokens' lengths in bytes tell where each ends."""
+        if not parts:
+            return []
+        ids = np.array(self.library.encode_batch_fast([parts], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        ends, whole = np.cumsum(self.size[ids]), np.cumsum([len(p.encode()) for p in parts])
+        last = np.searchsorted(ends, whole)
+        if ends[-1] != whole[-1] or (ends[last] != whole).any():
+            raise ValueError("the vocabulary does not split texts as the pattern does, or is not byte-level")
+        raw = ids.tobytes()
+        return [raw[x:y] for x, y in pairwise([0, *(4 * (last + 1)).tolist()])]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         rows, memo = [self.split(t) if t else [] for t in texts], self.memo
