@@ -23,7 +23,7 @@ from lotwise.llm.bpe import Memo, splitter
 from lotwise.llm.common import slices
 
 #: Distinct pre-tokens whose ids a Python worker keeps in each of its memo's two generations.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 300_000
 #: Sub-buckets of each length, among which sequence numbers are dealt without meeting in one task.
 SHARDS = 1024
 _encoders: dict[str, PieceEncoder] = {}
@@ -98,6 +98,7 @@ def pieces(df: DataFrame, path: str, pattern: str, size: int = 2048, close: int
                     total.append(n)
                     at += k
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64())], names=[name.name, "start", "length", "ids", "doc_tokens"])
+        use.memo.old = {}  # the worker may go on to other stages, which need the memory
 
     return df.selectExpr(f"`{doc_id}`", f"`{text}` as __text").mapInArrow(task, schema)
 
