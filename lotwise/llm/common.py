@@ -22,7 +22,14 @@ _BASE = 0x5851F42D4C957F2D
 _M64 = (1 << 64) - 1
 
 
+#: A setting of Spark's: bytes of a batch that Python gets. Its default of 64 MB counts several times in an executor's memory.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of a folder; what Python reads of it comes in batches of 4 MB, unless the session says otherwise."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
