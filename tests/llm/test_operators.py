@@ -282,6 +282,12 @@ def test_drawn_copies_share_a_class(spark):
     assert {r["image_id"]: r["class_id"] for r in media.find_copies(media.drawn(df)).collect()}[2] == 1
 
 
+def test_drawn_leaves_out_nan(spark):
+    rows = [(i, [0.1] * at + [x] + [0.1] * (63 - at)) for i, (at, x) in enumerate([(5, float("nan")), (63, float("nan")), (5, float("inf")), (5, 0.2)])]
+    got = {r["image_id"]: r["pixels"] for r in media.drawn(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()}
+    assert {i for i, p in got.items() if p is None} == {0, 1, 2}
+
+
 def test_every_number_has_one_query():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
     assert public_tokenizers.PATTERN == queries.PATTERN
