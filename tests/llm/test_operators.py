@@ -277,6 +277,40 @@ def test_image_copies(spark):
     assert media.find_copies(df.limit(0)).count() == 0
 
 
+def photo(rng, side=96, n=40, most=30):
+    a = np.zeros((side, side))
+    for _ in range(n):
+        y, x = rng.integers(0, side - 10, 2)
+        h, w = rng.integers(5, most, 2)
+        a[y : y + h, x : x + w] = rng.integers(0, 255)
+    return a.astype(np.uint8)
+
+
+@pytest.mark.parametrize("block", [5000, 7])
+def test_copies_among_pictures_with_common_descriptors(spark, monkeypatch, block):
+    """Groups of differently edited copies, all pictures with one frame in common, against every pair by force."""
+    monkeypatch.setattr(media, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    pictures = []
+    for _ in range(12):
+        a = photo(rng)
+        a[:14], a[-14:], a[:, :14], a[:, -14:] = 60, 60, 60, 60
+        a[3:11:4], a[-11:-3:4] = 200, 200
+        pictures += [a, (a * 0.7 + 20).astype(np.uint8), np.rot90(a).copy(), np.clip(a.astype(int) + rng.integers(-6, 7, a.shape), 0, 255).astype(np.uint8), a[6:90, 4:92]]
+    pictures += [photo(rng)[: 40 + i, : 50 + i].copy() for i in range(20)]
+    points = [media.describe(p) for p in pictures]
+    true = [(i, j) for i in range(len(pictures)) for j in range(i) if media.agreeing(points[i], points[j]) >= media.AGREE]
+    up = list(range(len(pictures)))
+    for _ in pictures:
+        for i, j in true:
+            up[i] = up[j] = min(up[i], up[j])
+    df = spark.createDataFrame([(i, bytearray(p.tobytes()), p.shape[1], p.shape[0]) for i, p in enumerate(pictures)], "image_id bigint, pixels binary, width int, height int")
+    got = {r["image_id"]: (r["class_id"], r["links"]) for r in media.find_copies(df).collect()}
+    degree = Counter(x for pair in true for x in pair)
+    assert {i: c for i, (c, _) in got.items()} == dict(enumerate(up))
+    assert sum(n for _, n in got.values()) >= 0.99 * sum(degree.values()) and all(n <= degree[i] for i, (_, n) in got.items())
+
+
 def test_drawn_copies_share_a_class(spark):
     df = spark.createDataFrame([(1, [0.1] * 64), (2, [0.1] * 64), (3, None), (4, [float("nan"), 1.0])], "vec_id bigint, embedding array<float>")
     assert {r["image_id"]: r["class_id"] for r in media.find_copies(media.drawn(df)).collect()}[2] == 1
