@@ -311,6 +311,15 @@ def test_copies_among_pictures_with_common_descriptors(spark, monkeypatch, block
     assert sum(n for _, n in got.values()) >= 0.99 * sum(degree.values()) and all(n <= degree[i] for i, (_, n) in got.items())
 
 
+def test_crops_of_a_large_detailed_picture(spark):
+    rng = np.random.default_rng(8)
+    a, b = photo(rng, 400, 1500, 24), photo(rng, 400, 1500, 24)
+    pictures = [a, a[:200, :200], a[:200, 200:], a[200:, :200], a[150:350, 130:330], b, b[200:, 200:]]
+    assert len(media.describe(a)) > 4 * len(media.describe(a[:100, :100])) > 48
+    df = spark.createDataFrame([(i, bytearray(p.tobytes()), p.shape[1], p.shape[0]) for i, p in enumerate(pictures)], "image_id bigint, pixels binary, width int, height int")
+    assert {r["image_id"]: r["class_id"] for r in media.find_copies(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5, 6: 5}
+
+
 def test_drawn_copies_share_a_class(spark):
     df = spark.createDataFrame([(1, [0.1] * 64), (2, [0.1] * 64), (3, None), (4, [float("nan"), 1.0])], "vec_id bigint, embedding array<float>")
     assert {r["image_id"]: r["class_id"] for r in media.find_copies(media.drawn(df)).collect()}[2] == 1
