@@ -10,8 +10,9 @@
    suffixes only, never sorting all suffixes again. Blocks that one shard holds alone are settled. What
    shares a block at depth ``length`` is a repeated interval; the symbol before tells whether it goes on
    to the left.
-4. Groups of a very frequent anchor are dealt to salted shards in many tasks; their intervals meet by a
-   128-bit digest of the repeated string, one row per interval and shard.
+4. Groups of a very frequent anchor are dealt by occurrence (document and place, so that copies and repeats
+   within a document spread too) to salted shards in many tasks; their intervals meet by a 128-bit digest of
+   the repeated string, one row per interval and shard.
 
 Defined results: null text is empty; a document shorter than ``length`` keeps all; repeated rows count as
 different documents, so they lose what they share; ids may be null.
@@ -178,9 +179,15 @@ def resolve(rows: pa.Table, length: int) -> tuple[list, list]:
     return spans, meet
 
 
+def dealt(row: np.ndarray, place: np.ndarray, salts: int) -> np.ndarray:
+    """The shard of each occurrence of a frequent anchor, from the hash of its document's id and text and its place there."""
+    with np.errstate(over="ignore"):
+        return (mix(row.view(np.uint64) + mix(place.astype(np.uint64) + np.uint64(1))) % np.uint64(salts)).astype(np.int32)
+
+
 def find_spans(df: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
     """(__id, __th, spans): the byte ranges to remove of each document that has any; __th is its text's hash."""
-    docs = df.select(F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__th"), F.col(text).alias("__text")).where(F.octet_length("__text") >= length)
+    docs = df.select(F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__th"), F.col(text).alias("__text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("__row")).where(F.octet_length("__text") >= length)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
@@ -203,15 +210,21 @@ def find_spans(df: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
                 keep = known.value.has(h)
                 h, lo, hi, doc = h[keep], lo[keep], hi[keep], doc[keep]
             hot = often.value.has(h) if often.value is not None else np.ones(len(h), bool)
-            dealt = (mix(batch.column(1).to_numpy().view(np.uint64))[doc] % np.uint64(salts)).astype(np.int32)
-            salt = np.where(hot, 1 + dealt, 0).astype(np.int32)
+            place = lo - offsets[doc]
+            salt = np.where(hot, 1 + dealt(batch.column(3).to_numpy()[doc], place, salts), 0).astype(np.int32)
             whole = raw.tobytes()
-            ctx = [whole[a : b + length] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-            pick = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(salt), batch.column(0).take(pick), batch.column(1).take(pick), pa.array((lo - offsets[doc]).astype(np.int64)), pa.array(ctx, pa.binary())], names=["h", "salt", "__id", "__th", "lo", "ctx"])
+            ends = np.cumsum(hi - lo + length)
+            at = 0
+            while at < len(h):  # a document of one repeated byte has an anchor, and its surroundings, at each byte
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SORT_BYTES, side="right")))
+                some = slice(at, stop)
+                ctx = [whole[a : b + length] for a, b in zip(lo[some].tolist(), hi[some].tolist(), strict=True)]
+                pick = pa.array(doc[some])
+                yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(salt[some]), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(place[some].astype(np.int64)), pa.array(ctx, pa.binary())], names=["h", "salt", "__id", "__th", "lo", "ctx"])
+                at = stop
 
     id_type = docs.schema["__id"].dataType.simpleString()
-    around = docs.select("__id", "__th", "__text").mapInArrow(surroundings, f"h long, salt int, __id {id_type}, __th long, lo long, ctx binary")
+    around = docs.select("__id", "__th", "__text", "__row").mapInArrow(surroundings, f"h long, salt int, __id {id_type}, __th long, lo long, ctx binary")
     if not small:
         around = around.join(counted.select("h"), "h", "left_semi")
 

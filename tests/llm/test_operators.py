@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import tokenizers
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lotwise.llm import bpe, chat, common, katz, kdtree, langid, media, minhash, packing, quality, queries, suffix
@@ -78,6 +79,30 @@ def test_suffix_dedup(spark, monkeypatch, frequent):
     assert suffix.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_suffix_groups_of_copies_and_runs_are_dealt(spark, tmp_path, monkeypatch):
+    """Neither many copies of a text nor a long run of one byte make a large group: the sizes that resolve() saw."""
+    monkeypatch.setattr(suffix, "FREQUENT", 64)
+    found, whole = tmp_path / "sizes", suffix.resolve
+
+    def resolve(rows, length):
+        key = Counter(zip(rows.column("h").to_pylist(), rows.column("salt").to_pylist(), strict=True))
+        with found.open("a") as f:
+            f.write(f"{max(key.values(), default=0)}\n")
+        return whole(rows, length)
+
+    copies = " ".join(f"word{i}" for i in range(60))
+    docs_ = spark.createDataFrame([(i, copies) for i in range(800)] + [(1000, "a" * 4000), (1001, "b" * 200 + copies[:150])], "doc_id bigint, text string")
+    monkeypatch.setattr(suffix, "resolve", resolve)
+    cloudpickle.register_pickle_by_value(suffix)  # so that the workers get the patches too
+    try:
+        got = {r["row"]["doc_id"]: r["n_removed"] for r in suffix.remove_repeats(docs_).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffix)
+    assert got == {**{i: len(copies) for i in range(800)}, 1000: 4000, 1001: 0}
+    sizes = [int(x) for x in found.read_text().split()]
+    assert 0 < max(sizes) <= 4 * 64
+
+
 def test_suffix_text_has_no_broken_characters(spark):
     same = "é" * 150
     rows = [(1, "xaé" + same + "z"), (2, "yé" + same + "w")]
