@@ -4,16 +4,18 @@
    equal windows have equal anchors at equal places. Anchors that occur once are dropped.
 2. Shards. Around each other anchor the bytes of its windows go to the anchor's group. A task takes groups
    in slices, splits a slice into shards, and sorts each shard's suffixes (prefix doubling up to ``length``
-   bytes), with the Burrows-Wheeler symbol before each.
+   bytes).
 3. Merge. The shards' orders are interleaved by refinement: all suffixes start in their group's block; each
    round splits blocks by the next 8 bytes, looking at one suffix of each shard's interval of equal
    suffixes only, never sorting all suffixes again. Blocks that one shard holds alone are settled. What
-   shares a block at depth ``length`` is a repeated interval; the symbol before tells whether it goes on
-   to the left.
+   shares a block at depth ``length`` is a repeated interval.
 4. Groups of a very frequent anchor are dealt by occurrence (document and place, so that copies and repeats
    within a document spread too) to salted shards in many tasks; their intervals meet by a 128-bit digest of
    the repeated string, one row per interval and shard.
 
+No Burrows-Wheeler transform and no common-prefix array of the corpus is built, and no suffix order spans
+tasks: anchors (1) and digests (4) take their place, so that only bytes around repeated anchors are moved.
+
 Defined results: null text is empty; a document shorter than ``length`` keeps all; repeated rows count as
 different documents, so they lose what they share; ids may be null.
 """
