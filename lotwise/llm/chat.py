@@ -1,7 +1,7 @@
 """Chat formatting: link tool calls with their results, order them, validate arguments, write canonical JSON.
 
-DataFrame functions only. Calls and results meet in a hash join by (conversation, identifier); calls are
-ordered by level (one more than the highest level among the calls that they need), resolved a level at a
+DataFrame functions only. Calls and results meet in a hash join by (conversation, identifier), whose
+built side holds each key once; calls are ordered by level (one more than the highest level among the calls that they need), resolved a level at a
 time; arguments are compared with a schema table field by field. Rows stay one per call, so a
 conversation of any length is never gathered.
 
@@ -9,7 +9,8 @@ Defined results: of several calls or results with one identifier the first by tu
 others are ``duplicate``; a call without a result is ``unanswered``, a result without a call ``orphan``;
 needs that name no call are ignored and listed; calls on a cycle, and those behind one, have a null level;
 null or malformed arguments are invalid with error ``not an object``; rows with a null identifier
-link with nothing, are ``unidentified`` and not validated.
+link with nothing and are ``unidentified``; what is not validated (duplicates, orphans, unidentified rows)
+has a null ``valid``. Columns besides those named are left out.
 """
 
 from __future__ import annotations
@@ -20,12 +21,26 @@ from pyspark.sql import functions as F
 from lotwise.llm.common import shared_checkpoint
 
 KEY = ["conv_id", "call_id"]
+#: A schema table of at most this many rows is broadcast; a larger one is shuffled.
+SCHEMA_ROWS = 100_000
+
+
+def hashed(df: DataFrame) -> DataFrame:
+    """The built side of a hash join. Its keys are unique, so no key makes a large entry."""
+    return df.hint("shuffle_hash")
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """Broadcast a table of tools, whose names are few keys with many calls each, if its size has been checked."""
+    return F.broadcast(df) if df.limit(SCHEMA_ROWS + 1).count() <= SCHEMA_ROWS else df
 
 
 def first_of_each(df: DataFrame, text: str) -> DataFrame:
-    """Mark the first row of each identifier; the key has the identifier, so its groups are its repeats alone."""
+    """Mark the first row of each identifier. Rows without one, however many, stay out of the window."""
+    named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     order = Window.partitionBy(*KEY).orderBy(F.asc_nulls_last("turn"), F.asc_nulls_last(text))
-    return df.withColumn("first", F.col("conv_id").isNotNull() & F.col("call_id").isNotNull() & (F.row_number().over(order) == 1))
+    some = df.where(named).withColumn("first", F.row_number().over(order) == 1)
+    return some.unionByName(df.where(~named).withColumn("first", F.lit(False)))
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -33,17 +48,18 @@ def levels(calls: DataFrame) -> DataFrame:
     nodes = calls.select(*KEY)
     edges = shared_checkpoint(
         calls.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("need"))
-        .join(nodes.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"])
+        .join(hashed(nodes.select("conv_id", F.col("call_id").alias("need"))), ["conv_id", "need"])
     )
     waiting = edges.select(*KEY).distinct()
-    done = shared_checkpoint(nodes.join(waiting, KEY, "left_anti").withColumn("level", F.lit(0)))
+    done = shared_checkpoint(nodes.join(hashed(waiting), KEY, "left_anti").withColumn("level", F.lit(0)))
     level = 0
     while True:
         # a call is ready when all that it needs is done
-        met = edges.join(done.select("conv_id", F.col("call_id").alias("need"), F.lit(1).alias("ready")), ["conv_id", "need"], "left")
+        ready = done.select("conv_id", F.col("call_id").alias("need"), F.lit(1).alias("ready"))
+        met = edges.join(hashed(ready), ["conv_id", "need"], "left")
         state = met.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.count("ready").alias("k")).where("n = k").select(*KEY)
         level += 1
-        fresh = shared_checkpoint(state.join(done, KEY, "left_anti").withColumn("level", F.lit(level)))
+        fresh = shared_checkpoint(state.join(hashed(done), KEY, "left_anti").withColumn("level", F.lit(level)))
         if fresh.isEmpty():
             return done
         done = shared_checkpoint(done.unionByName(fresh))
@@ -55,9 +71,9 @@ def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
         *KEY, "name", F.col("e.key").alias("field"), F.regexp_extract(F.schema_of_variant("e.value"), "^[A-Z]+", 0).alias("got")
     )
     asked = schemas.select("name", "field", "kind", "required")
-    wanted = calls.select(*KEY, "name").join(F.broadcast(asked), "name")  # the schemas of all tools, a table written by hand
-    both = wanted.join(given, [*KEY, "name", "field"], "full_outer")
-    known = F.broadcast(asked.select("name").distinct().withColumn("known", F.lit(True)))
+    wanted = calls.select(*KEY, "name").join(narrow(asked), "name")
+    both = wanted.join(hashed(given), [*KEY, "name", "field"], "full_outer")
+    known = narrow(asked.select("name").distinct().withColumn("known", F.lit(True)))
     error = (
         F.when(F.col("got").isNull() & F.col("required"), F.concat(F.lit("missing "), "field"))
         .when(F.col("kind").isNull() & F.col("known"), F.concat(F.lit("unknown field "), "field"))
@@ -79,31 +95,46 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     answers = results.where("first").select(*KEY, F.col("turn").alias("result_turn"), "content")
     parsed = F.try_parse_json("arguments")
     is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
-    tools = F.broadcast(schemas.select("name").distinct().withColumn("known", F.lit(True)))
+    tools = narrow(schemas.select("name").distinct().withColumn("known", F.lit(True)))
+    orphan = F.col("turn").isNull() & F.col("name").isNull() & F.col("first").isNull()
+    unanswered = F.col("result_turn").isNull() & F.col("content").isNull()
     linked = (
-        own.join(answers, KEY, "full_outer")
-        .join(levels(own), KEY, "left")
-        .join(validate(own.where(is_object), schemas), KEY, "left")
+        own.join(hashed(answers), KEY, "full_outer")
+        .join(hashed(levels(own)), KEY, "left")
+        .join(hashed(validate(own.where(is_object), schemas)), KEY, "left")
         .join(tools, "name", "left")
-        .withColumn("status", F.when(F.col("turn").isNull() & F.col("name").isNull() & F.col("first").isNull(), "orphan").when(F.col("result_turn").isNull() & F.col("content").isNull(), "unanswered").otherwise("linked"))
+        .withColumn("status", F.when(orphan, "orphan").when(unanswered, "unanswered").otherwise("linked"))
     )
-    ids = F.col("first").isNotNull()
+    ids, none = F.col("first").isNotNull(), F.array().cast("array<string>")
     errors = F.concat(
-        F.when(ids & F.col("known").isNull(), F.array(F.lit("unknown tool"))).otherwise(F.array().cast("array<string>")),
-        F.when(ids & ~is_object, F.array(F.lit("not an object"))).otherwise(F.array().cast("array<string>")),
-        F.coalesce("errors", F.array().cast("array<string>")),
+        F.when(ids & F.col("known").isNull(), F.array(F.lit("unknown tool"))).otherwise(none),
+        F.when(ids & ~is_object, F.array(F.lit("not an object"))).otherwise(none),
+        F.coalesce("errors", none),
     )
-    rows = linked.select("conv_id", F.coalesce("turn", "result_turn").alias("turn"), "call_id", "name", "level", "status", errors.alias("errors"), F.when(is_object, parsed).alias("args"), "arguments", "content")
-    twice = [
-        d.where("not first").select("conv_id", "turn", "call_id", name.alias("name"), F.lit(None).cast("int").alias("level"), F.when(F.col("conv_id").isNull() | F.col("call_id").isNull(), "unidentified").otherwise("duplicate").alias("status"), F.array().cast("array<string>").alias("errors"), F.lit(None).cast("variant").alias("args"), args.alias("arguments"), content.alias("content"))
-        for d, name, args, content in ((calls, F.col("name"), F.col("arguments"), F.lit(None).cast("string")), (results, F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("content")))
-    ]
-    # keys in byte order, no blanks; a variant's objects are written with sorted keys
-    quoted = lambda c: F.coalesce(F.to_json(F.struct(F.col(c).alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("x")))) - 6), F.lit("null"))
-    field = lambda k, v: F.concat(F.lit(f'"{k}":'), v)
-    text = lambda c: F.when(F.col(c).isNull(), "null").otherwise(quoted(c))
-    json = F.concat(
-        F.lit("{"), F.concat_ws(",", field("arguments", F.when(F.col("args").isNotNull(), F.to_json("args")).otherwise(text("arguments"))), field("call_id", text("call_id")), field("content", text("content")), field("name", text("name")), field("status", text("status"))), F.lit("}")
+    rows = linked.select(
+        "conv_id", F.coalesce("turn", "result_turn").alias("turn"), "call_id", "name", "level", "status",
+        F.when(ids, errors).alias("errors"), F.when(is_object, parsed).alias("args"), "arguments", "content",
     )
+    missing = F.lit(None).cast("string")
+    unnamed = F.col("conv_id").isNull() | F.col("call_id").isNull()
+
+    def left_over(d: DataFrame, name, args, content) -> DataFrame:
+        return d.where("not first").select(
+            "conv_id", "turn", "call_id", name.alias("name"), F.lit(None).cast("int").alias("level"),
+            F.when(unnamed, "unidentified").otherwise("duplicate").alias("status"), F.lit(None).cast("array<string>").alias("errors"),
+            F.lit(None).cast("variant").alias("args"), args.alias("arguments"), content.alias("content"),
+        )
+
+    twice = [left_over(calls, F.col("name"), F.col("arguments"), missing), left_over(results, missing, missing, F.col("content"))]
+    # keys in byte order, no blanks; a variant's objects are written with sorted keys
+
+    def text(c: str):
+        whole = F.to_json(F.struct(F.col(c).alias("x")))  # {"x":...}
+        return F.when(F.col(c).isNull(), "null").otherwise(F.coalesce(whole.substr(F.lit(6), F.length(whole) - 6), F.lit("null")))
+
+    arguments = F.when(F.col("args").isNotNull(), F.to_json("args")).otherwise(text("arguments"))
+    fields = [F.concat(F.lit(f'"{k}":'), arguments if k == "arguments" else text(k)) for k in ("arguments", "call_id", "content", "name", "status")]
+    json = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
     out = rows.unionByName(twice[0]).unionByName(twice[1])
-    return out.select("conv_id", "turn", "call_id", "name", "level", "status", (F.size("errors") == 0).alias("valid"), F.concat_ws("; ", "errors").alias("errors"), json.alias("json"))
+    valid = F.when(F.col("errors").isNotNull(), F.size("errors") == 0)
+    return out.select("conv_id", "turn", "call_id", "name", "level", "status", valid.alias("valid"), F.concat_ws("; ", "errors").alias("errors"), json.alias("json"))

@@ -5,12 +5,14 @@ the powers of two of what remains. A sequence is one piece, so it never crosses
 padding; pieces of equal length share a bucket.
 
 Defined results: null or empty text gives the closing id alone; repeated rows are packed each for itself;
-an empty table gives no pieces. Strings of special tokens within a text are ordinary text.
+an empty table gives no pieces. Names of the vocabulary's added tokens within a text become their ids, as the
+library does unless told otherwise.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain, pairwise
 
@@ -37,12 +39,17 @@ class PieceEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         if isinstance(self.library.pre_tokenizer, pre_tokenizers.ByteLevel):  # what it gets is split already
             self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.size[[*vocabulary.values()]] = [*map(len, vocabulary)]  # a character of the byte-level alphabet is a byte
+        added = self.library.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        names = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")").split if names else lambda t: [t]
         self.split, self.memo = splitter(pattern), Memo(lambda p: self._ids([p])[0], MEMO_ENTRIES)
 
     def _ids(self, parts: list[str]) -> list[bytes]:
@@ -58,11 +65,19 @@ class PieceEncoder:
         return [raw[x:y] for x, y in pairwise([0, *(4 * (last + 1)).tolist()])]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        rows, memo = [self.split(t) if t else [] for t in texts], self.memo
+        memo, parts, of = self.memo, [], []  # the library looks for added tokens first and splits what is between them
+        for i, t in enumerate(texts):
+            for part in self.cut(t) if t else ():
+                parts.append([part] if part in self.added else self.split(part))
+                of.append(i)
         memo.turn()
-        new = [*set(chain.from_iterable(rows)).difference(memo, memo.old)]
+        new = [*set(chain.from_iterable(parts)).difference(memo, memo.old, self.added)]
         memo.update(zip(new, self._ids(new), strict=True))
-        return [b"".join(map(memo.__getitem__, r)) for r in rows]
+        memo.update(self.added)
+        out = [[] for _ in texts]
+        for i, part in zip(of, parts, strict=True):
+            out[i].extend(map(memo.__getitem__, part))
+        return [b"".join(x) for x in out]
 
 
 def encoder(path: str, pattern: str) -> PieceEncoder:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lotwise.llm import bpe, chat, katz, kdtree, langid, media, minhash, packing, quality, suffix
 from lotwise.llm.common import crc_bucket, read
+from lotwise.llm.sql import SQL
 
 RANKS, VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
@@ -40,18 +41,36 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user turn is taken as a call, which the assistant's next turn answers; call i of a conversation needs call i / 2."""
-    turns = read(spark, sf_dir, "conversations")
-    name = lambda t: F.when(F.instr(t, "?") > 0, "ask").when(F.length(t) > 200, "write").otherwise("say")
+    """Each user turn is taken as a call, which the assistant's next turn answers; call i of a conversation needs call i / 2.
+
+    By conversation and turn some calls lack a field, have one of the wrong kind or one too many, are not an object,
+    name no tool, bear the identifier of the call before, or need themselves or a later call.
+    """
+    k = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(16)).alias("k")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", k)
     call_id = lambda t: F.concat_ws("-", F.lit("call"), t.cast("string"))
-    calls = turns.where("role = 'user'").select(
-        "conv_id", "turn", call_id(F.col("turn")).alias("call_id"), name(F.col("text")).alias("name"),
-        F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("text"), F.length("text").alias("length"))).alias("arguments"),
-        F.when(F.col("turn") > 1, F.array(call_id(F.floor(F.col("turn") / 4) * 2))).otherwise(F.array().cast("array<string>")).alias("needs"),
+    case = lambda n, then, other: F.when(F.col("k") == n, then).otherwise(other)
+    turn, text, size = F.col("turn"), F.col("text"), F.length("text")
+    name = F.when(F.col("k") == 4, "draw").when(F.instr(text, "e.") > 0, "ask").when(size > 200, "write").otherwise("say")
+    write = F.col("name") == "write"
+    number = lambda c: F.when(F.col("k") > 1, F.to_json(F.struct(c.alias("x")))).when(F.col("k") == 1, F.to_json(F.struct(c.cast("string").alias("x"))))
+    inner = lambda c: c.substr(F.lit(6), F.length(c) - 6)
+    fields = F.concat_ws(
+        ",", F.concat(F.lit('"turn":'), inner(F.when(~write, number(turn)))), F.concat(F.lit('"title":'), F.when(write & (F.col("k") == 7), F.lit('"note"'))),
+        F.concat(F.lit('"text":'), inner(F.to_json(F.struct(text.alias("x"))))), F.concat(F.lit('"mood":'), F.when(F.col("k") == 2, F.lit("null"))),
+        F.concat(F.lit('"length":'), inner(F.when(write, number(size)))),
+    )
+    half = F.floor(F.floor(turn / 2) / 2) * 2 + turn % 2
+    needs = F.filter(F.array(F.when(turn > 1, call_id(half)), case(9, call_id(turn), None), F.when((turn < 2) & (F.col("k") == 10), call_id(turn + 2))), lambda x: x.isNotNull())
+    calls = turns.where("role = 'user'").withColumn("name", name).select(
+        "conv_id", "turn", call_id(case(5, turn - 2, turn)).alias("call_id"), "name", case(3, text, F.concat(F.lit("{"), fields, F.lit("}"))).alias("arguments"), needs.alias("needs"),
     )
-    results = turns.where("role = 'assistant'").select("conv_id", "turn", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    results = turns.where("role = 'assistant'").select("conv_id", "turn", call_id(turn - 1).alias("call_id"), text.alias("content"))
     schemas = spark.createDataFrame(
-        [("say", "text", "STRING", True), ("say", "turn", "BIGINT", True), ("ask", "text", "STRING", True), ("ask", "turn", "BIGINT", True), ("write", "text", "STRING", True), ("write", "length", "BIGINT", True), ("write", "title", "STRING", False)],
+        [
+            ("say", "text", "STRING", True), ("say", "turn", "BIGINT", True), ("ask", "text", "STRING", True), ("ask", "turn", "BIGINT", True),
+            ("write", "text", "STRING", True), ("write", "length", "BIGINT", True), ("write", "title", "STRING", False),
+        ],
         "name string, field string, kind string, required boolean",
     )
     return chat.link_tool_calls(calls, results, schemas)
@@ -83,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL

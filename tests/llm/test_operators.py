@@ -1,11 +1,15 @@
 """The training-data operators against brute force, round trips and held-out accuracy, on small and awkward tables."""
 
+import glob
 import hashlib
+import json
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -13,6 +17,7 @@ import tiktoken
 import tokenizers
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from test_queries import sorted_rows
 
 from lotwise.llm import bpe, chat, common, katz, kdtree, langid, media, minhash, packing, quality, queries, suffix
 
@@ -170,8 +175,7 @@ def test_codewords_differ():
 def test_packing(spark):
     rows = awkward(3)
     library = tokenizers.Tokenizer.from_file(queries.VOCABULARY)
-    library.encode_special_tokens = True
-    rows = [*rows, (91, "  x\t\n\n y  ½ ²3 'll 'S don't 　 z \x1c\x1f 日本語 テスト 12三 <|endoftext|> e\u0301 \u2028x")]
+    rows = [*rows, (92, '<|endoftext|>'), (93, 'a <|endoftext|><|endoftext|> b<|endoftext|>\n <|endoftext'), (91, "  x\t\n\n y  ½ ²3 'll 'S don't 　 z \x1c\x1f 日本語 テスト 12三 <|endoftext|> e\u0301 \u2028x")]
     got = packing.pack(docs(spark, rows), queries.VOCABULARY, queries.PATTERN).collect()
     assert len({r["sequence_id"] for r in got}) == len(got) and {r["offset"] for r in got} == {0}
     assert all(r["length"] & (r["length"] - 1) == 0 and r["length"] <= 2048 and len(r["ids"]) == 4 * r["length"] for r in got)
@@ -254,10 +258,46 @@ def test_kd_tree(spark):
     assert kdtree.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_kd_tree_is_exact_for_large_numbers():
-    v = np.array([[2**40, 3], [2**40, 4], [-5, 1]], np.int64)
-    best, who = kdtree.search(v, np.arange(3), v[:1], np.array([9]), 2)
-    assert best.tolist() == [[2**80 % 2**64 + 12, 2**80 % 2**64 + 9]] or who.tolist() == [[1, 0]]
+def top_by_force(rows, k=5):
+    use = [(i, [kdtree.whole(x, 256) for x in v]) for i, v in rows]
+    want = []
+    for q in sorted({i for i, _ in use if i % 50 == 0}):
+        pairs = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for i, v in use if i == q for j, w in use if j != q)
+        want += [(q, r + 1, j, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, j) in enumerate(pairs[:k])]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("shard", [1 << 16, 40])
+def test_kd_tree_is_exact_for_numbers_of_any_size(spark, monkeypatch, shard):
+    monkeypatch.setattr(kdtree, "SHARD", shard)  # also over several cells and shards of a cell
+    monkeypatch.setattr(kdtree, "CELLS", 4)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=3) * 10.0 ** rng.integers(0, 30)]) for i in range(300)]
+    rows += [(300, [2.0**34, 1.0, 0.0]), (301, [2.0**34, 1.0, 0.0]), (302, [1.0, 1.0, 0.0]), (303, [1e300, -1e300, 1e307]), (350, [1e307, 1.0, 1.0]), (304, [-(2.0**60), 2.0**59, 0.1])]
+    rows += [(400 + i, [0.25, -0.5, 0.75]) for i in range(60)]  # ties
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({"x": F.lit(1), "cell": F.lit("a"), "score": F.lit(None).cast("int"), "rank": F.lit(2)})
+    got = kdtree.top_k(df, F.pmod(F.col("vec_id"), F.lit(50)) == 0)
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == top_by_force(rows)
+    pair = spark.createDataFrame([(0, [2.0**34, 1.0]), (1, [2.0**34, 1.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
+    assert [r["vec_id"] for r in kdtree.top_k(pair, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2]
+
+
+@pytest.mark.parametrize("copies", [1, 30])
+def test_kd_tree_over_many_cells(spark, monkeypatch, copies):
+    monkeypatch.setattr(kdtree, "SHARD", 25)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=4) + (i % 5) * 3]) for i in range(500)] + [(500, [9.0, 9.0, 9.0, 9.0])] * copies
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = kdtree.top_k(df, F.pmod(F.col("vec_id"), F.lit(50)) == 0)
+    want = top_by_force(rows if copies == 1 else [*rows[:500], *rows[500:]])
+    if copies > 1:  # the repeated row asks once, and is a candidate as often as it stands there
+        want = [w for w in want if w[0] != 500] + [w for w in top_by_force(rows[:501]) if w[0] == 500]
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
+
+
+def test_order_keys_sort_as_integers():
+    some = [0, 1, -1, 255, 256, -255, -256, 2**63, -(2**63), 2**200, -(2**200), 2**200 + 1]
+    assert sorted(some) == sorted(some, key=kdtree.order_key)
 
 
 def test_tool_calls(spark):
@@ -279,9 +319,38 @@ def test_tool_calls(spark):
     assert len(got) == 10 and got[None, "n", 7]["status"] == "unidentified" and got[2, "a", 1]["status"] == "linked"
     plan = chat.link_tool_calls(calls, results, schemas)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+    assert "SortMergeJoin" not in plan.split("== Physical Plan ==")[-1]
     assert chat.link_tool_calls(calls.limit(0), results.limit(0), schemas.limit(0)).count() == 0
 
 
+def test_tool_calls_take_long_texts_null_identifiers_and_clashing_columns(spark):
+    long = "w\u00e9 \"q\" " * 40000
+    rows = [(1, 1, "a", "find", json.dumps({"q": long}), ["a0"]), (1, 0, "a0", "find", "", None), (1, 0, "a0", "find", "", None), *[(None, i, None, "find", "{}", [None]) for i in range(50)]]
+    calls = spark.createDataFrame(rows, "conv_id int, turn int, call_id string, name string, arguments string, needs array<string>")
+    results = spark.createDataFrame([(1, 2, "a", long), (1, 2, "a", long), (None, None, None, None)], "conv_id int, turn int, call_id string, content string")
+    schemas = spark.createDataFrame([("find", "q", "STRING", True)], "name string, field string, kind string, required boolean")
+    more = {c: F.lit("x") for c in ("first", "level", "known", "errors", "args", "status", "field", "kind", "k")}
+    got = chat.link_tool_calls(calls.withColumns(more | {"content": F.lit("x")}), results.withColumns(more | {"name": F.lit("x")}), schemas.withColumns(more | {"kind": F.col("kind"), "field": F.col("field")})).collect()
+    by = Counter((r["status"], r["valid"], r["level"]) for r in got)
+    assert by == {("linked", True, 1): 1, ("unanswered", False, 0): 1, ("duplicate", None, None): 2, ("unidentified", None, None): 51}
+    one = next(r for r in got if r["status"] == "linked")
+    assert json.loads(one["json"]) == {"arguments": {"q": long}, "call_id": "a", "content": long, "name": "find", "status": "linked"}
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    duck = duckdb.connect()
+    for p in glob.glob(f"{SF}/*.parquet"):
+        duck.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    df = queries.queries()[name](spark, SF)
+    got = duck.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in got.description]
+    rows = df.collect()
+    assert rows and sorted_rows(df.columns, rows) == sorted_rows(names, got.fetchall())
+    if name == "op6_tool_calls":
+        assert {r["valid"] for r in rows} == {True, False, None} and {r["status"] for r in rows} >= {"linked", "unanswered", "orphan", "duplicate"}
+
+
 def test_image_copies(spark):
     rng = np.random.default_rng(1)
 
