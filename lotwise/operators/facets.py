@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.operators.filters import Search
@@ -76,3 +76,11 @@ def histogram_quantile(df: DataFrame, keys: list[str], le: str, cumulative: str,
     lo_le, lo_c = F.when(F.col("i") > 1, F.expr("b[i - 2].le")).otherwise(0.0), F.when(F.col("i") > 1, F.expr("b[i - 2].c")).otherwise(0.0)
     hi_le, hi_c = F.expr("b[i - 1].le"), F.expr("b[i - 1].c")
     return rows.select(*keys, (lo_le + (hi_le - lo_le) * (F.col("target") - lo_c) / (hi_c - lo_c)).alias("quantile"))
+
+
+def ordered(counts: DataFrame, buckets: bool = False) -> DataFrame:
+    """SRT07, SRT08: each facet's values with their rank: by count, or buckets by their lower end. A facet's values are few beside its rows."""
+    from lotwise.functions.numeric import bucket_low
+
+    order = [bucket_low(F.col("value"))] if buckets else [F.desc("n"), F.asc("value")]
+    return counts.select("facet", "value", "n", F.row_number().over(Window.partitionBy("facet").orderBy(*order)).cast("bigint").alias("rank"))

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRUE = F.lit
-
+from lotwise.functions.text import city_state
+from lotwise.operators.quality import BLEED as FIELD_BLEED  # noqa: F401
 
 def all_of(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
@@ -30,6 +30,16 @@ def credible() -> Column:
     return F.col("eligible") & (F.col("evidence_kind") != "generic_text") & ((F.col("evidence_kind") != "photo") | F.coalesce(F.col("confidence") >= 0.7, F.lit(False)))
 
 
+def city_pair(raw: Column) -> Column:
+    """FLT06: a wanted ``name|ST`` as listings hold it; what is no such pair stays as given."""
+    return F.coalesce(city_state(F.substring_index(raw, "|", 1), F.regexp_extract(raw, r"\|(.*)$", 1)), raw)
+
+
+def one_of(c: Column, wanted: list[str]) -> Column:
+    """FLT14: a value among those wanted, ignoring case."""
+    return F.lower(c).isin(*[w.lower() for w in wanted])
+
+
 def stale(checked: Column, cutoff: Column, flag: Column | None = None) -> Column:
     """FLT12: never checked, checked before the cutoff, or flagged."""
     out = checked.isNull() | (checked < cutoff)

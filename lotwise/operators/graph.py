@@ -1,31 +1,91 @@
-"""Connected components of an edge list."""
+"""Connected components of an edge list, and walks down a hierarchy, in rounds over what is left of the graph."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A setting of Spark's: the files of a query's shuffles go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a local session, which is one machine, may do without the setting."""
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place is None and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(place or tempfile.mkdtemp(prefix="lotwise-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of ``spark.checkpoint.dir``; set one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lotwise-"))
-    return df.checkpoint(eager=True)
+    """Cut the lineage in the shared folder. What is checkpointed no longer needs its shuffles, so Spark is told to delete their files at once."""
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan made under the setting
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, comp): each node of an undirected edge list with one node of its component, the same for all of them.
+
+    Randomised contraction: every node points to the node of least hash among itself and its neighbours;
+    edges move to where their ends point, and loops and repeated edges go. So each round works on what is
+    left of the graph, expected to shrink by a fixed share. The pointers, one table for each round, are
+    followed at the end, from the last round to the first. Nothing but "is an edge left" reaches the driver.
+    """
+    left = shared_checkpoint(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct())
+    rounds: list[DataFrame] = []
+    while not left.isEmpty():
+        salt = F.lit(len(rounds) // 2)  # the second round of a pair ends what became stars in the first
+        ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        best = ends.groupBy(F.col("a").alias("node")).agg(F.min_by("b", F.xxhash64("b", salt)).alias("near"))
+        less = F.xxhash64("near", salt) < F.xxhash64("node", salt)
+        rounds.append(shared_checkpoint(best.select("node", F.when(less, F.col("near")).otherwise(F.col("node")).alias("comp"))))
+        first, second = (rounds[-1].select(F.col("node").alias(x), F.col("comp").alias(f"to_{x}")) for x in ("a", "b"))
+        moved = left.join(first, "a").join(second, "b").where("to_a <> to_b")
+        left = shared_checkpoint(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+    if not rounds:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    done = rounds.pop()
+    while rounds:
+        further = done.select(F.col("node").alias("comp"), F.col("comp").alias("last"))
+        done = shared_checkpoint(rounds.pop().join(further, "comp", "left").select("node", F.coalesce("last", "comp").alias("comp")))
+    return done
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): least label by neighbour and then by the label's own label, until nothing changes."""
-    one = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = shared_checkpoint(one.unionByName(one.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    label = both.groupBy("x").agg(F.least("x", F.min("y")).alias("c"))
+    """(id, component): each node with the least node of its component."""
+    found = components(edges, a, b)
+    least = found.groupBy("comp").agg(F.least(F.min("node"), F.col("comp")).alias("component"))
+    return found.join(least, "comp").select(F.col("node").alias("id"), "component")
+
+
+def descendants(edges: DataFrame, roots: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(id, root, depth) of each root and all below it, a level a round; a node reached twice keeps its least depth, so cycles end."""
+    down = edges.select(F.col(child).alias("child"), F.col(parent).alias("id"))
+    root = F.col(roots.columns[0])
+    fresh = shared_checkpoint(roots.select(root.alias("id"), root.alias("root")).distinct().withColumn("depth", F.lit(0)))
+    levels = [fresh]
+    seen = fresh.select("id", "root")
     while True:
-        seen = both.join(label.select(F.col("x").alias("y"), F.col("c").alias("via")), "y").groupBy("x").agg(F.min("via").alias("via"))
-        step = label.join(seen, "x").select("x", F.col("c").alias("was"), F.least("c", "via").alias("c"))
-        hop = step.select(F.col("x").alias("c"), F.col("c").alias("next"))
-        now = shared_checkpoint(step.join(hop, "c").select("x", "was", F.col("next").alias("c")))
-        label = now.select("x", "c")
-        if now.where("was <> c").isEmpty():
-            return label.select(F.col("x").alias("id"), F.col("c").alias("component"))
+        below = fresh.join(down, "id").select(F.col("child").alias("id"), "root").distinct().join(seen, ["id", "root"], "left_anti")
+        fresh = shared_checkpoint(below.withColumn("depth", F.lit(len(levels))))
+        if fresh.isEmpty():
+            break
+        levels.append(fresh)
+        seen = seen.unionByName(fresh.select("id", "root"))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out

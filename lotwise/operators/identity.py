@@ -28,6 +28,12 @@ def dealer_key(p: str) -> Column:
     return F.coalesce(F.concat(F.lit("profile:"), F.nullif(c("dealer_profile_id"), F.lit(""))), F.concat(F.lit("host:"), host(c("dealer_website"))), F.concat(F.lit("name:"), normalized(c("dealer_name"))))
 
 
+def shared_hashes(a: Column, b: Column) -> Column:
+    """SET07: how many hashes of ``a`` are also in ``b``; null is none."""
+    none = F.array().cast("array<string>")
+    return F.size(F.filter(F.coalesce(a, none), lambda h: F.array_contains(F.coalesce(b, none), h)))
+
+
 def score_pairs(pairs: DataFrame) -> DataFrame:
     """DOM08: decision, score and signals of pairs with columns a_* and b_*. Evidence against is absolute and comes first."""
     a, b = (lambda n: F.col(f"a_{n}")), (lambda n: F.col(f"b_{n}"))
@@ -43,7 +49,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     priced = yes((a("price_cents") > 0) & (b("price_cents") > 0))
     close_price = priced & (F.abs(a("price_cents") - b("price_cents")) <= F.least(a("price_cents"), b("price_cents")) * PRICE_SHARE)
     miles = F.abs(a("mileage") - b("mileage"))
-    shared = F.size(F.filter(F.coalesce(a("image_hashes"), F.array().cast("array<string>")), lambda h: F.array_contains(F.coalesce(b("image_hashes"), F.array().cast("array<string>")), h)))
+    shared = shared_hashes(a("image_hashes"), b("image_hashes"))
     fuzzy = [
         (dealer, "same_dealer", 15), (yes(same("trim")), "trim_match", 10), (other("trim"), "trim_mismatch", -10), (F.lit(True), "compatible_make_model_year", 15),
         (yes(miles <= MILES), "mileage_within_tolerance", 15), (yes(miles > MILES), "mileage_outside_tolerance", -5), (close_price, "price_within_tolerance", 10), (priced & ~close_price, "price_outside_tolerance", -5),
@@ -63,11 +69,15 @@ def linked_vehicles(scored: DataFrame, a: str = "a_id", b: str = "b_id") -> Data
 
 
 def decide(current: Column, action: Column) -> Column:
-    """DOM10: the next state of an identity pair; what is not allowed gives null."""
-    return (
-        F.when((current == "candidate") & (action == "approve"), "verified").when((current == "candidate") & (action == "reject"), "rejected")
-        .when((current == "verified") & (action == "split"), "split").when(current.isin("verified", "rejected", "split") & (action == "undo"), "candidate")
-    )
+    """DOM10: the next state of an identity decision. Repeating an action changes nothing; only a verified pair can be split (null: not allowed); undo takes back a split."""
+    split = F.when(current.isin("verified", "split"), "split")
+    undo = F.when(current == "split", "candidate").otherwise(current)
+    return F.when(action == "approve", "verified").when(action == "reject", "rejected").when(action == "split", split).when(action == "undo", undo)
+
+
+def decided_vehicle(state: Column, vehicle: Column, a_vehicle: Column, b_vehicle: Column, a_id: Column) -> Column:
+    """DOM10: the vehicle of a pair after a decision: one already known, else a new one named by the first listing; none unless verified."""
+    return F.when(state == "verified", F.coalesce(vehicle, a_vehicle, b_vehicle, F.concat(F.lit("new:"), a_id.cast("string"))))
 
 
 def image_clusters(images: DataFrame, most: int = 10) -> DataFrame:
@@ -108,11 +118,37 @@ def greedy_firsts(pairs: DataFrame) -> DataFrame:
         done = shared_checkpoint(done.unionByName(fresh))
 
 
+#: Listings of a cluster beyond which it is taken for a placeholder.
+PLACEHOLDER_LISTINGS = 5
+
+
 def cluster_report(images: DataFrame, clusters: DataFrame) -> DataFrame:
-    """AGG24: distinct listings, sources and vehicles of each cluster, and what they suggest."""
-    vehicle = F.coalesce("vehicle_id", "vin", F.col("listing_id").cast("string"))
-    agg = clusters.join(images, "id").groupBy("cluster", "kind").agg(F.count(F.lit(1)).alias("images"), F.count_distinct("listing_id").alias("listings"), F.count_distinct("source_id").alias("sources"), F.count_distinct(vehicle).alias("vehicles"))
-    return agg.withColumn("cross_vehicle", F.col("vehicles") > 1).withColumn("placeholder", F.col("listings") > 5)
+    """AGG24, DOM12: distinct listings, sources and vehicles of each cluster, what they suggest and why, and its reuse."""
+    vehicle = F.coalesce(F.concat(F.lit("v:"), F.col("vehicle_id").cast("string")), F.concat(F.lit("vin:"), "vin"))
+    agg = clusters.join(images, "id").groupBy("cluster", "kind").agg(
+        F.count(F.lit(1)).alias("images"), F.count_distinct("listing_id").alias("listings"), F.count_distinct("source_id").alias("sources"), F.count_distinct(vehicle).alias("vehicles")
+    )
+    cross, many = F.col("vehicles") > 1, F.col("listings") > PLACEHOLDER_LISTINGS
+    n = lambda c, word: F.concat(F.col(c).cast("string"), F.lit(f" {word}"))
+    used = F.concat(F.lit("reused across "), n("listings", "listings"))
+    reason = (
+        F.when(many & cross, F.concat(used, F.lit(" and "), n("vehicles", "vehicle groups"), F.lit(" from "), n("sources", "sources")))
+        .when(many, F.concat(used, F.lit(" from "), n("sources", "sources")))
+        .when(cross, F.concat(F.lit("spans "), n("vehicles", "vehicle groups"), F.lit(" \u2014 ineligible as vehicle-specific evidence")))
+    )
+    reuse = F.when(F.col("vehicles") == 0, "no_vehicle_context").when(cross, "cross_vehicle").otherwise("same_vehicle")
+    return agg.withColumns({"cross_vehicle": cross, "placeholder": many, "reason": reason, "reuse": reuse})
+
+
+def hero_eligible(kind: Column, cross_vehicle: Column) -> Column:
+    """DOM12: a vehicle's own photo, outside clusters that span vehicles."""
+    return (kind == "vehicle_photo") & ~F.coalesce(cross_vehicle, F.lit(False))
+
+
+def analysis_due(kind: Column, placeholder: Column, cross_vehicle: Column, version: Column, current: int) -> Column:
+    """FLT20: a vehicle's photo, in no suspect cluster, whose analysis is missing or of an older version."""
+    suspect = F.coalesce(placeholder, F.lit(False)) | F.coalesce(cross_vehicle, F.lit(False))
+    return (kind == "vehicle_photo") & ~suspect & (version.isNull() | (version < current))
 
 
 def sign_bits(embedding: Column, n: int = 64) -> Column:

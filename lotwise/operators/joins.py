@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from lotwise.functions.numeric import hamming, haversine
 
 
+def bucket_range(start: Column, end: Column, unit: str, first: Column, last: Column) -> tuple[Column, Column]:
+    """First and last bucket that an interval touches within [first, last]; none if the first is later."""
+    step = F.expr(f"interval 1 {unit}")
+    lo = F.greatest(F.date_trunc(unit, start), F.date_trunc(unit, first))
+    # a start exactly at a bucket's end counts in the bucket before as well: the upper bound is inclusive
+    edge = (F.date_trunc(unit, start) == start) & (start > F.date_trunc(unit, first))
+    lo = F.when(edge, F.date_trunc(unit, start) - step).otherwise(lo)
+    return lo, F.least(F.date_trunc(unit, F.coalesce(end, last)), F.date_trunc(unit, last))
+
+
 def covered_buckets(df: DataFrame, start: Column, end: Column, unit: str, first: Column, last: Column) -> DataFrame:
     """JON04: a row for each bucket that an interval touches (an end on a boundary touches the next one too), within [first, last].
 
     Instead of joining every bucket with every row, each row names its own buckets.
     """
-    step = F.expr(f"interval 1 {unit}")
-    lo = F.greatest(F.date_trunc(unit, start), F.date_trunc(unit, first))
-    # a start exactly at a bucket's end counts in the bucket before as well: the upper bound is inclusive
-    lo = F.when((F.date_trunc(unit, start) == start) & (start > F.date_trunc(unit, first)), F.date_trunc(unit, start) - step).otherwise(lo)
-    hi = F.least(F.date_trunc(unit, F.coalesce(end, last)), F.date_trunc(unit, last))
-    return df.withColumn("bucket", F.explode(F.when(lo <= hi, F.sequence(lo, hi, step))))
+    lo, hi = bucket_range(start, end, unit, first, last)
+    return df.withColumn("bucket", F.explode(F.when(lo <= hi, F.sequence(lo, hi, F.expr(f"interval 1 {unit}")))))
 
 
 def spine(spark, first: str, last: str, unit: str) -> DataFrame:
@@ -26,18 +32,36 @@ def spine(spark, first: str, last: str, unit: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.date_trunc(unit, F.lit(first).cast("timestamp")), F.date_trunc(unit, F.lit(last).cast("timestamp")), F.expr(f"interval 1 {unit}"))).alias("bucket"))
 
 
-def hamming_pairs(df: DataFrame, row_id: str, bits: str, most: int = 10) -> DataFrame:
+def hamming_pairs(df: DataFrame, row_id: str, bits: str, most: int = 10, bands: int = 4) -> DataFrame:
     """JON23: pairs of 64-bit hashes at distance ``most`` or less.
 
-    With most + 1 bands two such hashes agree in one band at least, so an equality join on bands loses no
-    pair. Rows of equal hashes are joined once, as one hash with its least id; their members follow from the hash.
+    Two such hashes differ by ``most // bands`` bits at most in one band at least. One side names its bands, the
+    other all values so near to its own, so an equality join on wide bands loses no pair. A distance that would
+    name more than a sixteenth of all values is refused: its bands would select nothing. Rows of equal hashes are
+    joined once, as one hash with its least id; their members follow from the hash.
     """
-    bands = most + 1
+    from itertools import combinations
+
+    near = most // bands
     edges = [round(i * 64 / bands) for i in range(bands + 1)]
-    part = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(F.col("h"), 64 - edges[i + 1]), 64 - edges[i + 1] + edges[i]).alias("part")) for i in range(bands)])
-    one = df.where(F.col(bits).isNotNull()).groupBy(F.col(bits).alias("h")).agg(F.min(row_id).alias("id"), F.count(F.lit(1)).alias("copies"))
-    banded = one.select("id", "h", F.explode(part).alias("p")).select("id", "h", "p.*")
-    a, b = banded.select(F.col("id").alias("a"), F.col("h").alias("ha"), "band", "part"), banded.select(F.col("id").alias("b"), F.col("h").alias("hb"), "band", "part")
+    masks = {}
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        width = hi - lo
+        masks[width] = [sum(1 << i for i in some) for k in range(near + 1) for some in combinations(range(width), k)]
+        if len(masks[width]) > 1 << (width - 4):
+            raise ValueError(f"distance {most} is too large for {bands} bands of {width} bits")
+    cut = [(b, lo, hi - lo) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+    part = lambda lo, width: F.shiftrightunsigned(F.shiftleft(F.col("h"), 64 - lo - width), 64 - width)
+    one = df.where(F.col(bits).isNotNull()).groupBy(F.col(bits).alias("h")).agg(F.min(row_id).alias("id"))
+    own = F.array(*[F.struct(F.lit(b).alias("band"), part(lo, w).alias("part")) for b, lo, w in cut])
+
+    def probe(b: int, lo: int, w: int) -> Column:
+        near_masks = F.array(*[F.lit(m).cast("long") for m in masks[w]])
+        return F.transform(near_masks, lambda m: F.struct(F.lit(b).alias("band"), part(lo, w).bitwiseXOR(m).alias("part")))
+
+    probes = [probe(*c) for c in cut]
+    a = one.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.explode(F.concat(*probes)).alias("p")).select("a", "ha", "p.*")
+    b = one.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.explode(own).alias("p")).select("b", "hb", "p.*")
     close = a.join(b, ["band", "part"]).where((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= most))
     return close.select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("distance")).distinct()
 
@@ -68,17 +92,23 @@ def blocked_pairs(df: DataFrame, block: list[str], row_id: str, condition: Colum
     return pairs.where(condition) if condition is not None else pairs
 
 
-def lineage(edges: DataFrame, roots: DataFrame, child: str = "child", parent: str = "parent", most: int = 64) -> DataFrame:
-    """SET02, DOM23: (id, root, depth) of all descendants by a recursive query; a node reached twice keeps its least depth."""
-    spark = edges.sparkSession
-    edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).createOrReplaceTempView("lotwise_edges")
-    roots.select(F.col(roots.columns[0]).alias("id")).createOrReplaceTempView("lotwise_roots")
-    walked = spark.sql(f"""
-        with recursive tree max recursion level {most} as (
-          select id, id as root, 0 as depth from lotwise_roots
-          union all select e.child, t.root, t.depth + 1 from tree t join lotwise_edges e on e.parent = t.id where t.depth < {most - 1})
-        select * from tree""")
-    return walked.groupBy("id", "root").agg(F.min("depth").alias("depth"))
+def lineage(edges: DataFrame, roots: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """SET02, DOM23: (id, root, depth) of all descendants; a node reached twice keeps its least depth."""
+    from lotwise.operators.graph import descendants
+
+    return descendants(edges, roots, child, parent)
+
+
+def prefix_join(df: DataFrame, text: str, bases: DataFrame, base: str) -> DataFrame:
+    """JON24: rows with each base that their text begins with, of whatever length: equality on prefixes of the lengths that bases have.
+
+    Lengths are few (a base is a name), so each row has a few prefixes instead of meeting every base.
+    """
+    sizes = [r[0] for r in bases.select(F.length(base)).where(F.length(base) > 0).distinct().limit(257).collect()]
+    if len(sizes) > 256:
+        raise ValueError("bases have more than 256 different lengths")
+    starts = F.array_distinct(F.filter(F.array(*[F.when(F.length(text) >= n, F.left(F.col(text), F.lit(n))) for n in sizes]), lambda x: x.isNotNull()))
+    return df.withColumn("__start", F.explode(starts)).join(bases.select(F.col(base).alias("__start")).distinct(), "__start").withColumnRenamed("__start", base)
 
 
 def with_fallback(df: DataFrame, table: DataFrame, exact: list[str], loose: list[str], payload: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.numeric import days_between
 from lotwise.operators.groups import first_last, representative
-from lotwise.operators.joins import covered_buckets
+from lotwise.operators.joins import bucket_range
 
 QUANTILES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
 
@@ -17,28 +17,70 @@ def percentiles(value: Column, names: dict[str, float] = QUANTILES) -> list[Colu
     return [F.percentile(value, q).alias(n) for n, q in names.items()]
 
 
+def all_percentiles(value: Column, names: dict[str, float] = QUANTILES) -> Column:
+    """The same as one array, whose values are sorted once."""
+    return F.percentile(value, F.array(*map(F.lit, names.values())))
+
+
 def pricing(listings: DataFrame, history: DataFrame, as_of: Column) -> DataFrame:
     """DOM17: one row: representatives with a price, their percentiles and ages, and how many prices dropped.
 
-    The price filter holds before the choice of representatives, but not for the drop rate.
+    The price filter holds before the choice of representatives, but not for the drop rate: both choices are
+    ranks of one shuffle.
     """
-    priced = representative(listings.where("price_cents is not null"))
-    age = days_between(as_of, F.col("source_listed_at"))
-    stats = priced.withColumn("age", age).agg(F.count(F.lit(1)).alias("total"), *percentiles(F.col("price_cents")), F.percentile("age", F.lit(0.5)).alias("median_age_days"))
+    vehicle = F.coalesce(F.col("vehicle_id").cast("string"), F.col("id").cast("string"))
+    latest = [F.desc("listed_at"), F.asc("id")]
+    any_rank = F.row_number().over(Window.partitionBy(vehicle).orderBy(*latest))
+    priced_rank = F.row_number().over(Window.partitionBy(vehicle).orderBy(F.col("price_cents").isNull(), *latest))
+    reps = listings.select("id", "vehicle_id", "listed_at", "source_listed_at", "price_cents").withColumns({"any": any_rank, "priced": priced_rank})
+    reps = reps.where("any = 1 or (priced = 1 and price_cents is not null)")
+    use = (F.col("priced") == 1) & F.col("price_cents").isNotNull()
+    age = F.when(use, days_between(as_of, F.col("source_listed_at")))
     ends = first_last(history, "listing_id", "price_cents", ["recorded_at", "seq"])
-    drops = representative(listings).join(ends, F.col("id") == F.col("listing_id")).agg(F.count_distinct("id").alias("with_history"), F.count_distinct(F.when(F.col("first_value") > F.col("last_value"), F.col("id"))).alias("dropped"))
-    rate = F.when(F.col("with_history") > 0, F.round(F.col("dropped") / F.col("with_history"), 2))
-    return stats.crossJoin(F.broadcast(drops)).withColumn("drop_rate", rate)  # one row with one row
+    rows = reps.join(ends, F.col("id") == F.col("listing_id"), "left")
+    rep = F.col("any") == 1
+    stats = rows.agg(
+        F.count_if(use).alias("total"), all_percentiles(F.when(use, F.col("price_cents"))).alias("p"), F.percentile(age, F.lit(0.5)).alias("median_age_days"),
+        F.count_if(rep & F.col("listing_id").isNotNull()).alias("with_history"), F.count_if(rep & (F.col("first_value") > F.col("last_value"))).alias("dropped"),
+    )
+    rate = F.when(F.col("with_history") > 0, F.round(F.col("dropped") / F.col("with_history"), 2)).alias("drop_rate")
+    named = [F.get("p", F.lit(i)).alias(n) for i, n in enumerate(QUANTILES)]
+    return stats.select("total", *named, "median_age_days", "with_history", "dropped", rate)
+
+
+def inventory(reps: DataFrame, buckets: DataFrame, unit: str, first: Column, last: Column) -> DataFrame:
+    """How many listings each bucket's interval touches: one more at a listing's first bucket, one less after its last, then a running sum over the buckets."""
+    lo, hi = bucket_range(F.col("listed_at"), F.col("gone_at"), unit, first, last)
+    step = F.expr(f"interval 1 {unit}")
+    ends = F.array(F.struct(lo.alias("bucket"), F.lit(1).alias("n")), F.struct((hi + step).alias("bucket"), F.lit(-1).alias("n")))
+    change = reps.where(lo <= hi).select(F.inline(ends)).groupBy("bucket").agg(F.sum("n").alias("n"))
+    # one row per bucket: as many as the span has weeks or months
+    running = F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("bucket"))
+    return F.broadcast(buckets).join(change, "bucket", "left").select("bucket", running.alias("inventory"))
 
 
 def trends(listings: DataFrame, history: DataFrame, buckets: DataFrame, unit: str, first: Column, last: Column) -> DataFrame:
     """DOM18: inventory, median recorded price and mean days to gone per bucket; each is aggregated before they meet."""
     reps = representative(listings)
-    inventory = covered_buckets(reps, F.col("listed_at"), F.col("gone_at"), unit, first, last).groupBy("bucket").agg(F.count_distinct("id").alias("inventory"))
-    prices = history.join(reps.select(F.col("id").alias("listing_id")), "listing_id").groupBy(F.date_trunc(unit, "recorded_at").alias("bucket")).agg(F.percentile("price_cents", F.lit(0.5)).alias("median_price"))
-    gone = reps.where("gone_at is not null").groupBy(F.date_trunc(unit, "gone_at").alias("bucket")).agg(F.avg(days_between(F.col("gone_at"), F.col("source_listed_at"))).alias("days_to_gone"))
-    out = F.broadcast(buckets).join(inventory, "bucket", "left").join(prices, "bucket", "left").join(gone, "bucket", "left")
-    return out.select("bucket", F.coalesce("inventory", F.lit(0)).alias("inventory"), "median_price", "days_to_gone")
+    there = inventory(reps, buckets, unit, first, last)
+    recorded = history.join(reps.select(F.col("id").alias("listing_id")), "listing_id").groupBy(F.date_trunc(unit, "recorded_at").alias("bucket"))
+    prices = recorded.agg(F.percentile("price_cents", F.lit(0.5)).alias("median_price"))
+    left = reps.where("gone_at is not null").groupBy(F.date_trunc(unit, "gone_at").alias("bucket"))
+    gone = left.agg(F.avg(days_between(F.col("gone_at"), F.col("source_listed_at"))).alias("days_to_gone"))
+    return there.join(prices, "bucket", "left").join(gone, "bucket", "left").select("bucket", "inventory", "median_price", "days_to_gone")
+
+
+def span(first: str | None, last: str, default_days: int = 180, most_days: int = 1826):
+    """DAT09: the span asked for, or the default lookback; a span turned round or too long is refused before any work."""
+    import datetime as dt
+
+    to = dt.datetime.fromisoformat(last)
+    start = dt.datetime.fromisoformat(first) if first else to - dt.timedelta(days=default_days)
+    if start > to:
+        raise ValueError("the span's start must be before its end")
+    if to - start > dt.timedelta(days=most_days):
+        raise ValueError(f"the span cannot exceed {most_days} days")
+    return start, to
 
 
 def popular(listings: DataFrame, key: str, most: int = 10) -> DataFrame:

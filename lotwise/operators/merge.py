@@ -24,7 +24,7 @@ def audit_rows(old: DataFrame, new: DataFrame, key: list[str], values: list[str]
     """SNK03, JSN01: before and after of changed fields only, as JSON."""
     pair = old.select(*key, F.struct(*values).alias("o")).join(new.select(*key, F.struct(*values).alias("n")), key)
     entry = lambda p: F.filter(F.array(*[F.when(~F.col(f"o.{v}").eqNullSafe(F.col(f"n.{v}")), F.struct(F.lit(v).alias("key"), F.col(f"{p}.{v}").cast("string").alias("value"))) for v in values]), lambda x: x.isNotNull())
-    return pair.select(*key, F.to_json(F.map_from_entries(entry("o"))).alias("before"), F.to_json(F.map_from_entries(entry("n"))).alias("after"), F.size(entry("o")).alias("n")).where("n > 0").drop("n")
+    return pair.select(*key, F.to_json(F.map_from_entries(entry("o")), {"ignoreNullFields": "false"}).alias("before"), F.to_json(F.map_from_entries(entry("n")), {"ignoreNullFields": "false"}).alias("after"), F.size(entry("o")).alias("n")).where("n > 0").drop("n")
 
 
 def append_new(ledger: DataFrame, incoming: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -32,6 +32,11 @@ def append_new(ledger: DataFrame, incoming: DataFrame, key: list[str], order: li
     return top_k(incoming, key, order).join(ledger.select(*key).distinct(), key, "left_anti")
 
 
+def apply_once(ledger: DataFrame, rows: DataFrame, run: list[str], key: list[str]) -> DataFrame:
+    """STM04: the rows of runs that the ledger lacks, each row once however often its run is sent."""
+    return rows.join(ledger.select(*run).distinct(), run, "left_anti").dropDuplicates([*run, *key])
+
+
 def count_problems(state: DataFrame, seen: DataFrame, key: str = "fingerprint", at: str = "seen_at", batch: str = "batch_id") -> DataFrame:
     """SNK07: first and last sight and occurrences; a fingerprint counts once in a batch."""
     new = seen.select(key, at, batch).groupBy(key, batch).agg(F.min(at).alias("lo"), F.max(at).alias("hi")).groupBy(key).agg(F.min("lo").alias("first_seen"), F.max("hi").alias("last_seen"), F.count(F.lit(1)).alias("occurrences"))
@@ -66,39 +71,88 @@ def by_evidence(evidence: Column, old: Column, new: Column) -> Column:
     return F.when(evidence == "missing", old).when(evidence == "authoritative_empty", F.lit(None)).otherwise(new)
 
 
-def sale_transition(old: Column, new: Column, sold_at: Column, seen_at: Column) -> Column:
-    """STM08: struct of status and sold_at: a sale is dated when first seen and undated when the listing is back."""
-    return F.struct(new.alias("status"), F.when((new == "sold") & (old != "sold"), F.coalesce(sold_at, seen_at)).when(new == "sold", sold_at).alias("sold_at"))
+def sale_transition(status: Column, sale: Column, sold_at: Column, now: Column, missing: Column) -> Column:
+    """STM08: struct of status, gone_at_set and sold_at after a detail page.
+
+    A sold or gone banner ends a listing and dates a first sale; a possibly gone listing comes back only if no
+    complete crawl has missed it; anything else stays.
+    """
+    ends = sale.isin("sold", "gone") & (status != "gone")
+    back = (status == "possibly_gone") & (sale != "sold") & (missing == 0) & ~ends
+    sold = F.when(ends & (sale == "sold"), F.coalesce(sold_at, now)).otherwise(sold_at)
+    mark = F.when(ends, "set").when(back, "cleared").otherwise("kept")
+    return F.struct(F.when(ends, "gone").when(back, "active").otherwise(status).alias("status"), mark.alias("gone_at"), sold.alias("sold_at"))
+
+
+def guarded_update(current: DataFrame, decisions: DataFrame, key: str, version: str, hidden: str) -> DataFrame:
+    """STM11: each decision's outcome: ``written`` if its row still has the version it was made for and is not hidden, else ``skipped-stale``."""
+    now = current.select(key, F.col(version).alias("__now"), F.col(hidden).alias("__hidden"))
+    same = (F.col(version) == F.col("__now")) & F.col("__hidden").isNull()
+    outcome = F.when(F.coalesce(same, F.lit(False)), "written").otherwise("skipped-stale")
+    return decisions.join(now, key, "left").withColumn("outcome", outcome).drop("__now", "__hidden")
 
 
 def mark_missing(state: DataFrame, seen: DataFrame, runs: DataFrame, key: list[str], limit: int = 6) -> DataFrame:
     """STM03 as a batch: (key, missing, status) after all runs: missing counts complete runs since the last sight.
 
-    Runs that are not complete, or that saw nothing, change nothing; a key seen again starts anew.
+    Runs that are not complete, or that saw nothing, change nothing; a key seen again starts anew. Each run is
+    ranked among its source's complete runs once, so that a key needs two numbers only.
     """
     source = key[0]
     real = seen.select(source, "run_id").distinct()
-    complete = runs.where("complete").join(real, [source, "run_id"], "left_semi")
-    last = seen.join(runs.select(source, "run_id", "run_no"), [source, "run_id"]).groupBy(*key).agg(F.max("run_no").alias("last_no"))
-    known = state.select(*key, F.col("missing").alias("was")).join(last, key, "full_outer")
-    # per source, how many complete runs come after each number
-    numbers = complete.groupBy(source).agg(F.array_sort(F.collect_set("run_no")).alias("nos"))
-    out = known.join(numbers, source, "left").withColumn("later", F.size(F.filter(F.coalesce("nos", F.array().cast("array<bigint>")), lambda n: n > F.coalesce("last_no", F.lit(-1)))))
-    missing = F.when(F.col("last_no").isNull(), F.coalesce("was", F.lit(0)) + F.col("later")).otherwise(F.col("later"))
-    return out.select(*key, missing.cast("long").alias("missing")).withColumn("status", F.when(F.col("missing") >= limit, "gone").when(F.col("missing") > 0, "possibly_gone").otherwise("active"))
+    used = runs.join(real, [source, "run_id"], "left_semi").select(source, "run_id", "run_no", F.col("complete").cast("long").alias("one"))
+    order = Window.partitionBy(source).orderBy("run_no")
+    ranked = used.withColumn("rank", F.sum("one").over(order))
+    last = seen.join(ranked, [source, "run_id"]).groupBy(*key).agg(F.max("rank").alias("seen_rank"))
+    total = used.groupBy(source).agg(F.sum("one").alias("total"))
+    known = state.select(*key, F.col("missing").alias("was")).join(last, key, "full_outer").join(total, source, "left")
+    later = F.coalesce("total", F.lit(0)) - F.coalesce("seen_rank", F.lit(0))
+    missing = later + F.when(F.col("seen_rank").isNull(), F.coalesce("was", F.lit(0))).otherwise(0)
+    status = F.when(F.col("missing") >= limit, "gone").when(F.col("missing") > 0, "possibly_gone").otherwise("active")
+    return known.withColumn("missing", missing.cast("long")).withColumn("status", status).select(*key, "missing", "status")
+
+
+def _path(spark, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def swap_in(df: DataFrame, root: str, version: str, expected: int) -> str:
-    """SNK05: write a version, verify its count, and only then point the name ``current`` at it."""
+    """SNK05: write a version, verify its count, and only then point to it by renaming a finished marker into place.
+
+    A reader takes the newest pointer, so it sees the old version or the new one whole, never neither.
+    """
     spark, path = df.sparkSession, f"{root}/version={version}"
     df.write.mode("overwrite").parquet(path)
     found = spark.read.parquet(path).count()
     if found != expected:
         raise ValueError(f"{path} has {found} rows instead of {expected}; the current version stays")
-    spark.createDataFrame([(version, found)], "version string, rows long").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    n = len(pointers(spark, root)) + 1
+    draft, fs = _path(spark, f"{root}/draft/{n:09d}={version}")
+    fs.mkdirs(draft.getParent())
+    fs.create(draft, True).close()
+    final, _ = _path(spark, f"{root}/current/{n:09d}={version}")
+    fs.mkdirs(final.getParent())
+    if not fs.rename(draft, final):
+        raise ValueError(f"{final} is there already: another writer was first")
     return path
 
 
+def pointers(spark, root: str) -> list[str]:
+    path, fs = _path(spark, f"{root}/current")
+    return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+
 def current(spark, root: str) -> DataFrame:
-    version = spark.read.json(f"{root}/current").first()["version"]
+    version = pointers(spark, root)[-1].split("=", 1)[1]
     return spark.read.parquet(f"{root}/version={version}")
+
+
+def clean_up(spark, root: str, keep: int = 1) -> list[str]:
+    """SNK05: delete all but the newest ``keep`` versions that were ever current, and name those deleted."""
+    names = [p.split("=", 1)[1] for p in pointers(spark, root)]
+    old = [v for v in dict.fromkeys(names) if v not in names[-keep:]]
+    for v in old:
+        path, fs = _path(spark, f"{root}/version={v}")
+        fs.delete(path, True)
+    return old

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lotwise.functions.numeric import ewma, vin_check_digit, vin_normal, vin_valid
+from lotwise.functions.numeric import vin_check_digit, vin_normal, vin_valid
 
 # Fixed values.
-STATES = "AL AK AZ AR CA CO CT DE DC FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY".split()
-BLEED = r"(?i)\b(?:stock|vin|mileage|price|color|conversion|location|dealer)\s*[:#]"
+STATES = [
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD", "MA", "MI", "MN", "MS", "MO",
+    "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC",
+]
+BLEED = r"(?i)\b(?:Mileage|Conv\s*Make|Conversion|Location|Request\s+Information|Schedule\s+a\s+Test\s+Drive)|Stock\s*:"
 EVIDENCE_FEATURES = ["has_lift", "power_ramp", "kneel_system", "lowered_floor"]
 BLOCKING_WARNS = ["unsupported_accessibility_claim"]
-YEARS, PRICES, MOST_MILES, MOST_INCHES, MOST_CHAIRS, MOST_IMAGES = (1980, 2028), (100_000, 50_000_000), 500_000, 24, 6, 60
+YEARS, PRICES = (1990, 2028), (50_000, 50_000_000)
+MOST_MILES, MOST_INCHES, MOST_CHAIRS, MOST_IMAGES = 400_000, 14, 6, 60
 
 
 def issue(when: Column, field: str, value: Column | str, rule: str, family: str, severity: str) -> Column:
@@ -104,13 +110,21 @@ def summary(df: DataFrame, issues: str = "issues") -> DataFrame:
 
 
 def drift(df: DataFrame, source: str, run: str, rates: list[str], alpha: float = 0.2, threshold: float = 0.15) -> DataFrame:
-    """MTH08, STM09: each run's rates against the smoothed rates of the runs before; the first run only seeds them."""
-    w = Window.partitionBy(source).orderBy(run)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = df
-    for r in rates:
-        history = F.collect_list(r).over(before)  # runs of one source
-        out = out.withColumn(f"{r}_baseline", F.when(F.size(history) > 0, ewma(history, alpha)))
+    """MTH08, STM09: each run's rates against the smoothed rates of the runs before; the first run only seeds them.
+
+    Rows are one per source and run, so a source's group is as long as its history of runs; it is folded once.
+    """
+    schema = T.StructType([*df.schema.fields, *[T.StructField(f"{r}_baseline", T.DoubleType()) for r in rates]])
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(run, kind="stable")
+        for r in rates:
+            rows[f"{r}_baseline"] = rows[r].ewm(alpha=alpha, adjust=False).mean().shift(1)
+        return rows
+
+    out = df.groupBy(source).applyInPandas(fold, schema)
+    base = lambda r: F.when(~F.isnan(f"{r}_baseline"), F.col(f"{r}_baseline"))
+    out = out.withColumns({f"{r}_baseline": base(r) for r in rates})
     apart = [F.coalesce(F.col(r) - F.col(f"{r}_baseline") > threshold, F.lit(False)) for r in rates]
     return out.withColumn("drifted", F.greatest(*apart) if len(apart) > 1 else apart[0])
 

@@ -68,3 +68,54 @@ def claims_from_columns(df: DataFrame, key: str, confidence: dict[str, float]) -
     """DOM25: one claim for each filled column, with the confidence of its kind."""
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), F.lit(c).alias("confidence")) for f, c in confidence.items()])
     return df.select(key, F.explode(each).alias("c")).select(key, "c.*").where("trim(value) <> ''")
+
+
+def backfill_totals(claims: DataFrame, done: DataFrame, key: list[str], by: list[str], value: str = "value") -> DataFrame:
+    """DOM20: what a backfill of claims would write: known values that are not claimed yet, counted per group."""
+    fresh = claims.where(F.col(value).isNotNull()).join(done.select(*key).distinct(), key, "left_anti")
+    return fresh.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(value).alias("n_values"))
+
+
+#: Severities from least to worst.
+SEVERITIES = ["ok", "warning", "critical"]
+
+
+def overview(df: DataFrame, key: str, severity: str, sums: dict[str, str], failed: Column) -> DataFrame:
+    """DOM29: per group and over all: rows, failed rows, sums and the worst severity."""
+    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col(severity)).cast("int")
+    aggs = [F.count(F.lit(1)).alias("total"), F.count_if(failed).alias("failed"), *[F.sum(c).alias(n) for n, c in sums.items()], F.max(rank).alias("rank")]
+    out = df.groupingSets([[key], []], key).agg(*aggs, F.grouping(key).alias("g"))
+    worst = F.get(F.array(*map(F.lit, SEVERITIES)), F.col("rank") - 1).alias("worst")
+    return out.select(F.when(F.col("g") == 1, "all").otherwise(F.col(key)).alias(key), "total", "failed", *sums, worst)
+
+
+def geocoded(df: DataFrame, city: str, state: str, look_up) -> DataFrame:
+    """DOM27: lat, lng and found for each row; the service ``look_up(city, state)`` is asked once for each distinct place, from Spark's tasks."""
+    from lotwise.functions.text import city_state
+
+    rows = df.withColumn("__place", city_state(F.col(city), F.col(state)))
+    places = rows.select("__place").where("__place is not null").distinct()
+
+    def ask(batches):
+        for batch in batches:
+            found = [look_up(*p.split("|")) for p in batch["__place"]]
+            batch["lat"], batch["lng"] = ([f[i] if f else None for f in found] for i in (0, 1))
+            yield batch
+
+    met = rows.join(places.mapInPandas(ask, "__place string, lat double, lng double"), "__place", "left").drop("__place")
+    return met.withColumn("found", F.col("lat").isNotNull())
+
+
+def wide_series(df: DataFrame, key: str, value: str, own: str, kind: str, kinds: list[str]) -> DataFrame:
+    """DOM28: one column for each of own and other rows and each kind of value."""
+    cols = [F.when((F.col(kind) == k) & (F.col(own) == (side == "own")), F.col(value)).alias(f"{side}_{k}") for k in kinds for side in ("own", "other")]
+    return df.select(key, *cols)
+
+
+def forest(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """DOM23: (id, root, depth, parent) of all runs below some roots; edges are (child, parent)."""
+    from lotwise.operators.graph import descendants
+
+    found = descendants(edges, roots)
+    up = edges.select(F.col("child").alias("id"), "parent")
+    return found.join(up, "id", "left").select("id", "root", "depth", F.when(F.col("depth") > 0, F.col("parent")).alias("parent"))

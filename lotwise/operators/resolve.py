@@ -33,8 +33,13 @@ def resolve_fields(claims: DataFrame, keys: tuple[str, ...] = ("listing_id", "fi
     return out.select(*keys, shown.alias("value"), "state", against.alias("competing"))
 
 
-def source_date(candidates: DataFrame, key: str = "page_id") -> DataFrame:
-    """DOM26: the proven date, else the sole anonymous one; several different values give none."""
-    pick = lambda kind: F.when(F.col("kind") == kind, F.col("value"))
-    agg = candidates.groupBy(key).agg(F.count_distinct(pick("proven")).alias("proven_n"), F.min(pick("proven")).alias("proven"), F.count_distinct(pick("anonymous")).alias("anonymous_n"), F.min(pick("anonymous")).alias("anonymous"))
-    return agg.select(key, F.when(F.col("proven_n") == 1, F.col("proven")).when((F.col("proven_n") == 0) & (F.col("anonymous_n") == 1), F.col("anonymous")).alias("value"))
+def source_date(candidates: DataFrame, key: str = "page_id", fields: tuple[str, ...] = ("listed", "updated")) -> DataFrame:
+    """DOM26: each date on which all proven candidates that have one agree; without proven ones, those of an anonymous candidate that is alone."""
+    proven = F.col("kind") == "proven"
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(proven).alias("proven"), F.count_if(F.col("kind") == "anonymous").alias("anonymous")]
+    for f in fields:
+        mine = F.when(proven, F.col(f))
+        aggs += [F.count_distinct(mine).alias(f"{f}_n"), F.min(mine).alias(f"{f}_one"), F.min(f).alias(f"{f}_any")]
+    alone = (F.col("proven") == 0) & (F.col("n") == 1) & (F.col("anonymous") == 1)
+    each = [F.when((F.col("proven") > 0) & (F.col(f"{f}_n") == 1), F.col(f"{f}_one")).when(alone, F.col(f"{f}_any")).alias(f) for f in fields]
+    return candidates.groupBy(key).agg(*aggs).select(key, *each)

@@ -105,10 +105,13 @@ def agg16(spark, d):
     return a.withColumn("missing", F.when(F.col("covered") <= F.col("total"), F.col("total") - F.col("covered")))
 
 
-@query("agg17_color_family", f"select case when f is null then w else f end family, cast(sum(n) as bigint) n from (select words[1] w, case when words[1] in ('white', 'ivory') then 'White' when words[1] in ('black') then 'Black' when words[1] in ('blue', 'navy') then 'Blue' when words[1] in ('red', 'maroon') then 'Red' when words[1] in ('green') then 'Green' when words[1] in ('brown', 'beige', 'tan') then 'Brown' end f, count(*) n from {PARTS} group by 1, 2) group by 1")
+@query("agg17_color_family", f"""select coalesce(f, w) family, cast(sum(n) as bigint) n from (select words[1] w, case when words[1] in ('white', 'ivory', 'snow') then 'white' when words[1] = 'black' then 'black'
+ when words[1] in ('blue', 'navy', 'azure') then 'blue' when words[1] in ('red', 'maroon') then 'red' when words[1] in ('green', 'olive', 'forest') then 'green' when words[1] in ('brown', 'chocolate') then 'brown'
+ when words[1] in ('beige', 'tan', 'cream') then 'beige' end f, count(*) n from {PARTS} group by 1, 2) group by 1""")
 def agg17(spark, d):
+    """A colour without a family stays its own item."""
     g = parts(spark, d).groupBy(F.col("words")[0].alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return g.groupBy(color_family(F.col("w")).alias("family")).agg(F.sum("n").alias("n"))
+    return g.groupBy(F.coalesce(color_family(F.col("w")), "w").alias("family")).agg(F.sum("n").alias("n"))
 
 
 @query("agg19_completeness", f"select source, round(avg(case when status <> 'P' then 1.0 else 0.0 end), 6) status_known, round(avg(case when priority not like '%NOT SPECIFIED%' then 1.0 else 0.0 end), 6) priority_known, count(*) n from {LISTINGS} group by source")
@@ -149,10 +152,12 @@ def agg25(spark, d):
     return t(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % 2 == 0).alias("even"))
 
 
-@query("agg26_dup_groups", "select array_to_string(list_sort(array_agg(doc_id)), ',') ids, count(*) n from documents group by text having count(*) > 1")
+@query("agg26_dup_groups", "select doc_id, min(doc_id) over w least_id, count(*) over w n from documents window w as (partition by text) qualify count(*) over w > 1")
 def agg26(spark, d):
-    g = t(spark, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("ids"), F.count(F.lit(1)).alias("n"))
-    return g.where("n > 1").select("ids", "n")
+    """A row per member with its group's least id and size: groups are summed before the shuffle and never listed in one row."""
+    docs = t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    g = docs.groupBy("h").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return docs.join(g, docs["h"].eqNullSafe(g["h"])).select("doc_id", "least_id", "n")
 
 
 @query("agg27_group_examples", f"select grp, count(*) n, array_to_string(array_agg(id order by r) filter (where r <= 3), ',') examples from (select *, row_number() over (partition by grp order by id) r from (select *, case when source = 'ASIA' then 'Uncategorized' else source end grp from {LISTINGS})) group by grp")

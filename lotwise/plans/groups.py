@@ -79,13 +79,23 @@ def win18(spark, d):
     return price_history(spark, d).withColumn("p", F.lag(F.col("ok") % 5).over(w)).where("p <> ok % 5").select("part_id", "ok", "ln")
 
 
-@query("win19_best_product", f"""with s as (select l.id, p.id product_id, (case when p.size = l.id % 50 + 1 then 8 else 0 end) + (case when p.make = 'Brand#' || cast(l.id % 5 + 1 as varchar) || cast(l.vehicle_id % 5 + 1 as varchar) then 3 else 0 end) + (case when p.price_cents % 2 = 0 then 4 else 0 end) score
- from {LISTINGS} l join {PARTS} p on p.size = l.id % 50 + 1 and p.id <= 400 and l.id <= 2000) select id, product_id, score from s qualify row_number() over (partition by id order by score desc, product_id) = 1""")
+@query("win19_best_product", f"""with p as (select *, 8 + case when price_cents % 2 = 0 then 4 else 0 end base from {PARTS}), l as (select id, id % 50 + 1 size, 'Brand#' || cast(vehicle_id % 5 + 1 as varchar) make from {LISTINGS}),
+ own as (select size, make, base + 3 score, id product_id from p qualify row_number() over (partition by size, make order by base desc, id) = 1),
+ other as (select size, base score, id product_id from p qualify row_number() over (partition by size order by base desc, id) = 1),
+ u as (select l.id, product_id, score from l join own on own.size = l.size and own.make = l.make union all select l.id, product_id, score from l join other on other.size = l.size)
+ select id, product_id, score from u qualify row_number() over (partition by id order by score desc, product_id) = 1""")
 def win19(spark, d):
-    brand = F.concat(F.lit("Brand#"), (F.col("l.id") % 5 + 1).cast("string"), (F.col("l.vehicle_id") % 5 + 1).cast("string"))
-    rows = listings(spark, d).where("id <= 2000").alias("l").join(parts(spark, d).where("id <= 400").alias("p"), F.col("p.size") == F.col("l.id") % 50 + 1)
-    score = F.lit(8) + F.when(F.col("p.make") == brand, 3).otherwise(0) + F.when(F.col("p.price_cents") % 2 == 0, 4).otherwise(0)
-    return groups.top_k(rows.select(F.col("l.id").alias("id"), F.col("p.id").alias("product_id"), score.alias("score")), ["id"], [F.desc("score"), "product_id"])
+    """The best product of each listing: products meet listings only as the best of their size, and of their size and brand, never one by one."""
+    base = F.lit(8) + F.when(F.col("price_cents") % 2 == 0, 4).otherwise(0)
+    products = parts(spark, d).select("size", "make", base.alias("base"), F.col("id").alias("product_id"))
+    best = [F.desc("base"), F.asc("product_id")]
+    own = groups.top_k(products, ["size", "make"], best).select("size", "make", (F.col("base") + 3).alias("score"), "product_id")
+    other = groups.top_k(products, ["size"], best).select("size", F.col("base").alias("score"), "product_id")
+    rows = listings(spark, d).select("id", (F.col("id") % 50 + 1).alias("size"), F.concat(F.lit("Brand#"), (F.col("vehicle_id") % 5 + 1).cast("string")).alias("make"))
+    two = F.array(F.struct(F.col("own.score").alias("score"), F.col("own.product_id").alias("product_id")), F.struct(F.col("other.score").alias("score"), F.col("other.product_id").alias("product_id")))
+    met = rows.alias("l").join(own.alias("own"), ["size", "make"], "left").join(other.alias("other"), "size", "left")
+    first = F.array_sort(F.transform(F.filter(two, lambda x: x["score"].isNotNull()), lambda x: F.struct((-x["score"]).alias("low"), x["product_id"].alias("product_id"))))
+    return met.select("id", F.get(first, F.lit(0)).alias("b")).where("b is not null").select("id", "b.product_id", (-F.col("b.low")).alias("score"))
 
 
 @query("flt18_keyset", f"select id, listed_at from {LISTINGS} where (listed_at, id) > (timestamp '1996-01-01 00:00:00', 100) order by listed_at, id limit 500")
@@ -112,9 +122,12 @@ def flt04(spark, d):
     return parts(spark, d).where(filters.Search(any_in_array={"words": ["green", "blue", "steel"]}).conditions()).select("id")
 
 
-@query("flt05_ranges", f"select id, size from {PARTS} where size >= 10 and size <= 20 and price_cents >= 100000")
+@query("flt05_ranges", f"select id, size from {PARTS} where size >= 10 and size <= 20 and price_cents >= 95000 and id % 13 > 0")
 def flt05(spark, d):
-    return parts(spark, d).where(filters.Search(ranges={"size": (10, 20), "price_cents": (100_000, None)}).conditions()).select("id", "size")
+    """Bounds with rows on both sides; a part without a price (every 13th) never matches."""
+    priced = F.when(F.col("id") % 13 > 0, F.col("price_cents"))
+    wanted = filters.Search(ranges={"size": (10, 20), "price_cents": (95_000, None)})
+    return parts(spark, d).withColumn("price_cents", priced).where(wanted.conditions()).select("id", "size")
 
 
 @query("flt11_age_fallback", f"select event_id from {EVENTS} where coalesce(case when k % 2 = 0 then ts end, ts - interval 1 day) <= timestamp '2024-01-10 00:00:00'")
@@ -170,18 +183,21 @@ def srt11(spark, d):
     return t(spark, d, "supplier").where("s_acctbal > 0").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.min_by("s_suppkey", F.struct("s_acctbal", "s_suppkey")).alias("s_suppkey"))
 
 
-@query("set01_history_union", f"select * from (select part_id, recorded_at, ok, 'price' kind, 0 r, price_cents v from {HISTORY} where part_id <= 50 union all select l_partkey, l_shipdate, l_orderkey, 'mileage', 1, cast(l_quantity as bigint) from lineitem where l_partkey <= 50) order by recorded_at, r, ok")
+@query("set01_history_union", f"select part_id, recorded_at, ok, kind, r, v from (select part_id, recorded_at, ok, ln, 'price' kind, 0 r, price_cents v from {HISTORY} union all select l_partkey, l_shipdate, l_orderkey, l_linenumber, 'mileage', 1, cast(l_quantity as bigint) from lineitem)")
 def set01(spark, d):
-    price = price_history(spark, d).where("part_id <= 50").select("part_id", "recorded_at", "ok", F.lit("price").alias("kind"), F.lit(0).alias("r"), F.col("price_cents").alias("v"))
-    miles = t(spark, d, "lineitem").where("l_partkey <= 50").select(F.col("l_partkey").alias("part_id"), F.col("l_shipdate").alias("recorded_at"), F.col("l_orderkey").alias("ok"), F.lit("mileage").alias("kind"), F.lit(1).alias("r"), F.col("l_quantity").cast("bigint").alias("v"))
-    return price.unionByName(miles).orderBy("recorded_at", "r", "ok")
+    """One vehicle's history is read in order; the whole table's is ordered within each part, not across all of them."""
+    price = price_history(spark, d).select("part_id", "recorded_at", "ok", F.lit("price").alias("kind"), F.lit(0).alias("r"), F.col("price_cents").alias("v"))
+    lines = t(spark, d, "lineitem").select(F.col("l_partkey").alias("part_id"), F.col("l_shipdate").alias("recorded_at"), F.col("l_orderkey").alias("ok"), F.col("l_quantity").cast("bigint").alias("v"))
+    miles = lines.withColumns({"kind": F.lit("mileage"), "r": F.lit(1)}).select(*price.columns)
+    return price.unionByName(miles).repartition("part_id").sortWithinPartitions("part_id", "recorded_at", "r", "ok")
 
 
-@query("set03_difference", "select user_id, side from (select user_id, 'only_view' side from events where event_type = 'view' except select user_id, 'only_view' from events where event_type = 'error' union all (select user_id, 'only_error' from events where event_type = 'error' except select user_id, 'only_error' from events where event_type = 'view'))")
+@query("set03_difference", "select user_id, side from (select user_id, 'only_view' side from events where event_type = 'view' and hour(ts) < 6 except select user_id, 'only_view' from events where event_type = 'error' and hour(ts) < 6 union all (select user_id, 'only_error' from events where event_type = 'error' and hour(ts) < 6 except select user_id, 'only_error' from events where event_type = 'view' and hour(ts) < 6))")
 def set03(spark, d):
-    of = lambda kind: events(spark, d).where(F.col("event_type") == kind).select("user_id").distinct()
+    """Users of the night hours who did one thing and not the other."""
+    of = lambda kind: events(spark, d).where((F.col("event_type") == kind) & (F.hour("ts") < 6)).select("user_id")
     one, two = of("view"), of("error")
-    return one.join(two, "user_id", "left_anti").withColumn("side", F.lit("only_view")).unionByName(two.join(one, "user_id", "left_anti").withColumn("side", F.lit("only_error")))
+    return one.subtract(two).withColumn("side", F.lit("only_view")).unionByName(two.subtract(one).withColumn("side", F.lit("only_error")))
 
 
 @query("set05_problem_union", f"select source, key, n from (select 'events' source, event_type as key, count(*) n from {EVENTS} group by event_type union all select 'orders', status, count(*) from {LISTINGS} group by status)")

@@ -78,14 +78,15 @@ def jon14(spark, d):
     return rows.join(n, "vehicle_id").select("id", (F.col("n") - 1).alias("others"))
 
 
-@query("jon15_document_assembly", "select o_orderkey, (select array_to_string(array_agg(l_partkey order by l_extendedprice desc, l_linenumber), ',') from (select * from lineitem where l_orderkey = o_orderkey order by l_extendedprice desc, l_linenumber limit 3)) top_parts from orders where o_orderkey <= 3000")
+@query("jon15_document_assembly", """with l as (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) r from lineitem),
+ a as (select l_orderkey, array_to_string(array_agg(l_partkey order by r), ',') top_parts from l where r <= 3 group by 1) select o_orderkey, top_parts from orders left join a on l_orderkey = o_orderkey""")
 def jon15(spark, d):
     from lotwise.operators.groups import top_k
 
-    lines = top_k(t(spark, d, "lineitem").where("l_orderkey <= 3000"), ["l_orderkey"], [F.desc("l_extendedprice"), "l_linenumber"], 3, "r")
-    child = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "l_partkey"))), lambda x: x["l_partkey"].cast("string")), ",").alias("top_parts"))
-    o = t(spark, d, "orders").where("o_orderkey <= 3000")
-    return o.join(child, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "top_parts")
+    lines = top_k(t(spark, d, "lineitem"), ["l_orderkey"], [F.desc("l_extendedprice"), "l_linenumber"], 3, "r")
+    first = F.transform(F.array_sort(F.collect_list(F.struct("r", "l_partkey"))), lambda x: x["l_partkey"].cast("string"))  # three at most
+    child = lines.groupBy("l_orderkey").agg(F.array_join(first, ",").alias("top_parts"))
+    return t(spark, d, "orders").join(child, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "top_parts")
 
 
 @query("jon16_divergence", "with b as (select o_orderkey id, o_orderstatus st, o_orderpriority pr from orders), x as (select id, case when id % 97 = 0 then 'X' else st end st, case when id % 89 = 0 then '0' else pr end pr from b) select b.id, 'status' field, b.st expected, x.st actual from b join x using (id) where b.st is distinct from x.st union all select b.id, 'priority', b.pr, x.pr from b join x using (id) where b.pr is distinct from x.pr")
@@ -131,9 +132,20 @@ def mth01(spark, d):
     return _geo(spark, d).select("id", F.round(haversine(F.lit(35.0), F.lit(-100.0), F.col("lat"), F.col("lng")), 3).alias("miles"))
 
 
-@query("jon23_hamming", f"with g as (select phash h, min(id) id from {PICTURES} group by 1) select a.id a, b.id b, cast(bit_count(xor(a.h, b.h)) as integer) distance from g a join g b on a.id < b.id where bit_count(xor(a.h, b.h)) <= 18")
+NEAR = f"(select id, phash from {PICTURES} union all select id + 1000000000, xor(phash, (1::bigint << cast(id % 60 as integer)) | (1::bigint << cast(id * 7 % 60 as integer)) | (id % 7)) from {PICTURES})"
+
+
+def _near(spark, d):
+    """Pictures, and an edited copy of each that differs by a few bits."""
+    p = pictures(spark, d).select("id", "phash")
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), (x % 60).cast("int"))
+    edit = bit(F.col("id")).bitwiseOR(bit(F.col("id") * 7)).bitwiseOR(F.col("id") % 7)
+    return p.unionByName(p.select((F.col("id") + 1_000_000_000).alias("id"), F.col("phash").bitwiseXOR(edit).alias("phash")))
+
+
+@query("jon23_hamming", f"with g as (select phash h, min(id) id from {NEAR} group by 1) select a.id a, b.id b, cast(bit_count(xor(a.h, b.h)) as integer) distance from g a join g b on a.id < b.id where bit_count(xor(a.h, b.h)) <= 10")
 def jon23(spark, d):
-    return joins.hamming_pairs(pictures(spark, d), "id", "phash", 18)
+    return joins.hamming_pairs(_near(spark, d), "id", "phash")
 
 
 @query("mth02_hamming", f"select id, cast(bit_count(xor(phash, 81985529216486895)) as integer) distance from {PICTURES}")
@@ -146,23 +158,24 @@ def mth03(spark, d):
     return pictures(spark, d).select("id", long_to_hex(F.col("phash")).alias("h")).withColumn("back", hex_to_long(F.col("h")))
 
 
-@query("jon24_prefix_join", "select p.p_partkey, b.t from part p join (select distinct string_split(p_type, ' ')[1] t from part) b on starts_with(p.p_type, b.t)")
+@query("jon24_prefix_join", "select p.p_partkey, b.t from part p join (select distinct left(p_name, 3 + p_partkey % 7) t from part where p_partkey % 40 = 0) b on starts_with(p.p_name, b.t)")
 def jon24(spark, d):
-    p = t(spark, d, "part").select("p_partkey", "p_type")
-    base = p.select(F.split("p_type", " ")[0].alias("t")).distinct()
-    # the base names are first words: equality on the first word finds what the prefix may match
-    return p.withColumn("w", F.split("p_type", " ")[0]).join(base, F.col("w") == F.col("t")).where(F.startswith("p_type", "t")).select("p_partkey", "t")
+    p = t(spark, d, "part").select("p_partkey", "p_name")
+    bases = p.where("p_partkey % 40 = 0").select(F.expr("left(p_name, cast(3 + p_partkey % 7 as int))").alias("t")).distinct()
+    return joins.prefix_join(p, "p_name", bases, "t").select("p_partkey", "t")
 
 
-@query("jon25_missing_or_stale", "select s_suppkey from supplier left join (select l_suppkey, max(l_shipdate) last from lineitem group by 1) on l_suppkey = s_suppkey where last is null or last < timestamp '1998-11-15' order by s_suppkey limit 50")
+@query("jon25_missing_or_stale", "select s_suppkey from supplier left join (select l_suppkey, max(l_shipdate) last from lineitem where l_suppkey % 10 > 0 group by 1) on l_suppkey = s_suppkey where last is null or last < timestamp '2001-10-20' order by s_suppkey limit 50")
 def jon25(spark, d):
-    last = t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.max("l_shipdate").alias("last"))
-    return t(spark, d, "supplier").join(last, F.col("s_suppkey") == F.col("l_suppkey"), "left").where("last is null or last < timestamp'1998-11-15'").orderBy("s_suppkey").limit(50).select("s_suppkey")
+    """The next fifty suppliers without a delivery (every tenth) or with none since a cutoff."""
+    last = t(spark, d, "lineitem").where("l_suppkey % 10 > 0").groupBy("l_suppkey").agg(F.max("l_shipdate").alias("last"))
+    due = t(spark, d, "supplier").join(last, F.col("s_suppkey") == F.col("l_suppkey"), "left").where("last is null or last < timestamp'2001-10-20'")
+    return due.orderBy("s_suppkey").limit(50).select("s_suppkey")
 
 
-@query("set02_recursive_lineage", "with recursive e as (select o_orderkey child, o_orderkey // 2 parent from orders where o_orderkey between 2 and 500), tree as (select 1::bigint id, 1::bigint root, 0 depth union all select child, root, depth + 1 from tree join e on parent = id) select id, root, min(depth) depth from tree group by 1, 2")
+@query("set02_recursive_lineage", "with recursive e as (select o_orderkey child, o_orderkey // 2 parent from orders where o_orderkey >= 2), tree as (select 1::bigint id, 1::bigint root, 0 depth union all select child, root, depth + 1 from tree join e on parent = id) select id, root, min(depth) depth from tree group by 1, 2")
 def set02(spark, d):
-    edges = t(spark, d, "orders").where("o_orderkey between 2 and 500").select(F.col("o_orderkey").alias("child"), F.expr("o_orderkey div 2").alias("parent"))
+    edges = t(spark, d, "orders").where("o_orderkey >= 2").select(F.col("o_orderkey").alias("child"), F.expr("o_orderkey div 2").alias("parent"))
     return joins.lineage(edges, spark.range(1, 2))
 
 

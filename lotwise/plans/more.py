@@ -59,9 +59,9 @@ def flt09(spark, d):
     return listings(spark, d).where(F.year("listed_at").between(1993, 1997)).select("id")
 
 
-@query("flt17_regex", f"select id from {PARTS} where regexp_matches(model, '(?i)\\b(tin|brass)\\b')")
+@query("flt17_regex", f"select id from {PARTS} where regexp_matches(model, '(?i)\\b(economy|promo)\\b')")
 def flt17(spark, d):
-    return parts(spark, d).where(F.col("model").rlike(r"(?i)\b(tin|brass)\b")).select("id")
+    return parts(spark, d).where(F.col("model").rlike(r"(?i)\b(economy|promo)\b")).select("id")
 
 
 @query("win09_latest_child", f"select part_id, arg_max(ok, (recorded_at, ok, ln)) ok from {HISTORY} where ln <> 1 group by part_id")
@@ -120,10 +120,18 @@ def dom19(spark, d):
     return reports.changes(parts(spark, d).select((F.col("size") % 3).alias("source"), "model"), {"model": F.upper("model")}, "source")
 
 
-@query("dom20_claims_backfill", f"select source, count(*) n from {LISTINGS} where id not in (select l_orderkey from lineitem where l_returnflag = 'A') group by source")
+@query("dom20_claims_backfill", f"""with c as (select id, source, 'status' field, status as value from {LISTINGS} where status <> 'P' union all select id, source, 'segment', segment from {LISTINGS} where segment <> 'BUILDING'),
+ done as (select distinct l_orderkey id, case when l_linenumber % 2 = 0 then 'status' else 'segment' end field from lineitem where l_returnflag = 'A')
+ select source, field, count(*) n, count(distinct value) n_values from c where (id, field) not in (select (id, field) from done) group by 1, 2""")
 def dom20(spark, d):
-    done = t(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("id"))
-    return listings(spark, d).join(done, "id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    """Totals of claims that a backfill would write: known values of each field, less those claimed already."""
+    from lotwise.operators.reports import backfill_totals
+
+    known = F.expr("stack(2, 'status', if(status <> 'P', status, null), 'segment', if(segment <> 'BUILDING', segment, null)) as (field, value)")
+    claims = listings(spark, d).select("id", "source", known)
+    field = F.when(F.col("l_linenumber") % 2 == 0, "status").otherwise("segment")
+    done = t(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("id"), field.alias("field")).distinct()
+    return backfill_totals(claims, done, ["id", "field"], ["source", "field"])
 
 
 @query("dom24_detail_merge", f"select id, case id % 3 when 0 then model when 1 then null else title end as value from {PARTS}")
@@ -137,10 +145,15 @@ def dom25(spark, d):
     return reports.claims_from_columns(parts(spark, d), "id", {"make": 0.9, "size": 0.6})
 
 
-@query("dom29_overview", f"select source, cast(sum(price_cents) as bigint) total, max(case status when 'P' then 3 when 'O' then 2 else 1 end) worst from {LISTINGS} group by source")
+@query("dom29_overview", f"""select source, count(*) total, count(*) filter (where status = 'P') failed, cast(sum(price_cents) as bigint) volume,
+ case max(case status when 'P' then 3 when 'O' then 2 else 1 end) when 3 then 'critical' when 2 then 'warning' else 'ok' end worst from {LISTINGS} group by source
+ union all select 'all', count(*), count(*) filter (where status = 'P'), cast(sum(price_cents) as bigint), case max(case status when 'P' then 3 when 'O' then 2 else 1 end) when 3 then 'critical' when 2 then 'warning' else 'ok' end from {LISTINGS}""")
 def dom29(spark, d):
-    rank = F.when(F.col("status") == "P", 3).when(F.col("status") == "O", 2).otherwise(1)
-    return listings(spark, d).groupBy("source").agg(F.sum("price_cents").alias("total"), F.max(rank).alias("worst"))
+    from lotwise.operators.reports import overview
+
+    severity = F.when(F.col("status") == "P", "critical").when(F.col("status") == "O", "warning").otherwise("ok")
+    rows = listings(spark, d).withColumn("severity", severity)
+    return overview(rows, "source", "severity", {"volume": "price_cents"}, F.col("status") == "P")
 
 
 @query("snk02_history_on_change", "select o_orderkey, 'X' status from orders where o_orderkey % 7 = 0 and o_orderstatus <> 'X'")
@@ -187,11 +200,11 @@ def str41(spark, d):
     return parts(spark, d).select("id", condition(raw).alias("c"))
 
 
-@query("str42_substring_features", f"select id, case size % 2 when 0 then 'has_lift' else 'power_ramp,lowered_floor' end f from {PARTS}")
+@query("str42_substring_features", f"select id, case size % 2 when 0 then 'has_lift' else 'lowered_floor,power_ramp' end f from {PARTS}")
 def str42(spark, d):
     from lotwise.functions.canonical import features_by_substring
 
-    raw = F.when(F.col("size") % 2 == 0, "a forklift").otherwise("Ramp and LOWERED FLOOR")
+    raw = F.when(F.col("size") % 2 == 0, "a forklift").otherwise("Power RAMP and LOWERED FLOOR")
     return parts(spark, d).select("id", F.array_join(features_by_substring(raw), ",").alias("f"))
 
 

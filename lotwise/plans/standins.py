@@ -66,3 +66,12 @@ def pictures(spark: SparkSession, d: str) -> DataFrame:
 
 #: Bit i (from the left) is the sign of component i; -2^63 stands for the first.
 PICTURES = "(select vec_id id, label, cast(list_sum([case when embedding[i] > 0 then (case when i = 1 then -9223372036854775808::hugeint else (1::hugeint << (64 - i)) end) else 0::hugeint end for i in range(1, 65)]) as bigint) phash from embeddings)"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder beside the checkpoints, which the driver and all executors share."""
+    import uuid
+
+    from lotwise.operators.graph import checkpoint_folder
+
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

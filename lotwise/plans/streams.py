@@ -57,11 +57,11 @@ def stm09(spark, d):
     return quality.drift(r, "source", "run", ["rate"], threshold=0.05).select("source", "run", F.round("rate_baseline", 6).alias("baseline"), "drifted")
 
 
-@query("mth08_ewma", f"with v as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) n, count(*) over (partition by user_id) m from {EVENTS} where user_id <= 20) select user_id, round(sum(value * case when n = 1 then pow(0.8, m - 1) else 0.2 * pow(0.8, m - n) end), 4) mean from v group by user_id")
+@query("mth08_ewma", f"with v as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) n, count(*) over (partition by user_id) m from {EVENTS}) select user_id, round(sum(value * case when n = 1 then pow(0.8, m - 1) else 0.2 * pow(0.8, m - n) end), 4) mean from v group by user_id")
 def mth08(spark, d):
     from lotwise.functions.numeric import ewma
 
-    g = events(spark, d).where("user_id <= 20").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("v"))
+    g = events(spark, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("v"))
     return g.select("user_id", F.round(ewma(F.col("v")), 4).alias("mean"))
 
 

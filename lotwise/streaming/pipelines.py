@@ -103,9 +103,15 @@ def apply_detail(old: DataFrame, pages: DataFrame, key: str) -> DataFrame:
     return old.join(newest, key, "left").select(key, F.coalesce("p.value", "value").alias("value"), F.when(F.col("p").isNull() | F.coalesce(late, F.lit(False)), F.col("stale_at")).alias("stale_at"))
 
 
-def unchanged_page(hash_now: Column, hash_before: Column, last_full: Column, now: Column, every_days: int = 7):
-    """STM14: whether a crawl may stop at its first page: the same hash, and no full crawl due."""
-    return (hash_now == hash_before) & (last_full >= now - F.make_interval(days=F.lit(every_days)))
+def crawl_decision(hash_now: Column, hash_before: Column, last_full: Column, now: Column, every_hours: int = 24) -> Column:
+    """STM14: skip a crawl whose first page has the hash of before, unless no full crawl is known or the last one is overdue."""
+    overdue = last_full.isNull() | (last_full < now - F.make_interval(hours=F.lit(every_hours)))
+    return F.when(~hash_now.eqNullSafe(hash_before), "changed").when(overdue, "overdue").otherwise("skip")
+
+
+def needs_rebuild(listings: DataFrame, public: Column, index: DataFrame) -> bool:
+    """STM17: no public listing is left while the index still has documents."""
+    return listings.where(public).isEmpty() and not index.isEmpty()
 
 
 def abandoned(runs: DataFrame, live: DataFrame, now, hours: int = 2) -> DataFrame:
