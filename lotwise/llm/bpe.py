@@ -40,6 +40,10 @@ _BEYOND = re.compile("[^\u0000-ɏ]")
 _WIDE_SPACE = r"\t-\r \x85\xa0  -     　"
 
 
+#: Characters of the longest pre-token that a memo keeps, and pre-tokens that are looked up between two checks of its size.
+LONGEST, STRIDE = 64, 1 << 16
+
+
 def splitter(pattern: str):
     """A function that splits a text as ``pattern`` does. Texts within Latin use an equal, faster expression."""
     wide = regex.compile(pattern.replace(r"[^\s", f"[^{_WIDE_SPACE}").replace(r"\S", f"[^{_WIDE_SPACE}]").replace(r"\s", f"[{_WIDE_SPACE}]"))
@@ -52,7 +56,10 @@ def splitter(pattern: str):
 
 
 class Memo(dict):
-    """Values made once for each key and kept while in use: when a generation is full, only what is asked for again moves to the next."""
+    """Values made once for each key and kept while in use: when a generation is full, only what is asked for again moves to the next.
+
+    Keys over ``LONGEST`` characters are not kept, so entries bound the memory.
+    """
 
     def __init__(self, make: Callable[[str], bytes], entries: int = MEMO_ENTRIES):
         super().__init__()
@@ -60,7 +67,10 @@ class Memo(dict):
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
-        self[key] = value = self.make(key) if value is None else value
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            self[key] = value
         return value
 
     def turn(self) -> None:
@@ -162,8 +172,11 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        self.memo.turn()
-        return b"".join(map(self.memo.__getitem__, self.split(text)))
+        parts, out = self.split(text), []
+        for at in range(0, len(parts), STRIDE):
+            self.memo.turn()
+            out.append(b"".join(map(self.memo.__getitem__, parts[at : at + STRIDE])))
+        return b"".join(out)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))

@@ -6,7 +6,6 @@ bounded size, so that a task's memory does not depend on the length of its parti
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwise.operators.graph import components, shared_checkpoint  # noqa: F401
+
 #: Bytes of text that one numpy step works on; its temporaries are a small multiple of this.
 SLICE_BYTES = 1 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -33,28 +34,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: A setting of Spark's: the files of a query's shuffles go when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``; set one only where none is set.
-
-    What is checkpointed no longer needs its shuffles, so Spark is told to delete their files at once.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="lotwise-checkpoint-"))
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        return df.select("*").checkpoint(eager=True)  # a plan made under the setting
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
 def crc_bucket(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id's decimal text modulo n; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -181,31 +160,3 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw = lower_ascii(raw)
     starts, ends, bounds = words(raw, offsets)
     return span_hashes(raw, starts, ends), bounds
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, comp): each node of an undirected edge list with one node of its component, the same for all of them.
-
-    Randomised contraction: every node points to the node of least hash among itself and its neighbours;
-    edges move to where their ends point, and loops and repeated edges go. So each round works on what is
-    left of the graph, expected to shrink by a fixed share. The pointers, one table for each round, are
-    followed at the end, from the last round to the first. Nothing but "is an edge left" reaches the driver.
-    """
-    left = shared_checkpoint(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct())
-    rounds: list[DataFrame] = []
-    while not left.isEmpty():
-        salt = F.lit(len(rounds) // 2)  # the second round of a pair ends what became stars in the first
-        ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = ends.groupBy(F.col("a").alias("node")).agg(F.min_by("b", F.xxhash64("b", salt)).alias("near"))
-        less = F.xxhash64("near", salt) < F.xxhash64("node", salt)
-        rounds.append(shared_checkpoint(best.select("node", F.when(less, F.col("near")).otherwise(F.col("node")).alias("comp"))))
-        first, second = (rounds[-1].select(F.col("node").alias(x), F.col("comp").alias(f"to_{x}")) for x in ("a", "b"))
-        moved = left.join(first, "a").join(second, "b").where("to_a <> to_b")
-        left = shared_checkpoint(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
-    if not rounds:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    done = rounds.pop()
-    while rounds:
-        further = done.select(F.col("node").alias("comp"), F.col("comp").alias("last"))
-        done = shared_checkpoint(rounds.pop().join(further, "comp", "left").select("node", F.coalesce("last", "comp").alias("comp")))
-    return done

@@ -14,14 +14,14 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.llm.bpe import Memo, splitter
+from lotwise.llm.bpe import LONGEST, STRIDE, Memo, splitter
 from lotwise.llm.common import slices
 
 #: Distinct pre-tokens whose ids a Python worker keeps in each of its memo's two generations.
@@ -64,20 +64,34 @@ class PieceEncoder:
         raw = ids.tobytes()
         return [raw[x:y] for x, y in pairwise([0, *(4 * (last + 1)).tolist()])]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        memo, parts, of = self.memo, [], []  # the library looks for added tokens first and splits what is between them
-        for i, t in enumerate(texts):
-            for part in self.cut(t) if t else ():
-                parts.append([part] if part in self.added else self.split(part))
-                of.append(i)
+    def _stretch(self, parts: list[str]) -> list[bytes]:
+        """Ids of pre-tokens; the library gets those that are new, all at once."""
+        memo = self.memo
         memo.turn()
-        new = [*set(chain.from_iterable(parts)).difference(memo, memo.old, self.added)]
-        memo.update(zip(new, self._ids(new), strict=True))
-        memo.update(self.added)
-        out = [[] for _ in texts]
-        for i, part in zip(of, parts, strict=True):
-            out[i].extend(map(memo.__getitem__, part))
-        return [b"".join(x) for x in out]
+        found = [*map(memo.get, parts)]
+        missed = [i for i, x in enumerate(found) if x is None]
+        if missed:
+            old, added = memo.old, self.added
+            made = {p: old.get(p, added.get(p)) for p in {parts[i] for i in missed}}
+            new = [p for p, x in made.items() if x is None]
+            made.update(zip(new, self._ids(new), strict=True))
+            for i in missed:
+                found[i] = made[parts[i]]
+            memo.update((p, x) for p, x in made.items() if len(p) <= LONGEST)
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        parts, ends = [], []
+        for t in texts:
+            if t:
+                if any(map(t.__contains__, self.added)):  # the library looks for added tokens first and splits what is between them
+                    for part in self.cut(t):
+                        parts += [part] if part in self.added else self.split(part)
+                else:
+                    parts += self.split(t)
+            ends.append(len(parts))
+        ids = [x for at in range(0, len(parts), STRIDE) for x in self._stretch(parts[at : at + STRIDE])]
+        return [b"".join(ids[a:b]) for a, b in pairwise([0, *ends])]
 
 
 def encoder(path: str, pattern: str) -> PieceEncoder:

@@ -59,6 +59,14 @@ def test_bpe_round_trip(spark):
     assert bpe.round_trip(docs(spark, []), queries.RANKS, queries.PATTERN).count() == 0
 
 
+def test_memo_keeps_no_long_words_and_few_short_ones():
+    memo = bpe.Memo(str.encode, 10)
+    for i in range(100):
+        memo.turn()
+        assert memo["y" * 100 + str(i)] and memo[str(i)] == str(i).encode()
+    assert len(memo) + len(memo.old) <= 22 and all(len(k) < 5 for k in memo)
+
+
 def test_perfect_hash_is_minimal():
     keys = [str(i).encode() for i in range(5000)]
     h = bpe.PerfectHash(keys)
