@@ -1,20 +1,19 @@
 """Suffix-array dedup: remove every byte covered by a string of ``length`` bytes that also starts elsewhere.
 
 1. Anchors. In each window of ``length`` bytes the least hash of its K-byte strings marks an anchor, so
-   equal windows have equal anchors at equal places. Anchors that occur once are dropped.
-2. Shards. Around each other anchor the bytes of its windows go to the anchor's group. A task takes groups
-   in slices, splits a slice into shards, and sorts each shard's suffixes (prefix doubling up to ``length``
-   bytes).
-3. Merge. The shards' orders are interleaved by refinement: all suffixes start in their group's block; each
-   round splits blocks by the next 8 bytes, looking at one suffix of each shard's interval of equal
-   suffixes only, never sorting all suffixes again. Blocks that one shard holds alone are settled. What
-   shares a block at depth ``length`` is a repeated interval.
-4. Groups of a very frequent anchor are dealt by occurrence (document and place, so that copies and repeats
-   within a document spread too) to salted shards in many tasks; their intervals meet by a 128-bit digest of
-   the repeated string, one row per interval and shard.
-
-No Burrows-Wheeler transform and no common-prefix array of the corpus is built, and no suffix order spans
-tasks: anchors (1) and digests (4) take their place, so that only bytes around repeated anchors are moved.
+   equal windows have equal anchors at equal places. Anchors that occur once are dropped, so only bytes
+   around repeated anchors are moved: an order of all suffixes of the corpus would move all of them.
+2. Equal surroundings. A task names each text around an anchor once; all windows of its other copies are
+   repeated, and nothing else of them is sent or kept.
+3. Transforms. The texts around anchors meet by anchor. A task takes them in slices, splits a slice into two
+   shards, sorts each shard's suffixes and writes its Burrows-Wheeler transform: the symbol before each suffix.
+4. Merge. The two transforms are interleaved by refinement (as Holt and McMillan do): all suffixes begin in one
+   block; a round moves each row to the suffix that begins one symbol earlier (two, where symbols are bytes of
+   text) by a stable distribution on those symbols, and splits blocks where symbols differ. Suffixes are never
+   sorted again. A row that is alone in its block is settled, its longest common prefix known; what shares a
+   block at depth ``length`` is a repeated interval, exact on bytes.
+5. Groups of a very frequent anchor are dealt by occurrence (document and place) to salted shards in many tasks;
+   their intervals meet by a 128-bit digest of the repeated string, one row per interval and shard.
 
 Defined results: null text is empty; a document shorter than ``length`` keeps all; repeated rows count as
 different documents, so they lose what they share; ids may be null.
@@ -22,12 +21,14 @@ different documents, so they lose what they share; ids may be null.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lotwise.llm.common import mix, shared_checkpoint, slices, span_hashes, utf8
 
@@ -36,8 +37,8 @@ K = 40
 FREQUENT = 4096
 #: The filter of repeated anchors has 16 bits for each, and this many at most (16 MB); with more anchors a join takes its place.
 FILTER_LOG2 = 27
-#: Bytes of anchors' surroundings that are sorted at once, and shards into which they are split.
-SORT_BYTES, SHARDS = 2 << 20, 4
+#: Bytes of anchors' surroundings that are sorted at once, and bytes that a task remembers to know equal ones.
+SORT_BYTES, KNOWN_BYTES = 2 << 20, 8 << 20
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -85,99 +86,96 @@ class Filter:
         return out
 
 
-def ranks(raw: np.ndarray, length: int) -> np.ndarray:
-    """The rank of each position's first ``length`` bytes among all, by prefix doubling. Positions near the end are not valid."""
-    wide = np.concatenate([raw, np.zeros(8, np.uint8)])
-    sym = np.zeros(len(raw), np.uint64)
-    for j in range(8):
-        sym = sym << np.uint64(8) | wide[j : j + len(raw)]
-    rank, have = np.unique(sym, return_inverse=True)[1].astype(np.uint64), 8
-    while have < length:
-        ahead = min(have, length - have)
-        next_rank = np.zeros(len(rank), np.uint64)
-        next_rank[: len(rank) - ahead] = rank[ahead:]
-        rank = np.unique(rank << np.uint64(32) | next_rank, return_inverse=True)[1].astype(np.uint64)
-        have += ahead
-    return rank
-
-
-def repeated(raw: np.ndarray, start: np.ndarray, group: np.ndarray, shard: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of suffixes at ``start``: which have ``length`` bytes in common with another of their group, their interval's number, and the first of each interval."""
-    interval = np.zeros(len(start), np.int64)
-    local, base = [], 0
-    for s in np.unique(shard):
-        mine = np.flatnonzero(shard == s)
-        lo, hi = int(start[mine].min()), int(start[mine].max()) + length
-        rank = ranks(raw[lo:hi], length)[start[mine] - lo]
-        # the shard's suffix order and its intervals of equal suffixes
-        _, first, inverse = np.unique(rank << np.uint64(32) | group[mine].astype(np.uint64), return_index=True, return_inverse=True)
-        interval[mine] = base + inverse
-        local.append(np.stack([mine[first], np.full(len(first), s)], 1))
-        base += len(first)
-    lead = np.concatenate(local)
-    size = np.bincount(interval, minlength=base)
-    block, active = group[lead[:, 0]].astype(np.int64), np.arange(base)
-    merged = np.arange(base)
-    tail = np.concatenate([raw, np.zeros(8, np.uint8)])
-    for depth in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        at = start[lead[active, 0]] + depth
-        sym = np.zeros(len(active), np.uint64)
-        for j in range(8):
-            sym = sym << np.uint64(8) | tail[at + j]
-        order = np.lexsort((sym, block[active]))
-        b, s = block[active][order], sym[order]
-        number = np.cumsum(np.concatenate([[False], (b[1:] != b[:-1]) | (s[1:] != s[:-1])])) if len(order) else np.zeros(0, int)
-        fresh = np.empty(len(order), np.int64)
-        fresh[order] = number
-        # intervals of one shard differ, so a block goes on only while two shards or more hold it
-        keep = np.bincount(fresh, minlength=len(order))[fresh] > 1
-        active = active[keep]
-        block[active] = fresh[keep]
-        if not len(active):
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
+    """Starts of a text's suffixes in order, by prefix doubling of those that are not settled yet."""
+    n = len(symbols)
+    wide = np.concatenate([symbols.astype(np.uint64), np.zeros(4, np.uint64)])
+    key = np.zeros(n, np.uint64)
+    for j in range(4):
+        key = key << np.uint64(16) | wide[j : j + n]
+    order = np.argsort(key, kind="stable")
+    key, at, have = key[order], np.arange(n), 4
+    rank = np.empty(n, np.int64)
+    while len(at):
+        head = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[order[at]] = at[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
+        at = at[~(head & np.concatenate([head[1:], [True]]))]
+        start = order[at]
+        ahead = np.where(start + have < n, rank[np.minimum(start + have, n - 1)] + 1, 0)
+        key = rank[start].astype(np.uint64) << np.uint64(32) | ahead.astype(np.uint64)
+        again = np.argsort(key, kind="stable")
+        order[at], key, have = start[again], key[again], have * 2
+    return order
+
+
+def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix order of texts, each closed by an end of its own, the symbol before each suffix, and the row of the suffix one symbol earlier."""
+    symbols = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8).astype(np.uint16) + np.uint16(1)
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    symbols[ends] = 0
+    order = suffix_order(symbols)
+    before = symbols[order - 1]
+    earlier = np.empty(len(order), np.int64)
+    earlier[np.argsort(before, kind="stable")] = np.arange(len(order))
+    return order, before, earlier
+
+
+def interleave(a: tuple, b: tuple, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two transforms (those of ``b`` numbered on from those of ``a``) whose first ``length`` symbols another row shares, and their blocks."""
+    before = np.concatenate([a[1], b[1]])
+    earlier = np.concatenate([a[2], b[2] + len(a[2])])
+    by_one = (before, earlier)
+    narrow = before.max(initial=0) < 256
+    if narrow:  # two symbols fit in the 16 bits that a stable distribution takes in two passes
+        steps = [1] * (length % 2) + [2] * (length // 2)
+        by_two = (before[earlier] << np.uint16(8) | before, earlier[earlier])
+    else:
+        steps = [1] * length
+    row, block = np.arange(len(before)), np.zeros(len(before), np.int32)
+    for step in steps:
+        symbol, move = by_two if step == 2 else by_one
+        mine = symbol[row]
+        order = np.argsort(mine, kind="stable")
+        mine, was, row = mine[order], block[order], move[row[order]]
+        head = np.concatenate([[True], (mine[1:] != mine[:-1]) | (was[1:] != was[:-1])]) if len(mine) else np.zeros(0, bool)
+        block = np.cumsum(head, dtype=np.int32)
+        open_ = ~(head & np.concatenate([head[1:], [True]])) if len(mine) else head
+        row, block = row[open_], block[open_]
+        if not len(row):
             break
-    if len(active):
-        firsts = np.unique(block[active], return_index=True)
-        merged[active] = active[firsts[1]][np.searchsorted(firsts[0], block[active])]
-    total = np.bincount(merged, size, minlength=base)
-    return total[merged[interval]] > 1, merged[interval], lead[np.unique(merged)][:, 0]
-
-
-def resolve(rows: pa.Table, length: int) -> tuple[list, list]:
-    """Spans (row, first byte, end) and, for salted groups, one (row, start, digests, alone) for each interval."""
-    raw, offsets = utf8(rows.column("ctx").combine_chunks())
-    n = len(rows)
-    salt = rows.column("salt").to_numpy()
-    key = np.stack([rows.column("h").to_numpy(), salt.astype(np.int64)], 1)
-    group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).any(1)]))
-    whole = mix(span_hashes(raw, offsets[:-1], offsets[1:]) + group.astype(np.uint64))
-    _, first, same, many = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-    windows = np.diff(offsets) - length + 1
-    flagged = np.flatnonzero(many[same] > 1)  # the same surroundings stand elsewhere
-    spans = [(flagged, np.zeros(len(flagged), np.int64), windows[flagged])]
-    # one of each different surroundings, where a group has several, or its intervals must meet others'
-    kinds = np.bincount(group[first], minlength=group[-1] + 1 if n else 0)
-    need = np.sort(first[(kinds[group[first]] > 1) | (salt[first] > 0)])
-    meet = []
-    if len(need):
-        size = np.diff(offsets)[need]
-        move = np.repeat(offsets[need] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-        text = raw[np.arange(int(size.sum())) + move]
-        row = np.repeat(need, windows[need])
-        inner = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(windows[need])[:-1]]), windows[need])
-        start = inner + np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), windows[need])
-        shard = np.repeat(np.arange(len(need)) * SHARDS // len(need), windows[need])
-        twice, interval, lead = repeated(text, start, group[row], shard, length)
-        alone = many[same][row] == 1
-        hit = np.flatnonzero(twice & alone)
-        if len(hit):
-            cut = np.flatnonzero(np.concatenate([[True], (row[hit][1:] != row[hit][:-1]) | (inner[hit][1:] != inner[hit][:-1] + 1)]))
-            last = np.concatenate([cut[1:] - 1, [len(hit) - 1]])
-            spans.append((row[hit][cut], inner[hit][cut], inner[hit][last] - inner[hit][cut] + 1))
-        lead = lead[salt[row[lead]] > 0]
-        if len(lead):
-            other = text ^ np.uint8(0x5A)
-            d1, d2 = (span_hashes(t, start[lead], start[lead] + length).view(np.int64) for t in (text, other))
-            meet = [row[lead], inner[lead], d1, d2, (~twice & alone)[lead]]
+    return row, block
+
+
+def intervals(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place and interval of each window of ``length`` bytes that equals another one, ordered by text and place."""
+    half = (len(texts) + 1) // 2
+    one, two = transform(texts[:half]), transform(texts[half:]) if len(texts) > half else (np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.int64))
+    row, block = interleave(one, two, length)
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    at = np.where(row < len(one[0]), one[0][np.minimum(row, len(one[0]) - 1)], 0)
+    if len(two[0]):
+        at = np.where(row < len(one[0]), at, starts[half] + two[0][np.maximum(row - len(one[0]), 0)])
+    text = np.searchsorted(starts, at, side="right") - 1
+    place = at - starts[text]
+    inside = at + length < starts[text + 1]  # what runs over a text's end is no window
+    text, place, block = text[inside], place[inside], block[inside]
+    order = np.lexsort((place, text))
+    return text[order], place[order], block[order]
+
+
+def resolve(salts: list[int], texts: list[bytes], length: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, bytes, bool]]]:
+    """Of different texts around anchors: spans (text, first place, windows) of repeated windows, and, for salted ones, (text, place, digest, alone) for each interval."""
+    text, place, interval = intervals(texts, length)
+    spans, meet = [], []
+    if len(text):
+        cut = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1), [True]]))
+        spans = list(zip(text[cut[:-1]].tolist(), place[cut[:-1]].tolist(), np.diff(cut).tolist(), strict=True))
+    if any(salts):
+        _, first = np.unique(interval, return_index=True)
+        twice = set(zip(text.tolist(), place.tolist(), strict=True))
+        leads = [(t, p, False) for t, p in zip(text[first].tolist(), place[first].tolist(), strict=True) if salts[t]]
+        leads += [(t, p, True) for t, s in enumerate(salts) if s for p in range(len(texts[t]) - length + 1) if (t, p) not in twice]
+        meet = [(t, p, hashlib.blake2b(texts[t][p : p + length], digest_size=16).digest(), alone) for t, p, alone in leads]
     return spans, meet
 
 
@@ -204,7 +202,12 @@ def find_spans(df: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
     often = context.broadcast(Filter(counted.where(F.col("n") > FREQUENT).select("h"), about["frequent"]) if about["frequent"] * 8 <= 1 << FILTER_LOG2 else None)
     salts = max(1, -(-about["most"] // FREQUENT))
 
+    fields = ["h", "salt", "__id", "__th", "lo", "end", "ctx"]
+
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # texts around anchors that this task has sent, with whose they were; those told as repeated have None
+        known_texts: dict[bytes, tuple | None] = {}
+        size = 0
         for batch in slices(batches, "__text"):
             raw, offsets = utf8(batch.column(2))
             h, lo, hi, doc = anchors(raw, offsets, length)
@@ -215,49 +218,103 @@ def find_spans(df: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
             place = lo - offsets[doc]
             salt = np.where(hot, 1 + dealt(batch.column(3).to_numpy()[doc], place, salts), 0).astype(np.int32)
             whole = raw.tobytes()
-            ends = np.cumsum(hi - lo + length)
-            at = 0
-            while at < len(h):  # a document of one repeated byte has an anchor, and its surroundings, at each byte
-                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SORT_BYTES, side="right")))
-                some = slice(at, stop)
-                ctx = [whole[a : b + length] for a, b in zip(lo[some].tolist(), hi[some].tolist(), strict=True)]
-                pick = pa.array(doc[some])
-                yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(salt[some]), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(place[some].astype(np.int64)), pa.array(ctx, pa.binary())], names=["h", "salt", "__id", "__th", "lo", "ctx"])
-                at = stop
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out: list[tuple] = []
+            spread = 0
+            for key, s, d, p, a, b in zip(h.view(np.int64).tolist(), salt.tolist(), doc.tolist(), place.tolist(), lo.tolist(), (hi + length).tolist(), strict=True):
+                ctx = whole[a:b]
+                if ctx in known_texts:
+                    first = known_texts[ctx]
+                    if first is not None:
+                        out.append((*first, None))
+                        known_texts[ctx] = None
+                    out.append((key, s, ids[d], texts[d], p, p + b - a, None))
+                    continue
+                if size > KNOWN_BYTES:
+                    known_texts.clear()
+                    size = 0
+                known_texts[ctx] = (key, s, ids[d], texts[d], p, p + b - a)
+                size += b - a
+                out.append((key, s, ids[d], texts[d], p, None, ctx))
+                spread += b - a
+                if spread > SORT_BYTES:
+                    yield packed(out)
+                    out, spread = [], 0
+            if out:
+                yield packed(out)
 
     id_type = docs.schema["__id"].dataType.simpleString()
-    around = docs.select("__id", "__th", "__text", "__row").mapInArrow(surroundings, f"h long, salt int, __id {id_type}, __th long, lo long, ctx binary")
+    id_arrow = to_arrow_type(docs.schema["__id"].dataType)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), id_arrow, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=fields)
+
+    around = docs.select("__id", "__th", "__text", "__row").mapInArrow(surroundings, f"h long, salt int, __id {id_type}, __th long, lo long, end long, ctx binary")
     if not small:
         around = around.join(counted.select("h"), "h", "left_semi")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            spans, meet = resolve(rows, length)
-            lo = rows.column("lo").to_numpy()
-            row, first, n = (np.concatenate(x) for x in zip(*spans, strict=True))
-            none = pa.nulls(len(row), pa.int64())
-            pick = pa.array(row)
-            ids, th = rows.column("__id").combine_chunks(), rows.column("__th").combine_chunks()
-            yield pa.RecordBatch.from_arrays([ids.take(pick), th.take(pick), pa.array(lo[row] + first), pa.array(lo[row] + first + n - 1 + length), none, none, pa.nulls(len(row), pa.bool_())], names=names)
-            if meet:
-                row, first, d1, d2, alone = meet
-                pick = pa.array(row)
-                yield pa.RecordBatch.from_arrays([ids.take(pick), th.take(pick), pa.array(lo[row] + first), pa.array(lo[row] + first + length), pa.array(d1), pa.array(d2), pa.array(alone)], names=names)
-
         names = ["__id", "__th", "first", "end", "d1", "d2", "alone"]
-        held: list[pa.RecordBatch] = []
+        kinds = [id_arrow, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        done: list[tuple] = []  # rows of the result
+        waiting: list[tuple] = []  # of finished groups with several texts: salt, id, th, lo, ctx
+        group: dict[bytes, list] = {}  # of the group at hand: salt, id, th, lo, whether told as repeated
+        key, size = None, 0
+
+        def told(ctx: bytes, row: list) -> tuple:
+            return (row[1], row[2], row[3], row[3] + len(ctx), None, None, None)
+
+        def close() -> None:
+            nonlocal size
+            if len(group) > 1 or any(r[0] for r in group.values()):
+                waiting.extend((*r[:4], ctx) for ctx, r in group.items())
+                size += sum(map(len, group))
+            group.clear()
+
+        def settle() -> None:
+            nonlocal size
+            spans, meet = resolve([r[0] for r in waiting], [r[4] for r in waiting], length)
+            for t, p, n in spans:
+                _, i, th, lo, _ = waiting[t]
+                done.append((i, th, lo + p, lo + p + n - 1 + length, None, None, None))
+            for t, p, digest, alone in meet:
+                _, i, th, lo, _ = waiting[t]
+                d1, d2 = np.frombuffer(digest, np.int64).tolist()
+                done.append((i, th, lo + p, lo + p + length, d1, d2, alone))
+            waiting.clear()
+            size = 0
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+            done.clear()
+            return batch
+
         for batch in slices(batches, "ctx", SORT_BYTES):
-            table = pa.Table.from_batches([*held, batch])
-            h, s = table.column("h").to_numpy(), table.column("salt").to_numpy()
-            ends = np.flatnonzero((h[1:] != h[:-1]) | (s[1:] != s[:-1])) + 1
-            cut = int(ends[-1]) if len(ends) else 0  # the last group may go on
-            if cut and sum(b.nbytes for b in held) + batch.nbytes > SORT_BYTES // 2:
-                yield from out(table.slice(0, cut))
-                held = table.slice(cut).combine_chunks().to_batches()
-            else:
-                held.append(batch)
-        if held:
-            yield from out(pa.Table.from_batches(held))
+            for h, salt, i, th, lo, end, ctx in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in fields), strict=True):
+                if ctx is None:
+                    done.append((i, th, lo, end, None, None, None))
+                    continue
+                if (h, salt) != key:
+                    close()
+                    key = (h, salt)
+                    if size > SORT_BYTES:
+                        settle()
+                row = group.get(ctx)
+                if row is None:
+                    group[ctx] = [salt, i, th, lo, False]
+                    continue
+                if not row[4]:
+                    row[4] = True
+                    done.append(told(ctx, row))
+                done.append((i, th, lo, lo + len(ctx), None, None, None))
+            if len(done) > 50_000:
+                yield out()
+        close()
+        if waiting:
+            settle()
+        if done:
+            yield out()
 
     found = shared_checkpoint(
         around.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(merge, f"__id {id_type}, __th long, first long, end long, d1 long, d2 long, alone boolean")

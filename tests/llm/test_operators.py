@@ -73,47 +73,82 @@ def test_perfect_hash_is_minimal():
     assert sorted(h.slots) == list(range(5000)) and [h.find(k) for k in keys] == list(range(5000)) and h.find(b"x") == -1
 
 
-@pytest.mark.parametrize("frequent", [4096, 3])
-def test_suffix_dedup(spark, monkeypatch, frequent):
-    monkeypatch.setattr(suffix, "FREQUENT", frequent)  # also with salted groups
-    rows = awkward(1)
-    got = {(r["row"]["doc_id"], r["row"]["text"]): r for r in suffix.remove_repeats(docs(spark, rows)).collect()}
+def removed_by_force(rows, length=200):
+    """(n_bytes, n_removed, n_spans, kept) of each row."""
     raw = [(t or "").encode() for _, t in rows]
-    seen = Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
-    for (i, t), b in zip(rows, raw, strict=True):
+    seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    out = []
+    for b in raw:
         gone = np.zeros(len(b) + 1, bool)
-        for k in range(len(b) - 199):
-            if seen[b[k : k + 200]] > 1:
-                gone[k : k + 200] = True
+        for k in range(len(b) - length + 1):
+            if seen[b[k : k + length]] > 1:
+                gone[k : k + length] = True
         runs = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
-        r = got[i, t]
-        assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len(b), int(gone[:-1].sum()), runs), (i, t and t[:40])
-        assert bytes(r["kept"]) == bytes(x for x, g in zip(b, gone, strict=False) if not g)
+        out.append((len(b), int(gone[:-1].sum()), runs, bytes(x for x, g in zip(b, gone, strict=False) if not g)))
+    return out
+
+
+# few or many salted groups, and each way of finding repeated anchors: a bitmap, a join, or all anchors taken as frequent
+@pytest.mark.parametrize(("frequent", "bits"), [(4096, 27), (3, 27), (3, 12), (4096, 5)])
+def test_suffix_dedup(spark, monkeypatch, frequent, bits):
+    monkeypatch.setattr(suffix, "FREQUENT", frequent)
+    monkeypatch.setattr(suffix, "FILTER_LOG2", bits)
+    rows = awkward(1)
+    rng = np.random.default_rng(12)
+    base = "".join(rng.choice(list("abcd "), 1500))
+    rows += [(100 + i, base[a : a + n] + f"#{i}") for i, (a, n) in enumerate(rng.integers(150, 900, (40, 2)).tolist())]  # passages that overlap in all ways
+    got = Counter((r["row"]["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix.remove_repeats(docs(spark, rows)).collect())
+    assert got == Counter((i, *w) for (i, _), w in zip(rows, removed_by_force(rows), strict=True))
     assert suffix.remove_repeats(docs(spark, [])).count() == 0
 
 
-def test_suffix_groups_of_copies_and_runs_are_dealt(spark, tmp_path, monkeypatch):
-    """Neither many copies of a text nor a long run of one byte make a large group: the sizes that resolve() saw."""
-    monkeypatch.setattr(suffix, "FREQUENT", 64)
+@pytest.mark.parametrize(("signs", "length"), [("ab", 8), ("ab", 7), ("abc", 1), ("ab\xff", 6), ("\x00a", 5)])
+def test_transforms_merge_into_repeated_intervals(signs, length):
+    rng = np.random.default_rng(len(signs) * 10 + length)
+    for n in (1, 2, 3, 20):
+        texts = ["".join(rng.choice(list(signs), int(rng.integers(length, 60)))).encode("latin-1") for _ in range(n)]
+        where = defaultdict(list)
+        for t, x in enumerate(texts):
+            for p in range(len(x) - length + 1):
+                where[x[p : p + length]].append((t, p))
+        text, place, interval = suffix.intervals(texts, length)
+        found = defaultdict(list)
+        for t, p, k in zip(text.tolist(), place.tolist(), interval.tolist(), strict=True):
+            found[k].append((t, p))
+        assert sorted(map(tuple, found.values())) == sorted(tuple(v) for v in where.values() if len(v) > 1)
+
+
+def test_transform_is_the_symbol_before_each_suffix():
+    texts = [b"banana", b"ban", b"ananas"]
+    order, before, earlier = suffix.transform(texts)
+    whole = [x + 1 for x in b"banana"] + [0] + [x + 1 for x in b"ban"] + [0] + [x + 1 for x in b"ananas"] + [0]
+    assert order.tolist() == sorted(range(len(whole)), key=lambda i: whole[i:])
+    assert before.tolist() == [whole[i - 1] for i in order.tolist()]
+    assert all(order[earlier[r]] == order[r] - 1 for r in range(len(order)) if before[r])
+
+
+def test_suffix_copies_and_runs_are_named_once(spark, tmp_path, monkeypatch):
+    """Neither 100,000 copies of a text nor a long run of one byte are kept in a task: the texts that resolve() saw."""
+    monkeypatch.setattr(suffix, "FREQUENT", 2000)
     found, whole = tmp_path / "sizes", suffix.resolve
 
-    def resolve(rows, length):
-        key = Counter(zip(rows.column("h").to_pylist(), rows.column("salt").to_pylist(), strict=True))
+    def resolve(salts, texts, length):
         with found.open("a") as f:
-            f.write(f"{max(key.values(), default=0)}\n")
-        return whole(rows, length)
+            f.write(f"{len(texts)} {sum(map(len, texts))}\n")
+        return whole(salts, texts, length)
 
-    copies = " ".join(f"word{i}" for i in range(60))
-    docs_ = spark.createDataFrame([(i, copies) for i in range(800)] + [(1000, "a" * 4000), (1001, "b" * 200 + copies[:150])], "doc_id bigint, text string")
+    copies = " ".join(f"word{i}" for i in range(40))
+    many = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit(copies).alias("text")).repartition(16)
+    docs_ = many.unionByName(spark.createDataFrame([(200_000, "a" * 40_000), (200_001, "b" * 200 + copies[:150])], "doc_id bigint, text string"))
     monkeypatch.setattr(suffix, "resolve", resolve)
     cloudpickle.register_pickle_by_value(suffix)  # so that the workers get the patches too
     try:
-        got = {r["row"]["doc_id"]: r["n_removed"] for r in suffix.remove_repeats(docs_).collect()}
+        got = suffix.remove_repeats(docs_).groupBy("row.text", "n_removed").count().collect()
     finally:
         cloudpickle.unregister_pickle_by_value(suffix)
-    assert got == {**{i: len(copies) for i in range(800)}, 1000: 4000, 1001: 0}
-    sizes = [int(x) for x in found.read_text().split()]
-    assert 0 < max(sizes) <= 4 * 64
+    assert {(r["n_removed"], r["count"]) for r in got} == {(len(copies), 100_000), (40_000, 1), (0, 1)}
+    sizes = [tuple(map(int, x.split())) for x in found.read_text().splitlines()] if found.exists() else []
+    assert sum(n for n, _ in sizes) < 20_000
 
 
 def test_suffix_text_has_no_broken_characters(spark):
