@@ -6,9 +6,10 @@ The unigram model backs off to a single unknown type, so there are V + 1 types f
 
 The corpus is cut into blocks of documents that carry their tokens as numbers into a local vocabulary.
 Unigram counts live in tables partitioned by word, bigram counts in tables partitioned by context (a very
-frequent context is split by its follower). A block sends each partition its distinct n-grams once and
-gets their counts back in the same order; the recursion bigram -> unigram -> unknown then runs per token
-inside the block. Only counts of counts reach the driver.
+frequent context is split by its follower). A block sends each partition its distinct n-grams once, with
+what it has learned of their words, and gets their counts back in the same order; the recursion bigram ->
+unigram -> unknown then runs per token inside the block. Only totals and counts of counts up to ``LOW`` + 1,
+a few numbers at any size, reach the driver.
 
 Defined results: null text is empty and has the end token alone; without training tokens every token is
 unknown with probability one; repeated rows are scored, and learned from, each for itself; ids may be null.
@@ -31,7 +32,9 @@ from lotwise.llm.common import mix, shared_checkpoint, slices, word_hashes
 BLOCK_TOKENS, PART_ENTRIES, CONTEXT_PART = 2 << 20, 1 << 20, 1 << 18
 #: Counts up to this are discounted.
 LOW = 5
-END, NONE = np.uint64(1), np.uint32(0xFFFFFFFF)
+END, NONE = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Names of the totals among counts of counts.
+TOKENS, TYPES = -1, -2
 _zstd = "zstd"
 
 
@@ -64,41 +67,33 @@ def factor(c: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 class Unigrams:
-    """Counts and probabilities by word number. A word's number is its rank in its partition, by count, times parts plus partition."""
-
-    def __init__(self, parts: int, steps: pa.Table):
-        self.parts = parts
-        part, value, many = (steps.column(c).to_numpy().astype(np.int64) for c in ("part", "value", "many"))
-        order = np.lexsort((-value, part))
-        part, value, many = part[order], value[order], many[order]
-        before = np.cumsum(many) - many
-        new = np.concatenate([[True], part[1:] != part[:-1]]) if len(part) else np.zeros(0, bool)
-        base = before[new][np.cumsum(new) - 1] if len(part) else before
-        self.keys, self.value = (part << 40) + (before - base), value
-        self.total, self.types = int((value * many).sum()), int(many.sum())
-        of: dict[int, int] = {}
-        for v, m in zip(value.tolist(), many.tolist(), strict=True):
-            of[v] = of.get(v, 0) + m
+    """The unigram model, from the numbers of tokens and types and of types that occur once, twice and so on."""
+
+    def __init__(self, of: dict[int, int]):
+        self.total, self.types = of.get(TOKENS, 0), of.get(TYPES, 0)
         self.d = discounts(of)
-        kept = sum(v * m * (self.d[v] if v <= LOW else 1.0) for v, m in of.items()) / self.total if self.total else 0.0
+        freed = sum((1 - self.d[r]) * r * of.get(r, 0) for r in range(1, LOW + 1))
+        kept = 1 - freed / self.total if self.total else 0.0
         if self.total and kept > 1 - 1e-12:  # nothing rare: one part in total + 1 goes to the unknown
             self.shrink = self.total / (self.total + 1)
         else:
             self.shrink = 1.0
         self.unknown = 1 - kept * self.shrink
 
-    def counts(self, number: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(number), np.int64)
-        known = number != NONE
-        x = number[known].astype(np.int64)
-        if len(x):
-            out[known] = self.value[np.searchsorted(self.keys, ((x % self.parts) << 40) + x // self.parts, side="right") - 1]
-        return out
-
     def chance(self, c: np.ndarray) -> np.ndarray:
         return np.where(c > 0, factor(c, self.d) * c / max(1, self.total) * self.shrink, self.unknown)
 
 
+def counts_of_counts(rows: DataFrame) -> dict[int, int]:
+    """LOW + 1 numbers, and totals where there are any."""
+    return {r["value"]: r["n"] for r in rows.where("value is not null").groupBy("value").agg(F.sum("many").alias("n")).collect()}
+
+
+def low_counts(total: np.ndarray) -> tuple[list[int], list[int]]:
+    value, many = np.unique(total[(total > 0) & (total <= LOW + 1)], return_counts=True)
+    return value.tolist(), many.tolist()
+
+
 def blocks(df: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame:
     """One row per block: its documents, and their tokens as numbers into its sorted vocabulary."""
     kind = df.schema[doc_id].dataType
@@ -139,7 +134,10 @@ def deal(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unigram_tables(state: DataFrame, parts: int) -> DataFrame:
-    """Rows with block: the numbers of that block's words of a partition. Rows with value: how many words of the partition have that count."""
+    """Rows with block: numbers and counts of that block's words of a partition. Rows with value: counts of counts and totals of the partition.
+
+    A word's number is its rank in its partition, by count, times parts plus partition.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,90 +154,105 @@ def unigram_tables(state: DataFrame, parts: int) -> DataFrame:
         _, where = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
         total = np.bincount(where, np.concatenate([r[2] for r in rows])).astype(np.int64)
         order = np.argsort(-total, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        number = rank * parts + part
-        if number.size and number.max() >= int(NONE):
-            raise OverflowError("more than 2**32 words: raise PART_ENTRIES or widen the numbers")
-        number = np.where(total > 0, number, int(NONE)).astype(np.uint32)[where]
-        value, many = np.unique(total[total > 0], return_counts=True)
-        at, blobs = 0, []
+        rank = np.empty(len(order), np.uint64)
+        rank[order] = np.arange(len(order), dtype=np.uint64)
+        number = np.where(total > 0, rank * np.uint64(parts) + np.uint64(part), NONE)[where]
+        count = total.astype(np.uint64)[where]
+        value, many = low_counts(total)
+        value, many = [*value, TOKENS, TYPES], [*many, int(total.sum()), int((total > 0).sum())]
+        at, blobs, counted = 0, [], []
         for _, w, _ in rows:
             blobs.append(squeeze(number[at : at + len(w)]))
+            counted.append(squeeze(count[at : at + len(w)]))
             at += len(w)
         k = len(value)
-        return pa.table({"block": pa.array([r[0] for r in rows] + [None] * k, pa.int64()), "part": pa.array([part] * (len(rows) + k), pa.int64()), "numbers": pa.array(blobs + [None] * k, pa.binary()), "value": pa.array([None] * len(rows) + value.tolist(), pa.int64()), "many": pa.array([None] * len(rows) + many.tolist(), pa.int64())})
+        none = [None] * k
+        return pa.table({
+            "block": pa.array([r[0] for r in rows] + none, pa.int64()), "part": pa.array([part] * (len(rows) + k), pa.int64()), "numbers": pa.array(blobs + none, pa.binary()),
+            "counted": pa.array(counted + none, pa.binary()), "value": pa.array([None] * len(rows) + value, pa.int64()), "many": pa.array([None] * len(rows) + many, pa.int64()),
+        })
 
     sent = state.select("block", "vocabulary", "seen").mapInArrow(send, "part long, block long, words binary, seen binary")
-    return sent.groupBy("part").applyInArrow(count, "block long, part long, numbers binary, value long, many long")
+    return sent.groupBy("part").applyInArrow(count, "block long, part long, numbers binary, counted binary, value long, many long")
 
 
 class Block:
-    """A block's documents with its words' numbers, and its distinct bigrams of words known from training, in the order of partitions."""
+    """A block's documents with its words' numbers and counts, and its distinct bigrams of words known from training, in the order of partitions."""
 
-    def __init__(self, state: pa.Table, replies: pa.Table, parts: int, unigrams: Unigrams, contexts: int):
+    def __init__(self, state: pa.Table, replies: pa.Table, parts: int, total: int, contexts: int):
         one = {c: state.column(c)[0].as_py() for c in ("sizes", "train", "tokens", "vocabulary")}
         self.ids = state.column("ids").combine_chunks().flatten()
         self.sizes, self.train = spread(one["sizes"], np.uint32).astype(np.int64), spread(one["train"], np.uint8)
         tokens, v = spread(one["tokens"], np.uint32), spread(one["vocabulary"], np.uint64)
         order, cut = deal(mix(v) % np.uint64(parts), parts)
-        number = np.full(len(v), NONE, np.uint32)
-        for p, blob in zip(replies.column("part").to_pylist(), replies.column("numbers").to_pylist(), strict=True):
-            number[order[cut[p] : cut[p + 1]]] = spread(blob, np.uint32)
-        self.word = number[tokens]
-        self.count = unigrams.counts(number)[tokens]
+        number, counted = np.full(len(v), NONE, np.uint64), np.zeros(len(v), np.int64)
+        for p, blob, c in zip(*(replies.column(x).to_pylist() for x in ("part", "numbers", "counted")), strict=True):
+            mine = order[cut[p] : cut[p + 1]]
+            number[mine], counted[mine] = spread(blob, np.uint64), spread(c, np.uint64).astype(np.int64)
+        self.count = counted[tokens]
         begin = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-        before = np.concatenate([[NONE], self.word[:-1]]).astype(np.uint32)
-        ahead = np.concatenate([[0], self.count[:-1]])
-        end = number[np.searchsorted(v, END)] if len(v) else NONE  # a text begins after an end
-        before[begin], ahead[begin] = end, int(unigrams.counts(np.array([end]))[0])
-        self.context_count = ahead
-        use = before != NONE  # a follower that training lacks is asked for too: its context's weight is needed
-        key = before[use].astype(np.uint64) << np.uint64(32) | self.word[use]
+        before = np.concatenate([[0], tokens[:-1]]).astype(np.int64)
+        before[begin] = np.searchsorted(v, END)  # a text begins after an end, which every text has
+        known = number[before] != NONE
+        self.context_count = counted[before]
+        # a follower that training lacks is asked for too: its context's weight is needed
+        follower = np.where(number[tokens] != NONE, tokens.astype(np.int64), len(v))
+        key = before[known].astype(np.uint64) << np.uint64(32) | follower[known].astype(np.uint64)
         pair, inverse = np.unique(key, return_inverse=True)
-        self.pair_of = np.full(len(self.word), -1)
-        self.pair_of[use] = inverse
-        self.h, self.w = (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        self.seen = np.bincount(inverse, np.repeat(self.train, self.sizes)[use], len(pair)).astype(np.uint32)
-        split = 1 + unigrams.counts(self.h) // max(CONTEXT_PART, unigrams.total // contexts)
-        sub = mix(self.w.astype(np.uint64)) % split.astype(np.uint64)
+        self.pair_of = np.full(len(tokens), -1)
+        self.pair_of[known] = inverse
+        h, w = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        number, counted = np.append(number, NONE), np.append(counted, 0)
+        self.h, self.w, self.word_count = number[h], number[w], counted[w].astype(np.uint64)
+        self.seen = np.bincount(inverse, np.repeat(self.train, self.sizes)[known], len(pair)).astype(np.uint32)
+        split = 1 + counted[h] // max(CONTEXT_PART, total // contexts)
+        sub = mix(self.w) % split.astype(np.uint64)
         # every part of a split context answers, whether or not this block has followers there
-        one = np.flatnonzero(np.concatenate([[True], self.h[1:] != self.h[:-1]]) & (split > 1)) if len(pair) else np.zeros(0, int)
+        one = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]) & (split > 1)) if len(pair) else np.zeros(0, int)
         probe = np.repeat(self.h[one], split[one])
         nth = np.arange(len(probe)) - np.repeat(np.cumsum(split[one]) - split[one], split[one])
-        self.h, self.w = np.concatenate([self.h, probe]), np.concatenate([self.w, np.full(len(probe), NONE, np.uint32)])
+        self.h, self.w = np.concatenate([self.h, probe]), np.concatenate([self.w, np.full(len(probe), NONE, np.uint64)])
         self.seen = np.concatenate([self.seen, np.zeros(len(probe), np.uint32)])
+        self.word_count = np.concatenate([self.word_count, np.zeros(len(probe), np.uint64)])
         sub = np.concatenate([sub, nth.astype(np.uint64)])
-        part = mix(self.h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + sub) % np.uint64(contexts)
+        part = mix(self.h * np.uint64(0x9E3779B97F4A7C15) + sub) % np.uint64(contexts)
         self.order, self.cut = deal(part, contexts)
 
 
-def bigram_tables(state: DataFrame, numbers: DataFrame, parts: int, contexts: int, unigrams) -> DataFrame:
+def bigram_tables(state: DataFrame, numbers: DataFrame, parts: int, contexts: int, unigrams: Unigrams) -> DataFrame:
     """Rows with block: counts of its bigrams of a partition, and each context's n_1..n_LOW and seen unigram mass. Rows with value: counts of counts."""
+    total_tokens = unigrams.total
 
     def send(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ("h", "w", "seen", "word_count")
         if not len(left):
-            return pa.table({"part": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("h", "w", "seen")}})
-        b = Block(left, right, parts, unigrams.value, contexts)
+            return pa.table({"part": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in names}})
+        b = Block(left, right, parts, total_tokens, contexts)
         has = np.flatnonzero(np.diff(b.cut))
-        cols = {c: pa.array([squeeze(x[b.order[b.cut[p] : b.cut[p + 1]]]) for p in has], pa.binary()) for c, x in (("h", b.h), ("w", b.w), ("seen", b.seen))}
+        cols = {c: pa.array([squeeze(getattr(b, c)[b.order[b.cut[p] : b.cut[p + 1]]]) for p in has], pa.binary()) for c in names}
         return pa.table({"part": pa.array(has), "block": pa.array([key[0].as_py()] * len(has), pa.int64()), **cols})
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        rows = [(b, spread(h, np.uint32), spread(w, np.uint32), spread(n, np.uint32)) for b, h, w, n in zip(*(table.column(c).to_pylist() for c in ("block", "h", "w", "seen")), strict=True)]
-        h, w, n = (np.concatenate([r[i] for r in rows]) for i in (1, 2, 3))
-        pair, where = np.unique(h.astype(np.uint64) << np.uint64(32) | w, return_inverse=True)
-        total = np.bincount(where, n, len(pair)).astype(np.int64)
-        context, at = np.unique((pair >> np.uint64(32)).astype(np.uint32), return_inverse=True)
-        u = unigrams.value
-        chance = np.where(total > 0, u.chance(u.counts((pair & np.uint64(0xFFFFFFFF)).astype(np.uint32))), 0.0)
+        kinds = {"h": np.uint64, "w": np.uint64, "seen": np.uint32, "word_count": np.uint64}
+        blocks_ = table.column("block").to_pylist()
+        cols = {c: [spread(x, k) for x in table.column(c).to_pylist()] for c, k in kinds.items()}
+        h, w, n, counted = (np.concatenate(cols[c]) for c in kinds)
+        order = np.lexsort((w, h))
+        h_, w_ = h[order], w[order]
+        head = np.concatenate([[True], (h_[1:] != h_[:-1]) | (w_[1:] != w_[:-1])])
+        where = np.empty(len(order), np.int64)
+        where[order] = np.cumsum(head) - 1
+        firsts = order[head]
+        total = np.bincount(where, n, len(firsts)).astype(np.int64)
+        context, at = np.unique(h[firsts], return_inverse=True)
+        chance = np.where(total > 0, unigrams.chance(counted[firsts].astype(np.int64)), 0.0)
         low = np.stack([np.bincount(at, total == r, len(context)) for r in range(1, LOW + 1)], 1).astype(np.uint32)
         mass = np.bincount(at, chance, len(context))
-        value, many = np.unique(total[(total > 0) & (total <= LOW + 1)], return_counts=True)
-        counts = total[where].astype(np.uint32)
+        value, many = low_counts(total)
+        counts = total[where].astype(np.uint64)
         first, a, b, c = 0, [], [], []
-        for _, x, _, _ in rows:
+        for x in cols["h"]:
             a.append(squeeze(counts[first : first + len(x)]))
             mine = np.searchsorted(context, np.unique(x))
             b.append(squeeze(low[mine].T.ravel()))
@@ -247,43 +260,43 @@ def bigram_tables(state: DataFrame, numbers: DataFrame, parts: int, contexts: in
             first += len(x)
         k = len(value)
         none = [None] * k
-        return pa.table({"block": pa.array([r[0] for r in rows] + none, pa.int64()), "part": pa.array([part] * (len(rows) + k), pa.int64()), "counts": pa.array(a + none, pa.binary()), "low": pa.array(b + none, pa.binary()), "mass": pa.array(c + none, pa.binary()), "value": pa.array([None] * len(rows) + value.tolist(), pa.int64()), "many": pa.array([None] * len(rows) + many.tolist(), pa.int64())})
+        return pa.table({
+            "block": pa.array(blocks_ + none, pa.int64()), "part": pa.array([part] * (len(blocks_) + k), pa.int64()), "counts": pa.array(a + none, pa.binary()), "low": pa.array(b + none, pa.binary()),
+            "mass": pa.array(c + none, pa.binary()), "value": pa.array([None] * len(blocks_) + value, pa.int64()), "many": pa.array([None] * len(blocks_) + many, pa.int64()),
+        })
 
-    sent = state.groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(send, "part long, block long, h binary, w binary, seen binary")
+    sent = state.groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(send, "part long, block long, h binary, w binary, seen binary, word_count binary")
     return sent.groupBy("part").applyInArrow(count, "block long, part long, counts binary, low binary, mass binary, value long, many long")
 
 
 def score(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every text, learned from the rows where ``train`` holds."""
-    context = df.sparkSession.sparkContext
     state = shared_checkpoint(blocks(df, doc_id, text, train))
     entries = state.agg(F.coalesce(F.sum("entries"), F.lit(0)).alias("n")).first()["n"]
     parts = max(16, -(-entries // PART_ENTRIES))
     contexts = 4 * parts
     table = shared_checkpoint(unigram_tables(state, parts))
-    unigrams = context.broadcast(Unigrams(parts, table.where("value is not null").select("part", "value", "many").toArrow()))  # one row for each count that occurs in a partition
-    numbers = table.where("block is not null").select("block", "part", "numbers")
-    pairs = shared_checkpoint(bigram_tables(state, numbers, parts, contexts, unigrams))
-    found = {r["value"]: r["n"] for r in pairs.where("value is not null").groupBy("value").agg(F.sum("many").alias("n")).collect()}  # LOW + 1 rows
-    d = discounts(found)
+    u = Unigrams(counts_of_counts(table))
+    numbers = table.where("block is not null").select("block", "part", "numbers", "counted")
+    pairs = shared_checkpoint(bigram_tables(state, numbers, parts, contexts, u))
+    d = discounts(counts_of_counts(pairs))
     empty = F.lit(None).cast("binary")
-    replies = numbers.withColumns({"counts": empty, "low": empty, "mass": empty}).unionByName(pairs.where("block is not null").select("block", "part", "counts", "low", "mass").withColumn("numbers", empty))
+    replies = numbers.withColumns({"counts": empty, "low": empty, "mass": empty}).unionByName(pairs.where("block is not null").select("block", "part", "counts", "low", "mass").withColumns({"numbers": empty, "counted": empty}))
 
     def rate(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        u = unigrams.value
         kind = left.schema.field("ids").type.value_type
         out = pa.schema([("id", kind), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         if not len(left):
             return out.empty_table()
         unary = right.filter(right.column("numbers").is_valid())
-        b = Block(left, unary, parts, u, contexts)
+        b = Block(left, unary, parts, u.total, contexts)
         count = np.zeros(len(b.h), np.int64)
         context, of = np.unique(b.h, return_inverse=True)
         low, mass = np.zeros((len(context), LOW)), np.zeros(len(context))
         binary = right.filter(right.column("counts").is_valid())
         for p, c, lo, m in zip(*(binary.column(x).to_pylist() for x in ("part", "counts", "low", "mass")), strict=True):
             rows = b.order[b.cut[p] : b.cut[p + 1]]
-            count[rows] = spread(c, np.uint32)
+            count[rows] = spread(c, np.uint64).astype(np.int64)
             at = np.searchsorted(context, np.unique(b.h[rows]))  # parts of a split context add up
             low[at] += spread(lo, np.uint32).reshape(LOW, -1).T
             mass[at] += spread(m, np.float64)
@@ -306,6 +319,5 @@ def score(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
 
     kind = df.schema[doc_id].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    total = unigrams.value.total
     rated = state.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(rate, schema)
-    return rated.select(F.col("id").alias(doc_id), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return rated.select(F.col("id").alias(doc_id), "n_tokens", "n_known", F.lit(u.total).cast("long").alias("train_tokens"), "base_score", "score")
