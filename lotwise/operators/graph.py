@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,18 +26,35 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder. What is checkpointed no longer needs its shuffles, so Spark is told to delete their files at once."""
-    spark = df.sparkSession
-    checkpoint_folder(spark)
+@contextmanager
+def cleaning(spark: SparkSession):
+    """What is cut off from its lineage no longer needs its shuffles, so Spark is told to delete their files at once."""
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        return df.select("*").checkpoint(eager=True)  # a plan made under the setting
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
 
 
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    checkpoint_folder(df.sparkSession)
+    with cleaning(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a plan made under the setting
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """The same for loops: a table written in the shared folder, whose size Spark then knows.
+
+    A checkpoint keeps its plan's estimate, the product of what was joined; after some rounds that is a number of millions of digits.
+    """
+    where = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    with cleaning(df.sparkSession):
+        df.select("*").write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp): each node of an undirected edge list with one node of its component, the same for all of them.
 
@@ -54,7 +73,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         rounds.append(shared_checkpoint(best.select("node", F.when(less, F.col("near")).otherwise(F.col("node")).alias("comp"))))
         first, second = (rounds[-1].select(F.col("node").alias(x), F.col("comp").alias(f"to_{x}")) for x in ("a", "b"))
         moved = left.join(first, "a").join(second, "b").where("to_a <> to_b")
-        left = shared_checkpoint(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        left = shared_table(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
     if not rounds:
         return left.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     done = rounds.pop()
@@ -80,7 +99,7 @@ def descendants(edges: DataFrame, roots: DataFrame, child: str = "child", parent
     seen = fresh.select("id", "root")
     while True:
         below = fresh.join(down, "id").select(F.col("child").alias("id"), "root").distinct().join(seen, ["id", "root"], "left_anti")
-        fresh = shared_checkpoint(below.withColumn("depth", F.lit(len(levels))))
+        fresh = shared_table(below.withColumn("depth", F.lit(len(levels))))
         if fresh.isEmpty():
             break
         levels.append(fresh)

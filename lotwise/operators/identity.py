@@ -101,7 +101,7 @@ def image_clusters(images: DataFrame, most: int = 10) -> DataFrame:
 
 def greedy_firsts(pairs: DataFrame) -> DataFrame:
     """(node, first) where ``first`` is the least id close to the node that itself follows no other; pairs have a < b."""
-    from lotwise.operators.graph import shared_checkpoint
+    from lotwise.operators.graph import shared_checkpoint, shared_table
 
     edges = shared_checkpoint(pairs.select("a", "b"))
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
@@ -112,10 +112,10 @@ def greedy_firsts(pairs: DataFrame) -> DataFrame:
         lead = F.when(F.col("first") == F.col("a"), F.col("a"))  # only a cluster's first picture takes others in
         state = known.groupBy("b").agg(F.min(F.when(F.col("first").isNull(), F.col("a"))).alias("waiting"), F.min(lead).alias("lead"))
         fresh = state.where("waiting is null or lead < waiting").select(F.col("b").alias("node"), F.coalesce("lead", "b").alias("first"))
-        fresh = shared_checkpoint(fresh)
+        fresh = shared_table(fresh)
         if fresh.isEmpty():
             return done
-        done = shared_checkpoint(done.unionByName(fresh))
+        done = done.unionByName(fresh)
 
 
 #: Listings of a cluster beyond which it is taken for a placeholder.

@@ -67,6 +67,35 @@ def once_per_batch(root: str, write: Callable[[DataFrame, int], None]) -> Callab
     return run
 
 
+def once_each(rows: DataFrame, key: list[str], at: str, watermark: str = "1 day") -> DataFrame:
+    """STM06: each key's first row, over a stream as long as its repeats come within the watermark; a batch has all of them at hand."""
+    return rows.withWatermark(at, watermark).dropDuplicatesWithinWatermark(key) if rows.isStreaming else rows.dropDuplicates(key)
+
+
+def keep_index(changes: DataFrame, root: str, state: str, group: str, fields: list[str], at: str, row_id: str):
+    """STM01, STM02: keep an index of representatives in step with a stream of listing versions, each batch once.
+
+    Listings and index are versioned tables under ``root``; a batch writes its versions and then points to them, so
+    a batch that is replayed after a failure finds its marker or starts anew from the same versions.
+    """
+    from lotwise.operators.groups import top_k
+    from lotwise.operators.merge import current, pointers, swap_in
+
+    def sync(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        latest = top_k(batch, [row_id], [F.desc(at)])
+        old = current(spark, f"{root}/listings") if pointers(spark, f"{root}/listings") else latest.limit(0)
+        rows = old.join(latest.select(row_id), row_id, "left_anti").unionByName(latest)
+        index = current(spark, f"{root}/index") if pointers(spark, f"{root}/index") else latest.limit(0)
+        touched = latest.select(group).unionByName(old.join(latest.select(row_id), row_id, "left_semi").select(group))  # a row may leave a group
+        puts, deletes = sync_groups(index, rows, touched, group, fields, at, row_id)
+        new = apply_sync(index, puts, deletes, row_id)
+        swap_in(new, f"{root}/index", f"b{number}", new.count())
+        swap_in(rows, f"{root}/listings", f"b{number}", rows.count())
+
+    return changes.writeStream.foreachBatch(once_per_batch(root, sync)).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
 class Missing(StatefulProcessor):
     """STM03 on a stream: per (source, key), complete runs since the last sight. A sight starts anew; ``run`` rows count up once."""
 
