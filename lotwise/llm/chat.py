@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.llm.common import shared_checkpoint
+from lotwise.operators.graph import shared_table
 
 KEY = ["conv_id", "call_id"]
 #: A schema table of at most this many rows is broadcast; a larger one is shuffled.
@@ -59,10 +60,10 @@ def levels(calls: DataFrame) -> DataFrame:
         met = edges.join(hashed(ready), ["conv_id", "need"], "left")
         state = met.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.count("ready").alias("k")).where("n = k").select(*KEY)
         level += 1
-        fresh = shared_checkpoint(state.join(hashed(done), KEY, "left_anti").withColumn("level", F.lit(level)))
+        fresh = shared_table(state.join(hashed(done), KEY, "left_anti").withColumn("level", F.lit(level)))
         if fresh.isEmpty():
             return done
-        done = shared_checkpoint(done.unionByName(fresh))
+        done = done.unionByName(fresh)
 
 
 def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -1,10 +1,15 @@
 """Near-duplicates by MinHash bands and sequential Bayesian verification.
 
-Documents of equal shingle sets form one class. Bands of a class's signature propose candidates; those
-that a chain of shared bands connects are compared batch by batch, a pair leaving as soon as the
-posterior chance of its similarity reaching the threshold falls below ``MISS``; survivors are verified
-on their full sets. A pair already connected is not verified again, so a cell returns a spanning
-forest of true links, never all pairs. Large candidate clusters are dealt out as pairs of blocks.
+Documents of equal shingle sets form one class, named by 125 bits of hashes over the set. Bands of a class's
+signature propose candidates: those that share a band's key. Signatures are compared batch by batch, a pair leaving
+as soon as the posterior chance of its similarity reaching the threshold falls below ``MISS``; survivors are
+verified on their full sets. A pair already connected is not verified again, so results are a spanning forest of
+true links, never all pairs.
+
+Classes that a chain of shared bands connects form a cluster. One of up to ``BLOCK`` classes is compared whole in
+one task. In a larger one each band's classes first meet one lead of theirs, dealt out to many tasks, for a few
+rounds; a band whose classes are then all connected is done, which ends groups of many near copies in linear work.
+Classes of the other bands are compared in pairs of blocks, but only with classes that they are not connected with.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing;
 copies share one class; ids may repeat or be null (a group's id is its least id that is not null).
@@ -13,10 +18,12 @@ copies share one class; ids may repeat or be null (a group's id is its least id
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, comb
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +36,10 @@ BANDS = 36
 BATCH = 28
 #: Posterior chance of a link at which a pair is given up.
 MISS = 1e-6
-#: Classes in a block; two blocks meet in one task.
-BLOCK = 1024
+#: Classes in a block; two blocks meet in one task. Rounds in which the classes of a large cluster's bands meet a lead.
+BLOCK, LEAD_ROUNDS = 1024, 3
+#: A class's name holds 125 bits.
+CLASS = T.DecimalType(38, 0)
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 32, BANDS * 16, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BANDS * 16, dtype=np.uint32)
@@ -79,28 +88,39 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
-def set_class(s: np.ndarray) -> int:
-    """A number for equal sets."""
+def set_class(s: np.ndarray) -> tuple[int, int]:
+    """64 low and 61 high bits for equal sets."""
     with np.errstate(over="ignore"):
-        a, b = mix(s * _C[1]).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + _C[2])) if len(s) else np.uint64(0)
-        return int(mix(np.array([a * _C[3] + mix(np.array([b]))[0] + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+        sums = [mix(s * _C[1]).sum(dtype=np.uint64), mix(s * _C[6] + _C[7]).sum(dtype=np.uint64)]
+        folds = [np.bitwise_xor.reduce(mix(s + c)) if len(s) else np.uint64(0) for c in (_C[2], _C[5])]
+        low, high = mix(np.array([a * _C[3] + mix(np.array([b]))[0] + np.uint64(len(s)) for a, b in zip(sums, folds, strict=True)], np.uint64)).tolist()
+    return low, high >> 3
+
+
+def class_column(sets: list[np.ndarray]) -> pa.Array:
+    """Each set's class as a decimal; an empty set has none."""
+    bits = np.array([set_class(s) for s in sets], np.uint64).reshape(-1, 2)
+    numbers = pa.Array.from_buffers(pa.decimal128(38, 0), len(sets), [None, pa.py_buffer(bits.tobytes())])
+    return pc.if_else(pa.array([len(s) > 0 for s in sets], pa.bool_()), numbers, pa.scalar(None, pa.decimal128(38, 0)))
 
 
 def features(df: DataFrame, doc_id: str, text: str, k: int, rows: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, what is to be carried, n_shingles, cls (null for an empty set) and band keys."""
-    schema = df.select(doc_id, *carry).schema.add("n_shingles", "long").add("cls", "long").add("bands", T.ArrayType(T.LongType()))
+    """doc_id, what is to be carried, the text's hash, n_shingles, cls (null for an empty set) and band keys."""
+    schema = df.select(doc_id, *carry).schema.add("__h", "long").add("n_shingles", "long").add("cls", CLASS).add("bands", T.ArrayType(T.LongType()))
+    wide = 2 + len(carry)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
-            sets = shingle_sets(batch.column(1 + len(carry)), k)
+            sets = shingle_sets(batch.column(wide), k)
             full = [len(s) > 0 for s in sets]
             keys = band_keys(np.stack([signature(s, rows) for s in sets]), rows)[full].view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.array(full) * BANDS)]).astype(np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + len(carry)], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()), bands], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:wide], pa.array([len(s) for s in sets], pa.int64()), class_column(sets), bands], names=schema.names)
 
-    return df.selectExpr(f"`{doc_id}`", *[f"`{c}`" for c in carry], f"`{text}` as __text").mapInArrow(task, schema)
+    return df.select(doc_id, *carry, F.xxhash64(text).alias("__h"), F.col(text).alias("__text")).mapInArrow(task, schema)
 
 
+@cache
 def fewest(threshold: float, n: int, miss: float) -> int:
     """The least number of n equal hashes with which P(similarity >= threshold) is ``miss`` at least, from a uniform prior."""
     below = 0.0
@@ -111,11 +131,26 @@ def fewest(threshold: float, n: int, miss: float) -> int:
     return n
 
 
-def links(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool, numerator: int, miss: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * intersection >= numerator * union; if ``cross``, of pairs from both sides."""
+def survivors(sig: np.ndarray, a: np.ndarray, b: np.ndarray, numerator: int, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that sequential verification leaves, with how many hashes they share."""
+    same = np.zeros(len(a), np.int64)
+    for i in range(0, sig.shape[1], BATCH):
+        end = min(i + BATCH, sig.shape[1])
+        part = [(sig[a[c : c + 65536], i:end] == sig[b[c : c + 65536], i:end]).sum(1) for c in range(0, len(a), 65536)]
+        same = same + (np.concatenate(part) if part else 0)
+        keep = same >= fewest(numerator / 100, end, miss)
+        a, b, same = a[keep], b[keep], same[keep]
+    return a, b, same
+
+
+def linked(x: np.ndarray, y: np.ndarray, numerator: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= numerator * (len(x) + len(y) - both)
+
+
+def links(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool, numerator: int, miss: float, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with 100 * intersection >= numerator * union; if ``cross``, of pairs from both sides; never within a group."""
     n = np.array([len(s) for s in sets])
-    steps = [(i, min(i + BATCH, sig.shape[1])) for i in range(0, sig.shape[1], BATCH)]
-    floor = [fewest(numerator / 100, end, miss) for _, end in steps]
     found = []
     for at in range(0, len(sets), 64):
         rows = np.arange(at, min(at + 64, len(sets)))
@@ -124,14 +159,10 @@ def links(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool
         near &= others[None, :] > rows[:, None]
         if cross:
             near &= side[rows, None] != side[None, others]
+        if group is not None:
+            near &= group[rows, None] != group[None, others]
         a, b = np.nonzero(near)
-        a, b = rows[a], others[b]
-        same = np.zeros(len(a), np.int64)
-        for (i, end), least in zip(steps, floor, strict=True):
-            part = [(sig[a[c : c + 65536], i:end] == sig[b[c : c + 65536], i:end]).sum(1) for c in range(0, len(a), 65536)]
-            same = same + (np.concatenate(part) if part else 0)
-            keep = same >= least
-            a, b, same = a[keep], b[keep], same[keep]
+        a, b, same = survivors(sig, rows[a], others[b], numerator, miss)
         found.append(np.stack([same, a, b], 1))
     pairs = np.concatenate(found) if found else np.zeros((0, 3), int)
     up = list(range(len(sets)))
@@ -143,52 +174,139 @@ def links(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool
 
     out = []
     for _, a, b in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
-        if (x := root(a)) != (y := root(b)):
-            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if 100 * both >= numerator * (len(sets[a]) + len(sets[b]) - both):
-                up[x] = y
-                out.append((a, b))
+        if (x := root(a)) != (y := root(b)) and linked(sets[a], sets[b], numerator):
+            up[x] = y
+            out.append((a, b))
     return out
 
 
+def unpacked(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Signatures and sets of a task's rows."""
+    sig = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in table.column("sig")])
+    return sig, [np.frombuffer(x.as_py(), np.uint64) for x in table.column("members")]
+
+
+def paired(table: pa.Table, pairs: list[tuple[int, int]]) -> pa.Table:
+    node = table.column("node").combine_chunks()
+    return pa.table({c: node.take(pa.array([p[i] for p in pairs], pa.int64())) for i, c in enumerate("ab")})
+
+
+PAIR = T.StructType([T.StructField("a", CLASS), T.StructField("b", CLASS)])
+
+
+def lead_links(cand: DataFrame, loaded: DataFrame, numerator: int, miss: float) -> DataFrame:
+    """True links among (a, b), where many classes a have one lead b: a lead is copied to as many tasks as its classes fill blocks."""
+
+    def star(key: tuple, table: pa.Table) -> pa.Table:
+        lead = np.flatnonzero(table.column("lead").to_numpy(zero_copy_only=False))
+        if not len(lead) or len(table) < 2:
+            return paired(table, [])
+        sig, sets = unpacked(table)
+        b = np.flatnonzero(~table.column("lead").to_numpy(zero_copy_only=False))
+        a = np.full(len(b), lead[0])
+        n = np.array([len(s) for s in sets])
+        fit = 100 * np.minimum(n[a], n[b]) >= numerator * np.maximum(n[a], n[b])
+        a, b, _ = survivors(sig, a[fit], b[fit], numerator, miss)
+        return paired(table, [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if linked(sets[x], sets[y], numerator)])
+
+    salts = cand.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("salts"))
+    each = cand.join(salts, "b").select(F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), "salts").alias("salt"), F.lit(False).alias("lead"))
+    leads = salts.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("lead"))
+    cells = each.unionByName(leads).join(loaded, "node").select("b", "salt", "node", "lead", "sig", "members")
+    return cells.groupBy("b", "salt").applyInArrow(star, PAIR)
+
+
+def block_links(rows: DataFrame, loaded: DataFrame, numerator: int, miss: float) -> DataFrame:
+    """True links among the classes (node) of each cluster (comp2) that are in different groups (grp).
+
+    Groups that fill half a block have blocks of their own, which never meet each other; the others share blocks.
+    """
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        sig, sets = unpacked(table)
+        side, group = (table.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("name", "grp"))
+        return paired(table, links(sig, sets, side, key[1] != key[2], numerator, miss, group))
+
+    size = rows.groupBy("comp2", "grp").agg(F.count(F.lit(1)).alias("n")).withColumn("own", F.col("n") * 2 > BLOCK)
+    shared = size.groupBy("comp2").agg(F.ceil(F.sum(F.when(F.col("own"), 0).otherwise(F.col("n"))) / BLOCK).alias("blocks"))
+    named = rows.join(size, ["comp2", "grp"]).join(shared, "comp2")
+    block = F.when(F.col("own"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))).otherwise(F.pmod(F.xxhash64("grp"), F.greatest("blocks", F.lit(1))))
+    owner = F.when(F.col("own"), F.col("grp").cast("string")).otherwise("")
+    named = named.select("comp2", "node", "grp", owner.alias("owner"), F.concat_ws("/", owner, block.cast("string")).alias("name"))
+    names = named.groupBy("comp2").agg(F.collect_set(F.struct("owner", "name")).alias("all"))
+    other = F.filter("all", lambda o: (o["owner"] != F.col("owner")) | (F.col("owner") == ""))
+    cells = named.join(names, "comp2").withColumn("other", F.explode(other)).select(
+        "comp2", "node", "grp", "name", F.least("name", "other.name").alias("x1"), F.greatest("name", "other.name").alias("x2")
+    )
+    return cells.join(loaded, "node").groupBy("comp2", "x1", "x2").applyInArrow(meet, PAIR)
+
+
+def large_clusters(keys: DataFrame, loaded: DataFrame, numerator: int, miss: float) -> DataFrame:
+    """True links of the classes of large clusters, whose band keys are ``keys`` (cls, key)."""
+    keys = shared_checkpoint(keys)
+    found = loaded.sparkSession.createDataFrame([], PAIR)
+
+    def labelled() -> DataFrame:
+        label = components(found).select(F.col("node").alias("cls"), F.col("comp").alias("grp"))
+        return shared_checkpoint(keys.join(label, "cls", "left").withColumn("grp", F.coalesce("grp", "cls")))
+
+    def unsettled(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("key")
+
+    rows = labelled()
+    for r in range(LEAD_ROUNDS):
+        still = rows.join(unsettled(rows), "key", "left_semi")
+        lead = still.groupBy("key").agg(F.min_by("cls", F.xxhash64("cls", F.lit(r))).alias("b"))
+        grp = rows.select(F.col("cls").alias("b"), F.col("grp").alias("lead_grp")).distinct()
+        pairs = still.join(lead.join(grp, "b"), "key").where("grp <> lead_grp").groupBy("cls").agg(F.min("b").alias("b"))
+        cand = shared_checkpoint(pairs.select(F.col("cls").alias("a"), "b"))
+        if cand.isEmpty():
+            return found
+        found = shared_checkpoint(found.unionByName(lead_links(cand, loaded, numerator, miss)))
+        rows = labelled()
+    still = shared_checkpoint(rows.join(unsettled(rows), "key", "left_semi"))
+    if still.isEmpty():
+        return found
+    star = still.join(still.groupBy("key").agg(F.min("cls").alias("b")), "key").where("cls <> b").select(F.col("cls").alias("a"), "b").distinct()
+    clusters = components(star).select("node", F.col("comp").alias("comp2"))
+    groups = still.select(F.col("cls").alias("node"), "grp").distinct()
+    return found.unionByName(block_links(clusters.join(groups, "node"), loaded, numerator, miss))
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, numerator: int = 80, miss: float = MISS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, carried columns, n_shingles, component_id, kept: groups connected by similarity of numerator/100 or more (k words a shingle)."""
     width = band_rows(numerator)
     feats = shared_checkpoint(features(df, doc_id, text, k, width, carry))
-    classes = feats.where("cls is not null").groupBy("cls").agg(F.min(doc_id).alias("rep"), F.first("bands").alias("bands"))
+    one = F.min(F.struct(F.col(doc_id).alias("i"), F.col("__h").alias("h")))  # a class is read from one of its rows
+    classes = feats.where("cls is not null").groupBy("cls").agg(one.alias("rep"), F.first("bands").alias("bands"))
     keys = classes.select("cls", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     clusters = components(keys.join(shared, "key").where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct())
+    sized = clusters.join(clusters.groupBy("comp").agg((F.count(F.lit(1)) > BLOCK).alias("large")), "comp")
 
-    sized = clusters.join(clusters.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "comp")
-    members = sized.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
-    docs = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    wanted = docs.join(members, docs["__id"].eqNullSafe(members["rep"])).select("node", "comp", "blocks", "__text")
+    reps = clusters.select("node").join(classes.select(F.col("cls").alias("node"), "rep.i", "rep.h"), "node")
+    docs = df.select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__th"), F.col(text).alias("__text"))
+    wanted = docs.join(reps, docs["__id"].eqNullSafe(reps["i"]) & (docs["__th"] == reps["h"])).select("node", "__text")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
-            sets = shingle_sets(batch.column(3), k)
-            right = np.array([set_class(s) == c for s, c in zip(sets, batch.column(0).to_pylist(), strict=True)])  # ids may repeat
-            kept = [s for s, r in zip(sets, right, strict=True) if r]
-            yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(right)) for c in batch.columns[:3]), pa.array([signature(s, width).tobytes() for s in kept], pa.binary()), pa.array([s.tobytes() for s in kept], pa.binary())], names=["node", "comp", "blocks", "sig", "members"])
-
-    cells = (
-        wanted.mapInArrow(load, "node long, comp long, blocks long, sig binary, members binary")
-        .withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("node", "comp", "block", "sig", "members", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-    )
+            sets = shingle_sets(batch.column(1), k)
+            right = pc.fill_null(pc.equal(class_column(sets), batch.column(0)), False)  # texts of one hash may differ
+            kept = [s for s, r in zip(sets, right.to_pylist(), strict=True) if r]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(right), pa.array([signature(s, width).tobytes() for s in kept], pa.binary()), pa.array([s.tobytes() for s in kept], pa.binary())], names=["node", "sig", "members"])
+
+    schema = T.StructType([T.StructField("node", CLASS), T.StructField("sig", T.BinaryType()), T.StructField("members", T.BinaryType())])
+    loaded = shared_checkpoint(wanted.mapInArrow(load, schema).dropDuplicates(["node"]))  # the same row may be there many times
 
     def verify(key: tuple, table: pa.Table) -> pa.Table:
-        node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
-        order = np.sort(np.unique(node, return_index=True)[1])  # a class once, however many rows bear its id
-        sig = np.stack([np.frombuffer(table.column("sig")[int(i)].as_py(), np.uint32) for i in order])
-        sets = [np.frombuffer(table.column("members")[int(i)].as_py(), np.uint64) for i in order]
-        pairs = links(sig, sets, block[order], key[1].as_py() != key[2].as_py(), numerator, miss)
-        node = node[order]
-        return pa.table({"a": pa.array([node[a] for a, _ in pairs], pa.int64()), "b": pa.array([node[b] for _, b in pairs], pa.int64())})
-
-    true = shared_checkpoint(cells.groupBy("comp", "b1", "b2").applyInArrow(verify, "a long, b long"))
+        sig, sets = unpacked(table)
+        return paired(table, links(sig, sets, np.zeros(len(sets), int), False, numerator, miss))
+
+    small = loaded.join(sized.where("not large"), "node").groupBy("comp").applyInArrow(verify, PAIR)
+    true = shared_checkpoint(small)
+    large = sized.where("large").select(F.col("node").alias("cls"))
+    if not large.isEmpty():
+        true = shared_checkpoint(true.unionByName(large_clusters(keys.join(large, "cls", "left_semi"), loaded, numerator, miss)))
     label = components(true).select(F.col("node").alias("cls"), "comp")
     rows = feats.select(doc_id, *carry, "n_shingles", "cls").join(label, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = rows.where("comp is not null").groupBy("comp").agg(F.min(doc_id).alias("least"))

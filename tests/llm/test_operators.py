@@ -179,22 +179,39 @@ def components_by_force(rows, k, least):
     return [(d, len(sets[i]), low[root(i)] if sets[i] else d) for i, (d, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("k", "least", "block"), [(3, 85, 1024), (5, 80, 8)])
-def test_near_duplicates(spark, monkeypatch, k, least, block):
-    monkeypatch.setattr(minhash, "BLOCK", block)  # also with clusters dealt out in blocks
+@pytest.mark.parametrize(("k", "least", "block", "rounds"), [(3, 85, 1024, 3), (5, 80, 8, 3), (3, 85, 8, 1), (3, 85, 4, 0)])
+def test_near_duplicates(spark, monkeypatch, k, least, block, rounds):
+    monkeypatch.setattr(minhash, "BLOCK", block)  # also with clusters dealt out in blocks, after many, few or no rounds of leads
+    monkeypatch.setattr(minhash, "LEAD_ROUNDS", rounds)
     rng, rows = np.random.default_rng(5), awkward(2)
-    base = [f"v{i}" for i in rng.integers(0, 500, 120)]
-    for i in range(60):
-        w = list(base)
-        for at in rng.integers(0, 120, int(rng.integers(0, 9))):
-            w[at] = f"e{i}-{at}"
-        rows.append((200 + i, " ".join(w)))
+    for g in range(3):  # near copies, some linked with a few of the others only
+        base = [f"v{g}-{i}" for i in rng.integers(0, 500, 120)]
+        for i in range(50):
+            w = list(base)
+            for at in rng.integers(0, 120, int(rng.integers(0, 14))):
+                w[at] = f"e{g}-{i // 5}-{at}" if i % 2 else f"e{g}-{i}-{at}"
+            rows.append((200 + 100 * g + i, " ".join(w)))
+    rows += [(None, rows[-1][1]), (None, rows[-1][1]), rows[-2], rows[-2]]
     got = minhash.near_duplicates(docs(spark, rows), k=k, numerator=least)
     want = [(d, n, c, d == c) for d, n, c in components_by_force(rows, k, least)]
     assert table(got.select("doc_id", "n_shingles", "component_id", "kept")) == sorted(want, key=repr)
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_classes_are_of_equal_sets():
+    sets = [np.array(x, np.uint64) for x in ([], [1], [1, 2], [2], [1, 3], [1, 2])]
+    got = minhash.class_column(sets).to_pylist()
+    assert got[0] is None and got[2] == got[5] and len({*map(str, got)}) == 5 and all(0 <= x < 10**38 for x in got[1:])
+
+
+def test_many_copies_of_a_row_without_id_make_one_class(spark):
+    """A repeated row is read once for its class, however often it is there."""
+    text = " ".join(f"w{i}" for i in range(40))
+    many = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(5, text + " more"), (6, text)], "doc_id long, text string"))
+    got = minhash.near_duplicates(many, k=3, numerator=85).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"], r["count"]) for r in got} == {(None, 5, False, 3000), (5, 5, True, 1), (6, 5, False, 1)}
+
+
 def test_language_id(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = queries.op3_language_id(spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -436,7 +453,7 @@ def test_copies_among_pictures_with_common_descriptors(spark, monkeypatch, block
         pictures += [a, (a * 0.7 + 20).astype(np.uint8), np.rot90(a).copy(), np.clip(a.astype(int) + rng.integers(-6, 7, a.shape), 0, 255).astype(np.uint8), a[6:90, 4:92]]
     pictures += [photo(rng)[: 40 + i, : 50 + i].copy() for i in range(20)]
     points = [media.describe(p) for p in pictures]
-    true = [(i, j) for i in range(len(pictures)) for j in range(i) if media.agreeing(points[i], points[j]) >= media.AGREE]
+    true = [(i, j) for i in range(len(pictures)) for j in range(i) if media.agreeing(points[i], points[j])]
     up = list(range(len(pictures)))
     for _ in pictures:
         for i, j in true:
@@ -448,6 +465,35 @@ def test_copies_among_pictures_with_common_descriptors(spark, monkeypatch, block
     assert sum(n for _, n in got.values()) >= 0.99 * sum(degree.values()) and all(n <= degree[i] for i, (_, n) in got.items())
 
 
+def warped(p, turn, scale):
+    """A picture turned by degrees about its middle and resized, on a grey ground."""
+    turn, (h, w) = math.radians(turn), p.shape
+    n = round(max(h, w) * scale * (abs(math.cos(turn)) + abs(math.sin(turn))))
+    y, x = (np.mgrid[0:n, 0:n] - (n - 1) / 2) / scale
+    sx, sy = math.cos(turn) * x + math.sin(turn) * y + (w - 1) / 2, math.cos(turn) * y - math.sin(turn) * x + (h - 1) / 2
+    q = media.box(p, 1) / 9 if scale < 0.8 else p.astype(float)
+    i, j = np.clip(np.floor(sy).astype(int), 0, h - 2), np.clip(np.floor(sx).astype(int), 0, w - 2)
+    fy, fx = sy - i, sx - j
+    v = q[i, j] * (1 - fx) * (1 - fy) + q[i, j + 1] * fx * (1 - fy) + q[i + 1, j] * (1 - fx) * fy + q[i + 1, j + 1] * fx * fy
+    return np.where((sx >= 0) & (sy >= 0) & (sx < w - 1) & (sy < h - 1), v, 128)
+
+
+EDITS = {
+    **{f"turn {a}": (lambda p, a=a: warped(p, a, 1.0)) for a in (5, 15, 45, 120)}, "turn 180": lambda p: p[::-1, ::-1],
+    **{f"size {s}": (lambda p, s=s: warped(p, 0, s)) for s in (0.5, 0.75, 1.25, 1.5)},
+    "crop 80": lambda p: p[5:82, 8:88], "crop 50": lambda p: p[10:78, 12:80], "noise": lambda p: p + np.random.default_rng(0).normal(0, 4, p.shape), "light": lambda p: p * 0.8 + 30,
+}
+
+
+@pytest.mark.parametrize("edit", EDITS)
+def test_recall_and_precision_of_copies_by_edit(edit):
+    rng = np.random.default_rng(3)
+    whole = [np.where((p := photo(rng, 96, 60, 32)) > 0, p, 128).astype(np.uint8) for _ in range(24)]
+    blocks = [media.Block([media.describe(p).tobytes() for p in some]) for some in (whole, [np.clip(np.round(EDITS[edit](p)), 0, 255).astype(np.uint8) for p in whole])]
+    _, _, forest = media.meet(*blocks)
+    assert sum(i == j for i, j in forest) >= 0.9 * len(whole) and sum(i != j for i, j in forest) <= 1
+
+
 def test_crops_of_a_large_detailed_picture(spark):
     rng = np.random.default_rng(8)
     a, b = photo(rng, 400, 1500, 24), photo(rng, 400, 1500, 24)
