@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lotwise.operators import facets, filters, projections, quality
 from lotwise.operators.groups import completeness, scored_representative
 
-FIELDS = """id string, status string, publication string, source_id string, make string, model string, trim string, year int, condition string, seller_type string, price_cents long, mileage int,
+FIELDS = """id string, status string, came_with string, source_id string, make string, model string, trim string, year int, condition string, seller_type string, price_cents long, mileage int,
  color string, conversion_type string, conversion_manufacturer string, ramp_type string, wav_features array<string>, vin string, state string"""
 ALL = ["transfer_seat", "lowered_floor", "power_ramp", "kneel_system", "tie_down_system", "automatic_door"]
 ROWS = [
@@ -59,7 +59,7 @@ def test_catalogue(spark):
     assert state["quarantined-bad-year"] == ("quarantined", ["implausible_year"])
     assert [k for k, (s, _) in state.items() if s != "eligible"] == ["quarantined-bad-year"]
     # a listing that was never resolved keeps what it came with
-    rows = resolved.withColumn("publication_status", F.coalesce(F.nullif("publication", F.lit("")), "publication_status"))
+    rows = resolved.withColumn("publication_status", F.coalesce(F.nullif("came_with", F.lit("")), "publication_status"))
     shown = rows.where(filters.published())
     assert shown.count() == 8
     one = scored_representative(shown, [F.coalesce("vehicle_id", "id")], completeness(COMPLETE), "listed_at", "id")
