@@ -26,6 +26,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Rounds after which a loop's state is written as a table instead of a checkpoint, whose size estimate has grown by then.
+LONG = 4
+
+
 @contextmanager
 def cleaning(spark: SparkSession):
     """What is cut off from its lineage no longer needs its shuffles, so Spark is told to delete their files at once."""
@@ -73,7 +77,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         rounds.append(shared_checkpoint(best.select("node", F.when(less, F.col("near")).otherwise(F.col("node")).alias("comp"))))
         first, second = (rounds[-1].select(F.col("node").alias(x), F.col("comp").alias(f"to_{x}")) for x in ("a", "b"))
         moved = left.join(first, "a").join(second, "b").where("to_a <> to_b")
-        left = shared_table(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        left = (shared_table if len(rounds) > LONG else shared_checkpoint)(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
     if not rounds:
         return left.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     done = rounds.pop()

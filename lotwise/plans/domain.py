@@ -96,11 +96,11 @@ def agg30(spark, d):
 VIN_SUM = "8*1+7*8+6*7+5*3+4*4+3*8+2*2+10*6+0+9*3+8*1+7*0+6*0+5*0+4*(id % 1000 // 100)+3*(id % 100 // 10)+2*(id % 10)"
 
 
-@query("dom07_vin_dedupe", f"""with v as (select id, size, '1HGCM82633A' || lpad(cast(id % 400 as varchar), 6, '0') vin from (select id % 400 k, * from {PARTS})),
- good as (select '1HGCM82633A' || lpad(cast(id as varchar), 6, '0') g from (select unnest(range(0, 400)) id) where ({VIN_SUM}) % 11 = 3)
+@query("dom07_vin_dedupe", f"""with v as (select id, size, '1HGCM82633A' || lpad(cast(id % 80 as varchar), 6, '0') vin from (select id % 80 k, * from {PARTS})),
+ good as (select '1HGCM82633A' || lpad(cast(id as varchar), 6, '0') g from (select unnest(range(0, 80)) id) where ({VIN_SUM}) % 11 = 3)
  select id, count(*) over (partition by vin) group_size, first_value(id) over (partition by vin order by (case when size > 25 then 1 else 0 end) desc, id) primary_id from v where vin in (select g from good) qualify count(*) over (partition by vin) > 1""")
 def dom07(spark, d):
-    rows = parts(spark, d).withColumns({"vin": F.concat(F.lit("1HGCM82633A"), F.lpad((F.col("id") % 400).cast("string"), 6, "0")), "big": F.when(F.col("size") > 25, 1)})
+    rows = parts(spark, d).withColumns({"vin": F.concat(F.lit("1HGCM82633A"), F.lpad((F.col("id") % 80).cast("string"), 6, "0")), "big": F.when(F.col("size") > 25, 1)})
     return identity.vin_groups(rows, groups.completeness(["big"])).select("id", F.col("group_size"), "primary_id")
 
 

@@ -122,11 +122,11 @@ def flt04(spark, d):
     return parts(spark, d).where(filters.Search(any_in_array={"words": ["green", "blue", "steel"]}).conditions()).select("id")
 
 
-@query("flt05_ranges", f"select id, size from {PARTS} where size >= 10 and size <= 20 and price_cents >= 95000 and id % 13 > 0")
+@query("flt05_ranges", f"select id, size from {PARTS} where size >= 10 and size <= 20 and price_cents >= 91000 and id % 13 > 0")
 def flt05(spark, d):
     """Bounds with rows on both sides; a part without a price (every 13th) never matches."""
     priced = F.when(F.col("id") % 13 > 0, F.col("price_cents"))
-    wanted = filters.Search(ranges={"size": (10, 20), "price_cents": (95_000, None)})
+    wanted = filters.Search(ranges={"size": (10, 20), "price_cents": (91_000, None)})
     return parts(spark, d).withColumn("price_cents", priced).where(wanted.conditions()).select("id", "size")
 
 
@@ -192,10 +192,10 @@ def set01(spark, d):
     return price.unionByName(miles).repartition("part_id").sortWithinPartitions("part_id", "recorded_at", "r", "ok")
 
 
-@query("set03_difference", "select user_id, side from (select user_id, 'only_view' side from events where event_type = 'view' and hour(ts) < 6 except select user_id, 'only_view' from events where event_type = 'error' and hour(ts) < 6 union all (select user_id, 'only_error' from events where event_type = 'error' and hour(ts) < 6 except select user_id, 'only_error' from events where event_type = 'view' and hour(ts) < 6))")
+@query("set03_difference", "select user_id, side from (select user_id, 'only_view' side from events where event_type = 'view' and hour(ts) < 1 except select user_id, 'only_view' from events where event_type = 'error' and hour(ts) < 1 union all (select user_id, 'only_error' from events where event_type = 'error' and hour(ts) < 1 except select user_id, 'only_error' from events where event_type = 'view' and hour(ts) < 1))")
 def set03(spark, d):
-    """Users of the night hours who did one thing and not the other."""
-    of = lambda kind: events(spark, d).where((F.col("event_type") == kind) & (F.hour("ts") < 6)).select("user_id")
+    """Users of the first hour of days who did one thing and not the other."""
+    of = lambda kind: events(spark, d).where((F.col("event_type") == kind) & (F.hour("ts") < 1)).select("user_id")
     one, two = of("view"), of("error")
     return one.subtract(two).withColumn("side", F.lit("only_view")).unionByName(two.subtract(one).withColumn("side", F.lit("only_error")))
 

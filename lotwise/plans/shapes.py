@@ -143,9 +143,9 @@ def flt20(spark, d):
     return e.join(n, "label", "left").where(identity.analysis_due(kind, F.col("placeholder"), F.col("cross_vehicle"), version, 2)).select("vec_id")
 
 
-@query("flt24_dynamic_where", f"""select id, make, size from {PARTS} where make in ('Brand#1', 'Brand#2') and list_has_any(words, ['blue', 'ring']) and size <= 40 and price_cents >= 92000 order by price_cents desc, id limit 25 offset 25""")
+@query("flt24_dynamic_where", f"""select id, make, size from {PARTS} where make in ('Brand#1', 'Brand#2') and list_has_any(words, ['blue', 'ring']) and size <= 40 and price_cents >= 90100 order by price_cents desc, id limit 1 offset 1""")
 def flt24(spark, d):
-    s = filters.Search(any_of={"make": ["Brand#1", "Brand#2"]}, any_in_array={"words": ["blue", "ring"]}, ranges={"size": (None, 40), "price_cents": (92_000, None)}, sort="price_cents:desc", page=2, per_page=25)
+    s = filters.Search(any_of={"make": ["Brand#1", "Brand#2"]}, any_in_array={"words": ["blue", "ring"]}, ranges={"size": (None, 40), "price_cents": (90_100, None)}, sort="price_cents:desc", page=2, per_page=1)
     return filters.search(parts(spark, d), s, "id").select("id", "make", "size")
 
 
