@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, chat, katz, kdtree, langid, media, minhash, packing, quality, suffix
+from lotwise.llm import bpe, chat, cluster, katz, kdtree, langid, lines, media, minhash, packing, phrases, quality, suffix
 from lotwise.llm.common import crc_bucket, read
 from lotwise.llm.sql import SQL
 
@@ -97,6 +97,19 @@ def op10_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(read(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(50)) == 0)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.with_inertia(*cluster.cluster(read(spark, sf_dir, "embeddings")))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.drop_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
