@@ -6,7 +6,9 @@ bounded size, so that a task's memory does not depend on the length of its parti
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -154,9 +156,43 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_lists(raw: bytes) -> Iterator[list[bytes]]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of an A-Z-lower-cased text, ``SLICE_BYTES`` of it at a time; a slice ends between words."""
+    at = 0
+    while at < len(raw):
+        gap = _WHITE.search(raw, at + SLICE_BYTES)
+        stop = gap.start() if gap else len(raw)
+        yield raw[at:stop].lower().split()
+        at = stop
+
+
+_WHITE = re.compile(rb"[ \t-\r]")
+
+
+class WordHashes(dict):
+    """64 bits of BLAKE2 for each word, which no run of like words can make collide. Bounded: cleared when full, and long words are not kept."""
+
+    MOST, LONGEST = 500_000, 64
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_hashes = WordHashes()
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of A-Z-lower-cased texts, and each document's first word (n+1)."""
-    raw, offsets = utf8(column)
-    raw = lower_ascii(raw)
-    starts, ends, bounds = words(raw, offsets)
-    return span_hashes(raw, starts, ends), bounds
+    known, found, ends = _hashes.__getitem__, [np.zeros(0, np.uint64)], [0]
+    for raw in column.cast(pa.binary()).to_pylist():
+        n = 0
+        for words_ in word_lists(raw or b""):
+            found.append(np.fromiter(map(known, words_), np.uint64, len(words_)))
+            n += len(words_)
+        ends.append(ends[-1] + n)
+    return np.concatenate(found), np.array(ends)

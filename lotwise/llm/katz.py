@@ -18,6 +18,7 @@ unknown with probability one; repeated rows are scored, and learned from, each f
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotwise.llm.common import mix, shared_checkpoint, slices, word_hashes
+from lotwise.llm.common import mix, shared_checkpoint, slices, word_lists
 
 #: Tokens of a block, distinct n-grams of a partition (about), and occurrences of a context's part.
 BLOCK_TOKENS, PART_ENTRIES, CONTEXT_PART = 2 << 20, 1 << 20, 1 << 18
 #: Counts up to this are discounted.
 LOW = 5
-END, NONE = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: A text's end: the first word of each vocabulary. No word is empty.
+END = b""
 #: Names of the totals among counts of counts.
 TOKENS, TYPES = -1, -2
 _zstd = "zstd"
@@ -95,7 +98,7 @@ def low_counts(total: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def blocks(df: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame:
-    """One row per block: its documents, and their tokens as numbers into its sorted vocabulary."""
+    """One row per block: its documents, and their tokens as numbers into its vocabulary, whose words are 128 bits of BLAKE2."""
     kind = df.schema[doc_id].dataType
     fields = [("block", T.LongType()), ("ids", T.ArrayType(kind)), *((c, T.BinaryType()) for c in ("sizes", "train", "tokens", "vocabulary", "seen")), ("entries", T.LongType())]
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
@@ -103,21 +106,35 @@ def blocks(df: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, size = TaskContext.get().partitionId() << 32, [], 0
 
+        class Numbers(dict):
+            def __missing__(self, word: bytes) -> int:
+                self[word] = n = len(self)
+                return n
+
+        numbers = Numbers({END: 0})
+
         def out() -> pa.RecordBatch:
             ids = pa.chunked_array([h[0] for h in held]).combine_chunks()
             sizes, learn = (np.concatenate([h[i] for h in held]) for i in (1, 2))
-            h = np.concatenate([h[3] for h in held])
-            vocabulary, tokens = np.unique(h, return_inverse=True)
-            seen = np.bincount(tokens, np.repeat(learn, sizes), len(vocabulary)).astype(np.uint32)
+            tokens = np.concatenate([x for h in held for x in h[3]])
+            vocabulary = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in numbers), np.uint64)
+            many = len(numbers)
+            seen = np.bincount(tokens, np.repeat(learn, sizes), many).astype(np.uint32)
             held.clear()
+            numbers.clear()
+            numbers[END] = 0
             lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            return pa.RecordBatch.from_arrays([pa.array([block]), lists, *(pa.array([squeeze(x)], pa.binary()) for x in (sizes.astype(np.uint32), learn.astype(np.uint8), tokens.astype(np.uint32), vocabulary, seen)), pa.array([len(vocabulary)])], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array([block]), lists, *(pa.array([squeeze(x)], pa.binary()) for x in (sizes.astype(np.uint32), learn.astype(np.uint8), tokens, vocabulary, seen)), pa.array([many])], names=schema.names)
 
+        end = np.zeros(1, np.uint32)
         for batch in slices(batches, "__text"):
-            h, first = word_hashes(batch.column(2))
-            h = np.insert(h, first[1:], END)
-            held.append((batch.column(0), np.diff(first) + 1, np.asarray(batch.column(1).fill_null(False)), h))
-            size += len(h)
+            tokens, sizes = [], []
+            for raw in batch.column(2).cast(pa.binary()).to_pylist():
+                own = [np.fromiter(map(numbers.__getitem__, some), np.uint32, len(some)) for some in word_lists(raw or b"")]
+                tokens += [*own, end]
+                sizes.append(sum(map(len, own)) + 1)
+            held.append((batch.column(0), np.array(sizes), np.asarray(batch.column(1).fill_null(False)), tokens))
+            size += sum(sizes)
             if size >= BLOCK_TOKENS:
                 yield out()
                 block, size = block + 1, 0
@@ -127,6 +144,11 @@ def blocks(df: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame:
     return df.select(F.col(doc_id).alias("id"), train.alias("train"), F.col(text).alias("__text")).mapInArrow(task, schema)
 
 
+def words_of(vocabulary: bytes) -> np.ndarray:
+    """Rows of two 64-bit numbers."""
+    return spread(vocabulary, np.uint64).reshape(-1, 2)
+
+
 def deal(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """A stable order by part, and where each part ends."""
     order = np.argsort(part, kind="stable")
@@ -142,16 +164,19 @@ def unigram_tables(state: DataFrame, parts: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, vocabulary, seen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                v, n = spread(vocabulary, np.uint64), spread(seen, np.uint32)
-                order, cut = deal(mix(v) % np.uint64(parts), parts)
+                v, n = words_of(vocabulary), spread(seen, np.uint32)
+                order, cut = deal(v[:, 0] % np.uint64(parts), parts)
                 has = np.flatnonzero(np.diff(cut))
                 v, n = v[order], n[order]
-                yield pa.RecordBatch.from_arrays([pa.array(has), pa.array([block] * len(has)), *(pa.array([squeeze(x[cut[p] : cut[p + 1]]) for p in has], pa.binary()) for x in (v, n))], names=["part", "block", "words", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.array(has), pa.array([block] * len(has)), *(pa.array([squeeze(x[cut[p] : cut[p + 1]].ravel()) for p in has], pa.binary()) for x in (v, n))], names=["part", "block", "words", "seen"])
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        rows = [(b, spread(w, np.uint64), spread(n, np.uint32)) for b, w, n in zip(*(table.column(c).to_pylist() for c in ("block", "words", "seen")), strict=True)]
-        _, where = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+        rows = [(b, words_of(w), spread(n, np.uint32)) for b, w, n in zip(*(table.column(c).to_pylist() for c in ("block", "words", "seen")), strict=True)]
+        words = np.concatenate([r[1] for r in rows])
+        order = np.lexsort(words.T)
+        where = np.empty(len(words), np.int64)
+        where[order] = np.cumsum(np.concatenate([[False], (words[order][1:] != words[order][:-1]).any(1)]))
         total = np.bincount(where, np.concatenate([r[2] for r in rows])).astype(np.int64)
         order = np.argsort(-total, kind="stable")
         rank = np.empty(len(order), np.uint64)
@@ -183,8 +208,8 @@ class Block:
         one = {c: state.column(c)[0].as_py() for c in ("sizes", "train", "tokens", "vocabulary")}
         self.ids = state.column("ids").combine_chunks().flatten()
         self.sizes, self.train = spread(one["sizes"], np.uint32).astype(np.int64), spread(one["train"], np.uint8)
-        tokens, v = spread(one["tokens"], np.uint32), spread(one["vocabulary"], np.uint64)
-        order, cut = deal(mix(v) % np.uint64(parts), parts)
+        tokens, v = spread(one["tokens"], np.uint32), words_of(one["vocabulary"])
+        order, cut = deal(v[:, 0] % np.uint64(parts), parts)
         number, counted = np.full(len(v), NONE, np.uint64), np.zeros(len(v), np.int64)
         for p, blob, c in zip(*(replies.column(x).to_pylist() for x in ("part", "numbers", "counted")), strict=True):
             mine = order[cut[p] : cut[p + 1]]
@@ -192,7 +217,7 @@ class Block:
         self.count = counted[tokens]
         begin = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         before = np.concatenate([[0], tokens[:-1]]).astype(np.int64)
-        before[begin] = np.searchsorted(v, END)  # a text begins after an end, which every text has
+        before[begin] = 0  # a text begins after an end
         known = number[before] != NONE
         self.context_count = counted[before]
         # a follower that training lacks is asked for too: its context's weight is needed

@@ -14,7 +14,8 @@ nearest long and still ranked by its true value.
 
 Defined results: vectors that are null or hold null or non-finite components, or whose length differs
 from the most common one, take no part; rows of equal vec_id are different candidates, except that a
-query never meets a row of its own id; ties go to the smaller vec_id; an empty table gives no rows.
+query never meets a row of its own id; queries of equal vec_id have a ranking for each different vector;
+ties go to the smaller vec_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -204,7 +205,7 @@ def matrix(column: pa.Array, rows: int) -> np.ndarray:
 
 
 def answer(here: DataFrame, asked: DataFrame, k: int, scale: int) -> DataFrame:
-    """query_id, vec_id, score, key: the best of each shard (cell, sub) for the queries sent there."""
+    """query_id, q, vec_id, score, key: the best of each shard (cell, sub) for the queries sent there; q tells queries of one id apart."""
 
     def task(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by shard, its vectors first and then its queries by block
@@ -212,22 +213,22 @@ def answer(here: DataFrame, asked: DataFrame, k: int, scale: int) -> DataFrame:
 
         def ask() -> Iterator[pa.RecordBatch]:
             if held and points is not None:
-                own, q, floor = (np.concatenate([h[i] for h in held]) for i in range(3))
+                own, q, floor, which = (np.concatenate([h[i] for h in held]) for i in range(4))
                 got = search(points, ids, q, own, k, scale, floor)
                 value = [s for _, _, s in got]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([int(own[i]) for i, _, _ in got], pa.int64()), pa.array([n for _, n, _ in got], pa.int64()),
+                        *(pa.array([int(c[i]) for i, _, _ in got], pa.int64()) for c in (own, which)), pa.array([n for _, n, _ in got], pa.int64()),
                         pa.array([min(max(s, _LEAST), _MOST) for s in value], pa.int64()),
                         pa.array([None if _LEAST < s < _MOST else order_key(s) for s in value], pa.binary()),
                     ],
-                    names=["query_id", "vec_id", "score", "key"],
+                    names=["query_id", "q", "vec_id", "score", "key"],
                 )
             held.clear()
 
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in tables:
-            cell, sub, b, i, f = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("cell", "sub", "block", "vec_id", "floor"))
+            cell, sub, b, i, f, which = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("cell", "sub", "block", "vec_id", "floor", "q"))
             v = matrix(batch.column(batch.schema.get_field_index("x")), len(i))
             cut = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (sub[1:] != sub[:-1]) | (b[1:] != b[:-1]), [True]]))
             for a, z in zip(cut[:-1], cut[1:], strict=True):
@@ -242,16 +243,16 @@ def answer(here: DataFrame, asked: DataFrame, k: int, scale: int) -> DataFrame:
                 else:
                     if points is None and parts:
                         ids, points, parts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), []
-                    held.append((i[a:z], v[a:z], f[a:z]))
+                    held.append((i[a:z], v[a:z], f[a:z], which[a:z]))
         yield from ask()
 
     both = here.unionByName(asked)
-    return both.repartition("cell", "sub").sortWithinPartitions("cell", "sub", "block", "vec_id").mapInArrow(task, "query_id long, vec_id long, score long, key binary")
+    return both.repartition("cell", "sub").sortWithinPartitions("cell", "sub", "block", "vec_id").mapInArrow(task, "query_id long, q long, vec_id long, score long, key binary")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("key"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "key")
+    order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), F.desc("key"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "q", "rank", "vec_id", "score", "key")
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
@@ -320,22 +321,23 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", e
                     row, col = np.repeat(row, many), np.repeat(col, many)
                     sub = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
                     pick = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pick), part.column(1).take(pick), pa.array(floor[row]), pa.array(known[col]), pa.array(sub)], names=["vec_id", "x", "floor", "cell", "sub"])
+                    sent = [part.column(0).take(pick), part.column(1).take(pick), pa.array(floor[row]), part.column(3).take(pick), pa.array(known[col]), pa.array(sub)]
+                    yield pa.RecordBatch.from_arrays(sent, names=["vec_id", "x", "floor", "q", "cell", "sub"])
 
         return task
 
-    schema = "vec_id long, x array<double>, floor double, cell long, sub long"
+    schema = "vec_id long, x array<double>, floor double, q long, cell long, sub long"
     here = rows.select("vec_id", "x", F.xxhash64("vec_id", "x", F.monotonically_increasing_id()).alias("salt")).mapInArrow(place, "vec_id long, x array<double>, cell long, sub long")
-    here = here.withColumns({"block": F.lit(-1).cast("long"), "floor": F.lit(None).cast("double")})
-    asked = rows.where(is_query).select("vec_id", "x").distinct()
+    here = here.withColumns({"block": F.lit(-1).cast("long"), "floor": F.lit(None).cast("double"), "q": F.lit(0).cast("long")})
+    asked = rows.where(is_query).select("vec_id", "x").distinct().withColumn("q", F.xxhash64("x"))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long")
     nothing = F.lit(None).cast("double").alias("floor")
-    found = answer(here, asked.select("vec_id", "x", nothing).mapInArrow(visits(True), schema).withColumn("block", block), k, scale)
+    found = answer(here, asked.select("vec_id", "x", nothing, "q").mapInArrow(visits(True), schema).withColumn("block", block), k, scale)
     if len(known) > 1:
         found = shared_checkpoint(ranked(found, k).drop("rank"))
-        kth = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).where(F.col("n") == k).groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("least"))
+        kth = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id", "q"))).where(F.col("n") == k).groupBy(F.col("query_id").alias("vec_id"), "q").agg(F.min("score").alias("least"))
         # a long as a double that is not above it; the least long may stand for less
         floor = F.when(F.col("least") > _LEAST, F.col("least").cast("double") - F.abs("least").cast("double") * 2.0**-52).alias("floor")
-        again = asked.join(kth, "vec_id", "left").select("vec_id", "x", floor).mapInArrow(visits(False), schema).withColumn("block", block)
+        again = asked.join(kth, ["vec_id", "q"], "left").select("vec_id", "x", floor, "q").mapInArrow(visits(False), schema).withColumn("block", block)
         found = found.unionByName(answer(here, again, k, scale))
-    return ranked(found, k).drop("key")
+    return ranked(found, k).drop("key", "q")

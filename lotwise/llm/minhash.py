@@ -13,6 +13,7 @@ copies share one class; ids may repeat or be null (a group's id is its least id
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from math import ceil, comb
 
 import numpy as np
@@ -79,26 +80,37 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
-def set_class(s: np.ndarray) -> int:
-    """A number for equal sets."""
-    with np.errstate(over="ignore"):
-        a, b = mix(s * _C[1]).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + _C[2])) if len(s) else np.uint64(0)
-        return int(mix(np.array([a * _C[3] + mix(np.array([b]))[0] + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+def set_class(s: np.ndarray) -> tuple[int, int]:
+    """128 bits for equal sets: a class's number, and what tells classes of one number apart."""
+    return tuple(np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
 def features(df: DataFrame, doc_id: str, text: str, k: int, rows: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, what is to be carried, n_shingles, cls (null for an empty set) and band keys."""
-    schema = df.select(doc_id, *carry).schema.add("n_shingles", "long").add("cls", "long").add("bands", T.ArrayType(T.LongType()))
+    """doc_id, what is to be carried, th (the text's hash), n_shingles, cls and cls2 (null for an empty set) and band keys."""
+    asked = df.select(doc_id, *carry, F.xxhash64(text).alias("th"), F.col(text).alias("__text"))
+    schema = asked.drop("__text").schema.add("n_shingles", "long").add("cls", "long").add("cls2", "long").add("bands", T.ArrayType(T.LongType()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
-            sets = shingle_sets(batch.column(1 + len(carry)), k)
+            sets = shingle_sets(batch.column(2 + len(carry)), k)
+            named = [set_class(s) if len(s) else (None, None) for s in sets]
             full = [len(s) > 0 for s in sets]
             keys = band_keys(np.stack([signature(s, rows) for s in sets]), rows)[full].view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.array(full) * BANDS)]).astype(np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + len(carry)], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()), bands], names=schema.names)
+            classes = [pa.array([n[i] for n in named], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 2 + len(carry)], pa.array([len(s) for s in sets], pa.int64()), *classes, bands], names=schema.names)
+
+    return asked.mapInArrow(task, schema)
 
-    return df.selectExpr(f"`{doc_id}`", *[f"`{c}`" for c in carry], f"`{text}` as __text").mapInArrow(task, schema)
+
+def told_apart(feats: DataFrame) -> DataFrame:
+    """Gives classes that share a number by chance numbers of their own. There is hardly ever one, so what is joined is next to nothing."""
+    twice = feats.where("cls is not null").groupBy("cls").agg(F.min("cls2").alias("least"), F.max("cls2").alias("most")).where("least <> most").select("cls", F.lit(True).alias("__twice"))
+    twice = shared_checkpoint(twice)
+    if twice.isEmpty():
+        return feats
+    other = F.when(F.col("__twice"), F.xxhash64("cls", "cls2")).otherwise(F.col("cls"))
+    return feats.join(twice, "cls", "left").withColumn("cls", other).drop("__twice")
 
 
 def fewest(threshold: float, n: int, miss: float) -> int:
@@ -154,21 +166,27 @@ def links(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, numerator: int = 80, miss: float = MISS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, carried columns, n_shingles, component_id, kept: groups connected by similarity of numerator/100 or more (k words a shingle)."""
     width = band_rows(numerator)
-    feats = shared_checkpoint(features(df, doc_id, text, k, width, carry))
-    classes = feats.where("cls is not null").groupBy("cls").agg(F.min(doc_id).alias("rep"), F.first("bands").alias("bands"))
+    feats = told_apart(shared_checkpoint(features(df, doc_id, text, k, width, carry)))
+    # a row of each class, by its id and its text's hash
+    classes = feats.where("cls is not null").groupBy("cls").agg(
+        F.min(doc_id).alias("rep"), F.coalesce(F.min_by("th", doc_id), F.min("th")).alias("rep_th"), F.first("cls2").alias("cls2"), F.first("bands").alias("bands")
+    )
     keys = classes.select("cls", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     clusters = components(keys.join(shared, "key").where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct())
 
     sized = clusters.join(clusters.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "comp")
-    members = sized.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
-    docs = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    wanted = docs.join(members, docs["__id"].eqNullSafe(members["rep"])).select("node", "comp", "blocks", "__text")
+    members = sized.join(classes.select(F.col("cls").alias("node"), "rep", "rep_th", "cls2"), "node")
+    docs = df.select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__th"), F.col(text).alias("__text"))
+    wanted = docs.join(members, docs["__id"].eqNullSafe(members["rep"]) & (docs["__th"] == members["rep_th"])).select("node", "comp", "blocks", "cls2", "__text")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # the same row may come often
         for batch in slices(batches, "__text"):
-            sets = shingle_sets(batch.column(3), k)
-            right = np.array([set_class(s) == c for s, c in zip(sets, batch.column(0).to_pylist(), strict=True)])  # ids may repeat
+            fresh = [not (n in done or done.add(n)) for n in batch.column(0).to_pylist()]
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
+            sets = shingle_sets(batch.column(4), k)
+            right = np.array([set_class(s)[1] == c for s, c in zip(sets, batch.column(3).to_pylist(), strict=True)], bool)  # another text of the same hash
             kept = [s for s, r in zip(sets, right, strict=True) if r]
             yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(right)) for c in batch.columns[:3]), pa.array([signature(s, width).tobytes() for s in kept], pa.binary()), pa.array([s.tobytes() for s in kept], pa.binary())], names=["node", "comp", "blocks", "sig", "members"])
 

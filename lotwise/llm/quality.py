@@ -145,6 +145,8 @@ def learn(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty
             if step == step:
                 score[holds(path, x)] += 0.3 * step
     names = list(rules)
+    if not names:
+        return Model([], [], float(np.log(share / (1 - share))))
     m = np.stack([holds(r, x) for r in names], 1).astype(np.float64)
     live = (m.mean(0) > 0.002) & (m.mean(0) < 0.998)
     names, m = [r for r, k in zip(names, live, strict=True) if k], m[:, live]
@@ -174,7 +176,9 @@ def learn(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty
 def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality", text: str = "text", sample: int = SAMPLE_ROWS) -> Model:
     """Learn from ``labels`` (doc_id, label) and the texts of ``df``, on at most ``sample`` labelled rows."""
     some = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("double").alias("__label")).dropna().orderBy(F.xxhash64("__id"), "__id", "__label").limit(sample)
-    rows = with_statistics(df.join(F.broadcast(some), df[doc_id] == some["__id"]), text, ("__label",)).toArrow()  # at most the sample's rows
+    joined = df.select(F.col(doc_id).alias("__own"), F.col(text).alias("__text")).join(F.broadcast(some), F.col("__own") == F.col("__id"))
+    joined = joined.withColumn("__row", F.xxhash64("__id", "__text", "__label"))
+    rows = with_statistics(joined, "__text", ("__label", "__row")).orderBy("__row").limit(sample).toArrow()  # ids may repeat in either table
     x = np.stack([rows.column(f"stat_{s}").to_numpy() for s in STATISTICS], 1) if rows.num_rows else np.zeros((0, len(STATISTICS)))
     y = rows.column("__label").to_numpy() if rows.num_rows else np.zeros(0)
     order = np.lexsort(np.column_stack([x, y]).T)  # however the rows came in

@@ -323,7 +323,8 @@ def find_spans(df: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
     met = found.where("d1 is not null").groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("alone"), F.struct("__id", "__th", "first", "end"))).alias("who"))
     late = met.where("n > 1").select(F.explode("who").alias("w")).select("w.*")  # at most one row for each salt
     all_spans = found.where("d1 is null").select("__id", "__th", "first", "end").unionByName(late)
-    return all_spans.groupBy("__id", "__th").agg(F.collect_list(span).alias("spans"))
+    # rows of one id and text each send the spans of that text
+    return all_spans.distinct().groupBy("__id", "__th").agg(F.collect_list(span).alias("spans"))
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, as_text: bool = False) -> DataFrame:
