@@ -29,7 +29,7 @@ from lotwise.llm.common import mix, shared_checkpoint, slices
 from lotwise.llm.katz import deal, spread, squeeze
 
 #: Tokens of a block, distinct candidates of a shard (about), and bytes of text that are split at once.
-BLOCK_TOKENS, SHARD_ENTRIES, STEP_BYTES = 2 << 20, 1 << 19, 1 << 20
+BLOCK_TOKENS, SHARD_ENTRIES, STEP_BYTES = 1 << 20, 1 << 18, 1 << 20
 #: Groups in which a language's best are found before they meet.
 SALTS = 256
 #: floor(1000000 * a * a / (l * r)) in exact decimals; products may pass 64 bits, the quotient is at most a million.
@@ -77,6 +77,11 @@ class SlotHash:
         return out
 
 
+def freed() -> None:
+    """Workers live on between groups, and Arrow keeps what it has freed."""
+    pa.default_memory_pool().release_unused()
+
+
 def tree_sum(arrays: Iterator[np.ndarray]) -> np.ndarray:
     """Sum arrays in pairs of equal height, holding one for each height."""
     held: list[tuple[int, np.ndarray]] = []
@@ -91,10 +96,13 @@ def tree_sum(arrays: Iterator[np.ndarray]) -> np.ndarray:
     return held[0][1]
 
 
-def word_key(word: bytes) -> tuple[int, int]:
-    """128 bits that place a word; its bytes are compared besides."""
-    d = blake2b(word, digest_size=16).digest()
-    return int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")
+def keys_of(words: list[bytes]) -> np.ndarray:
+    """128 bits that place each word; its bytes are compared besides."""
+    return np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in words), np.uint64)
+
+
+def halves(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.ascontiguousarray(keys[::2]), np.ascontiguousarray(keys[1::2])
 
 
 def parts_of(raw: bytes) -> Iterator[list[bytes]]:
@@ -112,7 +120,7 @@ def parts_of(raw: bytes) -> Iterator[list[bytes]]:
 
 def blocks(df: DataFrame, text: str, lang: str) -> DataFrame:
     """Rows of blocks: tokens as numbers into a vocabulary of (language, word), 0 for a piece's end, and how often each occurs."""
-    schema = "block long, tokens binary, words array<binary>, seen binary, entries long"
+    schema = "block long, tokens binary, words array<binary>, keys binary, seen binary, entries long"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -134,8 +142,9 @@ def blocks(df: DataFrame, text: str, lang: str) -> DataFrame:
         def out() -> pa.RecordBatch:
             tokens = np.concatenate(held)
             seen = np.bincount(tokens, minlength=len(names) + 1)[1:].astype(np.uint32)
-            row = [pa.array([block]), pa.array([squeeze(tokens)], pa.binary()), pa.array([names], pa.list_(pa.binary())), pa.array([squeeze(seen)], pa.binary()), pa.array([len(names)], pa.int64())]
-            return pa.RecordBatch.from_arrays(row, names=["block", "tokens", "words", "seen", "entries"])
+            blobs = [pa.array([squeeze(x)], pa.binary()) for x in (tokens, keys_of(names), seen)]
+            row = [pa.array([block]), blobs[0], pa.array([names], pa.list_(pa.binary())), *blobs[1:], pa.array([len(names)], pa.int64())]
+            return pa.RecordBatch.from_arrays(row, names=["block", "tokens", "words", "keys", "seen", "entries"])
 
         for batch in slices(batches, "__text"):
             for name, raw in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -158,11 +167,6 @@ def blocks(df: DataFrame, text: str, lang: str) -> DataFrame:
     return asked.mapInArrow(task, schema)
 
 
-def keys_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    keys = [word_key(w) for w in words]
-    return tuple(np.fromiter((k[i] for k in keys), np.uint64, len(keys)) for i in (0, 1))
-
-
 def shard_of(a: np.ndarray, b: np.ndarray, shards: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b)) % np.uint64(shards)
@@ -188,8 +192,8 @@ def word_tables(state: DataFrame, shards: int, least: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, words, seen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                order, cut = deal(shard_of(*keys_of(words), shards), shards)
+            for block, words, keys, seen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                order, cut = deal(shard_of(*halves(spread(keys, np.uint64)), shards), shards)
                 n = spread(seen, np.uint32)[order]
                 has = np.flatnonzero(np.diff(cut))
                 sent = [pa.array([[words[i] for i in order[cut[s] : cut[s + 1]]] for s in has], pa.list_(pa.binary())), pa.array([squeeze(n[cut[s] : cut[s + 1]]) for s in has], pa.binary())]
@@ -199,7 +203,7 @@ def word_tables(state: DataFrame, shards: int, least: int) -> DataFrame:
         shard = key[0].as_py()
         blocks_ = table.column("block").to_pylist()
         names = table.column("words").to_pylist()
-        keys = [keys_of(x) for x in names]
+        keys = [halves(keys_of(x)) for x in names]
         a, b, first = distinct(*(np.concatenate([k[i] for k in keys]) for i in (0, 1)))
         hashes = SlotHash(a, b)
         flat = [w for x in names for w in x]
@@ -211,6 +215,7 @@ def word_tables(state: DataFrame, shards: int, least: int) -> DataFrame:
         for x, s in zip(names, slots, strict=True):
             if any(stored[i] != w for i, w in zip(s.tolist(), x, strict=True)):
                 raise ValueError("two words of one 128-bit key")
+        freed()
         number = np.where(total >= least, np.arange(hashes.n, dtype=np.uint64) * np.uint64(shards) + np.uint64(shard), NONE)
         often = np.flatnonzero(total >= least).tolist()
         tokens: dict[str, int] = {}
@@ -225,7 +230,7 @@ def word_tables(state: DataFrame, shards: int, least: int) -> DataFrame:
         ]
         return pa.table([*rows, *lists], names=["block", "shard", "numbers", "often", "tokens"])
 
-    sent = state.select("block", "words", "seen").mapInArrow(send, "shard long, block long, words array<binary>, seen binary")
+    sent = state.select("block", "words", "keys", "seen").mapInArrow(send, "shard long, block long, words array<binary>, seen binary")
     return sent.groupBy("shard").applyInArrow(
         count, "block long, shard long, numbers binary, often array<struct<id:long,lang:string,word:string,f:long>>, tokens array<struct<lang:string,n:long>>"
     )
@@ -240,9 +245,9 @@ class Block:
 
     def __init__(self, state: pa.Table, replies: pa.Table, word_shards: int, shards: int):
         tokens = spread(state.column("tokens")[0].as_py(), np.uint32).astype(np.int64)
-        words = state.column("words")[0].as_py()
-        order, cut = deal(shard_of(*keys_of(words), word_shards), word_shards)
-        self.number = np.full(len(words) + 1, NONE, np.uint64)
+        words = halves(spread(state.column("keys")[0].as_py(), np.uint64))
+        order, cut = deal(shard_of(*words, word_shards), word_shards)
+        self.number = np.full(len(order) + 1, NONE, np.uint64)
         for s, blob in zip(replies.column("shard").to_pylist(), replies.column("numbers").to_pylist(), strict=True):
             self.number[order[cut[s] : cut[s + 1]] + 1] = spread(blob, np.uint64)
         self.tokens, self.shards = tokens, shards
@@ -288,11 +293,12 @@ def pair_tables(state: DataFrame, words: DataFrame, word_shards: int, shards: in
         hashes = SlotHash(a, b)
         total, slots = counted(hashes, parts)
         often = total >= least
+        freed()
         n, blocks_ = len(parts), table.column("block").to_pylist()
         lists = {c: pa.array([None] * n + [x[often].astype(np.int64)], pa.list_(pa.int64())) for c, x in (("a", hashes.a), ("b", hashes.b), ("n", total))}
         return pa.table({"block": pa.array([*blocks_, None], pa.int64()), "shard": pa.array([key[0].as_py()] * (n + 1), pa.int64()), "often": pa.array([*(squeeze(often[s].astype(np.uint8)) for s in slots), None], pa.binary()), **lists})
 
-    sent = state.select("block", "tokens", "words").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(send, "shard long, block long, a binary, b binary, seen binary")
+    sent = state.select("block", "tokens", "keys").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(send, "shard long, block long, a binary, b binary, seen binary")
     return sent.groupBy("shard").applyInArrow(count, "block long, shard long, often binary, a array<long>, b array<long>, n array<long>")
 
 
@@ -320,9 +326,10 @@ def three_tables(state: DataFrame, replies: DataFrame, word_shards: int, shards:
         total, _ = counted(hashes, third)
         often = total >= least
         head = hashes.a[often].astype(np.int64)
+        freed()
         return pa.table({k: v.astype(np.int64) for k, v in (("a", pairs.a[head]), ("b", pairs.b[head]), ("c", hashes.b[often]), ("n", total[often]))})
 
-    sent = state.select("block", "tokens", "words").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(send, "shard long, block long, a binary, b binary, c binary, seen binary")
+    sent = state.select("block", "tokens", "keys").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(send, "shard long, block long, a binary, b binary, c binary, seen binary")
     return sent.groupBy("shard").applyInArrow(count, "a long, b long, c long, n long")
 
 

@@ -294,8 +294,8 @@ def test_kd_tree(spark):
     got = kdtree.top_k(df, F.pmod(F.col("vec_id"), F.lit(50)) == 0)
     use = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in sorted({i for i, _ in use if i % 50 == 0}):
-        pairs = sorted({(-int(v @ w), j, k) for i, v in use if i == q for k, (j, w) in enumerate(use) if j != q})
+    for q, v in [(i, v) for i, v in use if i % 50 == 0]:  # 100 twice, with vectors and rankings of their own
+        pairs = sorted((-int(v @ w), j, k) for k, (j, w) in enumerate(use) if j != q)
         want += [(q, r + 1, j, -s) for r, (s, j, _) in enumerate(pairs[:5])]
     assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
     assert kdtree.top_k(df.limit(0), F.lit(True)).count() == 0
