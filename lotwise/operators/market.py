@@ -6,20 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.numeric import days_between
+from lotwise.operators.graph import shared_checkpoint
 from lotwise.operators.groups import first_last, representative
 from lotwise.operators.joins import bucket_range
+from lotwise.operators.quantiles import exact_percentiles
 
 QUANTILES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
 
 
-def percentiles(value: Column, names: dict[str, float] = QUANTILES) -> list[Column]:
-    """AGG04: exact, with linear interpolation; nulls are ignored."""
-    return [F.percentile(value, q).alias(n) for n, q in names.items()]
+def percentiles(df: DataFrame, by: list[str], value: str, names: dict[str, float] = QUANTILES) -> DataFrame:
+    """AGG04: ``by``, n and each share: exact, with linear interpolation; nulls are ignored. A group may be larger than any task."""
+    return exact_percentiles(df, by, value, names)
 
 
-def all_percentiles(value: Column, names: dict[str, float] = QUANTILES) -> Column:
-    """The same as one array, whose values are sorted once."""
-    return F.percentile(value, F.array(*map(F.lit, names.values())))
+def percentiles_of(df: DataFrame, by: list[str], values: dict[str, tuple[Column, float]]) -> DataFrame:
+    """AGG05: one percentile each of several columns (null where a row is filtered out), all found in the same passes."""
+    each = F.array(*[F.struct(F.lit(name).alias("measure"), v.cast("double").alias("value")) for name, (v, _) in values.items()])
+    long = df.select(*by, F.inline(each))
+    shares = {f"q{i}": q for i, q in enumerate(dict.fromkeys(q for _, q in values.values()))}
+    name_of = {q: n for n, q in shares.items()}
+    found = exact_percentiles(long, [*by, "measure"], "value", shares)
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("measure") == name, F.col(name_of[q]))).alias(name) for name, (_, q) in values.items()])
 
 
 def pricing(listings: DataFrame, history: DataFrame, as_of: Column) -> DataFrame:
@@ -37,15 +44,15 @@ def pricing(listings: DataFrame, history: DataFrame, as_of: Column) -> DataFrame
     use = (F.col("priced") == 1) & F.col("price_cents").isNotNull()
     age = F.when(use, days_between(as_of, F.col("source_listed_at")))
     ends = first_last(history, "listing_id", "price_cents", ["recorded_at", "seq"])
-    rows = reps.join(ends, F.col("id") == F.col("listing_id"), "left")
+    rows = shared_checkpoint(reps.select("id", "any", use.alias("use"), F.when(use, F.col("price_cents")).alias("price_cents"), age.alias("age")))
     rep = F.col("any") == 1
-    stats = rows.agg(
-        F.count_if(use).alias("total"), all_percentiles(F.when(use, F.col("price_cents"))).alias("p"), F.percentile(age, F.lit(0.5)).alias("median_age_days"),
-        F.count_if(rep & F.col("listing_id").isNotNull()).alias("with_history"), F.count_if(rep & (F.col("first_value") > F.col("last_value"))).alias("dropped"),
+    stats = rows.join(ends, F.col("id") == F.col("listing_id"), "left").agg(
+        F.count_if("use").alias("total"), F.count_if(rep & F.col("listing_id").isNotNull()).alias("with_history"), F.count_if(rep & (F.col("first_value") > F.col("last_value"))).alias("dropped"),
     )
+    shares = {n: (F.col("price_cents"), q) for n, q in QUANTILES.items()} | {"median_age_days": (F.col("age"), 0.5)}
+    found = percentiles_of(rows, [], shares)
     rate = F.when(F.col("with_history") > 0, F.round(F.col("dropped") / F.col("with_history"), 2)).alias("drop_rate")
-    named = [F.get("p", F.lit(i)).alias(n) for i, n in enumerate(QUANTILES)]
-    return stats.select("total", *named, "median_age_days", "with_history", "dropped", rate)
+    return stats.crossJoin(F.broadcast(found)).select("total", *QUANTILES, "median_age_days", "with_history", "dropped", rate)  # one row each
 
 
 def inventory(reps: DataFrame, buckets: DataFrame, unit: str, first: Column, last: Column) -> DataFrame:
@@ -63,8 +70,8 @@ def trends(listings: DataFrame, history: DataFrame, buckets: DataFrame, unit: st
     """DOM18: inventory, median recorded price and mean days to gone per bucket; each is aggregated before they meet."""
     reps = representative(listings)
     there = inventory(reps, buckets, unit, first, last)
-    recorded = history.join(reps.select(F.col("id").alias("listing_id")), "listing_id").groupBy(F.date_trunc(unit, "recorded_at").alias("bucket"))
-    prices = recorded.agg(F.percentile("price_cents", F.lit(0.5)).alias("median_price"))
+    recorded = history.join(reps.select(F.col("id").alias("listing_id")), "listing_id").select(F.date_trunc(unit, "recorded_at").alias("bucket"), "price_cents")
+    prices = exact_percentiles(recorded, ["bucket"], "price_cents", {"median_price": 0.5}).drop("n")
     left = reps.where("gone_at is not null").groupBy(F.date_trunc(unit, "gone_at").alias("bucket"))
     gone = left.agg(F.avg(days_between(F.col("gone_at"), F.col("source_listed_at"))).alias("days_to_gone"))
     return there.join(prices, "bucket", "left").join(gone, "bucket", "left").select("bucket", "inventory", "median_price", "days_to_gone")

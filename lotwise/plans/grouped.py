@@ -37,8 +37,9 @@ def agg03(spark, d):
 
 @query("agg05_filtered_percentile", f"select source, round(quantile_cont(price_cents / 100.0, 0.5) filter (where status = 'O'), 3) open_median, round(quantile_cont(price_cents / 100.0, 0.9), 3) p90 from {LISTINGS} group by source")
 def agg05(spark, d):
-    listings(spark, d).createOrReplaceTempView("lotwise_listings")
-    return spark.sql("select source, round(percentile_cont(0.5) within group (order by price_cents / 100.0) filter (where status = 'O'), 3) open_median, round(percentile_cont(0.9) within group (order by price_cents / 100.0), 3) p90 from lotwise_listings group by source")
+    price = F.col("price_cents") / 100.0
+    found = market.percentiles_of(listings(spark, d), ["source"], {"open_median": (F.when(F.col("status") == "O", price), 0.5), "p90": (price, 0.9)})
+    return found.select("source", F.round("open_median", 3).alias("open_median"), F.round("p90", 3).alias("p90"))
 
 
 @query("agg06_count_filter", f"select source, count(*) filter (where status = 'F') finished, count(*) n from {LISTINGS} group by source")

@@ -33,8 +33,9 @@ def jon04(spark, d):
 
 @query("jon05_point_in_bucket", f"select b as bucket, round(quantile_cont(price_cents, 0.5), 2) median from (select unnest(generate_series(timestamp '1994-01-03', timestamp '1994-12-26', interval 7 day)) b) left join {HISTORY} on recorded_at >= b and recorded_at < b + interval 7 day group by b")
 def jon05(spark, d):
-    m = price_history(spark, d).groupBy(F.date_trunc("week", "recorded_at").alias("bucket")).agg(F.round(F.percentile("price_cents", F.lit(0.5)), 2).alias("median"))
-    return joins.spine(spark, "1994-01-03", "1994-12-26", "week").join(m, "bucket", "left")
+    weekly = price_history(spark, d).select(F.date_trunc("week", "recorded_at").alias("bucket"), "price_cents")
+    m = market.percentiles(weekly, ["bucket"], "price_cents", {"median": 0.5})
+    return joins.spine(spark, "1994-01-03", "1994-12-26", "week").join(m.select("bucket", F.round("median", 2).alias("median")), "bucket", "left")
 
 
 @query("jon08_blocked_pairs", "select a.c_custkey a, b.c_custkey b from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_mktsegment = b.c_mktsegment and a.c_custkey < b.c_custkey where abs(a.c_acctbal - b.c_acctbal) <= 500")

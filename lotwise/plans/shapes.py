@@ -211,7 +211,7 @@ Q = ", ".join(f"round(quantile_cont(price_cents, {q}), 4) {n}" for n, q in marke
 
 @query("agg04_percentiles", f"select source, segment, {Q} from {LISTINGS} group by 1, 2")
 def agg04(spark, d):
-    g = listings(spark, d).groupBy("source", "segment").agg(*market.percentiles(F.col("price_cents")))
+    g = market.percentiles(listings(spark, d), ["source", "segment"], "price_cents")
     return g.select("source", "segment", *[F.round(n, 4).alias(n) for n in market.QUANTILES])
 
 
