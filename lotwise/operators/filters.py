@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.text import city_state
+from lotwise.operators import fulltext
 from lotwise.operators.quality import BLEED as FIELD_BLEED  # noqa: F401
 
+
 def all_of(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
@@ -80,24 +82,13 @@ class Search:
         return ([F.col(name).desc_nulls_last() if way == "desc" else F.col(name).asc_nulls_last()] if name else []) + [F.col(tie).asc()]
 
 
-def text_score(query: str, columns: list[Column]) -> Column:
-    """FLT15: how many query words occur as whole words, weighted by the column they first occur in."""
-    words = [w for w in query.lower().split() if w]
-    score = F.lit(0)
-    for w in words:
-        hit = F.when(F.lit(False), 0)
-        for i, c in enumerate(columns):
-            hit = hit.when(F.array_contains(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), w), len(columns) - i)
-        score = score + hit.otherwise(0)
-    return score
-
-
-def search(df: DataFrame, s: Search, tie: str, text_columns: list[str] | None = None) -> DataFrame:
-    """SRT01, 03: one page of hits. Rows without a query word are left out when there is a text."""
-    hits = df.where(s.conditions())
-    order = s.order(tie)
-    if s.text:
-        hits = hits.withColumn("text_score", text_score(s.text, [F.col(c) for c in text_columns or []])).where("text_score > 0")
+def search(df: DataFrame, s: Search, tie: str, index: fulltext.Index | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """SRT01, 03: one page of hits. With a text only rows that have a word of it, the best by BM25 first; ``index`` holds the ids of ``tie``."""
+    hits, order = df.where(s.conditions()), s.order(tie)
+    if s.text and index is not None:
+        one = df.sparkSession.createDataFrame([(0, s.text)], "query_id int, text string")
+        found = fulltext.search(index, one, weights or {}, s.cap)
+        hits = hits.join(found.select(F.col("doc").alias(tie), F.col("score").alias("text_score")), tie)
         order = [F.desc("text_score"), *order]
     first = (s.page - 1) * s.per_page
     return hits.orderBy(*order).offset(first).limit(max(0, min(s.per_page, s.cap - first)))

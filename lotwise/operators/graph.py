@@ -94,21 +94,39 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return found.join(least, "comp").select(F.col("node").alias("id"), "component")
 
 
+def _longer(jumps: DataFrame) -> DataFrame:
+    """(above, below) pairs of twice as many steps."""
+    first, second = jumps.select("above", F.col("below").alias("via")), jumps.select(F.col("above").alias("via"), "below")
+    return shared_table(first.join(second, "via").select("above", "below").distinct())
+
+
 def descendants(edges: DataFrame, roots: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """(id, root, depth) of each root and all below it, a level a round; a node reached twice keeps its least depth, so cycles end."""
-    down = edges.select(F.col(child).alias("child"), F.col(parent).alias("id"))
+    """(id, root, depth) of each root and all below it; a node reached twice keeps its least depth.
+
+    Steps double: round k reaches from all that is known by jumps of 2**k steps, and then joins the jumps with
+    themselves. So a chain of n nodes takes log2(n) rounds. A round without a new pair is the last: on a shortest
+    way every depth occurs, so nothing lies deeper. Cycles end in the same way. In a forest there are at most as
+    many jumps as edges; with several parents a node has a jump for each node so many steps above.
+    """
+    jumps = edges.select(F.col(parent).alias("above"), F.col(child).alias("below")).where("above is not null and below is not null").distinct()
     root = F.col(roots.columns[0])
-    fresh = shared_checkpoint(roots.select(root.alias("id"), root.alias("root")).distinct().withColumn("depth", F.lit(0)))
-    levels = [fresh]
-    seen = fresh.select("id", "root")
+    known = shared_checkpoint(roots.select(root.alias("id"), root.alias("root")).distinct().withColumn("depth", F.lit(0)))
+    steps = 1
     while True:
-        below = fresh.join(down, "id").select(F.col("child").alias("id"), "root").distinct().join(seen, ["id", "root"], "left_anti")
-        fresh = shared_table(below.withColumn("depth", F.lit(len(levels))))
+        reached = known.join(jumps, F.col("id") == F.col("above")).groupBy(F.col("below").alias("id"), "root").agg((F.min("depth") + steps).cast("int").alias("depth"))
+        fresh = shared_table(reached.join(known.select("id", "root"), ["id", "root"], "left_anti"))
         if fresh.isEmpty():
-            break
-        levels.append(fresh)
-        seen = seen.unionByName(fresh.select("id", "root"))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+            return known
+        known = known.unionByName(fresh)  # a table a round
+        jumps = _longer(jumps)
+        steps *= 2
+
+
+def endless(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(id): nodes with a cycle below them, on it or above it: those from which as many steps lead down as there are nodes."""
+    jumps = shared_table(edges.select(F.col(parent).alias("above"), F.col(child).alias("below")).where("above is not null and below is not null").distinct())
+    nodes = jumps.select(F.col("above").alias("id")).unionByName(jumps.select(F.col("below").alias("id"))).distinct().count()
+    steps = 1
+    while steps <= nodes and not jumps.isEmpty():
+        jumps, steps = _longer(jumps), steps * 2
+    return jumps.select(F.col("above").alias("id")).distinct()

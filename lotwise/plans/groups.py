@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lotwise.operators import filters, groups
+from lotwise.operators import filters, fulltext, groups
 from lotwise.plans.registry import query
-from lotwise.plans.standins import EVENTS, HISTORY, LISTINGS, PARTS, events, listings, parts, price_history, t
+from lotwise.plans.standins import EVENTS, HISTORY, LISTINGS, PARTS, events, listings, parts, price_history, scratch, t
 
 
 @query("win01_representative", f"select id, vehicle_id, listed_at, price_cents from {LISTINGS} qualify row_number() over (partition by vehicle_id order by listed_at desc, id) = 1")
@@ -146,9 +146,34 @@ def flt13(spark, d):
     return parts(spark, d).where((F.lower("model") == "standard anodized tin") | F.lower("make").isin("brand#13", "brand#22")).select("id", "model")
 
 
-@query("flt15_fulltext", "select doc_id, cast((case when list_contains(w, 'the') then 1 else 0 end) + (case when list_contains(w, 'and') then 1 else 0 end) as integer) text_score from (select doc_id, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') w from documents) where list_contains(w, 'the') or list_contains(w, 'and') order by text_score desc, doc_id limit 20")
+WEIGHTS = {"title": 7, "opening": 6, "lead": 5, "closing": 4, "lang": 3, "source": 2, "text": 1}
+BM25 = """
+with f as (
+  select doc_id doc, unnest([
+    {'field': 'title', 'x': split_part(text, chr(10), 1), 'weight': 7}, {'field': 'opening', 'x': split_part(text, '.', 1), 'weight': 6},
+    {'field': 'lead', 'x': split_part(text, chr(10), 2), 'weight': 5}, {'field': 'closing', 'x': split_part(text, chr(10), -1), 'weight': 4},
+    {'field': 'lang', 'x': lang, 'weight': 3}, {'field': 'source', 'x': source, 'weight': 2}, {'field': 'text', 'x': text, 'weight': 1}], recursive := true)
+  from documents),
+w as (select doc, field, weight, regexp_extract_all(lower(coalesce(x, '')), '[\\p{L}\\p{N}]+') w from f),
+l as (select *, len(w) n from w where len(w) > 0),
+a as (select field, any_value(weight) weight, count(*) docs, avg(n) mean from l group by field),
+p as (select doc, field, n, term, count(*) tf from (select doc, field, n, unnest(w) term from l) group by all),
+d as (select term, field, count(*) df from p group by all),
+q as (select distinct item_id query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) term from benchmark),
+s as (
+  select query_id, p.doc, round(sum(a.weight * ln(1 + (a.docs - d.df + 0.5) / (d.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.n / a.mean))), 6) score
+  from q join d using (term) join p using (term, field) join a using (field) group by all)
+select query_id, cast(row_number() over (partition by query_id order by score desc, doc) as int) as rank, doc, score from s qualify rank <= 10
+"""
+
+
+@query("flt15_fulltext", BM25)
 def flt15(spark, d):
-    return filters.search(t(spark, d, "documents"), filters.Search(text="the and"), "doc_id", ["text"]).select("doc_id", "text_score")
+    """Each benchmark text as a query over seven fields of all documents."""
+    part = lambda by, n: F.split_part("text", F.lit(by), F.lit(n))
+    docs = t(spark, d, "documents").select("doc_id", "text", "lang", "source", part("\n", 1).alias("title"), part(".", 1).alias("opening"), part("\n", 2).alias("lead"), part("\n", -1).alias("closing"))
+    index = fulltext.build(docs, "doc_id", [*WEIGHTS]).save(scratch(spark, "fulltext"))
+    return fulltext.search(index, t(spark, d, "benchmark"), WEIGHTS, query_id="item_id")
 
 
 @query("flt16_prefix", f"select id, model from {PARTS} where starts_with(model, 'STANDARD') or starts_with(model, 'Standard')")

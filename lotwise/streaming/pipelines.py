@@ -72,26 +72,70 @@ def once_each(rows: DataFrame, key: list[str], at: str, watermark: str = "1 day"
     return rows.withWatermark(at, watermark).dropDuplicatesWithinWatermark(key) if rows.isStreaming else rows.dropDuplicates(key)
 
 
-def keep_index(changes: DataFrame, root: str, state: str, group: str, fields: list[str], at: str, row_id: str):
+#: Parts of a kept index. A batch reads and writes those that it touches.
+BUCKETS = 64
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+
+def read_kept(spark: SparkSession, path: str, schema: StructType, row_id: str, buckets: list[int] | None = None) -> DataFrame:
+    """The rows of a table kept by ``keep_index``, of all its parts or of some."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType())])).parquet(path)
+    return (rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).where(F.col(row_id).isNotNull()).drop("bucket")
+
+
+def _put(rows: DataFrame, path: str, key: str, buckets: list[int], of: int) -> None:
+    """Replace parts of a table, and no others. A row without a key marks each part, so that one left without rows is replaced too."""
+    spark = rows.sparkSession
+    marks = spark.createDataFrame([(b,) for b in buckets], "bucket int")
+    whole = rows.withColumn("bucket", _bucket(key, of)).unionByName(marks, allowMissingColumns=True)
+    whole.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def keep_index(changes: DataFrame, root: str, state: str, group: str, fields: list[str], at: str, row_id: str, buckets: int = BUCKETS):
     """STM01, STM02: keep an index of representatives in step with a stream of listing versions, each batch once.
 
-    Listings and index are versioned tables under ``root``; a batch writes its versions and then points to them, so
-    a batch that is replayed after a failure finds its marker or starts anew from the same versions.
+    Three tables lie under ``root``: ``listings`` and ``index`` in parts by group, and ``known`` (each row's group and
+    time) in parts by row. A batch finds the groups that its rows leave or enter in ``known``, and replaces the parts
+    that hold them (Spark's dynamic partition overwrite); other parts are neither read nor written. A version older
+    than the one known is ignored. ``known`` is written last: a batch that failed before finds the same groups when it
+    is replayed, and a version as old as the known one applies again, to the same result.
     """
-    from lotwise.operators.groups import top_k
-    from lotwise.operators.merge import current, pointers, swap_in
+    schema = StructType([*changes.schema.fields])
+    about = StructType([schema[row_id], schema[group], schema[at]])
 
     def sync(batch: DataFrame, number: int) -> None:
+        from lotwise.operators.graph import shared_checkpoint
+        from lotwise.operators.groups import top_k
+
         spark = batch.sparkSession
-        latest = top_k(batch, [row_id], [F.desc(at)])
-        old = current(spark, f"{root}/listings") if pointers(spark, f"{root}/listings") else latest.limit(0)
-        rows = old.join(latest.select(row_id), row_id, "left_anti").unionByName(latest)
-        index = current(spark, f"{root}/index") if pointers(spark, f"{root}/index") else latest.limit(0)
-        touched = latest.select(group).unionByName(old.join(latest.select(row_id), row_id, "left_semi").select(group))  # a row may leave a group
-        puts, deletes = sync_groups(index, rows, touched, group, fields, at, row_id)
-        new = apply_sync(index, puts, deletes, row_id)
-        swap_in(new, f"{root}/index", f"b{number}", new.count())
-        swap_in(rows, f"{root}/listings", f"b{number}", rows.count())
+        latest = shared_checkpoint(top_k(batch, [row_id], [F.desc(at)]).select(*schema.names))
+        if latest.isEmpty():
+            return
+        # part numbers: at most as many as there are parts
+        parts = lambda df, key: sorted(r["b"] for r in df.select(_bucket(key, buckets).alias("b")).distinct().collect())
+        row_parts = parts(latest, row_id)
+        known = read_kept(spark, f"{root}/known", about, row_id, row_parts)
+        before = known.select(F.col(row_id), F.col(group).alias("__group"), F.col(at).alias("__at"))
+        fresh = shared_checkpoint(latest.join(before, row_id, "left").where(F.col("__at").isNull() | (F.col(at) >= F.col("__at"))))
+        touched = shared_checkpoint(fresh.select(group).unionByName(fresh.select(F.col("__group").alias(group))).where(F.col(group).isNotNull()).distinct())
+        group_parts = parts(touched, group)
+        fresh = fresh.select(*schema.names)
+        old = read_kept(spark, f"{root}/listings", schema, row_id, group_parts)
+        listings = shared_checkpoint(old.join(fresh.select(row_id), row_id, "left_anti").select(*schema.names).unionByName(fresh.where(F.col(group).isNotNull())))
+        index = read_kept(spark, f"{root}/index", schema, row_id, group_parts)
+        puts, _ = sync_groups(index, listings, touched, group, fields, at, row_id)
+        kept = index.join(touched, group, "left_anti").select(*schema.names).unionByName(puts.select(*schema.names))
+        kept = shared_checkpoint(kept)
+        _put(listings, f"{root}/listings", group, group_parts, buckets)
+        _put(kept, f"{root}/index", group, group_parts, buckets)
+        rest = known.join(fresh.select(row_id), row_id, "left_anti").select(*about.names).unionByName(fresh.select(*about.names))
+        _put(shared_checkpoint(rest), f"{root}/known", row_id, row_parts, buckets)
 
     return changes.writeStream.foreachBatch(once_per_batch(root, sync)).option("checkpointLocation", state).trigger(availableNow=True).start()
 

@@ -129,9 +129,11 @@ def test_the_index_follows_a_stream_of_listings(spark, tmp_path):
     schema = "id long, vehicle string, trim string, scraped_at timestamp, eligible boolean"
     feed = Feed(spark, tmp_path / "in", schema)
 
+    index = lambda: pipelines.read_kept(spark, str(tmp_path / "root" / "index"), feed.read().schema, "id")
+
     def run():
         pipelines.keep_index(feed.read(), str(tmp_path / "root"), str(tmp_path / "state"), "vehicle", ["trim"], "scraped_at", "id").awaitTermination(300)
-        return sorted(r["id"] for r in merge.current(spark, str(tmp_path / "root" / "index")).collect())
+        return sorted(r["id"] for r in index().collect())
 
     feed.send([(1, "v1", None, at(1), True), (2, "v1", "XL", at(0), True), (3, "v2", None, at(1), True)])
     assert run() == [2, 3]
@@ -141,6 +143,40 @@ def test_the_index_follows_a_stream_of_listings(spark, tmp_path):
     feed.send([(4, "v2", "LE", at(4), True)])
     assert run() == [2, 3, 4]
     assert run() == [2, 3, 4]  # nothing new
+    feed.send([(2, "v1", None, at(-5), False), (4, "v9", "LE", at(1), True)])  # both late
+    assert run() == [2, 3, 4] and {r["vehicle"] for r in index().collect()} == {"v1", "v2", "v3"}
+    feed.send([(3, "v1", "XL", at(9), True)])  # the last row of v3 leaves it
+    assert run() == [3, 4] and {r["vehicle"] for r in index().collect()} == {"v1", "v2"}
+
+
+def test_a_batch_touches_the_parts_of_its_groups_only(spark, tmp_path):
+    schema = "id int, vehicle string, trim string, scraped_at timestamp, eligible boolean"
+    feed = Feed(spark, tmp_path / "in", schema)
+    root = tmp_path / "root"
+
+    def files():
+        return {str(p.relative_to(root)): p.stat().st_mtime_ns for name in ("listings", "index", "known") for p in (root / name).rglob("*.parquet")}
+
+    def run():
+        pipelines.keep_index(feed.read(), str(root), str(tmp_path / "state"), "vehicle", ["trim"], "scraped_at", "id", buckets=16).awaitTermination(300)
+        return {r["vehicle"]: r["id"] for r in pipelines.read_kept(spark, str(root / "index"), feed.read().schema, "id").collect()}
+
+    feed.send([(i, f"v{i % 40}", None, at(i), True) for i in range(200)])
+    assert run() == {f"v{i}": i + 160 for i in range(40)}
+    before = files()
+    feed.send([(3, "v3", "XL", at(500), True)])
+    want = {f"v{i}": i + 160 for i in range(40)} | {"v3": 3}
+    assert run() == want
+    after = files()
+    changed = {f.split("/part-")[0] for f in before.keys() ^ after.keys()} | {f.split("/part-")[0] for f in before.keys() & after.keys() if before[f] != after[f]}
+    assert len(changed) == 3  # one part of each table
+    # the same batch once more, as after a failure before its marker was made
+    fs = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/applied")
+    fs.getFileSystem(spark._jsc.hadoopConfiguration()).delete(fs, True)
+    again = spark.createDataFrame([(3, "v3", "XL", at(500), True)], schema).coalesce(1)
+    feed.spark, feed.n = spark, feed.n + 1
+    again.write.mode("append").parquet(feed.where)
+    assert run() == want
 
 
 def test_repeats_within_the_watermark_are_dropped(spark, tmp_path):
