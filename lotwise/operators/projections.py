@@ -1,13 +1,10 @@
-"""Shapes of rows for readers: masks, nesting, evidence, hero pictures, and redaction of JSON."""
+"""Shapes of rows for readers: masks, nesting, evidence, and hero pictures."""
 
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import dataclass, fields
-from urllib.parse import unquote
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,129 +71,6 @@ def all_https(images: Column) -> Column:
     return ~F.exists(images, lambda x: ~x.rlike("(?i)^https://"))
 
 
-#: Budgets of the structural redaction.
-MOST_DEPTH, MOST_NODES, MOST_STRING, MOST_CHARS, MOST_KEY = 32, 20_000, 65_536, 1_000_000, 256
-CUT = "[TRUNCATED]"
-
-
-def _private_key(name: str) -> bool:
-    """Whether a key's value is private: by part or whole name, after percent-decoding; letters of other scripts and endless encodings are."""
-    for _ in range(4):
-        if re.search(r"%(?![0-9A-Fa-f]{2})", name):
-            return True
-        plain = unquote(name, errors="replace")
-        if "\ufffd" in plain and "\ufffd" not in name:
-            return True
-        if plain == name:
-            break
-        name = plain
-    else:
-        return True
-    bare = re.sub("[^a-z0-9]", "", name.lower())
-    return bool(re.search("[\u00c0-\u1fff\u2c00-\uffff]", name)) or bare in text.PRIVATE_NAMES or any(p in bare for p in text.PRIVATE_PARTS)
-
-
-class Redactor:
-    """STR34: one value cleaned within budgets of depth, nodes and characters: private keys are dropped, JSON inside text is cleaned as JSON."""
-
-    _rules = [(re.compile(p), to.replace("$1", r"\1")) for p, to in text.SECRETS]
-    _vin = re.compile(r"(?i)\b[A-HJ-NPR-Z0-9]{17}\b")
-    _url = re.compile(r"\b([A-Za-z][A-Za-z0-9+.-]{0,15}://)([^\s?#]*@)?([^\s/?#]*)([^\s?#]*)([?#]\S*)?")
-    _far = "\u00c0-\u1fff\u2c00-\uffff"
-    _name = re.compile(
-        rf"(?<![A-Za-z0-9_.%+{_far}-])((?:[A-Za-z0-9_.%+{_far}-]+[ \t]+)?[A-Za-z0-9_.%+{_far}-]+(?:\[[A-Za-z0-9_.-]{{0,20}}\])*)\\*[\"']?[ \t]*[=:]"
-    )
-
-    def __init__(self):
-        self.nodes = self.chars = 0
-
-    def value(self, x, depth: int = 0):
-        self.nodes += 1
-        if self.nodes > MOST_NODES or self.chars > MOST_CHARS:
-            return CUT
-        if isinstance(x, str):
-            return self.string(x, depth)
-        if not isinstance(x, (dict, list)):
-            return x
-        if depth >= MOST_DEPTH:
-            return CUT
-        out = {} if isinstance(x, dict) else []
-        for k, v in x.items() if isinstance(x, dict) else enumerate(x):
-            if self.nodes > MOST_NODES or self.chars > MOST_CHARS:
-                break
-            if isinstance(x, list):
-                out.append(self.value(v, depth + 1))
-                continue
-            self.chars += len(k)
-            if len(k) <= MOST_KEY and k != "__proto__" and not _private_key(k) and self.patterns(self.lines(k)) == k:
-                out[k] = self.value(v, depth + 1)
-        return out
-
-    def string(self, s: str, depth: int) -> str:
-        s = s if len(s) <= MOST_STRING else s[:MOST_STRING] + "\u2026" + CUT
-        self.chars += len(s)
-        if self.chars > MOST_CHARS:
-            return CUT
-        if s.lstrip()[:1] in ("{", "[") and depth < MOST_DEPTH:
-            try:
-                return dumped(self.value(json.loads(s), depth + 1))
-            except (ValueError, RecursionError):
-                pass
-        return self.patterns(self.fragments(self.lines(s), depth))
-
-    def lines(self, s: str) -> str:
-        def url(m: re.Match) -> str:
-            scheme, user, name, path, rest = m.groups(default="")
-            return scheme + ("[REDACTED]@" if user else "") + name + path + (rest[:1] + "[REDACTED]" if rest else "")
-
-        return "\n".join("[REDACTED]" if re.search("(?i)cookie|authorization", line) else self._url.sub(url, line) for line in s.split("\n"))
-
-    def fragments(self, s: str, depth: int) -> str:
-        """JSON objects and arrays within a text, read where their brackets begin; a failed read costs its own length, within a budget."""
-        if depth >= MOST_DEPTH:
-            return s
-        out, at, budget = [], 0, 4 * len(s) + 1024
-        for m in re.finditer(r"[{\[]", s):
-            if m.start() < at:
-                continue
-            try:
-                found, end = json.JSONDecoder().raw_decode(s, m.start())
-            except (ValueError, RecursionError) as e:
-                budget -= max(1, getattr(e, "pos", len(s)) - m.start())
-                if budget < 0:
-                    return "".join(out) + s[at : m.start()] + CUT
-                continue
-            budget -= end - m.start()
-            out += [s[at : m.start()], dumped(self.value(found, depth + 1))]
-            at = end
-        return "".join(out) + s[at:]
-
-    def patterns(self, s: str) -> str:
-        s = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), s)
-        lines = []
-        for line in s.split("\n"):
-            for m in self._name.finditer(line):
-                words = m[1].split()
-                if _private_key("".join(words)) or any(map(_private_key, words)):
-                    line = line[: m.end()] + "[REDACTED]"
-                    break
-            lines.append(line)
-        s = "\n".join(lines)
-        for pattern, to in self._rules:
-            s = pattern.sub(to, s)
-        return self._vin.sub("[VIN]", s)
-
-
-def dumped(x) -> str:
-    return json.dumps(x, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
-
-
-@F.pandas_udf(T.StringType())
-def redact_json(s: pd.Series) -> pd.Series:
-    """STR34: text or JSON text without private values; keys come sorted. Texts over 65,536 characters are cut and marked, as are values beyond the budgets."""
-    return s.map(lambda raw: None if raw is None else Redactor().string(raw, 0))
-
-
 def signals_json(signals: Column) -> Column:
     """JSN02: ``{score, signals}`` of weighted signals."""
     return F.to_json(F.struct(F.aggregate(signals, F.lit(0), lambda s, x: s + x["weight"]).alias("score"), signals.alias("signals")))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotwise.functions import canonical, numeric, text
+from lotwise.functions import canonical, numeric, redaction, text
+from lotwise.operators import redaction as redaction_of
 from lotwise.plans.registry import query
 from lotwise.plans.standins import EVENTS, PARTS, events, parts, t
 
@@ -128,7 +129,26 @@ def str30(spark, d):
 @query("str33_redact_documents")
 def str33(spark, d):
     """All documents. Rules with lookaround are beyond the other engine's expressions, so tests compare it with a loop over Python's."""
-    return t(spark, d, "documents").select("doc_id", text.redact(F.col("text")).alias("redacted"))
+    return t(spark, d, "documents").select("doc_id", redaction.redact(F.col("text")).alias("redacted"))
+
+
+@query("str34_redact_json", """select event_id, '{"event":' || event_id || ',"inner":"{\\"k\\":' || json_extract_string(props, '$.k') || '}","log":"got {\\"kind\\":\\"' || event_type || '\\"} back"'
+ || ',"nested":{"kind":"' || event_type || '","list":[' || user_id || ',null,true,{}],"mail":"' || case when user_id % 2 = 0 then 'to [EMAIL] now' else 'to u' || user_id || ' now' end || '"}'
+ || case when user_id % 3 = 0 then ',"note":"at [IP]"' else ',"note":"pwd: [REDACTED]"' end || '}' redacted from events""")
+def str34(spark, d):
+    """Each event as a report with private keys at several depths, JSON inside texts, and free text."""
+    e, user = t(spark, d, "events"), F.col("user_id").cast("string")
+    mail = F.concat(F.lit("to u"), user, F.when(F.col("user_id") % 2 == 0, "@mail.example.com now").otherwise(" now"))
+    note = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("at 10.0."), F.pmod("user_id", F.lit(200)).cast("string"), F.lit(".7"))).otherwise(F.concat(F.lit("pwd: "), user))
+    value = F.get_json_object("props", "$.k")
+    inner = F.concat(F.lit('{"secret":"'), user, F.lit('","k":'), value, F.lit("}"))
+    log = F.concat(F.lit('got {"kind":"'), F.col("event_type"), F.lit('","token":"'), user, F.lit('"} back'))
+    q = redaction_of.as_json
+    raw = F.concat(
+        F.lit('{"note":'), q(note), F.lit(',"event":'), F.col("event_id").cast("string"), F.lit(',"apiKey":'), q(user), F.lit(',"log":'), q(log), F.lit(',"nested":{"list":['), user, F.lit(',null,true,{"session":'), user,
+        F.lit('}],"password":{"deep":1},"mail":'), q(mail), F.lit(',"kind":'), q(F.col("event_type")), F.lit('},"inner":'), q(inner), F.lit("}"),
+    )
+    return redaction_of.redact_json(e.select("event_id", raw.alias("raw")), "event_id", "raw")
 
 
 @query("str36_block_page", """select page_id, case when page_id % 10 = 0 then 'status_' || cast([403, 429, 503][page_id // 10 % 3 + 1] as varchar)
