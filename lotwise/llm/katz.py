@@ -36,6 +36,8 @@ LOW = 5
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: A text's end: the first word of each vocabulary. No word is empty.
 END = b""
+#: A word: 96 bits of BLAKE2, so that even ten billion words share none by chance.
+WORD = np.dtype([("a", "<u8"), ("b", "<u4")])
 #: Names of the totals among counts of counts.
 TOKENS, TYPES = -1, -2
 _zstd = "zstd"
@@ -98,7 +100,7 @@ def low_counts(total: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def blocks(df: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame:
-    """One row per block: its documents, and their tokens as numbers into its vocabulary, whose words are 128 bits of BLAKE2."""
+    """One row per block: its documents, and their tokens as numbers into its vocabulary, whose words are ``WORD``."""
     kind = df.schema[doc_id].dataType
     fields = [("block", T.LongType()), ("ids", T.ArrayType(kind)), *((c, T.BinaryType()) for c in ("sizes", "train", "tokens", "vocabulary", "seen")), ("entries", T.LongType())]
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
@@ -117,7 +119,7 @@ def blocks(df: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame:
             ids = pa.chunked_array([h[0] for h in held]).combine_chunks()
             sizes, learn = (np.concatenate([h[i] for h in held]) for i in (1, 2))
             tokens = np.concatenate([x for h in held for x in h[3]])
-            vocabulary = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in numbers), np.uint64)
+            vocabulary = np.frombuffer(b"".join(blake2b(w, digest_size=12).digest() for w in numbers), WORD)
             many = len(numbers)
             seen = np.bincount(tokens, np.repeat(learn, sizes), many).astype(np.uint32)
             held.clear()
@@ -145,8 +147,7 @@ def blocks(df: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame:
 
 
 def words_of(vocabulary: bytes) -> np.ndarray:
-    """Rows of two 64-bit numbers."""
-    return spread(vocabulary, np.uint64).reshape(-1, 2)
+    return spread(vocabulary, WORD)
 
 
 def deal(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,18 +166,18 @@ def unigram_tables(state: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for block, vocabulary, seen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 v, n = words_of(vocabulary), spread(seen, np.uint32)
-                order, cut = deal(v[:, 0] % np.uint64(parts), parts)
+                order, cut = deal(v["a"] % np.uint64(parts), parts)
                 has = np.flatnonzero(np.diff(cut))
                 v, n = v[order], n[order]
-                yield pa.RecordBatch.from_arrays([pa.array(has), pa.array([block] * len(has)), *(pa.array([squeeze(x[cut[p] : cut[p + 1]].ravel()) for p in has], pa.binary()) for x in (v, n))], names=["part", "block", "words", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.array(has), pa.array([block] * len(has)), *(pa.array([squeeze(x[cut[p] : cut[p + 1]]) for p in has], pa.binary()) for x in (v, n))], names=["part", "block", "words", "seen"])
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         part = key[0].as_py()
         rows = [(b, words_of(w), spread(n, np.uint32)) for b, w, n in zip(*(table.column(c).to_pylist() for c in ("block", "words", "seen")), strict=True)]
         words = np.concatenate([r[1] for r in rows])
-        order = np.lexsort(words.T)
+        order = np.lexsort((words["b"], words["a"]))
         where = np.empty(len(words), np.int64)
-        where[order] = np.cumsum(np.concatenate([[False], (words[order][1:] != words[order][:-1]).any(1)]))
+        where[order] = np.cumsum(np.concatenate([[False], words[order][1:] != words[order][:-1]]))
         total = np.bincount(where, np.concatenate([r[2] for r in rows])).astype(np.int64)
         order = np.argsort(-total, kind="stable")
         rank = np.empty(len(order), np.uint64)
@@ -209,7 +210,7 @@ class Block:
         self.ids = state.column("ids").combine_chunks().flatten()
         self.sizes, self.train = spread(one["sizes"], np.uint32).astype(np.int64), spread(one["train"], np.uint8)
         tokens, v = spread(one["tokens"], np.uint32), words_of(one["vocabulary"])
-        order, cut = deal(v[:, 0] % np.uint64(parts), parts)
+        order, cut = deal(v["a"] % np.uint64(parts), parts)
         number, counted = np.full(len(v), NONE, np.uint64), np.zeros(len(v), np.int64)
         for p, blob, c in zip(*(replies.column(x).to_pylist() for x in ("part", "numbers", "counted")), strict=True):
             mine = order[cut[p] : cut[p + 1]]
