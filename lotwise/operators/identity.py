@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.numeric import hamming, vin_check_digit, vin_normal, vin_valid
@@ -86,17 +86,18 @@ def image_clusters(images: DataFrame, most: int = 10) -> DataFrame:
     A picture joins the earliest cluster whose first picture is close; firsts are found in rounds: in each, a
     picture all of whose earlier close ones are settled is settled too.
     """
-    exact = Window.partitionBy("exact_hash")
-    rows = images.withColumn("__n", F.when(F.col("exact_hash").isNotNull(), F.count(F.lit(1)).over(exact)).otherwise(1))
-    same = rows.where("__n > 1").select("id", F.min("id").over(exact).alias("cluster"), F.lit("exact").alias("kind"))
-    rest = rows.where("__n = 1 and phash is not null").select("id", "phash")
+    # groups are counted and joined, so that no task has all rows of a hash, or of none
+    many = images.where("exact_hash is not null").groupBy("exact_hash").agg(F.min("id").alias("cluster"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    same = images.join(many, "exact_hash").select("id", "cluster", F.lit("exact").alias("kind"))
+    rest = images.where("phash is not null").join(many, "exact_hash", "left_anti").select("id", "phash")
     # equal hashes are one picture here; its copies follow its least id
     pairs = hamming_pairs(rest, "id", "phash", most)
     settled = greedy_firsts(pairs)
-    first = rest.select("id", F.min("id").over(Window.partitionBy("phash")).alias("lead"))
-    joined = first.join(settled, first["lead"] == settled["node"], "left").select("id", F.coalesce("first", "lead").alias("cluster"))
-    sized = joined.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("cluster"))).where("__n > 1").select("id", "cluster", F.lit("near").alias("kind"))
-    return same.unionByName(sized)
+    leads = rest.groupBy("phash").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).join(settled, F.col("lead") == F.col("node"), "left")
+    leads = leads.select("phash", "n", F.coalesce("first", "lead").alias("cluster"))
+    sized = leads.groupBy("cluster").agg(F.sum("n").alias("n")).where("n > 1").select("cluster")
+    near = rest.join(leads.join(sized, "cluster").select("phash", "cluster"), "phash").select("id", "cluster", F.lit("near").alias("kind"))
+    return same.unionByName(near)
 
 
 def greedy_firsts(pairs: DataFrame) -> DataFrame:

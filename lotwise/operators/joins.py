@@ -32,38 +32,57 @@ def spine(spark, first: str, last: str, unit: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.date_trunc(unit, F.lit(first).cast("timestamp")), F.date_trunc(unit, F.lit(last).cast("timestamp")), F.expr(f"interval 1 {unit}"))).alias("bucket"))
 
 
-def hamming_pairs(df: DataFrame, row_id: str, bits: str, most: int = 10, bands: int = 4) -> DataFrame:
-    """JON23: pairs of 64-bit hashes at distance ``most`` or less.
+#: Hashes up to which two halves of a hash are looked up instead of whole ones: fewer keys a hash, more candidates.
+HALVES = 300_000
 
-    Two such hashes differ by ``most // bands`` bits at most in one band at least. One side names its bands, the
-    other all values so near to its own, so an equality join on wide bands loses no pair. A distance that would
-    name more than a sixteenth of all values is refused: its bands would select nothing. Rows of equal hashes are
-    joined once, as one hash with its least id; their members follow from the hash.
+
+def covering_masks(most: int, parts: int, bits: int = 64) -> list[int]:
+    """Masks such that any two hashes at distance ``most`` or less agree under one of them, and others hardly ever.
+
+    A covering family after Pagh (SODA 2016): each bit has a vector of r + 1 bits, and each other vector v a mask of the
+    bits whose vector has an odd product with v. Up to r bits leave a v that is even with all of theirs. With ``parts`` the
+    family is made for each part of the bits, of which one differs in ``most // parts`` bits at most.
     """
-    from itertools import combinations
-
-    near = most // bands
-    edges = [round(i * 64 / bands) for i in range(bands + 1)]
-    masks = {}
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        width = hi - lo
-        masks[width] = [sum(1 << i for i in some) for k in range(near + 1) for some in combinations(range(width), k)]
-        if len(masks[width]) > 1 << (width - 4):
-            raise ValueError(f"distance {most} is too large for {bands} bands of {width} bits")
-    cut = [(b, lo, hi - lo) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
-    part = lambda lo, width: F.shiftrightunsigned(F.shiftleft(F.col("h"), 64 - lo - width), 64 - width)
-    one = df.where(F.col(bits).isNotNull()).groupBy(F.col(bits).alias("h")).agg(F.min(row_id).alias("id"))
-    own = F.array(*[F.struct(F.lit(b).alias("band"), part(lo, w).alias("part")) for b, lo, w in cut])
+    import random
+
+    r = most // parts
+    if most < 0 or parts * ((2 << r) - 1) > 4096:
+        raise ValueError(f"distance {most} is too large for {parts} parts")
+
+    def family(seed: int) -> list[int]:
+        rng, out = random.Random(seed), []
+        for p in range(parts):
+            own = {i: rng.randrange(1, 2 << r) for i in range(p * bits // parts, (p + 1) * bits // parts)}
+            out += [sum(1 << i for i, x in own.items() if (x & v).bit_count() & 1) for v in range(1, 2 << r)]
+        return out
+
+    # of some families the one under which the fewest random hashes agree
+    return min((family(seed) for seed in range(8)), key=lambda f: sum(2.0 ** -m.bit_count() for m in f))
 
-    def probe(b: int, lo: int, w: int) -> Column:
-        near_masks = F.array(*[F.lit(m).cast("long") for m in masks[w]])
-        return F.transform(near_masks, lambda m: F.struct(F.lit(b).alias("band"), part(lo, w).bitwiseXOR(m).alias("part")))
 
-    probes = [probe(*c) for c in cut]
-    a = one.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.explode(F.concat(*probes)).alias("p")).select("a", "ha", "p.*")
-    b = one.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.explode(own).alias("p")).select("b", "hb", "p.*")
-    close = a.join(b, ["band", "part"]).where((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= most))
-    return close.select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("distance")).distinct()
+def hamming_candidates(one: DataFrame, most: int, parts: int) -> tuple[DataFrame, Column]:
+    """Pairs of rows (id, h) that agree under a mask, with the mask's number and whether an earlier mask has the pair too."""
+    masks = F.array(*[F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long") for m in covering_masks(most, parts)])
+    keys = one.select("id", "h", F.posexplode(F.transform(masks, lambda m: F.col("h").bitwiseAND(m))).alias("mask", "part"))
+    a, b = (keys.select("mask", "part", F.col("id").alias(x), F.col("h").alias(f"h{x}")) for x in ("a", "b"))
+    both = a.join(b, ["mask", "part"]).where(F.col("a") < F.col("b"))
+    differ = F.col("ha").bitwiseXOR(F.col("hb"))
+    return both, F.exists(F.slice(masks, F.lit(1), F.col("mask")), lambda m: differ.bitwiseAND(m) == 0)
+
+
+def hamming_pairs(df: DataFrame, row_id: str, bits: str, most: int = 10, parts: int | None = None) -> DataFrame:
+    """JON23: pairs of 64-bit hashes at distance ``most`` or less, by equality under covering masks.
+
+    Whole hashes have 2047 keys at distance 10, and one of 48,000 pairs of random hashes meets; halves have 126 keys, and one
+    of 80 meets. Without ``parts`` the number of hashes decides. A pair counts under its first mask only. Rows of equal
+    hashes are joined once, as one hash with its least id; their members follow from the hash. Null hashes have no pairs.
+    """
+    one = df.where(F.col(bits).isNotNull()).groupBy(F.col(bits).alias("h")).agg(F.min(row_id).alias("id"))
+    if parts is None:
+        parts = 2 if most > 3 and one.count() <= HALVES else 1
+    both, before = hamming_candidates(one, most, parts)
+    close = both.where((hamming(F.col("ha"), F.col("hb")) <= most)).where(~before)
+    return close.select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("distance"))
 
 
 def within_radius(df: DataFrame, lat: str, lng: str, at: tuple[float, float], miles: float) -> DataFrame:

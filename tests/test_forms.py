@@ -40,18 +40,28 @@ def test_greedy_clusters_equal_a_loop(spark):
     assert got == want
 
 
-@pytest.mark.parametrize(("most", "bands"), [(10, 4), (3, 4), (0, 1), (7, 3)])
-def test_near_hashes_equal_all_pairs(spark, most, bands):
+@pytest.mark.parametrize(("most", "parts"), [(10, 1), (10, 2), (10, None), (3, 1), (0, 1), (7, 2), (1, 1)])
+def test_near_hashes_equal_all_pairs(spark, most, parts):
     rng = random.Random(most)
     base = [rng.getrandbits(64) for _ in range(40)]
     hashes = [h ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, most + 2))) for h in base for _ in range(4)]
     rows = [(i, h - (1 << 64) if h >= 1 << 63 else h) for i, h in enumerate(hashes)] + [(1000, None)]
-    got = {(r["a"], r["b"], r["distance"]) for r in joins.hamming_pairs(spark.createDataFrame(rows, "id long, h long"), "id", "h", most, bands).collect()}
+    found = joins.hamming_pairs(spark.createDataFrame(rows, "id long, h long"), "id", "h", most, parts).collect()
+    got = {(r["a"], r["b"], r["distance"]) for r in found}
     least = {}
     for i, h in enumerate(hashes):
         least.setdefault(h, i)
     some = sorted(least.items(), key=lambda x: x[1])
-    assert got == {(i, j, (g ^ h).bit_count()) for k, (g, i) in enumerate(some) for h, j in some[k + 1 :] if (g ^ h).bit_count() <= most}
+    assert len(found) == len(got) and got == {(i, j, (g ^ h).bit_count()) for k, (g, i) in enumerate(some) for h, j in some[k + 1 :] if (g ^ h).bit_count() <= most}
+
+
+def test_random_hashes_hardly_ever_meet(spark):
+    rng = random.Random(1)
+    n = 1500
+    rows = [(i, rng.getrandbits(64) - (1 << 63)) for i in range(n)]
+    both, _ = joins.hamming_candidates(spark.createDataFrame(rows, "id long, h long"), 10, 1)
+    assert both.count() * 10_000 < n * (n - 1) / 2
+    assert all(any((1 << i) & m for m in joins.covering_masks(10, 1)) for i in range(64))
 
 
 def test_distances_that_select_nothing_are_refused(spark):
@@ -59,6 +69,13 @@ def test_distances_that_select_nothing_are_refused(spark):
         joins.hamming_pairs(spark.createDataFrame([(1, 2)], "id long, h long"), "id", "h", 40, 4)
 
 
+def test_clusters_leave_no_task_with_all_rows_of_one_hash(spark):
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 3 == 0, "placeholder").alias("exact_hash"), (F.col("id") * 0x9E3779B97F4A7).alias("phash")).where("id % 3 = 0 or id < 300")
+    plan = identity.image_clusters(df.withColumn("phash", F.when(F.col("exact_hash").isNull(), F.col("phash"))))
+    assert plan.where("kind = 'exact'").groupBy("cluster").count().collect() == [(0, 6667)]
+    assert "Window" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bootstrap_brackets_the_mean_and_repeats_itself(spark):
     one, two = (queries()["agg35_bootstrap"](spark, SF).first() for _ in range(2))
     assert one == two and one["low"] < one["high"]
