@@ -36,6 +36,13 @@ def spine(spark, first: str, last: str, unit: str) -> DataFrame:
 HALVES = 300_000
 
 
+def spine_of(df: DataFrame, at: str, unit: str) -> DataFrame:
+    """DAT02: one row per bucket of the span that a column has; none without a value."""
+    trunc = lambda c: F.date_trunc(unit, c)
+    ends = df.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo is not null")
+    return ends.select(F.explode(F.sequence(trunc("lo"), trunc("hi"), F.expr(f"interval 1 {unit}"))).alias("bucket"))
+
+
 def covering_masks(most: int, parts: int, bits: int = 64) -> list[int]:
     """Masks such that any two hashes at distance ``most`` or less agree under one of them, and others hardly ever.
 

@@ -90,6 +90,15 @@ def span(first: str | None, last: str, default_days: int = 180, most_days: int =
     return start, to
 
 
+def spans(first: Column, last: Column, default_days: int = 180, most_days: int = 1826) -> Column:
+    """DAT09 for many requests at once: struct of first, last and error; an error leaves no span."""
+    start = F.coalesce(first, last - F.make_interval(days=F.lit(default_days)))
+    error = F.when(last.isNull(), "the span needs an end").when(start > last, "the span's start must be before its end")
+    error = error.when(start < last - F.make_interval(days=F.lit(most_days)), f"the span cannot exceed {most_days} days")
+    fine = lambda c: F.when(error.isNull(), c)
+    return F.struct(fine(start).alias("first"), fine(last).alias("last"), error.alias("error"))
+
+
 def popular(listings: DataFrame, key: str, most: int = 10) -> DataFrame:
     """AGG01: the most frequent values among representatives."""
     return representative(listings).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc("value")).limit(most)

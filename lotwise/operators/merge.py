@@ -45,7 +45,9 @@ def count_problems(state: DataFrame, seen: DataFrame, key: str = "fingerprint",
 
 def fold_duplicates(df: DataFrame, folded: Column, row_id: str) -> DataFrame:
     """SNK08: (old id, kept id): the least id of each case-folded group, for rerouting references."""
-    return df.select(F.col(row_id).alias("old_id"), F.min(row_id).over(Window.partitionBy(folded)).alias("kept_id"))
+    rows = df.select(F.col(row_id).alias("old_id"), folded.alias("__folded"))
+    least = rows.groupBy(F.col("__folded").alias("__key")).agg(F.min("old_id").alias("kept_id"))  # partial minima, so a common name is no hot group
+    return rows.join(least, F.col("__folded").eqNullSafe(F.col("__key"))).select("old_id", "kept_id")
 
 
 def retained(df: DataFrame, at: str, as_of: Column, days: int, exempt: Column | None = None) -> DataFrame:

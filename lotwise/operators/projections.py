@@ -112,6 +112,12 @@ def competing_claims(claims: DataFrame, keys: list[str], order: list[str]) -> Da
     return claims.groupBy(*keys).agg(each.alias("__c")).select(*keys, *[part(c).alias(n) for c, n in names.items()])
 
 
+def stable_key_of(params: Column) -> Column:
+    """MAP02 for a map of lists: names and lists in order, as JSON."""
+    entries = F.array_sort(F.map_entries(params))
+    return F.to_json(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], F.array_sort(e["value"])))))
+
+
 def stable_key(params: dict) -> str:
     """MAP02: one text for equal parameters: names and lists in order, as JSON."""
     return json.dumps({k: sorted(v) if isinstance(v, list) else v for k, v in sorted(params.items())}, separators=(",", ":"))
@@ -124,6 +130,15 @@ def dhash(pixels: Column) -> Column:
     return F.when(F.octet_length(pixels) == 72, F.aggregate(bits, F.expr("0L"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b)))
 
 
+#: Each tunable's default, least and greatest value.
+TUNABLES = {"poll_batch": (500, 1, 5000), "poll_batches": (20, 1, 100), "page_ttl_days": (30, 1, 365), "facet_ttl_seconds": (60, 0, 3600)}
+
+
+def settings(raw: dict[str, Column]) -> Column:
+    """MTH11 for rows of texts: a struct of tunables; what is no whole number takes the default, and what is out of bounds the nearest bound."""
+    return F.struct(*[F.least(F.greatest(F.coalesce(F.when(c.rlike(r"^\s*-?\d+\s*$"), F.trim(c).try_cast("long")), F.lit(default).cast("long")), F.lit(lo).cast("long")), F.lit(hi).cast("long")).alias(n) for n, (default, lo, hi) in TUNABLES.items() for c in (raw.get(n, F.lit(None).cast("string")),)])
+
+
 @dataclass(frozen=True)
 class Settings:
     """MTH11: tunables with bounds; what is out of bounds or no whole number takes the nearest bound or the default."""

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lotwise.functions.numeric import vin_check_digit, vin_normal, vin_valid
+from lotwise.operators.scans import smoothed
 
 # Fixed values.
 STATES = [
@@ -110,23 +109,11 @@ def summary(df: DataFrame, issues: str = "issues") -> DataFrame:
 
 
 def drift(df: DataFrame, source: str, run: str, rates: list[str], alpha: float = 0.2, threshold: float = 0.15) -> DataFrame:
-    """MTH08, STM09: each run's rates against the smoothed rates of the runs before; the first run only seeds them.
-
-    Rows are one per source and run, so a source's group is as long as its history of runs; it is folded once.
-    """
-    schema = T.StructType([*df.schema.fields, *[T.StructField(f"{r}_baseline", T.DoubleType()) for r in rates]])
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(run, kind="stable")
-        for r in rates:
-            rows[f"{r}_baseline"] = rows[r].ewm(alpha=alpha, adjust=False).mean().shift(1)
-        return rows
-
-    out = df.groupBy(source).applyInPandas(fold, schema)
-    base = lambda r: F.when(~F.isnan(f"{r}_baseline"), F.col(f"{r}_baseline"))
-    out = out.withColumns({f"{r}_baseline": base(r) for r in rates})
-    apart = [F.coalesce(F.col(r) - F.col(f"{r}_baseline") > threshold, F.lit(False)) for r in rates]
-    return out.withColumn("drifted", F.greatest(*apart) if len(apart) > 1 else apart[0])
+    """MTH08, STM09: each run's rates against the smoothed rates of the runs before; the first run only seeds them."""
+    out = smoothed(df, [source], [run], rates, alpha)
+    apart = [F.coalesce(F.col(r) - F.col(f"{r}_before") > threshold, F.lit(False)) for r in rates]
+    out = out.withColumn("drifted", F.greatest(*apart) if len(apart) > 1 else apart[0])
+    return out.select(*df.columns, *[F.col(f"{r}_before").alias(f"{r}_baseline") for r in rates], "drifted")
 
 
 def systemic(errors: Column, total: Column, rate: float = 0.2, least: int = 5) -> Column:

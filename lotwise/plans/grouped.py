@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.numeric import bucket, bucket_low, price_band
 from lotwise.functions.canonical import color_family
-from lotwise.operators import facets, market
+from lotwise.operators import facets, market, resampling
 from lotwise.operators.filters import Search
 from lotwise.operators.groups import representative, top_k
 from lotwise.plans.registry import query
@@ -199,15 +199,25 @@ def agg34(spark, d):
     return f.agg(F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.when(F.col("hit") > 0, 1.0).otherwise(0.0)), 6).alias("hit_rate"), F.round(F.avg(F.when(F.col("rel") > 0, F.col("hit") / F.col("rel"))), 6).alias("recall"))
 
 
-@query("agg35_bootstrap")
+BOOTSTRAP = f"""
+with r as (
+  select strftime(date_trunc('week', listed_at), '%Y-%m-%d') k, avg(price_cents) filter (where segment = 'BUILDING') a, avg(price_cents) filter (where segment = 'MACHINERY') b from {LISTINGS} group by 1),
+p as (select k, a - b diff from r where a is not null and b is not null),
+x as (select i, diff, cast('0x' || substr(md5('466:' || i || ':' || k), 1, 8) as bigint) u from p, (select unnest(range(10000)) i)),
+w as (select i, diff, len(list_filter({resampling.WEIGHTS}, lambda t: u >= t)) w from x),
+m as (select sum(w * diff) / sum(w) m from w group by i having sum(w) > 0),
+s as (select m, row_number() over (order by m) - 1 i, count(*) over () n from m)
+select round((select avg(diff) from p), 4) mean, round(max(case when i = floor(0.025 * n) then m end), 4) low, round(max(case when i = ceil(0.975 * n) - 1 then m end), 4) high, count(*) replicates from s
+"""
+
+
+@query("agg35_bootstrap", BOOTSTRAP)
 def agg35(spark, d):
-    """Seeded paired bootstrap of the mean difference in price between two segments' daily means: resamples by hashed position."""
-    day = listings(spark, d).groupBy(F.date_trunc("month", "listed_at").alias("month")).agg((F.avg(F.when(F.col("segment") == "BUILDING", F.col("price_cents"))) - F.avg(F.when(F.col("segment") == "MACHINERY", F.col("price_cents")))).alias("diff")).where("diff is not null")
-    values = day.agg(F.array_sort(F.collect_list("diff")).alias("v"))  # one number for each month
-    draws = spark.range(2000).withColumnRenamed("id", "draw").join(F.broadcast(values), F.lit(True))
-    pick = F.transform("v", lambda _, i: F.get("v", F.pmod(F.xxhash64(F.lit(42), F.col("draw"), i), F.size("v")).cast("int")))
-    means = draws.select((F.aggregate(pick, F.lit(0.0), lambda a, x: a + x) / F.size("v")).alias("m"))
-    return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    """The difference in mean price of two segments by week."""
+    mean = lambda s: F.avg(F.when(F.col("segment") == s, F.col("price_cents")))
+    weeks = listings(spark, d).groupBy(F.date_format(F.date_trunc("week", "listed_at"), "yyyy-MM-dd").alias("week")).agg(mean("BUILDING").alias("a"), mean("MACHINERY").alias("b"))
+    out = resampling.bootstrap(weeks, "week", "a", "b")
+    return out.select(*[F.round(c, 4).alias(c) for c in ("mean", "low", "high")], "replicates")
 
 
 HQ = f"with b as (select event_type, le, count(*) filter (where value <= le) c from {EVENTS}, (select unnest([5.0, 10.0, 25.0, 50.0, 100.0, 1000000.0]) le) group by 1, 2), w as (select *, lag(le, 1, 0) over (partition by event_type order by le) lo, lag(c, 1, 0) over (partition by event_type order by le) lc, max(c) over (partition by event_type) * 0.5 target from b), f as (select *, row_number() over (partition by event_type order by le) r from w where c >= target) select event_type, round(lo + (le - lo) * (target - lc) / (c - lc), 4) quantile from f where r = 1"

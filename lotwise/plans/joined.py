@@ -180,9 +180,9 @@ def set02(spark, d):
     return joins.lineage(edges, spark.range(1, 2))
 
 
-@query("dat02_series", "select unnest(generate_series(timestamp '1995-01-02', timestamp '1995-12-25', interval 7 day)) as bucket")
+@query("dat02_series", "select unnest(generate_series(date_trunc('week', min(o_orderdate)), date_trunc('week', max(o_orderdate)), interval 7 day))::timestamp as bucket from orders")
 def dat02(spark, d):
-    return joins.spine(spark, "1995-01-02", "1995-12-30", "week")
+    return joins.spine_of(t(spark, d, "orders"), "o_orderdate", "week")
 
 
 BUCKETS = "(select unnest(generate_series(timestamp '1993-01-01', timestamp '1996-12-01', interval 1 month)) as bucket)"

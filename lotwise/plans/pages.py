@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lotwise.plans.golden import golden, picked
 from lotwise.plans.registry import query
-from lotwise.plans.standins import PARTS, parts, scratch, t
+from lotwise.plans.standins import PARTS, parts, regions, scratch, t
 from lotwise.sources import adapters, html
 
 
@@ -66,13 +66,14 @@ golden("src19_attribute_json", {"html": "string"}, {"sku": "string", "price": "d
 ], lambda h: {n: html.attribute_json(h, "data-product", "struct<sku:string,price:double>")[n] for n in ("sku", "price")})
 
 
-@query("src11_seed_rows", "select * from (values ('Ford', 'Transit', 2020, 10), ('Kia', 'Carnival', 2022, null), ('Ram', null, null, 3)) v(make, model, \"year\", n)")
+@query("src11_seed_rows", "select n_name name, n_nationkey key, r_name region, cast(null as varchar) motto from nation join region on r_regionkey = n_regionkey")
 def src11(spark, d):
-    """Reference rows from a file of one JSON array, as seeds are kept."""
+    """Reference rows kept as seeds: a file of one JSON array, with fields that the schema lacks and lacks of its own."""
     where = scratch(spark, "seeds")
-    text = '[{"make":"Ford","model":"Transit","year":2020,"n":10},\n {"make":"Kia","model":"Carnival","year":2022},\n {"make":"Ram","n":3,"extra":true}]'
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(where)
-    return adapters.seeds(spark, where, "make string, model string, year int, n int")
+    rows = regions(spark, d).select(F.to_json(F.struct(F.col("nation").alias("name"), F.col("nation_key").alias("key"), F.col("source").alias("region"), F.lit(True).alias("extra"))).alias("j"))
+    whole = rows.agg(F.concat(F.lit("["), F.concat_ws(",\n", F.collect_list("j")), F.lit("]")).alias("value"))  # a reference table: 25 rows at any scale
+    whole.coalesce(1).write.mode("overwrite").text(where)
+    return adapters.seeds(spark, where, "name string, key int, region string, motto string")
 
 
 @query("src15_mapped_fields", r"""select page_id, array_to_string(regexp_extract_all(html, '<li><a href="/([^"]*)">', 1), ',') slugs, regexp_extract(html, '<html lang="([^"]*)"', 1) lang, 0 none from pages""")

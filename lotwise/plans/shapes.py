@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from lotwise.functions import canonical
@@ -305,13 +303,15 @@ def arr02(spark, d):
     return parts(spark, d).select("id", F.size(F.filter("words", lambda w: F.length(w) > 4)).alias("n")).where("n > 0")
 
 
-PARAMS = [{"make": ["b", "a"], "year": 2020}, {"year": 2020, "make": ["a", "b"]}, {"z": None, "a": [], "text": 'x"y'}, {}]
 
 
-@query("map02_stable_key", f"select * from (values {', '.join(f'({i}, {chr(39)}{json.dumps({k: sorted(v) if isinstance(v, list) else v for k, v in sorted(p.items())}, separators=(chr(44), chr(58)))}{chr(39)})' for i, p in enumerate(PARAMS))}) v(i, key)")
+@query("map02_stable_key", f"""select event_id, '{{"kind":["' || event_type || '"],"q":["' || array_to_string(list_sort(['w' || (user_id % 7), 'w' || (k % 5), 'a"b']), '","').replace('a"b', 'a\\"b') || '"],"user":["' || user_id || '"]}}' as key from {EVENTS}""")
 def map02(spark, d):
-    """One key for equal parameters, made where the parameters are: on the driver."""
-    return spark.createDataFrame([(i, projections.stable_key(p)) for i, p in enumerate(PARAMS)], "i int, key string")
+    """Equal parameters in any order give one key."""
+    word = lambda c: F.concat(F.lit("w"), c.cast("string"))
+    lists = F.array(F.lit('a"b'), word(F.col("k") % 5), word(F.col("user_id") % 7))
+    given = F.create_map(F.lit("user"), F.array(F.col("user_id").cast("string")), F.lit("q"), lists, F.lit("kind"), F.array("event_type"))
+    return events(spark, d).select("event_id", projections.stable_key_of(given).alias("key"))
 
 
 @query("mth04_dhash", """with p as (select doc_id, left(sha256(coalesce(text, '')) || sha256('x'), 72) s from documents)
@@ -341,23 +341,27 @@ def dat04(spark, d):
     return retained(listings(spark, d), "listed_at", F.lit("2001-08-01").cast("timestamp_ntz"), 90).select("id")
 
 
-@query("dat09_spans", "select * from (values (0, timestamp '2024-01-02', timestamp '2024-06-30', null), (1, timestamp '2024-01-01', timestamp '2024-06-30', null), (2, null, null, 'the span''s start must be before its end'), (3, null, null, 'the span cannot exceed 1826 days'), (4, timestamp '2019-07-01', timestamp '2024-06-30', null)) v(i, first, last, error)")
+@query("dat09_spans", """with r as (select o_orderkey id, case when o_orderkey % 3 > 0 then o_orderdate - interval 1 day * cast(o_custkey % 4000 - 1000 as integer) end f, case when o_orderkey % 11 > 0 then o_orderdate end l from orders),
+ s as (select id, coalesce(f, l - interval 180 day) f, l from r),
+ e as (select *, case when l is null then 'the span needs an end' when f > l then 'the span''s start must be before its end' when f < l - interval 1826 day then 'the span cannot exceed 1826 days' end error from s)
+ select id, case when error is null then f end first, case when error is null then l end last, error from e""")
 def dat09(spark, d):
-    """Spans are checked before any job."""
-    rows = []
-    for i, (first, last) in enumerate([(None, "2024-06-30"), ("2024-01-01", "2024-06-30"), ("2024-07-01", "2024-06-30"), ("2019-06-29", "2024-06-30"), ("2019-07-01", "2024-06-30")]):
-        try:
-            rows.append((i, *market.span(first, last), None))
-        except ValueError as e:
-            rows.append((i, None, None, str(e)))
-    return spark.createDataFrame(rows, "i int, first timestamp_ntz, last timestamp_ntz, error string")
+    """Each order asks for the span from some days before or after it to itself; some name no start or no end."""
+    k, at = F.col("o_orderkey"), F.col("o_orderdate")
+    first = F.when(k % 3 > 0, at - F.make_interval(days=(F.col("o_custkey") % 4000 - 1000).cast("int")))
+    return t(spark, d, "orders").select(k.alias("id"), market.spans(first, F.when(k % 11 > 0, at)).alias("s")).select("id", "s.*")
 
 
-@query("mth11_settings", "select * from (values (0, 500, 20, 30, 60), (1, 5000, 1, 30, 60), (2, 500, 20, 365, 0), (3, 500, 20, 30, 60)) v(i, poll_batch, poll_batches, page_ttl_days, facet_ttl_seconds)")
+@query("mth11_settings", f"""select event_id, cast(case when k is null then 500 else least(greatest(k * 100, 1), 5000) end as bigint) poll_batch, cast(least(greatest(user_id - 20, 1), 100) as bigint) poll_batches,
+ cast(case when event_type = 'view' then 30 else least(greatest(k * 7, 1), 365) end as bigint) page_ttl_days, cast(60 as bigint) facet_ttl_seconds from {EVENTS}""")
 def mth11(spark, d):
-    raws = [{}, {"poll_batch": 9999, "poll_batches": -3}, {"page_ttl_days": 1000, "facet_ttl_seconds": -1}, {"poll_batch": "12", "poll_batches": True, "page_ttl_days": 1.5, "other": 3}]
-    made = [projections.Settings.of(r) for r in raws]
-    return spark.createDataFrame([(i, s.poll_batch, s.poll_batches, s.page_ttl_days, s.facet_ttl_seconds) for i, s in enumerate(made)], "i int, poll_batch int, poll_batches int, page_ttl_days int, facet_ttl_seconds int")
+    """Each event as settings given as texts: whole numbers in and out of bounds, none at all, and no numbers."""
+    k = F.col("k")
+    raw = {
+        "poll_batch": (k * 100).cast("string"), "poll_batches": (F.col("user_id") - 20).cast("string"),
+        "page_ttl_days": F.when(F.col("event_type") == "view", F.concat(F.lit("x"), k.cast("string"))).otherwise((k * 7).cast("string")), "facet_ttl_seconds": F.lit("1.5"),
+    }
+    return events(spark, d).select("event_id", projections.settings(raw).alias("s")).select("event_id", "s.*")
 
 
 PAIR = ["vin", "make", "model", "year", "trim", "stock_number", "source_url", "price_cents", "mileage", "zip", "city", "state", "dealer_profile_id", "dealer_website", "dealer_name", "conflicting_image_hash", "image_hashes"]

@@ -65,11 +65,12 @@ def stm15(spark, d):
     return groups.changed(e, ["user_id", "event_type"], ["ts", "event_id"], ["v"]).select("event_id")
 
 
-@query("stm17_orphan_catalog", "select * from (values ('none public', true), ('some public', false), ('none indexed', false)) v(what, rebuild)")
+@query("stm17_orphan_catalog", f"""with l as (select vehicle_id % 97 catalog, count(*) filter (where status = 'P' and price_cents > 30000000) public from {LISTINGS} group by 1), i as (select p_partkey % 101 catalog, count(*) docs from part where p_partkey % 5 > 0 group by 1)
+ select coalesce(l.catalog, i.catalog) catalog, coalesce(public, 0) public, coalesce(docs, 0) docs, coalesce(public, 0) = 0 and coalesce(docs, 0) > 0 rebuild from l full join i on i.catalog = l.catalog""")
 def stm17(spark, d):
-    rows, index = listings(spark, d).select("id", "status"), t(spark, d, "part").select("p_partkey")
-    cases = [("none public", F.col("status") == "?", index), ("some public", F.col("status") == "O", index), ("none indexed", F.col("status") == "?", index.where("p_partkey < 0"))]
-    return spark.createDataFrame([(n, pipelines.needs_rebuild(rows, public, i)) for n, public, i in cases], "what string, rebuild boolean")
+    rows = listings(spark, d).withColumn("catalog", F.col("vehicle_id") % 97)
+    index = t(spark, d, "part").where("p_partkey % 5 > 0").select((F.col("p_partkey") % 101).alias("catalog"))
+    return pipelines.orphaned(rows, (F.col("status") == "P") & (F.col("price_cents") > 30_000_000), index, "catalog")
 
 
 @query("stm18_abandoned_runs", f"select event_id from {EVENTS} where event_type = 'view' and ts < timestamp '2024-01-20 10:00:00' and user_id % 3 = 1")

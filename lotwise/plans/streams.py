@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from lotwise.operators import merge, quality
+from lotwise.operators import merge, quality, scans
 from lotwise.operators.groups import completeness, scored_representative
 from lotwise.plans.registry import query
 from lotwise.plans.standins import EVENTS, LISTINGS, events, listings
@@ -59,10 +59,8 @@ def stm09(spark, d):
 
 @query("mth08_ewma", f"with v as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) n, count(*) over (partition by user_id) m from {EVENTS}) select user_id, round(sum(value * case when n = 1 then pow(0.8, m - 1) else 0.2 * pow(0.8, m - n) end), 4) mean from v group by user_id")
 def mth08(spark, d):
-    from lotwise.functions.numeric import ewma
-
-    g = events(spark, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("v"))
-    return g.select("user_id", F.round(ewma(F.col("v")), 4).alias("mean"))
+    e = scans.smoothed(events(spark, d).select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], ["value"])
+    return e.groupBy("user_id").agg(F.round(F.max_by("value_after", F.struct("ts", "event_id")), 4).alias("mean"))
 
 
 @query("stm10_circuit_breaker", f"select user_id, count(*) >= 5 and count(*) filter (where event_type = 'error') / count(*) >= 0.2 stop from {EVENTS} group by user_id")

@@ -182,6 +182,14 @@ def crawl_decision(hash_now: Column, hash_before: Column, last_full: Column, now
     return F.when(~hash_now.eqNullSafe(hash_before), "changed").when(overdue, "overdue").otherwise("skip")
 
 
+def orphaned(listings: DataFrame, public: Column, index: DataFrame, catalog: str) -> DataFrame:
+    """STM17: by catalog its public listings, its documents in the index, and whether to rebuild: no listing is public while documents are left."""
+    there = listings.groupBy(catalog).agg(F.count_if(public).alias("public"))
+    docs = index.groupBy(catalog).agg(F.count(F.lit(1)).alias("docs"))
+    n = {c: F.coalesce(c, F.lit(0)) for c in ("public", "docs")}
+    return there.join(docs, catalog, "full").select(catalog, *[v.alias(c) for c, v in n.items()], ((n["public"] == 0) & (n["docs"] > 0)).alias("rebuild"))
+
+
 def needs_rebuild(listings: DataFrame, public: Column, index: DataFrame) -> bool:
     """STM17: no public listing is left while the index still has documents."""
     return listings.where(public).isEmpty() and not index.isEmpty()

@@ -76,11 +76,6 @@ def test_clusters_leave_no_task_with_all_rows_of_one_hash(spark):
     assert "Window" not in plan._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_bootstrap_brackets_the_mean_and_repeats_itself(spark):
-    one, two = (queries()["agg35_bootstrap"](spark, SF).first() for _ in range(2))
-    assert one == two and one["low"] < one["high"]
-
-
 def test_spans_and_settings():
     assert market.span(None, "2024-06-30")[0].isoformat() == "2024-01-02T00:00:00"
     for first, last in (("2024-07-01", "2024-06-30"), ("2019-06-29", "2024-06-30")):

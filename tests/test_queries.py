@@ -63,4 +63,4 @@ def test_sql_is_of_queries():
 
 
 def test_queries_without_sql_are_those_that_have_tests_of_their_own():
-    assert set(queries()) - set(SQL) == {"agg35_bootstrap", "dom11_near_clusters", "str33_redact_documents"}
+    assert set(queries()) - set(SQL) == {"dom11_near_clusters", "str33_redact_documents"}
