@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lotwise.plans.golden import golden, picked
 from lotwise.plans.registry import query
 from lotwise.plans.standins import PARTS, parts, regions, scratch, t
-from lotwise.sources import adapters, html, selectors
+from lotwise.sources import adapters, html, selectors, structured
 
 
 @query("src01_projection", "select o_orderkey, o_totalprice from orders")
@@ -101,32 +101,37 @@ def src15(spark, d):
 
 
 LD = '<script type="application/ld+json">{}</script>'
-#: (html, candidates as kind:listed:updated), for the page https://a.com/v/1 with VIN V1.
+#: Pages by id: a car by address, a vehicle by VIN within a graph, a product that names nothing, one of another number beside a broken block, a scope by address, a page's main entity, and none.
 DATED = [
-    (LD.format('{"@type":"Car","url":"https://a.com/v/1/","datePosted":" 2024-01-02 ","dateModified":"2024-02-03"}'), "proven:2024-01-02:2024-02-03"),
-    (LD.format('{"@graph":[{"@type":["Thing","http://schema.org/Vehicle"],"vin":"v 1","offers":[{"@type":"Offer","datePublished":"2024-05-06"}]},{"@type":"Article","datePosted":"2020-01-01"}]}'), "proven:2024-05-06:"),
-    (LD.format('{"@type":"WebPage","url":"/v/1#x","mainEntity":{"@type":"Product","dateCreated":"2023-01-01"}}'), "proven:2023-01-01:"),
-    (LD.format('{"@type":"Product","datePosted":"2022-02-02"}'), "anonymous:2022-02-02:"),
-    (LD.format('{"@type":"Product","sku":"other","datePosted":"2022-02-02"}') + LD.format("{oops"), "unmatched:2022-02-02:"),
-    ('<div itemscope itemtype="https://schema.org/Car" itemid="https://a.com/v/1?q=1"><time itemprop="datePosted" datetime="2021-03-04">x</time><span itemprop="dateModified"> 2021-04-05 </span></div>', "proven:2021-03-04:2021-04-05"),
-    ('<div itemscope itemtype="https://schema.org/Product"><meta itemprop="vin" content="V1"><br><div itemscope itemtype="https://schema.org/Offer" itemprop="offers"><meta itemprop="datePublished" content="2020-06-07"></div></div>', "proven:2020-06-07:"),
-    ('<div itemscope itemtype="https://schema.org/WebPage" itemid="https://a.com/v/1"><div itemscope itemprop="mainEntity" itemtype="https://schema.org/Vehicle"><b itemprop="dateCreated">2019-01-01</b></div></div>', "proven:2019-01-01:"),
-    ("<p>no data</p>", ""),
+    LD.format('{"@type":"Car","url":"https://a.com/v/ID/","datePosted":" LISTED ","dateModified":"UPDATED"}'),
+    LD.format('{"@graph":[{"@type":["Thing","http://schema.org/Vehicle"],"vin":"v ID","offers":[{"@type":"Offer","datePublished":"LISTED"}]},{"@type":"Article","datePosted":"2020-01-01"}]}'),
+    LD.format('{"@type":"Product","datePosted":"LISTED"}'),
+    LD.format('{"@type":"Product","sku":"other","datePosted":"LISTED"}') + LD.format("{oops"),
+    '<div itemscope itemtype="https://schema.org/Car" itemid="https://a.com/v/ID?q=1"><time itemprop="datePosted" datetime="LISTED">x</time><span itemprop="dateModified"> UPDATED </span></div>',
+    LD.format('{"@type":"WebPage","url":"/v/ID#x","mainEntity":{"@type":"Product","dateCreated":"LISTED"}}'),
+    "<p>no data</p>",
 ]
 
 
-@query("src16_date_candidates", f"select id, cast([{', '.join(repr(x) for _, x in DATED)}] as varchar[])[cast(id % {len(DATED)} as integer) + 1] found from {PARTS}")
+@query("src16_date_candidates", f"""select id, 0 candidate, case when id % 7 in (0, 1, 4, 5) then 'proven' when id % 7 = 2 then 'anonymous' else 'unmatched' end kind,
+ strftime(date '2015-01-01' + cast(id % 3000 as integer), '%Y-%m-%d') listed, case when id % 7 in (0, 4) then strftime(date '2015-01-01' + cast(id % 3000 + size as integer), '%Y-%m-%d') end updated from {PARTS} where id % 7 < 6""")
 def src16(spark, d):
-    pages = parts(spark, d).select("id", picked([h for h, _ in DATED], "string").alias("html"), F.lit("https://a.com/v/1").alias("url"), F.lit("V1").alias("vin"))
-    empty = lambda c: F.coalesce(c, F.lit(""))
-    each = html.date_candidates(pages, "id", "vin").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("candidate", F.concat_ws(":", "kind", empty(F.col("listed")), empty(F.col("updated"))).alias("x")))), lambda c: c["x"]), ",").alias("found"))
-    return pages.select("id").join(each, "id", "left").select("id", empty(F.col("found")).alias("found"))
+    day = lambda n: F.date_format(F.date_add(F.lit("2015-01-01").cast("date"), n.cast("int")), "yyyy-MM-dd")
+    key = F.col("id").cast("string")
+    page = F.replace(F.replace(F.replace(F.get(F.array(*map(F.lit, DATED)), (F.col("id") % len(DATED)).cast("int")), F.lit("ID"), key), F.lit("LISTED"), day(F.col("id") % 3000)), F.lit("UPDATED"), day(F.col("id") % 3000 + F.col("size")))
+    pages = parts(spark, d).select("id", page.alias("html"), F.concat(F.lit("https://a.com/v/"), key).alias("url"), F.concat(F.lit("V"), key).alias("vin"))
+    return structured.date_candidates(pages, "id", "vin")
 
 
-@query("src17_adapter_pages", """select cast(p as integer) page, p || '-' || i record_key, '20' || (10 + i) || ' Toyota Sienna' title, cast((p * 10 + i) * 10000 as bigint) price_cents from (select unnest(range(1, 8)) p), (select unnest(range(10)) i)""")
+@query("src17_adapter_pages", f"select cast(id % 7 + 1 as integer) page, 'p-' || id record_key, title, price_cents from {PARTS}")
 def src17(spark, d):
+    """Listings exported by page, read back through an adapter, a page a partition."""
+    where = scratch(spark, "exported")
+    rows = parts(spark, d).select((F.col("id") % 7 + 1).cast("int").alias("page"), F.concat(F.lit("p-"), F.col("id").cast("string")).alias("record_key"), "title", "price_cents")
+    rows.write.mode("overwrite").partitionBy("page").parquet(where)
     spark.dataSource.register(adapters.ListingPages)
-    return spark.read.format("listing_pages").option("module", "lotwise.sources.adapters").option("adapter", "Numbered").option("pages", 7).load()
+    options = {"module": "lotwise.sources.adapters", "adapter": "Exported", "pages": "7", "root": where}
+    return spark.read.format("listing_pages").options(**options).load()
 
 
 @query("src18_union_of_searches", f"select id, title, size from {PARTS} where title like '%blue%' or title like '%ring%' or size = 7 order by size desc, id limit 300")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _found: dict[str, tuple[Callable, str | None]] = {}
-MODULES = ("groups", "grouped", "joined", "texts", "domain", "streams", "more", "values", "shapes", "pages", "states")
+MODULES = ("groups", "grouped", "joined", "texts", "domain", "streams", "more", "values", "computed", "shapes", "pages", "states")
 
 
 def query(name: str, sql: str | None = None):

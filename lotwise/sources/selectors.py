@@ -6,7 +6,7 @@ steps (``>`` by parent, a space by the span of numbers). ``extract`` does so for
 
 Broken markup: a void element has no inside; an end tag closes the nearest open element of its name, and all within it, or
 nothing if none is open; ``p``, ``li``, ``tr``, ``td``, ``th``, ``option``, ``dt`` and ``dd`` end before the next of
-their kind in the same parent; what is open at the end ends there. Scripts and styles have no text.
+their kind in the same parent; what is open at the end ends there. Scripts and styles have no text; JSON in scripts is a run of ``#data``.
 """
 
 from __future__ import annotations
@@ -59,7 +59,11 @@ class _Reader(HTMLParser):
             self.rows[self.open.pop()][2] = len(self.rows) - 1
 
     def handle_data(self, data: str) -> None:
-        if data and not (self.open and self.rows[self.open[-1]][3] in SILENT):
+        around = self.rows[self.open[-1]] if self.open else [None] * 8
+        if around[3] in SILENT:
+            if (around[6].get("type") or "").lower().endswith("json"):
+                self.add("#data", {}, data)
+        elif data:
             self.add("#text", {}, data)
 
     def read(self, page: str) -> list[list]:
@@ -89,7 +93,7 @@ _PART = re.compile(r"""([\w-]+|\*)|\#([\w-]+)|\.([\w-]+)|\[\s*([\w:-]+)\s*(?:([~
 
 def _test(compound: str) -> Column:
     """Whether a node is such an element: tag, ``#id``, ``.class``, and ``[attribute]`` with ``=``, ``~=``, ``^=``, ``$=`` or ``*=``."""
-    tests, end = [F.col("tag") != "#text"], 0
+    tests, end = [~F.startswith("tag", F.lit("#"))], 0
     while end < len(compound):
         m = _PART.match(compound, end)
         if not m or (m[1] and end):
@@ -140,6 +144,8 @@ def extract(pages: DataFrame, mappings: DataFrame, key: str = "page_id", html: s
     wanted = mappings.select("field", "selector", "take").orderBy("field", "selector", "take").limit(MOST_MAPPINGS + 1).collect()
     if len(wanted) > MOST_MAPPINGS:
         raise ValueError(f"more than {MOST_MAPPINGS} mappings")
+    name, key = key, "__page"  # a key may be named as a column of nodes is
+    pages = pages.select(F.col(name).alias(key), html)
     tree = shared_checkpoint(nodes(pages, key, html).repartition(key))  # by page, so that no step moves rows again
     each = [select(tree, m["selector"], key).select(key, F.lit(m["field"]).alias("field"), F.lit(m["take"]).alias("take"), "node", "last", "attributes") for m in wanted]
     hits = reduce(DataFrame.unionByName, each) if each else tree.limit(0).select(key, F.lit("").alias("field"), F.lit("").alias("take"), "node", "last", "attributes")
@@ -149,4 +155,4 @@ def extract(pages: DataFrame, mappings: DataFrame, key: str = "page_id", html: s
     inside = whole.join(texts, (F.col(key) == F.col("__key")) & (F.col("__node") > F.col("node")) & (F.col("__node") <= F.col("last")))
     joined = inside.groupBy(key, "field", "node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__node", "text"))), lambda t: t["text"]), "").alias("value"))
     values = named.unionByName(joined).withColumn("value", F.trim(F.regexp_replace("value", r"[ \t\n\x0B\f\r]+", " "))).where("value <> ''").distinct()
-    return values.groupBy(key, "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "value"))), lambda v: v["value"]).alias("values"))
+    return values.groupBy(F.col(key).alias(name), "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "value"))), lambda v: v["value"]).alias("values"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwise.operators import graph, identity, joins, market, projections, reports
 from lotwise.plans.registry import queries
-from lotwise.sources import adapters, html
+from lotwise.sources import adapters, html, structured
 
 SF = "/root/testdata/sf0.001"
 
@@ -110,7 +110,7 @@ def test_places_are_looked_up_once(spark, tmp_path):
 def test_pages_with_broken_markup(spark):
     pages = spark.createDataFrame([(1, "<a href='x'>a<a href=y>b</a>", "https://h.com/d/p"), (2, None, None), (3, "<div itemscope itemtype='Car'><p></div></p></span>", "u"), (4, "", "")], "page_id int, html string, url string")
     assert html.links(pages).count() >= 1
-    assert {(r["page_id"], r["kind"]) for r in html.date_candidates(pages).collect()} == {(3, "anonymous")}
+    assert {(r["page_id"], r["kind"]) for r in structured.date_candidates(pages).collect()} == {(3, "anonymous")}
 
 
 def test_adapters_read_pages_as_partitions(spark):

@@ -5,7 +5,7 @@ from html.parser import HTMLParser
 
 import pytest
 
-from lotwise.sources import selectors
+from lotwise.sources import selectors, structured
 
 PAGES = {
     1: '<html lang="en"><body><div class="card big" id="x"><h2> A &amp; B </h2><a href="/a?b=1&amp;c=2">one <b>two</b></a></div><div class="card"><p>three</div></body></html>',
@@ -113,3 +113,29 @@ def test_open_paragraphs_of_the_given_pages(spark):
     for r in pages.collect():
         want = [" ".join(text(n).split()) for n, up in walk(Tree(r["html"]).root) if has(n, "footer") or (has(n, "p") and has(up[-1], "p") and any(has(u, "article") for u in up))]
         assert [" ".join(v.split()) for v in got.get(r["page_id"], [])] == [w for w in want if w]
+
+
+LD = '<script type="application/ld+json">{}</script>'
+#: (html, candidates as kind:listed:updated), for the page https://a.com/v/1 with VIN V1.
+DATED = [
+    (LD.format('{"@type":"Car","url":"https://a.com/v/1/","datePosted":" 2024-01-02 ","dateModified":"2024-02-03"}'), "proven:2024-01-02:2024-02-03"),
+    (LD.format('{"@graph":[{"@type":["Thing","http://schema.org/Vehicle"],"vin":"v 1","offers":[{"@type":"Offer","datePublished":"2024-05-06"}]},{"@type":"Article","datePosted":"2020-01-01"}]}'), "proven:2024-05-06:"),
+    (LD.format('{"@type":"WebPage","url":"/v/1#x","mainEntity":{"@type":"Product","dateCreated":"2023-01-01"}}'), "proven:2023-01-01:"),
+    (LD.format('{"@type":"Product","datePosted":"2022-02-02"}'), "anonymous:2022-02-02:"),
+    (LD.format('{"@type":"Product","sku":"other","datePosted":"2022-02-02"}') + LD.format("{oops"), "unmatched:2022-02-02:"),
+    ('<div itemscope itemtype="https://schema.org/Car" itemid="https://a.com/v/1?q=1"><time itemprop="datePosted" datetime="2021-03-04">x</time><span itemprop="dateModified"> 2021-04-05 </span></div>', "proven:2021-03-04:2021-04-05"),
+    ('<div itemscope itemtype="https://schema.org/Product"><meta itemprop="vin" content="V1"><br><div itemscope itemtype="https://schema.org/Offer" itemprop="offers"><meta itemprop="datePublished" content="2020-06-07"></div></div>', "proven:2020-06-07:"),
+    ('<div itemscope itemtype="https://schema.org/WebPage" itemid="https://a.com/v/1"><div itemscope itemprop="mainEntity" itemtype="https://schema.org/Vehicle"><b itemprop="dateCreated">2019-01-01</b></div></div>', "proven:2019-01-01:"),
+    ("<p>no data</p>", ""),
+    (LD.format('[{"@type":"Car","identifier":{"value":["x",{"@id":"V 1"}]},"datePosted":5,"dateCreated":"2018-01-01"},[{"@type":"Offer"}]]'), "proven:2018-01-01:,anonymous::"),
+    (LD.format('{"@type":"Vehicle","itemOffered":{"dateModified":"2","datePosted":" "},"offers":{"datePublished":"1","url":"https://b.com/"}}') + '<i itemscope itemtype="Car"></i>', "unmatched:1:2,anonymous::"),
+    (LD.format('{"@type":"Car","url":"https://A.com/v/1?x=1"}'), "proven::"), ("", ""), (None, ""),
+]
+
+
+def test_dates_of_structured_data(spark):
+    pages = spark.createDataFrame([(i, h, "https://a.com/v/1", "V1") for i, (h, _) in enumerate(DATED)], "id int, html string, url string, vin string").repartition(3)
+    got = {}
+    for r in sorted(structured.date_candidates(pages, "id", "vin").collect(), key=lambda r: (r["id"], r["candidate"])):
+        got.setdefault(r["id"], []).append(f"{r['kind']}:{r['listed'] or ''}:{r['updated'] or ''}")
+    assert {i: ",".join(x) for i, x in got.items()} == {i: w for i, (_, w) in enumerate(DATED) if w}
