@@ -93,7 +93,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(4):
         key = key << np.uint64(16) | wide[j : j + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # equal keys are told apart by later rounds
     key, at, have = key[order], np.arange(n), 4
     rank = np.empty(n, np.int64)
     while len(at):
@@ -103,7 +103,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         start = order[at]
         ahead = np.where(start + have < n, rank[np.minimum(start + have, n - 1)] + 1, 0)
         key = rank[start].astype(np.uint64) << np.uint64(32) | ahead.astype(np.uint64)
-        again = np.argsort(key, kind="stable")
+        again = np.argsort(key)
         order[at], key, have = start[again], key[again], have * 2
     return order
 
@@ -121,28 +121,46 @@ def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def interleave(a: tuple, b: tuple, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of two transforms (those of ``b`` numbered on from those of ``a``) whose first ``length`` symbols another row shares, and their blocks."""
-    before = np.concatenate([a[1], b[1]])
-    earlier = np.concatenate([a[2], b[2] + len(a[2])])
-    by_one = (before, earlier)
-    narrow = before.max(initial=0) < 256
-    if narrow:  # two symbols fit in the 16 bits that a stable distribution takes in two passes
-        steps = [1] * (length % 2) + [2] * (length // 2)
-        by_two = (before[earlier] << np.uint16(8) | before, earlier[earlier])
-    else:
-        steps = [1] * length
-    row, block = np.arange(len(before)), np.zeros(len(before), np.int32)
-    for step in steps:
-        symbol, move = by_two if step == 2 else by_one
-        mine = symbol[row]
-        order = np.argsort(mine, kind="stable")
-        mine, was, row = mine[order], block[order], move[row[order]]
-        head = np.concatenate([[True], (mine[1:] != mine[:-1]) | (was[1:] != was[:-1])]) if len(mine) else np.zeros(0, bool)
-        block = np.cumsum(head, dtype=np.int32)
-        open_ = ~(head & np.concatenate([head[1:], [True]])) if len(mine) else head
-        row, block = row[open_], block[open_]
-        if not len(row):
-            break
+    """Rows of two transforms (those of ``b`` numbered on from those of ``a``) whose first ``length`` symbols another row shares, and their blocks.
+
+    A block holds the rows of both that share the symbols read so far: a common prefix, and in the end a repeated interval.
+    A step reads the next symbols of all rows left, up to eight at once, and deals out anew only the blocks that they
+    split; rows alone in a block leave.
+    """
+    symbol = np.concatenate([a[1], b[1]])
+    move = np.concatenate([a[2], b[2] + len(a[2])])
+    if len(symbol) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    jumps = [(1, symbol.astype(np.uint64), move)]
+    while jumps[-1][0] < 8 and symbol.max() < 256:
+        n, s, m = jumps[-1]
+        jumps.append((2 * n, s[m] << np.uint64(8 * n) | s, m[m]))
+    row, block, left = np.arange(len(symbol)), np.zeros(len(symbol), np.int64), length
+    while left and len(row):
+        n, symbol, move = next(x for x in reversed(jumps) if x[0] <= left and left % x[0] == 0)
+        mine, left = symbol[row], left - n
+        split = (block[1:] == block[:-1]) & (mine[1:] != mine[:-1])
+        if split.any():
+            names = int(block.max()) + 1
+            torn = np.zeros(names, bool)
+            torn[block[1:][split]] = True
+            torn = torn[block]
+            some, value = row[torn], mine[torn]
+            order = np.argsort(value)
+            key = value[order]
+            if names > 1:
+                ranks = np.empty(len(value), np.int64)
+                ranks[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+                key = block[torn] << 32 | ranks
+                order = np.argsort(key)
+                key = key[order]
+            head = np.concatenate([[True], key[1:] != key[:-1]])
+            shared = ~(head & np.concatenate([head[1:], [True]]))
+            new = np.cumsum(head) + names
+            row, block = np.concatenate([row[~torn], some[order][shared]]), np.concatenate([block[~torn], new[shared]])
+            if names > len(row) << 2:
+                block = np.unique(block, return_inverse=True)[1]
+        row = move[row]
     return row, block
 
 
