@@ -11,6 +11,7 @@ from lotwise.operators.graph import connected
 from lotwise.operators.groups import top_k
 from lotwise.operators.joins import hamming_pairs
 
+#: The score of a candidate, miles and share of the price within which listings agree; so are rule names and weights below.
 CANDIDATE, MILES, PRICE_SHARE = 50, 1500, 0.05
 
 
