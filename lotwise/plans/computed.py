@@ -39,7 +39,11 @@ def arr03(spark, d):
     return parts(spark, d).select("id", F.array_join(projections.seeded(images, F.split("model", " ")), ",").alias("shown"))
 
 
-PHOTO = "(select vec_id id, case label % 3 when 0 then 'vehicle_photo' when 1 then 'site_chrome' else 'placeholder' end kind, case vec_id % 3 when 0 then true when 1 then false end ph, case vec_id % 5 when 0 then true when 1 then false end crossed, case when vec_id % 4 > 0 then vec_id % 4 end version from embeddings)"
+PHOTO = (
+    "(select vec_id id, case label % 3 when 0 then 'vehicle_photo' when 1 then 'site_chrome' else 'placeholder' end kind, case vec_id % 3"
+    " when 0 then true when 1 then false end ph, case vec_id % 5 when 0 then true when 1 then false end crossed, case"
+    " when vec_id % 4 > 0 then vec_id % 4 end version from embeddings)"
+)
 
 
 @query("dom12_photos", f"""select id, kind = 'vehicle_photo' and not coalesce(crossed, false) hero, kind = 'vehicle_photo' and not coalesce(ph, false) and not coalesce(crossed, false) and (version is null or version < 2) due from {PHOTO}""")
@@ -62,7 +66,11 @@ def stm14(spark, d):
     return e.select("event_id", crawl_decision(F.col("k") % 3, F.col("before"), F.col("last"), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")).alias("decision"))
 
 
-SALES = f"(select id, case id % 3 when 0 then 'active' when 1 then 'possibly_gone' else 'gone' end st, case vehicle_id % 4 when 0 then 'sold' when 1 then 'gone' when 2 then 'pending' else 'active' end sale, case when id % 5 = 0 then listed_at end sold, vehicle_id % 2 missing from {LISTINGS})"
+SALES = (
+    f"(select id, case id % 3 when 0 then 'active' when 1 then 'possibly_gone' else 'gone' end st, case vehicle_id % 4 when 0 then 'sold'"
+    f" when 1 then 'gone' when 2 then 'pending' else 'active' end sale, case when id % 5 = 0 then listed_at end sold, vehicle_id % 2 missing"
+    f" from {LISTINGS})"
+)
 
 
 @query("stm08_sales", f"""select id, case when sale in ('sold', 'gone') and st <> 'gone' then 'gone' when st = 'possibly_gone' and sale in ('pending', 'active') and missing = 0 then 'active' else st end status,

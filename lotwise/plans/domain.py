@@ -37,29 +37,45 @@ def dom01(spark, d):
     return _cards(spark, d).select("id", F.array_join(F.transform(quality.validate(), lambda i: i["rule"]), ",").alias("codes"))
 
 
-@query("dom03_decide", f"select id, case when regexp_matches(codes, 'contains_space|implausible_year|negative_value|unsupported') then 'quarantined' else 'eligible' end status from {RULES}")
+@query("dom03_decide",
+    f"select id, case when regexp_matches(codes, 'contains_space|implausible_year|negative_value|unsupported') then 'quarantined'"
+    f" else 'eligible' end status from {RULES}"
+)
 def dom03(spark, d):
     return _cards(spark, d).select("id", quality.publication(quality.validate())["status"].alias("status"))
 
 
-@query("dom05_resolve_rows", f"select id, not regexp_matches(codes, 'contains_space|implausible_year|negative_value|unsupported') and id not in (select id from {CARD} where size % 5 = 0) shown from {RULES}")
+@query("dom05_resolve_rows",
+    f"select id, not regexp_matches(codes, 'contains_space|implausible_year|negative_value|unsupported') and id not in (select id from {CARD}"
+    f" where size % 5 = 0) shown from {RULES}"
+)
 def dom05(spark, d):
     return quality.resolve_listings(_cards(spark, d)).select("id", "shown")
 
 
-@query("dom02_mismatch", f"select id, case when size % 4 = 0 then 'nhtsa_model_mismatch' else '' end || case when size % 6 = 0 then 'nhtsa_year_mismatch' else '' end codes from {PARTS}")
+@query("dom02_mismatch",
+    f"select id, case when size % 4 = 0 then 'nhtsa_model_mismatch' else '' end || case when size % 6 = 0 then 'nhtsa_year_mismatch'"
+    f" else '' end codes from {PARTS}"
+)
 def dom02(spark, d):
     s = F.col("size")
     issues = quality.decoded_mismatch((F.col("make"), F.upper("make")), (F.col("model"), F.when(s % 4 == 0, "other").otherwise(F.col("model"))), (s, F.when(s % 6 == 0, s + 2).otherwise(s + 1)))
     return parts(spark, d).select("id", F.array_join(F.transform(issues, lambda i: i["rule"]), "").alias("codes"))
 
 
-@query("agg18_quality_summary", f"select count(*) total, count(*) filter (where codes <> '') with_issues, count(*) filter (where regexp_matches(codes, 'contains_space|implausible_year|negative_value')) with_errors from {RULES}")
+@query("agg18_quality_summary",
+    f"select count(*) total, count(*) filter (where codes <> '') with_issues,"
+    f" count(*) filter (where regexp_matches(codes, 'contains_space|implausible_year|negative_value')) with_errors from {RULES}"
+)
 def agg18(spark, d):
     return quality.summary(_cards(spark, d).withColumn("issues", quality.validate())).select("total", "with_issues", "with_errors")
 
 
-CLAIMS = f"(select event_id claim_id, user_id listing_id, case event_type when 'purchase' then 'authoritative_source' when 'error' then 'generic_text' when 'view' then 'photo' else 'specific_text' end kind, 's' || cast(k % 2 as varchar) ref, case k % 3 when 0 then 'side_entry' when 1 then 'rear_entry' else 'unknown' end v, ts, k / 100.0 confidence from {EVENTS})"
+CLAIMS = (
+    f"(select event_id claim_id, user_id listing_id, case event_type when 'purchase' then 'authoritative_source' when 'error' then 'generic_text'"
+    f" when 'view' then 'photo' else 'specific_text' end kind, 's' || cast(k % 2 as varchar) ref, case k % 3 when 0 then 'side_entry'"
+    f" when 1 then 'rear_entry' else 'unknown' end v, ts, k / 100.0 confidence from {EVENTS})"
+)
 
 
 @query("dom06_resolve", f"""with c as (select * from {CLAIMS} where kind <> 'generic_text' and (kind <> 'photo' or confidence >= 0.7) and v <> 'unknown' qualify row_number() over (partition by listing_id, kind, ref order by ts desc, claim_id) = 1),
@@ -104,7 +120,11 @@ def dom07(spark, d):
     return identity.vin_groups(rows, groups.completeness(["big"])).select("id", F.col("group_size"), "primary_id")
 
 
-@query("dom09_components", "with recursive e as (select a.c_custkey a, b.c_custkey b from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_mktsegment = b.c_mktsegment and a.c_custkey <> b.c_custkey and abs(a.c_acctbal - b.c_acctbal) <= 60), r as (select a id, a comp from e union select e.b, r.comp from r join e on e.a = r.id) select id, min(comp) component from r group by id")
+@query("dom09_components",
+    "with recursive e as (select a.c_custkey a, b.c_custkey b from customer a join customer b on a.c_nationkey = b.c_nationkey"
+    " and a.c_mktsegment = b.c_mktsegment and a.c_custkey <> b.c_custkey and abs(a.c_acctbal - b.c_acctbal) <= 60), r as (select a id, a comp"
+    " from e union select e.b, r.comp from r join e on e.a = r.id) select id, min(comp) component from r group by id"
+)
 def dom09(spark, d):
     from lotwise.operators.graph import connected
 
@@ -112,7 +132,10 @@ def dom09(spark, d):
     return connected(pairs, "a_c_custkey", "b_c_custkey")
 
 
-@query("dom11_exact_clusters", "select min(vec_id) as \"cluster\", count(*) images from (select *, vec_id % 50 h from embeddings where vec_id % 7 > 0) group by h having count(*) > 1")
+@query("dom11_exact_clusters",
+    "select min(vec_id) as \"cluster\", count(*) images from (select *, vec_id % 50 h from embeddings where vec_id % 7 > 0) group by h"
+    " having count(*) > 1"
+)
 def dom11(spark, d):
     p = pictures(spark, d).where("id % 7 > 0").select("id", (F.col("id") % 50).cast("string").alias("exact_hash"), F.lit(None).cast("bigint").alias("phash"))
     return identity.image_clusters(p).where("kind = 'exact'").groupBy("cluster").agg(F.count(F.lit(1)).alias("images"))
@@ -134,19 +157,31 @@ def dom13(spark, d):
     return reports.reconcile(e, a, "id", ["status", "source", "segment"], "vehicle_id")
 
 
-@query("dom16_attention", f"select 'stale_source' condition, source subject from {LISTINGS} group by source having max(listed_at) < timestamp '1998-08-02' union all select 'error_rate', cast(user_id as varchar) from {EVENTS} group by user_id having count(*) >= 5 and count(*) filter (where event_type = 'error') / count(*) >= 0.2")
+@query("dom16_attention",
+    f"select 'stale_source' condition, source subject from {LISTINGS} group by source having max(listed_at) < timestamp '1998-08-02' union all"
+    f" select 'error_rate', cast(user_id as varchar) from {EVENTS} group by user_id having count(*) >= 5"
+    f" and count(*) filter (where event_type = 'error') / count(*) >= 0.2"
+)
 def dom16(spark, d):
     stale = listings(spark, d).groupBy("source").agg(F.max("listed_at").alias("last")).where(F.col("last") < F.lit("1998-08-02").cast("timestamp_ntz")).select(F.lit("stale_source").alias("condition"), F.col("source").alias("subject"))
     rate = events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("e")).where(quality.systemic(F.col("e"), F.col("n"))).select(F.lit("error_rate").alias("condition"), F.col("user_id").cast("string").alias("subject"))
     return stale.unionByName(rate)
 
 
-@query("dom21_stages", f"select source, 'detail' stage, count(*) filter (where status = 'O') pending, max(listed_at) filter (where status <> 'O') last from {LISTINGS} group by source union all select source, 'validate', count(*) filter (where priority like '1%'), max(listed_at) filter (where priority not like '1%') from {LISTINGS} group by source")
+@query("dom21_stages",
+    f"select source, 'detail' stage, count(*) filter (where status = 'O') pending, max(listed_at) filter (where status <> 'O') last from {LISTINGS}"
+    f" group by source union all select source, 'validate', count(*) filter (where priority like '1%'),"
+    f" max(listed_at) filter (where priority not like '1%') from {LISTINGS} group by source"
+)
 def dom21(spark, d):
     return reports.stages(listings(spark, d), "source", {"detail": F.col("status") == "O", "validate": F.startswith("priority", F.lit("1"))}, "listed_at")
 
 
-@query("dom22_conflicts", f"with s as (select id, 'status' field, status as value, source ref, listed_at from {LISTINGS} union all select id, 'priority', priority, segment, listed_at from {LISTINGS}) select field, ref, count(distinct value) n_values, count(*) n from s group by 1, 2 having count(distinct value) > 1")
+@query("dom22_conflicts",
+    f"with s as (select id, 'status' field, status as value, source ref, listed_at from {LISTINGS} union all select id, 'priority', priority,"
+    f" segment, listed_at from {LISTINGS}) select field, ref, count(distinct value) n_values, count(*) n from s group by 1, 2"
+    f" having count(distinct value) > 1"
+)
 def dom22(spark, d):
     long = listings(spark, d).select("id", F.expr("stack(2, 'status', status, source, 'priority', priority, segment) as (field, value, ref)"))
     return long.groupBy("field", "ref").agg(F.count_distinct("value").alias("n_values"), F.count(F.lit(1)).alias("n")).where("n_values > 1")
@@ -186,26 +221,41 @@ def dom28(spark, d):
     return wide_series(rows, "event_id", "value", "own", "kind", ["price", "mileage"])
 
 
-@query("dom30_health", f"select seg, case when max(case when price_cents > 49950000 then 2 when price_cents > 49800000 then 1 else 0 end) = 2 then 'down' when max(case when price_cents > 49950000 then 2 when price_cents > 49800000 then 1 else 0 end) = 1 then 'degraded' else 'ok' end health from (select source || segment || cast(id % 7 as varchar) seg, price_cents from {LISTINGS}) group by seg")
+@query("dom30_health",
+    f"select seg, case when max(case when price_cents > 49950000 then 2 when price_cents > 49800000 then 1 else 0 end) = 2 then 'down' when max(case"
+    f" when price_cents > 49950000 then 2 when price_cents > 49800000 then 1 else 0 end) = 1 then 'degraded' else 'ok' end health"
+    f" from (select source || segment || cast(id % 7 as varchar) seg, price_cents from {LISTINGS}) group by seg"
+)
 def dom30(spark, d):
     rows = listings(spark, d).withColumn("seg", F.concat("source", "segment", (F.col("id") % 7).cast("string")))
     return reports.health(rows, "seg", F.col("price_cents") > 49_950_000, F.col("price_cents") > 49_800_000)
 
 
-@query("snk01_upsert", "with o as (select o_orderkey k, o_orderstatus s, o_orderpriority p from orders where o_orderkey % 10 <> 3), n as (select o_orderkey k, case when o_orderkey % 7 = 0 then 'X' else o_orderstatus end s, o_orderpriority p from orders where o_orderkey % 10 <> 5) select coalesce(o.k, n.k) k, case when o.k is null then 'created' when n.k is null then 'kept' when o.s is distinct from n.s or o.p is distinct from n.p then 'updated' else 'unchanged' end outcome, case when n.k is not null then n.s else o.s end s from o full join n on o.k = n.k")
+@query("snk01_upsert",
+    "with o as (select o_orderkey k, o_orderstatus s, o_orderpriority p from orders where o_orderkey % 10 <> 3), n as (select o_orderkey k, case"
+    " when o_orderkey % 7 = 0 then 'X' else o_orderstatus end s, o_orderpriority p from orders where o_orderkey % 10 <> 5) select coalesce(o.k,"
+    " n.k) k, case when o.k is null then 'created' when n.k is null then 'kept' when o.s is distinct from n.s or o.p is distinct"
+    " from n.p then 'updated' else 'unchanged' end outcome, case when n.k is not null then n.s else o.s end s from o full join n on o.k = n.k"
+)
 def snk01(spark, d):
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
     new = o.where("k % 10 <> 5").withColumn("s", F.when(F.col("k") % 7 == 0, "X").otherwise(F.col("s")))
     return merge.upsert(o.where("k % 10 <> 3"), new, ["k"], ["s", "p"]).select("k", "outcome", "s")
 
 
-@query("snk06_idempotent", f"select k * 1000 + user_id as key, min(event_id) event_id from {EVENTS} where k * 1000 + user_id not in (select k * 1000 + user_id from {EVENTS} where event_type = 'purchase') group by 1")
+@query("snk06_idempotent",
+    f"select k * 1000 + user_id as key, min(event_id) event_id from {EVENTS} where k * 1000 + user_id not in (select k * 1000 + user_id"
+    f" from {EVENTS} where event_type = 'purchase') group by 1"
+)
 def snk06(spark, d):
     e = events(spark, d).withColumn("key", F.col("k") * 1000 + F.col("user_id"))
     return merge.append_new(e.where("event_type = 'purchase'"), e, ["key"], ["event_id"]).select("key", "event_id")
 
 
-@query("snk07_problem_counts", f"select event_type fingerprint, min(ts) first_seen, max(ts) last_seen, count(distinct date_trunc('day', ts)) occurrences from {EVENTS} group by 1")
+@query("snk07_problem_counts",
+    f"select event_type fingerprint, min(ts) first_seen, max(ts) last_seen, count(distinct date_trunc('day', ts)) occurrences from {EVENTS}"
+    f" group by 1"
+)
 def snk07(spark, d):
     seen = events(spark, d).select(F.col("event_type").alias("fingerprint"), F.col("ts").alias("seen_at"), F.date_trunc("day", "ts").alias("batch_id"))
     none = spark.createDataFrame([], "fingerprint string, first_seen timestamp_ntz, last_seen timestamp_ntz, occurrences bigint")
@@ -227,7 +277,11 @@ def snk10(spark, d):
     return merge.anonymised(t(spark, d, "customer"), F.col("c_acctbal") < 0, ["c_name"]).select("c_custkey", "c_name", "c_mktsegment")
 
 
-@query("mth12_rank_fusion", f"with s as (select id, size / 50.0 k from {PARTS}), c as (select l_partkey id, count(*) n from lineitem group by 1), f as (select s.id, 0.6 * k + 0.4 * coalesce(n, 0) / (select max(n) from c) score from s left join c using (id)) select id, round(score, 6) score from f order by score desc, id limit 100")
+@query("mth12_rank_fusion",
+    f"with s as (select id, size / 50.0 k from {PARTS}), c as (select l_partkey id, count(*) n from lineitem group by 1), f as (select s.id,"
+    f" 0.6 * k + 0.4 * coalesce(n, 0) / (select max(n) from c) score from s left join c using (id)) select id, round(score, 6) score from f"
+    f" order by score desc, id limit 100"
+)
 def mth12(spark, d):
     n = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     top = n.agg(F.max("n").alias("most"))

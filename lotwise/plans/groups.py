@@ -10,12 +10,18 @@ from lotwise.plans.registry import query
 from lotwise.plans.standins import EVENTS, HISTORY, LISTINGS, PARTS, events, listings, parts, price_history, scratch, t
 
 
-@query("win01_representative", f"select id, vehicle_id, listed_at, price_cents from {LISTINGS} qualify row_number() over (partition by vehicle_id order by listed_at desc, id) = 1")
+@query("win01_representative",
+    f"select id, vehicle_id, listed_at, price_cents from {LISTINGS} qualify row_number() over (partition by vehicle_id order by listed_at desc,"
+    f" id) = 1"
+)
 def win01(spark, d):
     return groups.representative(listings(spark, d)).select("id", "vehicle_id", "listed_at", "price_cents")
 
 
-@query("win02_first_last", f"select part_id, arg_min(price_cents, (recorded_at, ok, ln)) first_value, arg_max(price_cents, (recorded_at, ok, ln)) last_value, count(*) n_points from {HISTORY} group by part_id")
+@query("win02_first_last",
+    f"select part_id, arg_min(price_cents, (recorded_at, ok, ln)) first_value, arg_max(price_cents, (recorded_at, ok, ln)) last_value,"
+    f" count(*) n_points from {HISTORY} group by part_id"
+)
 def win02(spark, d):
     return groups.first_last(price_history(spark, d), "part_id", "price_cents", ["recorded_at", "ok", "ln"])
 
@@ -32,29 +38,46 @@ def win04(spark, d):
     return kept.select("doc_id", "n")
 
 
-@query("win05_latest_tombstone", f"select user_id, event_id, k from (select *, case when k % 7 = 0 then null else k end v from {EVENTS} qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) where v is not null")
+@query("win05_latest_tombstone",
+    f"select user_id, event_id, k from (select *, case when k % 7 = 0 then null else k end v from {EVENTS}"
+    f" qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) where v is not null"
+)
 def win05(spark, d):
     rows = events(spark, d).withColumn("v", F.when(F.col("k") % 7 != 0, F.col("k")))
     return groups.latest_live(rows, "user_id", [F.desc("ts"), F.desc("event_id")], "v").select("user_id", "event_id", "k")
 
 
-@query("win06_scored_representative", f"select make, id, score from (select *, (case when size % 2 = 0 then 1 else 0 end) + (case when price_cents % 3 = 0 then 1 else 0 end) + cast(len(words) as integer) score from {PARTS}) qualify row_number() over (partition by make order by score desc, size desc, id) = 1")
+@query("win06_scored_representative",
+    f"select make, id, score from (select *, (case when size % 2 = 0 then 1 else 0 end) + (case when price_cents % 3 = 0 then 1"
+    f" else 0 end) + cast(len(words) as integer) score from {PARTS}) qualify row_number() over (partition by make order by score desc, size desc,"
+    f" id) = 1"
+)
 def win06(spark, d):
     rows = parts(spark, d).withColumns({"even": F.when(F.col("size") % 2 == 0, 1), "third": F.when(F.col("price_cents") % 3 == 0, 1)}).withColumn("score", groups.completeness(["even", "third"], "words"))
     return groups.scored_representative(rows, ["make"], F.col("score"), "size", "id").select("make", "id", "score")
 
 
-@query("win10_topk_per_parent", f"select vehicle_id, id, cast(r as integer) r from (select *, row_number() over (partition by vehicle_id order by price_cents desc, listed_at desc, id) r from {LISTINGS}) where r <= 5")
+@query("win10_topk_per_parent",
+    f"select vehicle_id, id, cast(r as integer) r from (select *, row_number() over (partition by vehicle_id order by price_cents desc,"
+    f" listed_at desc, id) r from {LISTINGS}) where r <= 5"
+)
 def win10(spark, d):
     return groups.top_k(listings(spark, d), ["vehicle_id"], [F.desc("price_cents"), F.desc("listed_at"), "id"], 5, "r").select("vehicle_id", "id", "r")
 
 
-@query("win11_topk_then_limit", f"select part_id, ok, ln from (select *, row_number() over (partition by part_id order by recorded_at, ok, ln) r from {HISTORY}) where r <= 3 order by part_id, r limit 500")
+@query("win11_topk_then_limit",
+    f"select part_id, ok, ln from (select *, row_number() over (partition by part_id order by recorded_at, ok, ln) r from {HISTORY}) where r <= 3"
+    f" order by part_id, r limit 500"
+)
 def win11(spark, d):
     return groups.top_k(price_history(spark, d), ["part_id"], ["recorded_at", "ok", "ln"], 3, "r").orderBy("part_id", "r").limit(500).select("part_id", "ok", "ln")
 
 
-@query("win13_change_detect", f"select event_id, user_id, k3 from (select event_id, user_id, event_type, ts, k % 3 k3, lag(k % 3) over (partition by user_id, event_type order by ts, event_id) p, row_number() over (partition by user_id, event_type order by ts, event_id) r from {EVENTS}) where r = 1 or k3 is distinct from p")
+@query("win13_change_detect",
+    f"select event_id, user_id, k3 from (select event_id, user_id, event_type, ts, k % 3 k3, lag(k % 3) over (partition by user_id, event_type"
+    f" order by ts, event_id) p, row_number() over (partition by user_id, event_type order by ts, event_id) r from {EVENTS})"
+    f" where r = 1 or k3 is distinct from p"
+)
 def win13(spark, d):
     return groups.changed(events(spark, d).withColumn("k3", F.col("k") % 3), ["user_id", "event_type"], ["ts", "event_id"], ["k3"]).select("event_id", "user_id", "k3")
 
@@ -73,7 +96,10 @@ def win16(spark, d):
     return events(spark, d).where("k % 2 = 0").groupBy("event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("ts").alias("ts"))
 
 
-@query("win18_change_points", f"select part_id, ok, ln from (select *, lag(ok % 5) over (partition by part_id order by recorded_at, ok, ln) p from {HISTORY}) where p is not null and p <> ok % 5")
+@query("win18_change_points",
+    f"select part_id, ok, ln from (select *, lag(ok % 5) over (partition by part_id order by recorded_at, ok, ln) p from {HISTORY})"
+    f" where p is not null and p <> ok % 5"
+)
 def win18(spark, d):
     w = Window.partitionBy("part_id").orderBy("recorded_at", "ok", "ln")
     return price_history(spark, d).withColumn("p", F.lag(F.col("ok") % 5).over(w)).where("p <> ok % 5").select("part_id", "ok", "ln")
@@ -105,13 +131,19 @@ def flt18(spark, d):
     return listings(spark, d).where(filters.after(["listed_at", "id"], [dt.datetime(1996, 1, 1), 100])).orderBy("listed_at", "id").limit(500).select("id", "listed_at")
 
 
-@query("srt03_page", f"select id, price_cents from {LISTINGS} where source in ('ASIA', 'EUROPE') and price_cents >= 1000000 order by price_cents desc, id limit 20 offset 40")
+@query("srt03_page",
+    f"select id, price_cents from {LISTINGS} where source in ('ASIA', 'EUROPE') and price_cents >= 1000000 order by price_cents desc, id"
+    f" limit 20 offset 40"
+)
 def srt03(spark, d):
     s = filters.Search(any_of={"source": ["ASIA", "EUROPE"], "status": []}, ranges={"price_cents": (1_000_000, None)}, sort="price_cents:desc", page=3)
     return filters.search(listings(spark, d), s, "id").select("id", "price_cents")
 
 
-@query("flt03_in_filters", f"select id, source, segment from {LISTINGS} where source in ('ASIA', 'AFRICA') and segment in ('BUILDING') and price_cents between 5000000 and 20000000")
+@query("flt03_in_filters",
+    f"select id, source, segment from {LISTINGS} where source in ('ASIA', 'AFRICA') and segment in ('BUILDING') and price_cents between 5000000"
+    f" and 20000000"
+)
 def flt03(spark, d):
     s = filters.Search(any_of={"source": ["ASIA", "AFRICA"], "segment": ["BUILDING"]}, ranges={"price_cents": (5_000_000, 20_000_000)})
     return listings(spark, d).where(s.conditions()).select("id", "source", "segment")
@@ -186,7 +218,10 @@ def flt22(spark, d):
     return listings(spark, d).groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("n")).where("n > 12")
 
 
-@query("flt23_prefer_finished", f"select event_id from (select *, max(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id) f from {EVENTS}) where f = 0 or event_type = 'purchase'")
+@query("flt23_prefer_finished",
+    f"select event_id from (select *, max(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id) f from {EVENTS})"
+    f" where f = 0 or event_type = 'purchase'"
+)
 def flt23(spark, d):
     any_done = F.max((F.col("event_type") == "purchase").cast("int")).over(Window.partitionBy("user_id"))
     return events(spark, d).withColumn("f", any_done).where("f = 0 or event_type = 'purchase'").select("event_id")
@@ -197,18 +232,27 @@ def srt05(spark, d):
     return parts(spark, d).select("id", F.when(F.col("size") % 3 > 0, F.col("size")).alias("due")).orderBy(F.asc_nulls_last("due"), "id").limit(100)
 
 
-@query("srt06_severity", f"select event_id, event_type, ts from {EVENTS} order by case event_type when 'error' then 0 when 'purchase' then 1 else 2 end, ts desc, event_id limit 200")
+@query("srt06_severity",
+    f"select event_id, event_type, ts from {EVENTS} order by case event_type when 'error' then 0 when 'purchase' then 1 else 2 end, ts desc,"
+    f" event_id limit 200"
+)
 def srt06(spark, d):
     rank = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
     return events(spark, d).orderBy(rank, F.desc("ts"), "event_id").limit(200).select("event_id", "event_type", "ts")
 
 
-@query("srt11_least_loaded", "select n_nationkey, arg_min(s_suppkey, (s_acctbal, s_suppkey)) s_suppkey from supplier join nation on n_nationkey = s_nationkey where s_acctbal > 0 group by n_nationkey")
+@query("srt11_least_loaded",
+    "select n_nationkey, arg_min(s_suppkey, (s_acctbal, s_suppkey)) s_suppkey from supplier join nation on n_nationkey = s_nationkey"
+    " where s_acctbal > 0 group by n_nationkey"
+)
 def srt11(spark, d):
     return t(spark, d, "supplier").where("s_acctbal > 0").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.min_by("s_suppkey", F.struct("s_acctbal", "s_suppkey")).alias("s_suppkey"))
 
 
-@query("set01_history_union", f"select part_id, recorded_at, ok, kind, r, v from (select part_id, recorded_at, ok, ln, 'price' kind, 0 r, price_cents v from {HISTORY} union all select l_partkey, l_shipdate, l_orderkey, l_linenumber, 'mileage', 1, cast(l_quantity as bigint) from lineitem)")
+@query("set01_history_union",
+    f"select part_id, recorded_at, ok, kind, r, v from (select part_id, recorded_at, ok, ln, 'price' kind, 0 r, price_cents v from {HISTORY}"
+    f" union all select l_partkey, l_shipdate, l_orderkey, l_linenumber, 'mileage', 1, cast(l_quantity as bigint) from lineitem)"
+)
 def set01(spark, d):
     """One vehicle's history is read in order; the whole table's is ordered within each part, not across all of them."""
     price = price_history(spark, d).select("part_id", "recorded_at", "ok", F.lit("price").alias("kind"), F.lit(0).alias("r"), F.col("price_cents").alias("v"))
@@ -217,7 +261,11 @@ def set01(spark, d):
     return price.unionByName(miles).repartition("part_id").sortWithinPartitions("part_id", "recorded_at", "r", "ok")
 
 
-@query("set03_difference", "select user_id, side from (select user_id, 'only_view' side from events where event_type = 'view' and hour(ts) < 1 except select user_id, 'only_view' from events where event_type = 'error' and hour(ts) < 1 union all (select user_id, 'only_error' from events where event_type = 'error' and hour(ts) < 1 except select user_id, 'only_error' from events where event_type = 'view' and hour(ts) < 1))")
+@query("set03_difference",
+    "select user_id, side from (select user_id, 'only_view' side from events where event_type = 'view' and hour(ts) < 1 except"
+    " select user_id, 'only_view' from events where event_type = 'error' and hour(ts) < 1 union all (select user_id, 'only_error' from events"
+    " where event_type = 'error' and hour(ts) < 1 except select user_id, 'only_error' from events where event_type = 'view' and hour(ts) < 1))"
+)
 def set03(spark, d):
     """Users of the first hour of days who did one thing and not the other."""
     of = lambda kind: events(spark, d).where((F.col("event_type") == kind) & (F.hour("ts") < 1)).select("user_id")
@@ -225,7 +273,10 @@ def set03(spark, d):
     return one.subtract(two).withColumn("side", F.lit("only_view")).unionByName(two.subtract(one).withColumn("side", F.lit("only_error")))
 
 
-@query("set05_problem_union", f"select source, key, n from (select 'events' source, event_type as key, count(*) n from {EVENTS} group by event_type union all select 'orders', status, count(*) from {LISTINGS} group by status)")
+@query("set05_problem_union",
+    f"select source, key, n from (select 'events' source, event_type as key, count(*) n from {EVENTS} group by event_type union all select 'orders',"
+    f" status, count(*) from {LISTINGS} group by status)"
+)
 def set05(spark, d):
     a = events(spark, d).groupBy(F.col("event_type").alias("key")).agg(F.count(F.lit(1)).alias("n")).withColumn("source", F.lit("events"))
     b = listings(spark, d).groupBy(F.col("status").alias("key")).agg(F.count(F.lit(1)).alias("n")).withColumn("source", F.lit("orders"))

@@ -11,19 +11,29 @@ from lotwise.plans.registry import query
 from lotwise.plans.standins import EVENTS, HISTORY, LISTINGS, PICTURES, events, listings, pictures, price_history, t
 
 
-@query("jon02_first_last_join", f"with h as (select part_id, arg_min(price_cents, (recorded_at, ok, ln)) f, arg_max(price_cents, (recorded_at, ok, ln)) l from {HISTORY} group by part_id) select p_partkey, p_brand, f, l from part join h on part_id = p_partkey where f > l")
+@query("jon02_first_last_join",
+    f"with h as (select part_id, arg_min(price_cents, (recorded_at, ok, ln)) f, arg_max(price_cents, (recorded_at, ok, ln)) l from {HISTORY}"
+    f" group by part_id) select p_partkey, p_brand, f, l from part join h on part_id = p_partkey where f > l"
+)
 def jon02(spark, d):
     h = first_last(price_history(spark, d), "part_id", "price_cents", ["recorded_at", "ok", "ln"]).where("first_value > last_value")
     return t(spark, d, "part").join(h, F.col("p_partkey") == F.col("part_id")).select("p_partkey", "p_brand", F.col("first_value").alias("f"), F.col("last_value").alias("l"))
 
 
-@query("jon03_empty_buckets", f"select m, count(e.event_id) n from (select unnest(generate_series(timestamp '2023-12-01', timestamp '2024-03-01', interval 1 month)) m) left join {EVENTS} e on date_trunc('month', e.ts) = m group by m")
+@query("jon03_empty_buckets",
+    f"select m, count(e.event_id) n from (select unnest(generate_series(timestamp '2023-12-01', timestamp '2024-03-01', interval 1 month)) m) left"
+    f" join {EVENTS} e on date_trunc('month', e.ts) = m group by m"
+)
 def jon03(spark, d):
     n = events(spark, d).groupBy(F.date_trunc("month", "ts").alias("m")).agg(F.count(F.lit(1)).alias("n"))
     return joins.spine(spark, "2023-12-01", "2024-03-01", "month").select(F.col("bucket").alias("m")).join(n, "m", "left").select("m", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("jon04_interval", f"select b as bucket, count(distinct id) n from (select unnest(generate_series(timestamp '1993-01-01', timestamp '1996-12-01', interval 1 month)) b) left join (select id, listed_at, listed_at + interval 75 day gone_at from {LISTINGS}) on listed_at <= b + interval 1 month and gone_at >= b group by b")
+@query("jon04_interval",
+    f"select b as bucket, count(distinct id) n from (select unnest(generate_series(timestamp '1993-01-01', timestamp '1996-12-01',"
+    f" interval 1 month)) b) left join (select id, listed_at, listed_at + interval 75 day gone_at"
+    f" from {LISTINGS}) on listed_at <= b + interval 1 month and gone_at >= b group by b"
+)
 def jon04(spark, d):
     rows = listings(spark, d).withColumn("gone_at", F.col("listed_at") + F.expr("interval 75 days"))
     at = lambda s: F.lit(s).cast("timestamp")
@@ -31,26 +41,39 @@ def jon04(spark, d):
     return joins.spine(spark, "1993-01-01", "1996-12-01", "month").join(n, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("jon05_point_in_bucket", f"select b as bucket, round(quantile_cont(price_cents, 0.5), 2) median from (select unnest(generate_series(timestamp '1994-01-03', timestamp '1994-12-26', interval 7 day)) b) left join {HISTORY} on recorded_at >= b and recorded_at < b + interval 7 day group by b")
+@query("jon05_point_in_bucket",
+    f"select b as bucket, round(quantile_cont(price_cents, 0.5), 2) median from (select unnest(generate_series(timestamp '1994-01-03',"
+    f" timestamp '1994-12-26', interval 7 day)) b) left join {HISTORY} on recorded_at >= b and recorded_at < b + interval 7 day group by b"
+)
 def jon05(spark, d):
     weekly = price_history(spark, d).select(F.date_trunc("week", "recorded_at").alias("bucket"), "price_cents")
     m = market.percentiles(weekly, ["bucket"], "price_cents", {"median": 0.5})
     return joins.spine(spark, "1994-01-03", "1994-12-26", "week").join(m.select("bucket", F.round("median", 2).alias("median")), "bucket", "left")
 
 
-@query("jon08_blocked_pairs", "select a.c_custkey a, b.c_custkey b from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_mktsegment = b.c_mktsegment and a.c_custkey < b.c_custkey where abs(a.c_acctbal - b.c_acctbal) <= 500")
+@query("jon08_blocked_pairs",
+    "select a.c_custkey a, b.c_custkey b from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_mktsegment = b.c_mktsegment"
+    " and a.c_custkey < b.c_custkey where abs(a.c_acctbal - b.c_acctbal) <= 500"
+)
 def jon08(spark, d):
     pairs = joins.blocked_pairs(t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"), ["c_nationkey", "c_mktsegment"], "c_custkey", near=("c_acctbal", 500))
     return pairs.select(F.col("a_c_custkey").alias("a"), F.col("b_c_custkey").alias("b"))
 
 
-@query("jon09_counts_or_zero", "select s_suppkey, coalesce(n, 0) n from supplier left join (select l_suppkey, count(*) n from lineitem where l_returnflag = 'R' and l_quantity > 49 group by 1) on l_suppkey = s_suppkey")
+@query("jon09_counts_or_zero",
+    "select s_suppkey, coalesce(n, 0) n from supplier left join (select l_suppkey, count(*) n from lineitem where l_returnflag = 'R'"
+    " and l_quantity > 49 group by 1) on l_suppkey = s_suppkey"
+)
 def jon09(spark, d):
     n = t(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 49").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     return t(spark, d, "supplier").join(n, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("jon10_reconcile_anti", "select c_custkey, 'missing' side from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P') union all select distinct o_custkey, 'unexpected' from orders where o_orderstatus = 'P' and o_custkey % 2 = 0 and o_custkey not in (select c_custkey from customer where c_acctbal > 0)")
+@query("jon10_reconcile_anti",
+    "select c_custkey, 'missing' side from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P') union all"
+    " select distinct o_custkey, 'unexpected' from orders where o_orderstatus = 'P' and o_custkey % 2 = 0 and o_custkey not in (select c_custkey"
+    " from customer where c_acctbal > 0)"
+)
 def jon10(spark, d):
     c, o = t(spark, d, "customer"), t(spark, d, "orders").where("o_orderstatus = 'P'")
     missing = c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey", F.lit("missing").alias("side"))
@@ -65,7 +88,10 @@ def jon12(spark, d):
     return t(spark, d, "orders").where("o_orderstatus = 'O'").join(seen, "o_orderkey", "left_anti").select("o_orderkey")
 
 
-@query("jon13_semi_cross_source", f"select id from {LISTINGS} l where exists (select 1 from {LISTINGS} m where m.price_cents // 10000 = l.price_cents // 10000 and m.source <> l.source)")
+@query("jon13_semi_cross_source",
+    f"select id from {LISTINGS} l where exists (select 1 from {LISTINGS} m where m.price_cents // 10000 = l.price_cents // 10000"
+    f" and m.source <> l.source)"
+)
 def jon13(spark, d):
     rows = listings(spark, d).withColumn("key", F.floor(F.col("price_cents") / 10000))
     many = rows.groupBy("key").agg(F.count_distinct("source").alias("n")).where("n > 1")
@@ -90,7 +116,12 @@ def jon15(spark, d):
     return t(spark, d, "orders").join(child, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "top_parts")
 
 
-@query("jon16_divergence", "with b as (select o_orderkey id, o_orderstatus st, o_orderpriority pr from orders), x as (select id, case when id % 97 = 0 then 'X' else st end st, case when id % 89 = 0 then '0' else pr end pr from b) select b.id, 'status' field, b.st expected, x.st actual from b join x using (id) where b.st is distinct from x.st union all select b.id, 'priority', b.pr, x.pr from b join x using (id) where b.pr is distinct from x.pr")
+@query("jon16_divergence",
+    "with b as (select o_orderkey id, o_orderstatus st, o_orderpriority pr from orders), x as (select id, case when id % 97 = 0 then 'X'"
+    " else st end st, case when id % 89 = 0 then '0' else pr end pr from b) select b.id, 'status' field, b.st expected, x.st actual from b"
+    " join x using (id) where b.st is distinct from x.st union all select b.id, 'priority', b.pr, x.pr from b join x using (id)"
+    " where b.pr is distinct from x.pr"
+)
 def jon16(spark, d):
     b = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
     x = b.select("id", F.when(F.col("id") % 97 == 0, "X").otherwise(F.col("status")).alias("x_status"), F.when(F.col("id") % 89 == 0, "0").otherwise(F.col("priority")).alias("x_priority"))
@@ -100,12 +131,16 @@ def jon16(spark, d):
 
 @query("jon17_scalar_subquery", "select c_custkey, (select count(*) from orders where o_custkey = c_custkey and o_orderstatus = 'P') n from customer")
 def jon17(spark, d):
-    t(spark, d, "customer").createOrReplaceTempView("lotwise_customer")
-    t(spark, d, "orders").createOrReplaceTempView("lotwise_orders")
-    return spark.sql("select c_custkey, (select count(*) from lotwise_orders where o_custkey = c_custkey and o_orderstatus = 'P') n from lotwise_customer")
+    counted = "select c_custkey, (select count(*) from {orders} where o_custkey = c_custkey and o_orderstatus = 'P') n from {customer}"
+    return spark.sql(counted, orders=t(spark, d, "orders"), customer=t(spark, d, "customer"))
 
 
-@query("jon19_fallback", "with m as (select p_brand make, p_size size, min(p_partkey) model_id from part where p_size % 3 = 0 group by 1, 2 union all select p_brand, null, min(p_partkey) from part where p_brand not like '%5' group by 1) select p_partkey, coalesce(e.model_id, f.model_id) model_id, case when e.model_id is not null then 'exact' when f.model_id is not null then 'fallback' else 'none' end as match from part left join m e on e.make = p_brand and e.size = p_size left join m f on f.make = p_brand and f.size is null")
+@query("jon19_fallback",
+    "with m as (select p_brand make, p_size size, min(p_partkey) model_id from part where p_size % 3 = 0 group by 1, 2 union all select p_brand,"
+    " null, min(p_partkey) from part where p_brand not like '%5' group by 1) select p_partkey, coalesce(e.model_id, f.model_id) model_id, case"
+    " when e.model_id is not null then 'exact' when f.model_id is not null then 'fallback' else 'none' end as match from part left"
+    " join m e on e.make = p_brand and e.size = p_size left join m f on f.make = p_brand and f.size is null"
+)
 def jon19(spark, d):
     p = t(spark, d, "part").select("p_partkey", F.col("p_brand").alias("make"), F.col("p_size").alias("size"))
     table = p.where("size % 3 = 0").groupBy("make", "size").agg(F.min("p_partkey").alias("model_id")).unionByName(p.where("make not like '%5'").groupBy("make").agg(F.min("p_partkey").alias("model_id")).withColumn("size", F.lit(None).cast("int")))
@@ -133,7 +168,10 @@ def mth01(spark, d):
     return _geo(spark, d).select("id", F.round(haversine(F.lit(35.0), F.lit(-100.0), F.col("lat"), F.col("lng")), 3).alias("miles"))
 
 
-NEAR = f"(select id, phash from {PICTURES} union all select id + 1000000000, xor(phash, (1::bigint << cast(id % 60 as integer)) | (1::bigint << cast(id * 7 % 60 as integer)) | (id % 7)) from {PICTURES})"
+NEAR = (
+    f"(select id, phash from {PICTURES} union all select id + 1000000000,"
+    f" xor(phash, (1::bigint << cast(id % 60 as integer)) | (1::bigint << cast(id * 7 % 60 as integer)) | (id % 7)) from {PICTURES})"
+)
 
 
 def _near(spark, d):
@@ -144,7 +182,10 @@ def _near(spark, d):
     return p.unionByName(p.select((F.col("id") + 1_000_000_000).alias("id"), F.col("phash").bitwiseXOR(edit).alias("phash")))
 
 
-@query("jon23_hamming", f"with g as (select phash h, min(id) id from {NEAR} group by 1) select a.id a, b.id b, cast(bit_count(xor(a.h, b.h)) as integer) distance from g a join g b on a.id < b.id where bit_count(xor(a.h, b.h)) <= 10")
+@query("jon23_hamming",
+    f"with g as (select phash h, min(id) id from {NEAR} group by 1) select a.id a, b.id b, cast(bit_count(xor(a.h, b.h)) as integer) distance"
+    f" from g a join g b on a.id < b.id where bit_count(xor(a.h, b.h)) <= 10"
+)
 def jon23(spark, d):
     return joins.hamming_pairs(_near(spark, d), "id", "phash")
 
@@ -154,19 +195,28 @@ def mth02(spark, d):
     return pictures(spark, d).select("id", hamming(F.col("phash"), F.lit(81985529216486895)).alias("distance"))
 
 
-@query("mth03_hex_int", f"select id, lower(lpad(hex(cast(case when phash < 0 then phash + 18446744073709551616::hugeint else phash::hugeint end as ubigint)), 16, '0')) h, phash back from {PICTURES}")
+@query("mth03_hex_int",
+    f"select id, lower(lpad(hex(cast(case when phash < 0 then phash + 18446744073709551616::hugeint else phash::hugeint end as ubigint)),"
+    f" 16, '0')) h, phash back from {PICTURES}"
+)
 def mth03(spark, d):
     return pictures(spark, d).select("id", long_to_hex(F.col("phash")).alias("h")).withColumn("back", hex_to_long(F.col("h")))
 
 
-@query("jon24_prefix_join", "select p.p_partkey, b.t from part p join (select distinct left(p_name, 3 + p_partkey % 7) t from part where p_partkey % 40 = 0) b on starts_with(p.p_name, b.t)")
+@query("jon24_prefix_join",
+    "select p.p_partkey, b.t from part p join (select distinct left(p_name, 3 + p_partkey % 7) t from part"
+    " where p_partkey % 40 = 0) b on starts_with(p.p_name, b.t)"
+)
 def jon24(spark, d):
     p = t(spark, d, "part").select("p_partkey", "p_name")
     bases = p.where("p_partkey % 40 = 0").select(F.expr("left(p_name, cast(3 + p_partkey % 7 as int))").alias("t")).distinct()
     return joins.prefix_join(p, "p_name", bases, "t").select("p_partkey", "t")
 
 
-@query("jon25_missing_or_stale", "select s_suppkey from supplier left join (select l_suppkey, max(l_shipdate) last from lineitem where l_suppkey % 10 > 0 group by 1) on l_suppkey = s_suppkey where last is null or last < timestamp '2001-10-20' order by s_suppkey limit 50")
+@query("jon25_missing_or_stale",
+    "select s_suppkey from supplier left join (select l_suppkey, max(l_shipdate) last from lineitem where l_suppkey % 10 > 0"
+    " group by 1) on l_suppkey = s_suppkey where last is null or last < timestamp '2001-10-20' order by s_suppkey limit 50"
+)
 def jon25(spark, d):
     """The next fifty suppliers without a delivery (every tenth) or with none since a cutoff."""
     last = t(spark, d, "lineitem").where("l_suppkey % 10 > 0").groupBy("l_suppkey").agg(F.max("l_shipdate").alias("last"))
@@ -174,19 +224,29 @@ def jon25(spark, d):
     return due.orderBy("s_suppkey").limit(50).select("s_suppkey")
 
 
-@query("set02_recursive_lineage", "with recursive e as (select o_orderkey child, o_orderkey // 2 parent from orders where o_orderkey >= 2), tree as (select 1::bigint id, 1::bigint root, 0 depth union all select child, root, depth + 1 from tree join e on parent = id) select id, root, min(depth) depth from tree group by 1, 2")
+@query("set02_recursive_lineage",
+    "with recursive e as (select o_orderkey child, o_orderkey // 2 parent from orders where o_orderkey >= 2), tree as (select 1::bigint id,"
+    " 1::bigint root, 0 depth union all select child, root, depth + 1 from tree join e on parent = id) select id, root, min(depth) depth from tree"
+    " group by 1, 2"
+)
 def set02(spark, d):
     edges = t(spark, d, "orders").where("o_orderkey >= 2").select(F.col("o_orderkey").alias("child"), F.expr("o_orderkey div 2").alias("parent"))
     return joins.lineage(edges, spark.range(1, 2))
 
 
-@query("dat02_series", "select unnest(generate_series(date_trunc('week', min(o_orderdate)), date_trunc('week', max(o_orderdate)), interval 7 day))::timestamp as bucket from orders")
+@query("dat02_series",
+    "select unnest(generate_series(date_trunc('week', min(o_orderdate)), date_trunc('week', max(o_orderdate)),"
+    " interval 7 day))::timestamp as bucket from orders"
+)
 def dat02(spark, d):
     return joins.spine_of(t(spark, d, "orders"), "o_orderdate", "week")
 
 
 BUCKETS = "(select unnest(generate_series(timestamp '1993-01-01', timestamp '1996-12-01', interval 1 month)) as bucket)"
-REPS = f"(select *, listed_at + interval 1 day * (id % 200) gone_at from {LISTINGS} qualify row_number() over (partition by vehicle_id order by listed_at desc, id) = 1)"
+REPS = (
+    f"(select *, listed_at + interval 1 day * (id % 200) gone_at from {LISTINGS} qualify row_number() over (partition by vehicle_id"
+    f" order by listed_at desc, id) = 1)"
+)
 
 
 @query("dom18_trends", f"""with r as {REPS}, i as (select bucket, count(distinct id) n from {BUCKETS} left join r on listed_at <= bucket + interval 1 month and gone_at >= bucket group by 1),

@@ -10,7 +10,10 @@ from lotwise.plans.registry import query
 from lotwise.plans.standins import EVENTS, HISTORY, LISTINGS, PARTS, events, listings, parts, price_history, t
 
 
-@query("prj02_mask", "select c_custkey, case when c_mktsegment <> 'BUILDING' then c_name end dealer_phone, case when c_mktsegment = 'BUILDING' then 'For Sale By Owner' else c_name end dealer_name from customer")
+@query("prj02_mask",
+    "select c_custkey, case when c_mktsegment <> 'BUILDING' then c_name end dealer_phone, case"
+    " when c_mktsegment = 'BUILDING' then 'For Sale By Owner' else c_name end dealer_name from customer"
+)
 def prj02(spark, d):
     c = t(spark, d, "customer").select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", "private").otherwise("dealer").alias("seller_type"), F.col("c_name").alias("dealer_phone"), F.col("c_name").alias("dealer_name"))
     return projections.masked(c).drop("seller_type")
@@ -80,13 +83,20 @@ def win15(spark, d):
     return groups.top_k(parts(spark, d), ["make"], [F.desc("size"), "id"]).select("make", "id")
 
 
-@query("win17_latest_and_failed", f"select user_id, arg_max(event_id, (ts, event_id)) latest, arg_max(event_id, (ts, event_id)) filter (where event_type = 'error') failed from {EVENTS} group by user_id")
+@query("win17_latest_and_failed",
+    f"select user_id, arg_max(event_id, (ts, event_id)) latest, arg_max(event_id, (ts, event_id)) filter (where event_type = 'error') failed"
+    f" from {EVENTS} group by user_id"
+)
 def win17(spark, d):
     at = F.struct("ts", "event_id")
     return events(spark, d).groupBy("user_id").agg(F.max_by("event_id", at).alias("latest"), F.max_by(F.when(F.col("event_type") == "error", F.col("event_id")), F.when(F.col("event_type") == "error", at)).alias("failed"))
 
 
-@query("agg23_crawl_window", f"select user_id, count(*) runs, count(*) filter (where event_type <> 'error') complete, round(count(*) filter (where event_type <> 'error') / count(*), 6) rate, cast(sum(k) as bigint) promoted from {EVENTS} where ts >= timestamp '2024-01-10' group by user_id")
+@query("agg23_crawl_window",
+    f"select user_id, count(*) runs, count(*) filter (where event_type <> 'error') complete,"
+    f" round(count(*) filter (where event_type <> 'error') / count(*), 6) rate, cast(sum(k) as bigint) promoted from {EVENTS}"
+    f" where ts >= timestamp '2024-01-10' group by user_id"
+)
 def agg23(spark, d):
     g = events(spark, d).where(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")).groupBy("user_id").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("event_type") != "error").alias("complete"), F.sum("k").alias("promoted"))
     return g.withColumn("rate", F.round(F.col("complete") / F.col("runs"), 6))
@@ -102,13 +112,20 @@ def agg40(spark, d):
     return listings(spark, d).agg(F.count_if(F.col("status") == "P").alias("pending"), F.count_if((F.col("status") == "O") & F.startswith("priority", F.lit("1"))).alias("urgent"))
 
 
-@query("agg45_delivery_report", f"select count(*) filter (where event_type <> 'error') passed, count(*) filter (where event_type = 'error') failed, cast(floor(avg(k)) as bigint) mean, avg(k) > 40 slow from {EVENTS} where ts >= timestamp '2024-01-15'")
+@query("agg45_delivery_report",
+    f"select count(*) filter (where event_type <> 'error') passed, count(*) filter (where event_type = 'error') failed,"
+    f" cast(floor(avg(k)) as bigint) mean, avg(k) > 40 slow from {EVENTS} where ts >= timestamp '2024-01-15'"
+)
 def agg45(spark, d):
     e = events(spark, d).where(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz"))
     return e.agg(F.count_if(F.col("event_type") != "error").alias("passed"), F.count_if(F.col("event_type") == "error").alias("failed"), F.floor(F.avg("k")).alias("mean"), (F.avg("k") > 40).alias("slow"))
 
 
-@query("dom15_audit", f"select source, count(*) total, round(avg(case when priority <> '' then 1.0 else 0.0 end), 6) priority_filled, round(avg(case when status = 'P' then 1.0 else 0.0 end), 6) unknown_rate, count(*) filter (where listed_at < timestamp '1995-01-01') stale from {LISTINGS} group by source")
+@query("dom15_audit",
+    f"select source, count(*) total, round(avg(case when priority <> '' then 1.0 else 0.0 end), 6) priority_filled, round(avg(case"
+    f" when status = 'P' then 1.0 else 0.0 end), 6) unknown_rate, count(*) filter (where listed_at < timestamp '1995-01-01') stale from {LISTINGS}"
+    f" group by source"
+)
 def dom15(spark, d):
     rows = listings(spark, d).withColumn("known", F.when(F.col("status") == "P", "unknown").otherwise(F.col("status")))
     out = reports.audit(rows, "source", ["priority"], "known", F.col("listed_at") < F.lit("1995-01-01").cast("timestamp_ntz"))
@@ -163,7 +180,10 @@ def snk02(spark, d):
     return merge.upsert(o, new, ["o_orderkey"], ["status"]).where("outcome = 'updated'").select("o_orderkey", "status")
 
 
-@query("snk11_event_sourced", f"select k as key, event_id from {EVENTS} qualify row_number() over (partition by k order by ts desc, event_id desc) = 1 and event_type <> 'error'")
+@query("snk11_event_sourced",
+    f"select k as key, event_id from {EVENTS} qualify row_number() over (partition by k order by ts desc, event_id desc) = 1"
+    f" and event_type <> 'error'"
+)
 def snk11(spark, d):
     rows = events(spark, d).select(F.col("k").alias("key"), "ts", "event_id", F.when(F.col("event_type") != "error", F.col("event_id")).alias("value"))
     return groups.latest_live(rows, "key", [F.desc("ts"), F.desc("event_id")], "value").select("key", "event_id")
@@ -175,7 +195,10 @@ def stm07(spark, d):
     return parts(spark, d).select("id", merge.sticky(F.col("model"), new).alias("kept"))
 
 
-@query("stm16_stalled", f"select source, count(*) filter (where status = 'P') > 0 and max(listed_at) filter (where status <> 'P') < timestamp '1998-08-02 06:00:00' - interval 6 hour stalled from {LISTINGS} group by source")
+@query("stm16_stalled",
+    f"select source, count(*) filter (where status = 'P') > 0"
+    f" and max(listed_at) filter (where status <> 'P') < timestamp '1998-08-02 06:00:00' - interval 6 hour stalled from {LISTINGS} group by source"
+)
 def stm16(spark, d):
     s = reports.stages(listings(spark, d), "source", {"detail": F.col("status") == "P"}, "listed_at")
     return s.select("source", reports.stalled(F.col("pending"), F.col("last"), F.lit("1998-08-02 06:00:00").cast("timestamp_ntz")).alias("stalled"))

@@ -150,7 +150,11 @@ VIN_PAGES = [
 ]
 
 
-@query("str25_vin_link", f"select id, cast([{', '.join('null' if x is None else repr(x) for _, x in VIN_PAGES)}] as varchar[])[cast(id % {len(VIN_PAGES)} as integer) + 1] vin_url from {PARTS}")
+@query("str25_vin_link",
+    f"select id,"
+    f" cast([{', '.join('null' if x is None else repr(x) for _, x in VIN_PAGES)}] as varchar[])[cast(id % {len(VIN_PAGES)} as integer) + 1] vin_url"
+    f" from {PARTS}"
+)
 def str25(spark, d):
     pages = parts(spark, d).select("id", picked([h for h, _ in VIN_PAGES], "string").alias("html"), F.lit("https://dealer.com/inventory/list?p=1").alias("url"), F.lit("1hgcm82633A004352").alias("vin"))
     return pages.select("id").join(html.vin_link(pages, "vin", key="id", not_at=("source.com",)), "id", "left")

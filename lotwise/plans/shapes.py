@@ -51,7 +51,11 @@ def prj05(spark, d):
     return doc.withColumnRenamed("trim", "trim_name").withColumn("wav_features", F.array_join(F.array_sort("wav_features"), ","))
 
 
-CLAIM = f"(select event_id, user_id listing_id, event_type field, 's' || cast(k % 4 as varchar) source_ref, 'v' || cast(k % 7 as varchar) claimed_value, case when k % 2 = 0 then 'photo' else 'specific_text' end evidence_kind, ts observed_at, k / 100.0 confidence, k % 9 > 0 eligible from {EVENTS})"
+CLAIM = (
+    f"(select event_id, user_id listing_id, event_type field, 's' || cast(k % 4 as varchar) source_ref, 'v' || cast(k % 7 as varchar) claimed_value,"
+    f" case when k % 2 = 0 then 'photo' else 'specific_text' end evidence_kind, ts observed_at, k / 100.0 confidence, k % 9 > 0 eligible"
+    f" from {EVENTS})"
+)
 SLOT = f"(select * from {CLAIM} qualify row_number() over (partition by listing_id, field, source_ref order by observed_at desc, event_id) = 1)"
 
 
@@ -85,7 +89,11 @@ def flt19(spark, d):
 
 
 READY = """detail_scraped_at is not null and detail_stale_at is null and quality_checked_at is not null and computed_at is not null and id % 5 > 0 and id % 7 > 0 and (vin is null or model_id is not null)"""
-STATE = f"(select id, case when id % 11 > 0 then 1 end detail_scraped_at, case when id % 13 = 0 then 1 end detail_stale_at, case when id % 17 > 0 then 1 end quality_checked_at, case when id % 19 > 0 then 1 end computed_at, case when id % 2 = 0 then 'v' end vin, case when id % 6 > 0 then 1 end model_id from {PARTS})"
+STATE = (
+    f"(select id, case when id % 11 > 0 then 1 end detail_scraped_at, case when id % 13 = 0 then 1 end detail_stale_at, case"
+    f" when id % 17 > 0 then 1 end quality_checked_at, case when id % 19 > 0 then 1 end computed_at, case when id % 2 = 0 then 'v' end vin, case"
+    f" when id % 6 > 0 then 1 end model_id from {PARTS})"
+)
 
 
 def _states(spark, d):
@@ -147,7 +155,10 @@ def flt24(spark, d):
     return filters.search(parts(spark, d), s, "id").select("id", "make", "size")
 
 
-@query("jon01_listings_sources", "select o_orderkey, n_name, r_name from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey")
+@query("jon01_listings_sources",
+    "select o_orderkey, n_name, r_name from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey"
+    " join region on r_regionkey = n_regionkey"
+)
 def jon01(spark, d):
     return listings(spark, d).select(F.col("id").alias("o_orderkey"), F.col("nation").alias("n_name"), F.col("source").alias("r_name"))
 
@@ -166,14 +177,20 @@ def jon06(spark, d):
     return joins.spine(spark, "1995-01-01", "2001-12-01", "month").join(n, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), "mean_days")
 
 
-@query("jon07_one_row_cross", f"with q as (select max(price_cents) most, count(*) total from {LISTINGS}) select id, round(price_cents / most, 9) share, total from {LISTINGS}, q")
+@query("jon07_one_row_cross",
+    f"with q as (select max(price_cents) most, count(*) total from {LISTINGS}) select id, round(price_cents / most, 9) share, total from {LISTINGS},"
+    f" q"
+)
 def jon07(spark, d):
     rows = listings(spark, d).select("id", "price_cents")
     one = rows.agg(F.max("price_cents").alias("most"), F.count(F.lit(1)).alias("total"))
     return rows.crossJoin(F.broadcast(one)).select("id", F.round(F.col("price_cents") / F.col("most"), 9).alias("share"), "total")  # one row
 
 
-@query("jon11_not_researched", f"with m as (select distinct make, model, size from {PARTS}), r as (select make, model, size, max(id % 3) version from {PARTS} where id % 2 = 0 group by all) select m.* from m left join r using (make, model, size) where r.version is null or r.version < 2")
+@query("jon11_not_researched",
+    f"with m as (select distinct make, model, size from {PARTS}), r as (select make, model, size, max(id % 3) version from {PARTS} where id % 2 = 0"
+    f" group by all) select m.* from m left join r using (make, model, size) where r.version is null or r.version < 2"
+)
 def jon11(spark, d):
     """Models without research at the current version."""
     p, key = parts(spark, d), ["make", "model", "size"]
@@ -187,7 +204,12 @@ def jon18(spark, d):
     return parts(spark, d).select("id", (~projections.all_https(images)).alias("drops"))
 
 
-@query("jon20_year_fallback", f"with m as (select make, size as \"year\", min(id) model_id from {PARTS} where size % 2 = 0 group by 1, 2), f as (select make, min(id) model_id from {PARTS} where make <> 'Brand#1' group by 1) select p.id, coalesce(m.model_id, f.model_id) model_id, case when m.model_id is not null then 'exact' when f.model_id is not null then 'fallback' else 'none' end as match from {PARTS} p left join m on m.make = p.make and m.\"year\" = p.size left join f on f.make = p.make")
+@query("jon20_year_fallback",
+    f"with m as (select make, size as \"year\", min(id) model_id from {PARTS} where size % 2 = 0 group by 1, 2), f as (select make, min(id) model_id"
+    f" from {PARTS} where make <> 'Brand#1' group by 1) select p.id, coalesce(m.model_id, f.model_id) model_id, case"
+    f" when m.model_id is not null then 'exact' when f.model_id is not null then 'fallback' else 'none' end as match from {PARTS} p left"
+    f" join m on m.make = p.make and m.\"year\" = p.size left join f on f.make = p.make"
+)
 def jon20(spark, d):
     p = parts(spark, d).select("id", "make", F.col("size").alias("year"))
     table = p.where("year % 2 = 0").groupBy("make", "year").agg(F.min("id").alias("model_id"))
@@ -247,7 +269,10 @@ def srt01(spark, d):
     ).select("id", "listed_at")
 
 
-@query("srt02_field_direction", f"(select 'price' by_field, id from {LISTINGS} order by price_cents, id limit 30) union all (select 'listed', id from {LISTINGS} order by listed_at desc, id limit 30)")
+@query("srt02_field_direction",
+    f"(select 'price' by_field, id from {LISTINGS} order by price_cents, id limit 30) union all (select 'listed', id from {LISTINGS}"
+    f" order by listed_at desc, id limit 30)"
+)
 def srt02(spark, d):
     def page(name: str, sort: str):
         return filters.search(listings(spark, d), filters.Search(sort=sort, per_page=30), "id").select(F.lit(name).alias("by_field"), "id")
@@ -261,7 +286,10 @@ def srt04(spark, d):
     return rows.where(filters.after(["price_cents", "id"], [20_000_000, 5])).orderBy("price_cents", "id").limit(100)
 
 
-@query("srt07_facet_order", f"select facet, value, n, row_number() over (partition by facet order by n desc, value) rank from (select 'source' facet, source as value, count(*) n from {LISTINGS} group by 2 union all select 'segment', segment, count(*) from {LISTINGS} group by 2)")
+@query("srt07_facet_order",
+    f"select facet, value, n, row_number() over (partition by facet order by n desc, value) rank from (select 'source' facet, source as value,"
+    f" count(*) n from {LISTINGS} group by 2 union all select 'segment', segment, count(*) from {LISTINGS} group by 2)"
+)
 def srt07(spark, d):
     return facets.ordered(facets.facet_counts(listings(spark, d), ["source", "segment"]))
 
@@ -284,7 +312,10 @@ def srt09(spark, d):
     return pairs.select(F.col("a_c_custkey").alias("a"), F.col("b_c_custkey").alias("b"), gap.alias("gap")).orderBy(F.desc("gap"), "a", "b").limit(20)
 
 
-@query("srt10_bounded_samples", f"select source, count(*) n, array_to_string(array_agg(id order by id) filter (where r <= 10), ',') ids from (select *, row_number() over (partition by source order by id) r from {LISTINGS}) group by 1")
+@query("srt10_bounded_samples",
+    f"select source, count(*) n, array_to_string(array_agg(id order by id) filter (where r <= 10), ',') ids from (select *,"
+    f" row_number() over (partition by source order by id) r from {LISTINGS}) group by 1"
+)
 def srt10(spark, d):
     out = facets.group_examples(listings(spark, d), F.col("source"), "id", ["id"], 10)
     return out.select(F.col("grp").alias("source"), "n", F.array_join(F.col("examples").cast("array<string>"), ",").alias("ids"))
@@ -383,7 +414,10 @@ def _kind(n: str) -> str:
     return KINDS.get(n, "string")
 
 
-@query("mth10_weighted_score", f"select id, {picked_sql([p[2] for p in PAIRS], 'int')} score, {picked_sql([p[3] for p in PAIRS], 'string')} decision, {picked_sql([p[4] for p in PAIRS], 'string')} signals from {PARTS}")
+@query("mth10_weighted_score",
+    f"select id, {picked_sql([p[2] for p in PAIRS], 'int')} score, {picked_sql([p[3] for p in PAIRS], 'string')} decision, {picked_sql([p[4] for p in PAIRS], 'string')} signals"
+    f" from {PARTS}"
+)
 def mth10(spark, d):
     def side(p: str, of: int):
         rows = [BASE | case[of] for case in PAIRS]
@@ -399,7 +433,11 @@ def mth10(spark, d):
     return scored.select("id", "score", "decision", F.array_join(F.transform("signals", lambda s: s["id"]), ",").alias("signals"))
 
 
-@query("dom23_run_forest", "with recursive e as (select o_orderkey child, o_orderkey // 3 parent from orders where o_orderkey >= 6), tree as (select o_orderkey id, o_orderkey root, 0 depth from orders where o_orderkey between 2 and 5 union all select child, root, depth + 1 from tree join e on parent = id) select id, root, depth, case when depth > 0 then id // 3 end parent from tree")
+@query("dom23_run_forest",
+    "with recursive e as (select o_orderkey child, o_orderkey // 3 parent from orders where o_orderkey >= 6), tree as (select o_orderkey id,"
+    " o_orderkey root, 0 depth from orders where o_orderkey between 2 and 5 union all select child, root, depth + 1 from tree"
+    " join e on parent = id) select id, root, depth, case when depth > 0 then id // 3 end parent from tree"
+)
 def dom23(spark, d):
     """Every run with its forest's root, its depth and its parent."""
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("child"), F.expr("o_orderkey div 3").alias("parent"))

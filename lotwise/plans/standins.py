@@ -40,14 +40,20 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-PARTS = "(select p_partkey id, p_brand make, p_type model, p_name title, p_size size, cast(round(p_retailprice * 100) as bigint) price_cents, string_split(p_name, ' ') words from part)"
+PARTS = (
+    "(select p_partkey id, p_brand make, p_type model, p_name title, p_size size, cast(round(p_retailprice * 100) as bigint) price_cents,"
+    " string_split(p_name, ' ') words from part)"
+)
 
 
 def price_history(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "lineitem").select(F.col("l_partkey").alias("part_id"), F.col("l_shipdate").alias("recorded_at"), F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"), cents("l_extendedprice").alias("price_cents"))
 
 
-HISTORY = "(select l_partkey part_id, l_shipdate recorded_at, l_orderkey ok, l_linenumber ln, cast(round(l_extendedprice * 100) as bigint) price_cents from lineitem)"
+HISTORY = (
+    "(select l_partkey part_id, l_shipdate recorded_at, l_orderkey ok, l_linenumber ln, cast(round(l_extendedprice * 100) as bigint) price_cents"
+    " from lineitem)"
+)
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +71,10 @@ def pictures(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Bit i (from the left) is the sign of component i; -2^63 stands for the first.
-PICTURES = "(select vec_id id, label, cast(list_sum([case when embedding[i] > 0 then (case when i = 1 then -9223372036854775808::hugeint else (1::hugeint << (64 - i)) end) else 0::hugeint end for i in range(1, 65)]) as bigint) phash from embeddings)"
+PICTURES = (
+    "(select vec_id id, label, cast(list_sum([case when embedding[i] > 0 then (case when i = 1 then -9223372036854775808::hugeint"
+    " else (1::hugeint << (64 - i)) end) else 0::hugeint end for i in range(1, 65)]) as bigint) phash from embeddings)"
+)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -43,14 +43,20 @@ def stm04(spark, d):
     return fresh.groupBy("user_id").agg(F.sum("k").alias("total"))
 
 
-@query("stm06_exactly_once", f"select user_id, date_trunc('hour', ts) scraped_at, arg_min(k, event_id) k from {EVENTS} where (user_id, date_trunc('hour', ts)) not in (select (user_id, date_trunc('hour', ts)) from {EVENTS} where event_type = 'error') group by 1, 2")
+@query("stm06_exactly_once",
+    f"select user_id, date_trunc('hour', ts) scraped_at, arg_min(k, event_id) k from {EVENTS} where (user_id, date_trunc('hour',"
+    f" ts)) not in (select (user_id, date_trunc('hour', ts)) from {EVENTS} where event_type = 'error') group by 1, 2"
+)
 def stm06(spark, d):
     e = events(spark, d).select("user_id", F.date_trunc("hour", "ts").alias("scraped_at"), "event_id", "k", "event_type")
     fresh = merge.append_new(e.where("event_type = 'error'"), e, ["user_id", "scraped_at"], ["event_id"])
     return fresh.select("user_id", "scraped_at", "k")
 
 
-@query("stm11_guarded_update", f"select id, case when id % 9 > 0 and id % 14 > 0 then 'written' else 'skipped-stale' end outcome from {LISTINGS} where id % 2 = 0 union all select -id, 'skipped-stale' from {LISTINGS} where id % 50 = 1")
+@query("stm11_guarded_update",
+    f"select id, case when id % 9 > 0 and id % 14 > 0 then 'written' else 'skipped-stale' end outcome from {LISTINGS} where id % 2 = 0 union all"
+    f" select -id, 'skipped-stale' from {LISTINGS} where id % 50 = 1"
+)
 def stm11(spark, d):
     rows = listings(spark, d)
     hidden = F.when(F.col("id") % 14 == 0, F.col("listed_at"))
@@ -59,7 +65,10 @@ def stm11(spark, d):
     return merge.guarded_update(now, made.withColumn("version", F.lit(1)), "id", "version", "hidden_at").select("id", "outcome")
 
 
-@query("stm15_claim_log", f"select event_id from (select *, lag(v) over w p, row_number() over w n from (select event_id, user_id, event_type, ts, k % 3 v from {EVENTS}) window w as (partition by user_id, event_type order by ts, event_id)) where n = 1 or p <> v")
+@query("stm15_claim_log",
+    f"select event_id from (select *, lag(v) over w p, row_number() over w n from (select event_id, user_id, event_type, ts, k % 3 v"
+    f" from {EVENTS}) window w as (partition by user_id, event_type order by ts, event_id)) where n = 1 or p <> v"
+)
 def stm15(spark, d):
     e = events(spark, d).select("event_id", "user_id", "event_type", "ts", (F.col("k") % 3).alias("v"))
     return groups.changed(e, ["user_id", "event_type"], ["ts", "event_id"], ["v"]).select("event_id")

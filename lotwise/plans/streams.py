@@ -57,7 +57,11 @@ def stm09(spark, d):
     return quality.drift(r, "source", "run", ["rate"], threshold=0.05).select("source", "run", F.round("rate_baseline", 6).alias("baseline"), "drifted")
 
 
-@query("mth08_ewma", f"with v as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) n, count(*) over (partition by user_id) m from {EVENTS}) select user_id, round(sum(value * case when n = 1 then pow(0.8, m - 1) else 0.2 * pow(0.8, m - n) end), 4) mean from v group by user_id")
+@query("mth08_ewma",
+    f"with v as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) n, count(*) over (partition by user_id) m"
+    f" from {EVENTS}) select user_id, round(sum(value * case when n = 1 then pow(0.8, m - 1) else 0.2 * pow(0.8, m - n) end), 4) mean from v"
+    f" group by user_id"
+)
 def mth08(spark, d):
     e = scans.smoothed(events(spark, d).select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], ["value"])
     return e.groupBy("user_id").agg(F.round(F.max_by("value_after", F.struct("ts", "event_id")), 4).alias("mean"))
@@ -79,17 +83,28 @@ def tumbling(spark, d):
     return pipelines.windowed_counts(events(spark, d), "ts", ["event_type"], "1 hour")
 
 
-@query("win_sliding", f"select s \"start\", event_type, count(*) n from (select event_type, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - interval 1 hour]) s from {EVENTS}) group by 1, 2")
+@query("win_sliding",
+    f"select s \"start\", event_type, count(*) n from (select event_type, unnest([date_trunc('hour', ts), date_trunc('hour',"
+    f" ts) - interval 1 hour]) s from {EVENTS}) group by 1, 2"
+)
 def sliding(spark, d):
     return pipelines.windowed_counts(events(spark, d), "ts", ["event_type"], "2 hours", "1 hour")
 
 
-@query("win_session", f"with g as (select user_id, ts, case when ts < lag(ts) over w + interval 30 minute then 0 else 1 end first from {EVENTS} window w as (partition by user_id order by ts)), s as (select *, sum(first) over (partition by user_id order by ts rows unbounded preceding) i from g) select min(ts) \"start\", max(ts) + interval 30 minute \"end\", user_id, count(*) n from s group by user_id, i")
+@query("win_session",
+    f"with g as (select user_id, ts, case when ts < lag(ts) over w + interval 30 minute then 0 else 1 end first"
+    f" from {EVENTS} window w as (partition by user_id order by ts)), s as (select *, sum(first) over (partition by user_id"
+    f" order by ts rows unbounded preceding) i from g) select min(ts) \"start\", max(ts) + interval 30 minute \"end\", user_id, count(*) n from s"
+    f" group by user_id, i"
+)
 def session(spark, d):
     return pipelines.sessions(events(spark, d), "ts", "user_id")
 
 
-@query("snk04_representatives_only", f"select id from {LISTINGS} where status <> 'P' qualify row_number() over (partition by vehicle_id order by (case when priority like '1%' then 1 else 0 end) desc, listed_at desc, id) = 1")
+@query("snk04_representatives_only",
+    f"select id from {LISTINGS} where status <> 'P' qualify row_number() over (partition by vehicle_id order by (case when priority like '1%' then 1"
+    f" else 0 end) desc, listed_at desc, id) = 1"
+)
 def snk04(spark, d):
     rows = listings(spark, d).where("status <> 'P'").withColumn("first_class", F.when(F.startswith("priority", F.lit("1")), 1))
     return scored_representative(rows, ["vehicle_id"], completeness(["first_class"]), "listed_at", "id").select("id")

@@ -15,7 +15,10 @@ def str01(spark, d):
     return parts(spark, d).select("id", canonical.color(F.concat(F.col("words")[0], F.lit(" Metallic Pearl Coat"))).alias("color"))
 
 
-@query("str02_fuel", f"select id, case id % 8 when 0 then 'hybrid' when 1 then 'plug-in hybrid' when 2 then 'electric' when 3 then 'diesel' when 4 then 'gasoline' when 5 then 'gasoline' when 6 then null else 'hydrogen' end fuel from {PARTS}")
+@query("str02_fuel",
+    f"select id, case id % 8 when 0 then 'hybrid' when 1 then 'plug-in hybrid' when 2 then 'electric' when 3 then 'diesel' when 4 then 'gasoline'"
+    f" when 5 then 'gasoline' when 6 then null else 'hydrogen' end fuel from {PARTS}"
+)
 def str02(spark, d):
     raw = F.get(F.array(*map(F.lit, ["Gas/Hybrid", "Plug-In Hybrid", "BEV", "DIESEL", "Regular Unleaded", "3.5L V6 DOHC", "2.5L 4-Cyl", "Fuel Cell"])), (F.col("id") % 8).cast("int"))
     engine = F.when(F.col("id") % 8 == 5, "3.5L V6 Gasoline")
@@ -32,14 +35,20 @@ def str05(spark, d):
     return parts(spark, d).select("id", canonical.brand_slug(F.concat(F.lit(" "), "title", F.lit("!"))).alias("slug"))
 
 
-@query("str07_vehicle_title", f"select id, 2000 + size as \"year\", string_split(title, ' ')[1] make, 'Grand Caravan' model, string_split(title, ' ')[2] trim_name from {PARTS}")
+@query("str07_vehicle_title",
+    f"select id, 2000 + size as \"year\", string_split(title, ' ')[1] make, 'Grand Caravan' model, string_split(title, ' ')[2] trim_name"
+    f" from {PARTS}"
+)
 def str07(spark, d):
     p = parts(spark, d)
     one = canonical.vehicle_title(F.concat_ws(" ", (F.col("size") + 2000).cast("string"), F.col("words")[0], F.lit("Grand Caravan"), F.col("words")[1]))
     return p.withColumn("v", one).select("id", "v.year", "v.make", "v.model", F.col("v.trim").alias("trim_name"))
 
 
-@query("str09_city_state", "select s_suppkey, lower(regexp_replace(n_name, '\\s+', ' ', 'g')) || '|' || upper(left(r_name, 2)) key from supplier join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey")
+@query("str09_city_state",
+    "select s_suppkey, lower(regexp_replace(n_name, '\\s+', ' ', 'g')) || '|' || upper(left(r_name, 2)) key from supplier"
+    " join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey"
+)
 def str09(spark, d):
     from lotwise.plans.standins import regions
 
@@ -63,7 +72,10 @@ def str13(spark, d):
     return parts(spark, d).select("id", vin.alias("vin"), numeric.vin_check_digit(vin).alias("fine"))
 
 
-@query("str14_sale_status", f"select id, case size % 5 when 0 then 'sold' when 1 then 'pending' when 2 then 'gone' when 3 then 'active' else 'active' end status from {PARTS}")
+@query("str14_sale_status",
+    f"select id, case size % 5 when 0 then 'sold' when 1 then 'pending' when 2 then 'gone' when 3 then 'active' else 'active' end status"
+    f" from {PARTS}"
+)
 def str14(spark, d):
     raw = F.get(F.array(*map(F.lit, ["SOLD!", "Sale Pending", "No longer available", "", "sold " * 30])), F.col("size") % 5)
     return parts(spark, d).select("id", text.sale_status(raw).alias("status"))
@@ -101,12 +113,18 @@ def str20(spark, d):
     return t(spark, d, "pages").select("page_id", text.image_url(raw).alias("clean"))
 
 
-@query("str22_host", "select page_id, case when host like '%.example.com' or host = 'example.com' then null else host end host from (select page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\\.', '') host from pages)")
+@query("str22_host",
+    "select page_id, case when host like '%.example.com' or host = 'example.com' then null else host end host from (select page_id,"
+    " regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\\.', '') host from pages)"
+)
 def str22(spark, d):
     return t(spark, d, "pages").select("page_id", text.allowed_host(F.col("url"), ["example.com"]).alias("host"))
 
 
-@query("str24_unescape", "select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) plain from pages")
+@query("str24_unescape",
+    "select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '),"
+    " '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) plain from pages"
+)
 def str24(spark, d):
     return t(spark, d, "pages").select("page_id", text.unescape(F.col("html")).alias("plain"))
 
@@ -201,7 +219,10 @@ def src10(spark, d):
     return parts(spark, d).withColumn("m", aspects(raw)).select("id", F.col("m")["Model"].alias("model"), F.col("m")["Size"].cast("int").alias("size"))
 
 
-@query("src12_pivot", f"select user_id, cast(sum(k) filter (where event_type = 'view') as bigint) \"view\", cast(sum(k) filter (where event_type = 'error') as bigint) error from {EVENTS} group by user_id")
+@query("src12_pivot",
+    f"select user_id, cast(sum(k) filter (where event_type = 'view') as bigint) \"view\","
+    f" cast(sum(k) filter (where event_type = 'error') as bigint) error from {EVENTS} group by user_id"
+)
 def src12(spark, d):
     return events(spark, d).groupBy("user_id").pivot("event_type", ["view", "error"]).agg(F.sum("k"))
 
@@ -214,7 +235,10 @@ def src13(spark, d):
     return parts(spark, d).withColumn("a", one_or_many(raw, "struct<v:int>")).select("id", F.col("a")[0]["v"].alias("size"), F.size("a").alias("n"))
 
 
-@query("src14_log_range", f"select event_id, ts from {EVENTS} where ts between timestamp '2024-01-05' and timestamp '2024-01-08' and event_type like '%r%' order by ts desc, event_id limit 100")
+@query("src14_log_range",
+    f"select event_id, ts from {EVENTS} where ts between timestamp '2024-01-05' and timestamp '2024-01-08' and event_type like '%r%'"
+    f" order by ts desc, event_id limit 100"
+)
 def src14(spark, d):
     e = events(spark, d)
     return e.where(F.col("ts").between(F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-08").cast("timestamp_ntz")) & F.contains("event_type", F.lit("r"))).orderBy(F.desc("ts"), "event_id").limit(100).select("event_id", "ts")
@@ -227,7 +251,11 @@ def dat05(spark, d):
     return parts(spark, d).select("id", numeric.nhtsa_date(raw).alias("iso"))
 
 
-@query("dat07_timeline", f"select event_id, round(greatest(0.0, least(100.0, (date_diff('second', timestamp '2024-01-10', date_trunc('second', ts)) + 86400.0) / 172800.0 * 100)) + 1e-7, 3) percent, abs(date_diff('second', timestamp '2024-01-10', date_trunc('second', ts))) > 86400 overflow from {EVENTS}")
+@query("dat07_timeline",
+    f"select event_id, round(greatest(0.0, least(100.0, (date_diff('second', timestamp '2024-01-10', date_trunc('second',"
+    f" ts)) + 86400.0) / 172800.0 * 100)) + 1e-7, 3) percent, abs(date_diff('second', timestamp '2024-01-10', date_trunc('second',"
+    f" ts))) > 86400 overflow from {EVENTS}"
+)
 def dat07(spark, d):
     at = numeric.timeline_position(F.date_trunc("second", "ts"), F.lit("2024-01-10").cast("timestamp"))
     return events(spark, d).withColumn("p", at).select("event_id", F.round(F.col("p.percent") + 1e-7, 3).alias("percent"), "p.overflow")
@@ -243,7 +271,10 @@ def arr04(spark, d):
     return parts(spark, d).select("id", F.posexplode("words").alias("p", "word")).select("id", F.col("p").cast("bigint").alias("pos"), "word")
 
 
-@query("prj07_hero", f"select id, array_to_string(case when id % 3 = 0 then words else list_concat([words[2]], list_filter(words, lambda x: x <> words[2])) end, ',') images from {PARTS}")
+@query("prj07_hero",
+    f"select id, array_to_string(case when id % 3 = 0 then words else list_concat([words[2]], list_filter(words,"
+    f" lambda x: x <> words[2])) end, ',') images from {PARTS}"
+)
 def prj07(spark, d):
     from lotwise.operators.projections import promoted
 
@@ -251,7 +282,10 @@ def prj07(spark, d):
     return parts(spark, d).select("id", F.array_join(promoted(F.col("words"), hero), ",").alias("images"))
 
 
-@query("jsn01_diff", "select o_orderkey, '{\"status\":\"' || o_orderstatus || '\"}' before, '{\"status\":\"X\"}' after from orders where o_orderkey % 5 = 0 and o_orderstatus <> 'X'")
+@query("jsn01_diff",
+    "select o_orderkey, '{\"status\":\"' || o_orderstatus || '\"}' before, '{\"status\":\"X\"}' after from orders where o_orderkey % 5 = 0"
+    " and o_orderstatus <> 'X'"
+)
 def jsn01(spark, d):
     from lotwise.operators.merge import audit_rows
 
