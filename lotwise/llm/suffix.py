@@ -89,12 +89,12 @@ class Filter:
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """Starts of a text's suffixes in order, by prefix doubling of those that are not settled yet."""
     n = len(symbols)
-    wide = np.concatenate([symbols.astype(np.uint64), np.zeros(4, np.uint64)])
+    wide = np.concatenate([symbols.astype(np.uint64), np.zeros(7, np.uint64)])
     key = np.zeros(n, np.uint64)
-    for j in range(4):
-        key = key << np.uint64(16) | wide[j : j + n]
+    for j in range(7):  # of nine bits each
+        key = key << np.uint64(9) | wide[j : j + n]
     order = np.argsort(key)  # equal keys are told apart by later rounds
-    key, at, have = key[order], np.arange(n), 4
+    key, at, have = key[order], np.arange(n), 7
     rank = np.empty(n, np.int64)
     while len(at):
         head = np.concatenate([[True], key[1:] != key[:-1]])
@@ -120,9 +120,11 @@ def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, before, earlier
 
 
-def interleave(a: tuple, b: tuple, length: int) -> tuple[np.ndarray, np.ndarray]:
+def interleave(a: tuple, b: tuple, length: int, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of two transforms (those of ``b`` numbered on from those of ``a``) whose first ``length`` symbols another row shares, and their blocks.
 
+    ``live`` are the rows at which such symbols may end.
+
     A block holds the rows of both that share the symbols read so far: a common prefix, and in the end a repeated interval.
     A step reads the next symbols of all rows left, up to eight at once, and deals out anew only the blocks that they
     split; rows alone in a block leave.
@@ -135,7 +137,10 @@ def interleave(a: tuple, b: tuple, length: int) -> tuple[np.ndarray, np.ndarray]
     while jumps[-1][0] < 8 and symbol.max() < 256:
         n, s, m = jumps[-1]
         jumps.append((2 * n, s[m] << np.uint64(8 * n) | s, m[m]))
-    row, block, left = np.arange(len(symbol)), np.zeros(len(symbol), np.int64), length
+    row, left = np.flatnonzero(live), length
+    block = np.zeros(len(row), np.int64)
+    if len(row) < 2:
+        return row[:0], block[:0]
     while left and len(row):
         n, symbol, move = next(x for x in reversed(jumps) if x[0] <= left and left % x[0] == 0)
         mine, left = symbol[row], left - n
@@ -168,8 +173,11 @@ def intervals(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
     """Text, place and interval of each window of ``length`` bytes that equals another one, ordered by text and place."""
     half = (len(texts) + 1) // 2
     one, two = transform(texts[:half]), transform(texts[half:]) if len(texts) > half else (np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.int64))
-    row, block = interleave(one, two, length)
-    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    sizes = np.array([len(t) + 1 for t in texts])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    offset = np.arange(starts[-1]) - np.repeat(starts[:-1], sizes)
+    live = offset[np.concatenate([one[0], two[0] + starts[half]])] >= length  # a window that ends here begins in its text
+    row, block = interleave(one, two, length, live)
     at = np.where(row < len(one[0]), one[0][np.minimum(row, len(one[0]) - 1)], 0)
     if len(two[0]):
         at = np.where(row < len(one[0]), at, starts[half] + two[0][np.maximum(row - len(one[0]), 0)])
