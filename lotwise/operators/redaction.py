@@ -47,7 +47,7 @@ def _parted(df: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     case = lambda whole, within, plain: F.when(F.col("shape") == "whole", whole).when(F.col("shape") == "within", within).when(F.col("shape") == "plain", plain).otherwise(none)
     found = case(F.array("text"), F.regexp_extract_all("text", F.lit(f"({FOUND})"), F.lit(1)), none)
-    plain = case(F.array(F.lit(""), F.lit("")), F.split("text", FOUND), F.array("text"))
+    plain = case(none, F.split("text", FOUND), F.array("text"))  # a text that is JSON has no plain part
     return df.withColumns({"found": found, "plain": plain}).drop("shape")
 
 
@@ -94,7 +94,7 @@ def _written(level: DataFrame, below: DataFrame | None) -> DataFrame:
     obj = F.concat(F.lit("{"), texts(lambda r: F.concat(as_json(r["key"]), F.lit(":"), r["text"])), F.lit("}"))
     arr = F.concat(F.lit("["), texts(lambda r: r["text"]), F.lit("]"))
     mixed = F.concat(F.array_join(F.zip_with("plain", F.transform("rows", lambda r: r["text"]), lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), ""))
-    free = redact(F.when(F.size("rows") > 0, mixed).otherwise(F.array_join("plain", "")))
+    free = F.when(F.size("plain") == 0, F.get("rows", F.lit(0))["text"]).otherwise(redact(F.when(F.size("rows") > 0, mixed).otherwise(F.array_join("plain", ""))))
     done = (
         F.when(F.col("kind") == "object", obj).when(F.col("kind") == "array", arr).when(F.col("kind") == "cut", as_json(F.lit(CUT)))
         .when((F.col("kind") == "string") & F.col("quoted"), as_json(F.col("free"))).when(F.col("kind") == "string", F.col("free")).otherwise(F.col("text"))

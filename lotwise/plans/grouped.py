@@ -352,7 +352,7 @@ def agg44(spark, d):
 )
 def mth13(spark, d):
     reps = representative(listings(spark, d))
-    q = reps.agg(*market.percentiles(F.col("price_cents")))
+    q = market.percentiles(reps, [], "price_cents").drop("n")
     rows = reps.join(F.broadcast(q), F.lit(True))
     return rows.select("id", price_band(F.col("price_cents"), *[F.col(p) for p in market.QUANTILES])["band"].alias("band"))
 

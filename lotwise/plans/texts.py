@@ -152,7 +152,7 @@ def str33(spark, d):
 
 @query("str34_redact_json", """select event_id, '{"event":' || event_id || ',"inner":"{\\"k\\":' || json_extract_string(props, '$.k') || '}","log":"got {\\"kind\\":\\"' || event_type || '\\"} back"'
  || ',"nested":{"kind":"' || event_type || '","list":[' || user_id || ',null,true,{}],"mail":"' || case when user_id % 2 = 0 then 'to [EMAIL] now' else 'to u' || user_id || ' now' end || '"}'
- || case when user_id % 3 = 0 then ',"note":"at [IP]"' else ',"note":"pwd: [REDACTED]"' end || '}' redacted from events""")
+ || case when user_id % 3 = 0 then ',"note":"at [IP]"' else ',"note":"pwd:[REDACTED]"' end || '}' redacted from events""")
 def str34(spark, d):
     """Each event as a report with private keys at several depths, JSON inside texts, and free text."""
     e, user = t(spark, d, "events"), F.col("user_id").cast("string")
