@@ -498,7 +498,7 @@ def test_drawn_leaves_out_nan(spark):
 
 
 def test_every_number_has_one_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
     assert public_tokenizers.PATTERN == queries.PATTERN
 
 
