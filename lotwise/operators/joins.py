@@ -72,7 +72,8 @@ def hamming_candidates(one: DataFrame, most: int, parts: int) -> tuple[DataFrame
     masks = F.array(*[F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long") for m in covering_masks(most, parts)])
     keys = one.select("id", "h", F.posexplode(F.transform(masks, lambda m: F.col("h").bitwiseAND(m))).alias("mask", "part"))
     a, b = (keys.select("mask", "part", F.col("id").alias(x), F.col("h").alias(f"h{x}")) for x in ("a", "b"))
-    both = a.join(b, ["mask", "part"]).where(F.col("a") < F.col("b"))
+    # keys are many times the rows that Spark sees before the explosion, so that it would send one side to the driver
+    both = a.hint("merge").join(b.hint("merge"), ["mask", "part"]).where(F.col("a") < F.col("b"))
     differ = F.col("ha").bitwiseXOR(F.col("hb"))
     return both, F.exists(F.slice(masks, F.lit(1), F.col("mask")), lambda m: differ.bitwiseAND(m) == 0)
 

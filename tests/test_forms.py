@@ -117,3 +117,11 @@ def test_adapters_read_pages_as_partitions(spark):
     spark.dataSource.register(adapters.ListingPages)
     df = spark.read.format("listing_pages").option("module", "lotwise.sources.adapters").option("adapter", "Numbered").option("pages", 3).load()
     assert df.rdd.getNumPartitions() == 3 and df.where(F.col("page") == 2).count() == 10
+
+
+def test_near_hashes_send_no_side_to_all_tasks(spark):
+    rows = spark.range(2000).select("id", F.xxhash64("id").alias("h"))
+    for parts in (1, 2):
+        both, _ = joins.hamming_candidates(rows, 10, parts)
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
