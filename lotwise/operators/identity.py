@@ -35,8 +35,11 @@ def shared_hashes(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.coalesce(a, none), lambda h: F.array_contains(F.coalesce(b, none), h)))
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """DOM08: decision, score and signals of pairs with columns a_* and b_*. Evidence against is absolute and comes first."""
+def score_pairs(pairs: DataFrame, miles: Column | None = None) -> DataFrame:
+    """DOM08: decision, score and signals of pairs with columns a_* and b_*. Evidence against is absolute and comes first.
+
+    ``miles`` is how far the mileages lie apart, for pairs whose mileages are derived: a difference of products is rounded otherwise than a product of the difference.
+    """
     a, b = (lambda n: F.col(f"a_{n}")), (lambda n: F.col(f"b_{n}"))
     text = lambda n: (normalized(a(n)), normalized(b(n)))
     same = lambda n: text(n)[0] == text(n)[1]
@@ -49,7 +52,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     stable = [(dealer & stock, "stable_dealer_stock_number", 100), (yes((a("source_url") == b("source_url")) & (a("source_url") != "")), "identical_source_url", 100)]
     priced = yes((a("price_cents") > 0) & (b("price_cents") > 0))
     close_price = priced & (F.abs(a("price_cents") - b("price_cents")) <= F.least(a("price_cents"), b("price_cents")) * PRICE_SHARE)
-    miles = F.abs(a("mileage") - b("mileage"))
+    miles = F.abs(a("mileage") - b("mileage")) if miles is None else miles
     shared = shared_hashes(a("image_hashes"), b("image_hashes"))
     fuzzy = [
         (dealer, "same_dealer", 15), (yes(same("trim")), "trim_match", 10), (other("trim"), "trim_mismatch", -10), (F.lit(True), "compatible_make_model_year", 15),

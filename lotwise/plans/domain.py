@@ -100,7 +100,7 @@ def dom08(spark, d):
         null("string").alias("stock_number"), null("string").alias("source_url"), null("array<string>").alias("image_hashes"), null("boolean").alias("conflicting_image_hash"), "c_nationkey", "c_acctbal",
     )
     pairs = joins.blocked_pairs(rows, ["make", "c_nationkey"], "id", near=("c_acctbal", 400))
-    return identity.score_pairs(pairs).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "score")
+    return identity.score_pairs(pairs, F.abs(F.col("a_c_acctbal") - F.col("b_c_acctbal")) * 10).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "score")
 
 
 @query("agg30_pair_rollup", """select case when s >= 50 then 'candidate' else 'no_match' end decision, count(*) n from (select 15 + 10 + 7 + case when abs(a.c_acctbal - b.c_acctbal) * 10 <= 1500 then 15 else -5 end + case when a.c_custkey % 7 = b.c_custkey % 7 then 15 else 0 end s
