@@ -30,3 +30,10 @@ def _customers():
 def test_scores_of_balances_on_the_edge(spark, tmp_path):
     got, want = both(spark, tmp_path, "dom08_pair_score", customer=_customers())
     assert len(want) == 4 and got == want
+
+
+def test_rollup_of_balances_on_the_edge(spark, tmp_path):
+    # the same dealer, so that the edge decides between 52 and 32
+    rows = [(7 * k, n, i, v, s) for k, n, i, v, s in _customers()[1]]
+    got, want = both(spark, tmp_path, "agg30_pair_rollup", customer=(CUSTOMER, rows))
+    assert len(want) == 2 and got == want
