@@ -21,7 +21,7 @@ def mth07(spark, d):
 
 @query("mth09_tolerance_of_sales", """select l_orderkey ok, l_linenumber ln, abs(cast(l_extendedprice as bigint) - cast(l_quantity * 2000 as bigint)) <= least(cast(l_extendedprice as bigint), cast(l_quantity * 2000 as bigint)) * 0.05 fine from lineitem""")
 def mth09(spark, d):
-    a, b = F.round("l_extendedprice").cast("bigint"), F.round(F.col("l_quantity") * 2000).cast("bigint")
+    a, b = F.rint("l_extendedprice").cast("bigint"), F.rint(F.col("l_quantity") * 2000).cast("bigint")  # halves to the even number, as the SQL's cast
     return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"), numeric.tolerance(a, b, 0.05).alias("fine"))
 
 

@@ -37,3 +37,10 @@ def test_rollup_of_balances_on_the_edge(spark, tmp_path):
     rows = [(7 * k, n, i, v, s) for k, n, i, v, s in _customers()[1]]
     got, want = both(spark, tmp_path, "agg30_pair_rollup", customer=(CUSTOMER, rows))
     assert len(want) == 2 and got == want
+
+
+def test_tolerance_of_prices_with_half_a_unit(spark, tmp_path):
+    # 2 100.5 is 2100 (within 5 % of 2000), 2 099.5 is 2100 as well, 1904.5 is 1904 and 1905.5 is 1906
+    rows = [(1, i, p, 1.0) for i, p in enumerate((2100.5, 2099.5, 1904.5, 1905.5, 2101.5, 2100.0))]
+    got, want = both(spark, tmp_path, "mth09_tolerance_of_sales", lineitem=("l_orderkey long, l_linenumber int, l_extendedprice double, l_quantity double", rows))
+    assert got == want and {w[2] for w in want} == {True, False}
