@@ -36,10 +36,17 @@ def latest_live(df: DataFrame, key: str, order: list, value: str) -> DataFrame:
     return top_k(df, [key], order).where(F.col(value).isNotNull())
 
 
-def first_last(df: DataFrame, key: str, value: str, at: list[str]) -> DataFrame:
-    """WIN02, JON02: first and last value per key in one aggregation; ties in time go by the further columns of ``at``."""
-    when = F.struct(*at)
-    return df.groupBy(key).agg(F.min_by(value, when).alias("first_value"), F.max_by(value, when).alias("last_value"), F.count(F.lit(1)).alias("n_points"))
+def first_last(df: DataFrame, key: str, value: str, at: list[str], place: list[str] | None = None) -> DataFrame:
+    """WIN02, JON02: first and last value per key in one aggregation; ties in time go by the further columns of ``at``.
+
+    With ``place`` (where a row lies in its files) rows equal in all of ``at`` count as the first of them, at both ends.
+    """
+    when, n = F.struct(*at), F.count(F.lit(1))
+    if place:
+        # by key alone, so that both aggregations share one shuffle
+        df = df.repartition(key).groupBy(key, *at).agg(F.min_by(value, F.struct(*place)).alias(value), n.alias("__n"))
+        n = F.sum("__n")
+    return df.groupBy(key).agg(F.min_by(value, when).alias("first_value"), F.max_by(value, when).alias("last_value"), n.alias("n_points"))
 
 
 def changed(df: DataFrame, keys: list, order: list, values: list[str]) -> DataFrame:

@@ -29,11 +29,11 @@ def percentiles_of(df: DataFrame, by: list[str], values: dict[str, tuple[Column,
     return found.groupBy(*by).agg(*[F.max(F.when(F.col("measure") == name, F.col(name_of[q]))).alias(name) for name, (_, q) in values.items()])
 
 
-def pricing(listings: DataFrame, history: DataFrame, as_of: Column) -> DataFrame:
+def pricing(listings: DataFrame, history: DataFrame, as_of: Column, place: list[str] | None = None) -> DataFrame:
     """DOM17: one row: representatives with a price, their percentiles and ages, and how many prices dropped.
 
     The price filter holds before the choice of representatives, but not for the drop rate: both choices are
-    ranks of one shuffle.
+    ranks of one shuffle. ``place`` are columns of the history by which points of the same time and number are told apart.
     """
     vehicle = F.coalesce(F.col("vehicle_id").cast("string"), F.col("id").cast("string"))
     latest = [F.desc("listed_at"), F.asc("id")]
@@ -43,7 +43,7 @@ def pricing(listings: DataFrame, history: DataFrame, as_of: Column) -> DataFrame
     reps = reps.where("any = 1 or (priced = 1 and price_cents is not null)")
     use = (F.col("priced") == 1) & F.col("price_cents").isNotNull()
     age = F.when(use, days_between(as_of, F.col("source_listed_at")))
-    ends = first_last(history, "listing_id", "price_cents", ["recorded_at", "seq"])
+    ends = first_last(history, "listing_id", "price_cents", ["recorded_at", "seq"], place)
     rows = shared_checkpoint(reps.select("id", "any", use.alias("use"), F.when(use, F.col("price_cents")).alias("price_cents"), age.alias("age")))
     rep = F.col("any") == 1
     stats = rows.join(ends, F.col("id") == F.col("listing_id"), "left").agg(

@@ -44,3 +44,18 @@ def test_tolerance_of_prices_with_half_a_unit(spark, tmp_path):
     rows = [(1, i, p, 1.0) for i, p in enumerate((2100.5, 2099.5, 1904.5, 1905.5, 2101.5, 2100.0))]
     got, want = both(spark, tmp_path, "mth09_tolerance_of_sales", lineitem=("l_orderkey long, l_linenumber int, l_extendedprice double, l_quantity double", rows))
     assert got == want and {w[2] for w in want} == {True, False}
+
+
+def test_first_and_last_price_of_repeated_line_numbers(spark, tmp_path):
+    day = datetime.datetime(1997, 1, 1)
+    lines = []
+    for order in range(40):
+        prices = [5.0, 9.0, 7.0, 4.0] if order % 2 else [5.0, 4.0, 1.0, 8.0]
+        lines += [(order, 1, day, prices[0]), (order, 1, day, prices[1]), (order, 2, day, prices[2]), (order, 2, day, prices[3])]
+    got, want = both(
+        spark, tmp_path, "dom17_pricing",
+        customer=(CUSTOMER, [(i, "c", 0, 1.0, "s") for i in range(40)]), region=("r_regionkey int, r_name string", [(0, "r")]), nation=("n_nationkey int, n_name string, n_regionkey int", [(0, "n", 0)]),
+        orders=("o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_totalprice double, o_orderstatus string, o_orderpriority string", [(i, i, day, 10.0, "O", "1") for i in range(40)]),
+        lineitem=("l_orderkey long, l_linenumber int, l_shipdate timestamp_ntz, l_extendedprice double", lines),
+    )
+    assert want[0][-2] == 20 and got == want
