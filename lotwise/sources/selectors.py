@@ -30,8 +30,10 @@ NODE = "node int, parent int, last int, tag string, id string, classes array<str
 class _Reader(HTMLParser):
     """One page as rows of ``NODE``."""
 
-    def __init__(self):
+    def __init__(self, references: tuple[str, ...] | None = None):
         super().__init__(convert_charrefs=True)
+        # scripts and styles, whose text is left as it is, or an ``&`` that begins none of the references
+        self.other = re.compile(rf"(?is)<(script|style)\b.*?(?:</\1|\Z)|(?-i:&(?!(?:{'|'.join(map(re.escape, references))});))") if references else None
         self.rows: list[list] = []
         self.open: list[int] = []
 
@@ -67,21 +69,21 @@ class _Reader(HTMLParser):
             self.add("#text", {}, data)
 
     def read(self, page: str) -> list[list]:
-        self.feed(page)
+        self.feed(self.other.sub(lambda m: "&amp;" if m[0] == "&" else m[0], page) if self.other else page)
         self.close()
         self.end(len(self.open))
         return self.rows
 
 
-def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """``key`` (unique) and the rows of each page; null and empty pages have none."""
+def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", references: tuple[str, ...] | None = None) -> DataFrame:
+    """``key`` (unique) and the rows of each page; null and empty pages have none. With ``references`` (``amp``) only those are decoded, where a semicolon closes them."""
 
     def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [key, *(c.split()[0] for c in NODE.split(", ") if " " in c and not c.startswith("string>"))]
         for part in parts:
             for at in range(0, len(part), 16):
                 some = part.iloc[at : at + 16]
-                rows = [[k, *row] for k, page in zip(some[key], some[html], strict=True) for row in _Reader().read(page)]
+                rows = [[k, *row] for k, page in zip(some[key], some[html], strict=True) for row in _Reader(references).read(page)]
                 yield pd.DataFrame(rows, columns=names)
 
     kind = pages.schema[key].dataType.simpleString()
@@ -134,7 +136,7 @@ def select(found: DataFrame, selector: str, key: str = "page_id") -> DataFrame:
 MOST_MAPPINGS = 1_000
 
 
-def extract(pages: DataFrame, mappings: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, mappings: DataFrame, key: str = "page_id", html: str = "html", references: tuple[str, ...] | None = None) -> DataFrame:
     """(key, field, values): for each page and mapping (field, selector, take) what its nodes hold, in order, trimmed, without blank ones.
 
     ``take`` is an attribute's name, or ``text`` for all text within a node with its spaces folded. Rows exist for fields with values.
@@ -146,7 +148,7 @@ def extract(pages: DataFrame, mappings: DataFrame, key: str = "page_id", html: s
         raise ValueError(f"more than {MOST_MAPPINGS} mappings")
     name, key = key, "__page"  # a key may be named as a column of nodes is
     pages = pages.select(F.col(name).alias(key), html)
-    tree = shared_checkpoint(nodes(pages, key, html).repartition(key))  # by page, so that no step moves rows again
+    tree = shared_checkpoint(nodes(pages, key, html, references).repartition(key))  # by page, so that no step moves rows again
     each = [select(tree, m["selector"], key).select(key, F.lit(m["field"]).alias("field"), F.lit(m["take"]).alias("take"), "node", "last", "attributes") for m in wanted]
     hits = reduce(DataFrame.unionByName, each) if each else tree.limit(0).select(key, F.lit("").alias("field"), F.lit("").alias("take"), "node", "last", "attributes")
     named = hits.where("take <> 'text'").select(key, "field", "node", F.element_at("attributes", F.lower("take")).alias("value"))

@@ -139,3 +139,11 @@ def test_dates_of_structured_data(spark):
     for r in sorted(structured.date_candidates(pages, "id", "vin").collect(), key=lambda r: (r["id"], r["candidate"])):
         got.setdefault(r["id"], []).append(f"{r['kind']}:{r['listed'] or ''}:{r['updated'] or ''}")
     assert {i: ",".join(x) for i, x in got.items()} == {i: w for i, (_, w) in enumerate(DATED) if w}
+
+
+def test_only_the_references_asked_for_are_decoded(spark):
+    page = '<title>A &amp; &quot;B&amp</title><a href="/x?a=1&copy=2&amp;b=3">l &lt c &#38; &amp;lt;</a><script type="application/json">{"a":"b&c"}</script><style>a&b</style>'
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    read = lambda *a: {(r["tag"], r["text"], r["attributes"].get("href")) for r in selectors.nodes(df, "page_id", "html", *a).collect()}
+    assert {("#text", "A & &quot;B&amp", None), ("a", None, "/x?a=1&copy=2&b=3"), ("#text", "l &lt c &#38; &lt;", None), ("#data", '{"a":"b&c"}', None)} <= read(("amp",))
+    assert {("#text", 'A & "B&', None), ("#text", "l < c & &lt;", None)} <= read()
