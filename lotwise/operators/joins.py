@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.numeric import hamming, haversine
+from lotwise.operators.graph import descendants, shared_checkpoint
+from lotwise.operators.groups import top_k
 
 
 def bucket_range(start: Column, end: Column, unit: str, first: Column, last: Column) -> tuple[Column, Column]:
@@ -103,26 +105,102 @@ def within_radius(df: DataFrame, lat: str, lng: str, at: tuple[float, float], mi
     return df.where(F.col(lat).between(at[0] - dlat, at[0] + dlat) & F.col(lng).between(at[1] - dlng, at[1] + dlng)).withColumn("miles", d).where(F.col("miles") <= miles)
 
 
+#: Candidate pairs that a task meets, about.
+PAIRS_A_TASK = 4_000_000
+
+
 def blocked_pairs(df: DataFrame, block: list[str], row_id: str, condition: Column | None = None, near: tuple[str, float] | None = None) -> DataFrame:
     """JON08: pairs a < b within a block. ``near`` (column, width) narrows a block to rows whose values differ by ``width`` at most.
 
-    Left rows look into their own and the next two cells of the value, so a block is never met with itself whole.
+    Left rows look into their own and the next two cells of the value, so a block is never met with itself whole. Pairs are
+    many times the rows, so cells are counted first: tasks are as many as the pairs need, and a cell with more pairs than a
+    task should meet is dealt out by its left rows.
     """
-    a, b = df.select([F.col(c).alias(f"a_{c}") for c in df.columns]), df.select([F.col(c).alias(f"b_{c}") for c in df.columns])
-    on = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in block]
+    key, looking, rows = block, df, df
+    if near:
+        # a little wider than ``width``, so that rounding puts no pair two cells apart
+        cell = F.floor(F.col(near[0]) / (near[1] * 1.000001))
+        key, rows = [*block, "__cell"], df.withColumn("__cell", cell)
+        looking = df.withColumn("__cell", F.explode(F.array(*[cell + i for i in (-1, 0, 1)])))
+    right = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__right"))
+    left = right.withColumnRenamed("__right", "__left")
     if near:
-        name, width = near
-        a = a.withColumn("__cell", F.explode(F.array(*[F.floor(F.col(f"a_{name}") / width) + i for i in (-1, 0, 1)])))
-        b = b.withColumn("__own", F.floor(F.col(f"b_{name}") / width))
-        on += [F.col("__cell") == F.col("__own"), F.abs(F.col(f"a_{name}") - F.col(f"b_{name}")) <= width]
-    pairs = a.join(b, on).where(F.col(f"a_{row_id}") < F.col(f"b_{row_id}")).drop("__cell", "__own")
+        left = left.withColumn("__cell", F.explode(F.array(*[F.col("__cell") + i for i in (-1, 0, 1)]))).groupBy(*key).agg(F.sum("__left").alias("__left"))
+    work = shared_checkpoint(left.join(right, key).select(*key, (F.col("__left") * F.col("__right")).alias("__pairs")))
+    total, most = work.agg(F.sum("__pairs"), F.max("__pairs")).first()
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-(total or 0) // PAIRS_A_TASK))
+    large = work.where(F.col("__pairs") > PAIRS_A_TASK).select(*[F.col(c).alias(f"__of_{c}") for c in key], F.ceil(F.col("__pairs") / PAIRS_A_TASK).cast("int").alias("__shares"))
+
+    def dealt(side: DataFrame, share: Column) -> DataFrame:
+        """With the share of its cell that a row goes to."""
+        if (most or 0) <= PAIRS_A_TASK:
+            side = side.withColumn("__share", F.lit(0))
+        else:
+            known = side.join(large, [F.col(c) == F.col(f"__of_{c}") for c in key], "left").withColumn("__shares", F.coalesce("__shares", F.lit(1)))
+            side = known.withColumn("__share", share).drop("__shares", *[f"__of_{c}" for c in key])
+        return side.repartition(tasks, *key, "__share")
+
+    a = dealt(looking, F.pmod(F.xxhash64(row_id), F.col("__shares")).cast("int"))
+    b = dealt(rows, F.explode(F.sequence(F.lit(0), F.col("__shares") - 1)))
+    a, b = a.select([F.col(c).alias(f"a_{c}") for c in a.columns]), b.select([F.col(c).alias(f"b_{c}") for c in b.columns])
+    on = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in [*key, "__share"]]
+    if near:
+        on.append(F.abs(F.col(f"a_{near[0]}") - F.col(f"b_{near[0]}")) <= near[1])
+    pairs = a.hint("merge").join(b.hint("merge"), on).where(F.col(f"a_{row_id}") < F.col(f"b_{row_id}")).drop("a___cell", "b___cell", "a___share", "b___share")
     return pairs.where(condition) if condition is not None else pairs
 
 
+def widest_pairs(df: DataFrame, block: list[str], row_id: str, near: tuple[str, float], most: int, scale: int = 2) -> DataFrame:
+    """SRT09: (a, b, gap): of ``blocked_pairs`` the ``most`` with the largest difference, to ``scale`` digits, ties to the smaller ids.
+
+    Only differences close to the width are met: a band below it is widened until it holds enough pairs of values. Of rows with
+    the same value only the ``most + 1`` least ids can be among the answers, since of two rows of that value the smaller id comes first.
+    """
+    name, width = near
+    rows = top_k(df.select(*block, F.col(row_id).alias("id"), F.col(name).cast("double").alias("v")).where(F.abs("v") <= 1e15), [*block, "v"], [F.asc("id")], most + 1)
+    rows = shared_checkpoint(rows)
+    values = rows.groupBy(*block, "v").agg(F.count(F.lit(1)).alias("n"))
+    unit = 10.0**-scale
+    band = 2 * unit
+    while True:
+        band = min(band, float(width))
+        cell = max(band, unit)
+        first = F.floor((F.col("v") + (width - band)) / cell)
+        low = values.select(*block, F.col("v").alias("low"), F.explode(F.array(*[first + i for i in (-1, 0, 1, 2)])).alias("cell"))
+        high = values.select(*block, F.col("v").alias("high"), F.floor(F.col("v") / cell).alias("cell"))
+        gap = F.abs(F.col("low") - F.col("high"))
+        met = low.join(high, [*block, "cell"]).where((F.col("low") <= F.col("high")) & (gap <= width))
+        if band == width:
+            break
+        # what lies outside the band is smaller than these, also when rounded
+        if met.where(gap >= width - band + unit).limit(most).count() == most:
+            met = met.where(gap >= width - band)
+            break
+        band *= 4
+    low, high = (rows.select(*block, F.col("v").alias(v), F.col("id").alias(f"id_{v}")) for v in ("low", "high"))
+    pairs = met.select(*block, "low", "high", gap.cast(f"decimal(12,{scale})").alias("gap")).join(low, [*block, "low"]).join(high, [*block, "high"])
+    pairs = pairs.where((F.col("low") < F.col("high")) | (F.col("id_low") < F.col("id_high")))
+    return pairs.select(F.least("id_low", "id_high").alias("a"), F.greatest("id_low", "id_high").alias("b"), "gap").orderBy(F.desc("gap"), "a", "b").limit(most)
+
+
+def near_links(df: DataFrame, block: list[str], row_id: str, near: tuple[str, float]) -> DataFrame:
+    """(a, b): links with the same connected components as ``blocked_pairs``, as many as rows at most twice over.
+
+    Rows of a cell of half the width are all close to one another, so each is linked to the cell's least id; cells are linked
+    where the greatest value of one and the least of a later one are close. What lies between two close values is close to both.
+    """
+    name, width = near
+    cell = F.floor(F.col(name) / (width / 2 * 0.999999))
+    rows = df.where(F.col(name).isNotNull()).select(*block, F.col(row_id).alias("id"), F.col(name).alias("v"), cell.alias("cell"))
+    cells = shared_checkpoint(rows.groupBy(*block, "cell").agg(F.min("id").alias("head"), F.min("v").alias("least"), F.max("v").alias("most")))
+    inside = rows.join(cells.select(*block, "cell", "head"), [*block, "cell"]).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    before = cells.select(*block, F.explode(F.array(*[F.col("cell") + i for i in (1, 2, 3)])).alias("cell"), F.col("head").alias("a"), F.col("most").alias("up"))
+    across = before.join(cells, [*block, "cell"]).where(F.abs(F.col("up") - F.col("least")) <= width).select("a", F.col("head").alias("b"))
+    return inside.unionByName(across)
+
+
 def lineage(edges: DataFrame, roots: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """SET02, DOM23: (id, root, depth) of all descendants; a node reached twice keeps its least depth."""
-    from lotwise.operators.graph import descendants
-
     return descendants(edges, roots, child, parent)
 
 
