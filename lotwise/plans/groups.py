@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lotwise.operators import filters, fulltext, groups
+from lotwise.operators import filters, fulltext, groups, joins
 from lotwise.plans.registry import query
 from lotwise.plans.standins import EVENTS, HISTORY, LISTINGS, PARTS, events, listings, parts, price_history, scratch, t
 
@@ -285,9 +285,8 @@ def set05(spark, d):
 
 @query("set06_set_equality", f"select p.id a, q.id b from {PARTS} p join {PARTS} q on p.size = q.size and p.id < q.id where list_sort(p.words) = list_sort(q.words)")
 def set06(spark, d):
-    rows = parts(spark, d).withColumn("bag", F.array_sort("words"))
-    a, b = rows.select(F.col("id").alias("a"), "size", "bag"), rows.select(F.col("id").alias("b"), "size", "bag")
-    return a.join(b, ["size", "bag"]).where("a < b").select("a", "b")
+    rows = parts(spark, d).select("id", "size", F.array_sort("words").alias("bag"))
+    return joins.blocked_pairs(rows, ["size", "bag"], "id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 @query("prj06_snippet", "select doc_id, case when length(trim(text)) <= 300 then trim(text) else rtrim(substr(trim(text), 1, 300)) || '…' end snippet from documents")
