@@ -307,9 +307,7 @@ def srt08(spark, d):
 def srt09(spark, d):
     """The twenty weakest pairs: those nearest to the limit."""
     c = t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
-    pairs = joins.blocked_pairs(c, ["c_nationkey", "c_mktsegment"], "c_custkey", near=("c_acctbal", 500))
-    gap = F.abs(F.col("a_c_acctbal") - F.col("b_c_acctbal")).cast("decimal(12,2)")
-    return pairs.select(F.col("a_c_custkey").alias("a"), F.col("b_c_custkey").alias("b"), gap.alias("gap")).orderBy(F.desc("gap"), "a", "b").limit(20)
+    return joins.widest_pairs(c, ["c_nationkey", "c_mktsegment"], "c_custkey", ("c_acctbal", 500), 20)
 
 
 @query("srt10_bounded_samples",
