@@ -128,8 +128,8 @@ def dom07(spark, d):
 def dom09(spark, d):
     from lotwise.operators.graph import connected
 
-    pairs = joins.blocked_pairs(t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"), ["c_nationkey", "c_mktsegment"], "c_custkey", near=("c_acctbal", 60))
-    return connected(pairs, "a_c_custkey", "b_c_custkey")
+    links = joins.near_links(t(spark, d, "customer"), ["c_nationkey", "c_mktsegment"], "c_custkey", ("c_acctbal", 60))
+    return connected(links, "a", "b")
 
 
 @query("dom11_exact_clusters",
