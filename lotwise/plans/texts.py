@@ -208,7 +208,8 @@ def src07(spark, d):
     linked = F.concat(F.lit("by <a href='/m'>"), F.col("make"), F.lit("</a>"))
     page = F.concat(item("Model", F.lit("old")), item("Size", F.col("size").cast("string")), item("Model", F.col("model")), item("More: x", F.lit("y")), item("Make &amp; co", linked), item("Empty", F.lit(" ")))
     m = F.col("m")
-    return parts(spark, d).withColumn("m", label_map(page)).select("id", m["Model"].alias("model"), m["Size"].alias("size"), m["Make & co"].alias("make"), F.size(m).alias("n"))
+    # a small file is few tasks, and a page is much more work than its row
+    return parts(spark, d).repartition("id").withColumn("m", label_map(page)).select("id", m["Model"].alias("model"), m["Size"].alias("size"), m["Make & co"].alias("make"), F.size(m).alias("n"))
 
 
 @query("src10_aspects_map", f"select id, model, size from {PARTS}")
