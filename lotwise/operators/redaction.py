@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.redaction import private_name, redact
-from lotwise.operators.graph import shared_checkpoint
+from lotwise.operators.graph import shared_table
 
 #: Budgets of depth, of values of a text, and of characters of a text and a key.
 MOST_DEPTH, MOST_NODES, MOST_STRING, MOST_KEY = 32, 20_000, 65_536, 256
@@ -76,11 +76,12 @@ def _opened(level: DataFrame, depth: int) -> DataFrame:
         .when(F.col("kind") == "object", F.transform(F.map_entries(F.try_variant_get(parsed, "$", "map<string, variant>")), lambda e: value(F.lit(0), e["key"], e["value"])))
         .when(F.col("kind") == "array", F.transform(F.try_variant_get(parsed, "$", "array<variant>"), lambda v, i: value(i, nothing, v)))
     )
-    below = level.select("id", F.col("node").alias("parent"), F.inline(rows))
+    # a row is known by its number among its parent's
+    below = level.select("id", F.col("node").alias("parent"), F.posexplode(rows).alias("n", "row")).select("id", "parent", "n", "row.*")
     key = F.col("key")
     open_key = (F.length(key) <= MOST_KEY) & ~private_name(key) & (redact(key) == key)
     below = below.where(key.isNull() | open_key)
-    return below.withColumn("node", F.concat("parent", F.lit("/"), F.coalesce(F.sha2("key", 256), F.col("pos").cast("string")))).withColumn("quoted", F.lit(True))
+    return below.withColumn("node", F.concat("parent", F.lit("/"), F.col("n").cast("string"))).drop("n").withColumn("quoted", F.lit(True))
 
 
 def _written(level: DataFrame, below: DataFrame | None) -> DataFrame:
@@ -106,9 +107,9 @@ def redact_json(df: DataFrame, row_id: str, text: str, out: str = "redacted") ->
     """``row_id`` (unique) and the cleaned text. Depth beyond ``MOST_DEPTH`` and texts of more than ``MOST_NODES`` values become ``CUT``; texts over ``MOST_STRING`` are cut."""
     fixed = {"node": F.lit(""), "parent": F.lit(""), "pos": F.lit(0), "key": F.lit(None).cast("string"), "kind": F.lit("string"), "quoted": F.lit(False)}
     root = df.select(F.col(row_id).alias("id"), F.col(text).alias("text")).withColumns(fixed)
-    levels = [shared_checkpoint(_parted(root).select(*_COLUMNS))]
+    levels = [shared_table(_parted(root).select(*_COLUMNS))]
     while True:
-        level = shared_checkpoint(_parted(_opened(levels[-1], len(levels) - 1)).select(*_COLUMNS))
+        level = shared_table(_parted(_opened(levels[-1], len(levels) - 1)).select(*_COLUMNS))
         if level.isEmpty():
             break
         levels.append(level)
