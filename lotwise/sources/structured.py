@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.operators.graph import shared_checkpoint
+from lotwise.operators.graph import shared_checkpoint, shared_table
 from lotwise.sources.selectors import nodes
 
 # Fixed values of structured data: types that are listings, the names of dates and identifiers, and where parts of a listing are.
@@ -161,7 +161,8 @@ def date_candidates(pages: DataFrame, key: str = "page_id", vin: str | None = No
     """(key, candidate, kind, listed, updated): a page's listings in order, those of JSON-LD first."""
     name, key = key, "__page"  # a key may be named as a column of nodes is
     pages = pages.withColumn(key, F.col(name))
-    tree = shared_checkpoint(nodes(pages, key, html).repartition(key))
+    # pages are dealt out before they are read: a small file is few tasks
+    tree = shared_table(nodes(pages.select(key, html).repartition(key), key, html).repartition(key))
     found = json_ld(tree, key).unionByName(microdata(tree, key))
     plain = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
     own = plain(F.col(vin)) if vin else F.lit(None).cast("string")
