@@ -105,6 +105,11 @@ def within_radius(df: DataFrame, lat: str, lng: str, at: tuple[float, float], mi
     return df.where(F.col(lat).between(at[0] - dlat, at[0] + dlat) & F.col(lng).between(at[1] - dlng, at[1] + dlng)).withColumn("miles", d).where(F.col("miles") <= miles)
 
 
+def finite(name: str) -> Column:
+    """Whether a value is neither null nor NaN nor infinite: no other is close to any, not even to its like."""
+    return F.abs(F.col(name).cast("double")) < F.lit(float("inf"))
+
+
 #: Candidate pairs that a task meets, about.
 PAIRS_A_TASK = 4_000_000
 
@@ -118,8 +123,9 @@ def blocked_pairs(df: DataFrame, block: list[str], row_id: str, condition: Colum
     """
     key, looking, rows = block, df, df
     if near:
-        # a little wider than ``width``, so that rounding puts no pair two cells apart
-        cell = F.floor(F.col(near[0]) / (near[1] * 1.000001))
+        # a little wider than ``width``, so that rounding puts no pair two cells apart; beyond 10**12 cells all values share one
+        cell = F.floor(F.greatest(F.lit(-1e12), F.least(F.lit(1e12), F.col(near[0]) / (near[1] * 1.000001))))
+        df = df.where(finite(near[0]))
         key, rows = [*block, "__cell"], df.withColumn("__cell", cell)
         looking = df.withColumn("__cell", F.explode(F.array(*[cell + i for i in (-1, 0, 1)])))
     right = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__right"))
@@ -191,7 +197,7 @@ def near_links(df: DataFrame, block: list[str], row_id: str, near: tuple[str, fl
     """
     name, width = near
     cell = F.floor(F.col(name) / (width / 2 * 0.999999))
-    rows = df.where(F.col(name).isNotNull()).select(*block, F.col(row_id).alias("id"), F.col(name).alias("v"), cell.alias("cell"))
+    rows = df.where(finite(name)).select(*block, F.col(row_id).alias("id"), F.col(name).alias("v"), cell.alias("cell"))
     cells = shared_checkpoint(rows.groupBy(*block, "cell").agg(F.min("id").alias("head"), F.min("v").alias("least"), F.max("v").alias("most")))
     inside = rows.join(cells.select(*block, "cell", "head"), [*block, "cell"]).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
     before = cells.select(*block, F.explode(F.array(*[F.col("cell") + i for i in (1, 2, 3)])).alias("cell"), F.col("head").alias("a"), F.col("most").alias("up"))

@@ -3,6 +3,7 @@
 import datetime
 
 import duckdb
+import pytest
 
 from lotwise.plans.registry import oracle_sql, queries
 
@@ -39,6 +40,14 @@ def test_rollup_of_balances_on_the_edge(spark, tmp_path):
     assert len(want) == 2 and got == want
 
 
+@pytest.mark.parametrize("name", ["agg30_pair_rollup", "dom09_components"])
+def test_pairs_of_balances_without_bounds(spark, tmp_path, name):
+    inf, nan = float("inf"), float("nan")
+    values = [inf, inf, -inf, -inf, nan, nan, None, 1.0, 2.0, -0.0, 500.0] + ([1e300, 1e300, 1e17, 1e17 + 16] if name.startswith("agg30") else [])
+    got, want = both(spark, tmp_path, name, customer=(CUSTOMER, [(7 * i, "c", 0, v, "s") for i, v in enumerate(values)]))
+    assert want and got == want
+
+
 def test_tolerance_of_prices_with_half_a_unit(spark, tmp_path):
     # 2 100.5 is 2100 (within 5 % of 2000), 2 099.5 is 2100 as well, 1904.5 is 1904 and 1905.5 is 1906
     rows = [(1, i, p, 1.0) for i, p in enumerate((2100.5, 2099.5, 1904.5, 1905.5, 2101.5, 2100.0))]
