@@ -43,6 +43,24 @@ def test_bm25_equals_loops(spark, tmp_path, saved):
     assert fulltext.search(fulltext.build(docs.limit(0), "id", ["title"]), spark.createDataFrame(asked, "query_id int, text string"), WEIGHTS).collect() == []
 
 
+def test_many_queries_and_equal_documents_in_small_groups(spark, monkeypatch):
+    """Groups of a few postings and queries, chunks of a document; equal texts and repeated ids; a field that counts for nothing."""
+    for name, n in {"POSTINGS": 7, "QUERIES": 2, "WORDS": 3, "CELLS": 1, "SENT": 1}.items():
+        monkeypatch.setattr(fulltext, name, n, raising=False)
+    docs = [(10 * i + d[0], *d[1:]) for i in range(4) for d in DOCS]
+    asked = [(i, t) for i, t in enumerate(["red van", "van", "blue wagon cheap", "nothing of", "über red red"])]
+    weights = {"title": 3.0, "body": 0.0}
+    index = fulltext.build(spark.createDataFrame(docs, "id int, title string, body string"), "id", ["title", "body"])
+    found = fulltext.search(index, spark.createDataFrame(asked, "query_id int, text string"), weights, k=6)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    want = [(q, i, d, s) for q, text in asked for i, (d, s) in enumerate(bm25(docs, text, weights)[:6], 1)]
+    got = [tuple(r) for r in found.orderBy("query_id", "rank").collect()]
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want, strict=True))
+    assert "Aggregate [query_id" not in plan  # no row for each query and document
+    twice = fulltext.build(spark.createDataFrame([(1, "red red van"), (1, "van red red"), (None, "red")], "id int, body string"), "id", ["body"])
+    assert {(r["term"], r["doc"], r["tf"]) for r in twice.postings.collect()} == {("red", 1, 4), ("van", 1, 2), ("red", None, 1)}
+
+
 def test_a_search_page_has_filters_and_the_best_first(spark):
     docs = spark.createDataFrame(DOCS, "id int, title string, body string")
     index = fulltext.build(docs, "id", ["title", "body"])
