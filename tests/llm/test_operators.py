@@ -448,6 +448,18 @@ def test_copies_among_pictures_with_common_descriptors(spark, monkeypatch, block
     assert sum(n for _, n in got.values()) >= 0.99 * sum(degree.values()) and all(n <= degree[i] for i, (_, n) in got.items())
 
 
+def test_exact_copies_are_every_verified_pair(spark, monkeypatch):
+    """Pairs that share too few rare parts to be candidates count with ``exact``."""
+    rng = np.random.default_rng(5)
+    pictures = [p for _ in range(4) for a in [photo(rng)] for p in (a, *(np.clip(a + rng.normal(0, s, a.shape), 0, 255).astype(np.uint8) for s in (25, 32)))]
+    points = [media.describe(p) for p in pictures]
+    true = Counter(x for i in range(len(pictures)) for j in range(i) if media.agreeing(points[i], points[j]) for x in (i, j))
+    monkeypatch.setattr(media, "VOTES", 10**6)
+    df = spark.createDataFrame([(i, bytearray(p.tobytes()), p.shape[1], p.shape[0]) for i, p in enumerate(pictures)], "image_id bigint, pixels binary, width int, height int")
+    got = {r["image_id"]: r["links"] for r in media.find_copies(df, exact=True).collect()}
+    assert true and got == {i: true[i] for i in range(len(pictures))}
+
+
 def warped(p, turn, scale):
     """A picture turned by degrees about its middle and resized, on a grey ground."""
     turn, (h, w) = math.radians(turn), p.shape
