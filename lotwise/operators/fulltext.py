@@ -48,21 +48,24 @@ class Index:
     fields: DataFrame
 
     def save(self, root: str) -> Index:
-        """Write the tables; postings in parts by term, sorted by it, so that a term's rows lie together."""
+        """Write the tables; postings in parts by term, so that a search reads a share of them."""
         session = self.postings.sparkSession
         # dealt by part and a share of the documents, so that a common term is no task of its own and nothing need be sampled
         shares = -(-int(session.conf.get("spark.sql.shuffle.partitions")) // PARTS)
         spread = self.postings.withColumn("part", _part(F.col("term"))).repartition(PARTS * shares, "part", F.pmod(F.xxhash64("doc"), F.lit(shares)))
-        spread.sortWithinPartitions("part", "term", "field", "doc").write.mode("overwrite").partitionBy("part").parquet(f"{root}/postings")
+        spread.write.mode("overwrite").partitionBy("part").parquet(f"{root}/postings")
         saved = session.read.parquet(f"{root}/postings")
-        terms = saved.groupBy("part", "term", "field").agg(F.count(F.lit(1)).alias("docs"))
-        terms.write.mode("overwrite").partitionBy("part").parquet(f"{root}/terms")
-        self.fields.write.mode("overwrite").parquet(f"{root}/fields")
+        # a row of n words has postings with n words in all, so their shares of n add up to one row
+        about = [F.sum("tf").alias("words"), F.sum(F.col("tf") / F.col("len")).alias("rows")]
+        saved.groupBy("part", "term", "field").agg(F.count(F.lit(1)).alias("docs"), *about).write.mode("overwrite").partitionBy("part").parquet(f"{root}/terms")
+        terms, docs = session.read.parquet(f"{root}/terms"), F.round(F.sum("rows")).cast("long")
+        terms.groupBy("field").agg(docs.alias("docs"), (F.sum("words") / docs).alias("mean_len")).write.mode("overwrite").parquet(f"{root}/fields")
         return load(session, root)
 
 
 def load(spark: SparkSession, root: str) -> Index:
-    return Index(*[spark.read.parquet(f"{root}/{name}") for name in ("postings", "terms", "fields")])
+    postings, terms, fields = (spark.read.parquet(f"{root}/{name}") for name in ("postings", "terms", "fields"))
+    return Index(postings, terms.drop("words", "rows"), fields)
 
 
 def build(df: DataFrame, doc_id: str, fields: list[str]) -> Index:
