@@ -40,11 +40,13 @@ def first_last(df: DataFrame, key: str, value: str, at: list[str], place: list[s
     """WIN02, JON02: first and last value per key in one aggregation; ties in time go by the further columns of ``at``.
 
     With ``place`` (where a row lies in its files) rows equal in all of ``at`` count as the first of them, at both ends.
+    Rows without a value are counted only.
     """
-    when, n = F.struct(*at), F.count(F.lit(1))
+    there = lambda names: F.when(F.col(value).isNotNull(), F.struct(*names))
+    when, n = there(at), F.count(F.lit(1))
     if place:
         # by key alone, so that both aggregations share one shuffle
-        df = df.repartition(key).groupBy(key, *at).agg(F.min_by(value, F.struct(*place)).alias(value), n.alias("__n"))
+        df = df.repartition(key).groupBy(key, *at).agg(F.min_by(value, there(place)).alias(value), n.alias("__n"))
         n = F.sum("__n")
     return df.groupBy(key).agg(F.min_by(value, when).alias("first_value"), F.max_by(value, when).alias("last_value"), n.alias("n_points"))
 

@@ -46,9 +46,10 @@ def pricing(listings: DataFrame, history: DataFrame, as_of: Column, place: list[
     ends = first_last(history, "listing_id", "price_cents", ["recorded_at", "seq"], place)
     rows = shared_checkpoint(reps.select("id", "any", use.alias("use"), F.when(use, F.col("price_cents")).alias("price_cents"), age.alias("age")))
     rep = F.col("any") == 1
-    stats = rows.join(ends, F.col("id") == F.col("listing_id"), "left").agg(
-        F.count_if("use").alias("total"), F.count_if(rep & F.col("listing_id").isNotNull()).alias("with_history"), F.count_if(rep & (F.col("first_value") > F.col("last_value"))).alias("dropped"),
-    )
+    # an id counts once, also where rows of several vehicles have it
+    known = rows.where(rep).select("id").distinct().join(ends, F.col("id") == F.col("listing_id"))
+    moved = known.agg(F.count(F.lit(1)).alias("with_history"), F.count_if(F.col("first_value") > F.col("last_value")).alias("dropped"))
+    stats = rows.agg(F.count_if("use").alias("total")).crossJoin(F.broadcast(moved))
     shares = {n: (F.col("price_cents"), q) for n, q in QUANTILES.items()} | {"median_age_days": (F.col("age"), 0.5)}
     found = percentiles_of(rows, [], shares)
     rate = F.when(F.col("with_history") > 0, F.round(F.col("dropped") / F.col("with_history"), 2)).alias("drop_rate")

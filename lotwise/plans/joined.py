@@ -267,7 +267,7 @@ def dom18(spark, d):
  r as (select count(distinct id) with_history, count(distinct case when f > l then id end) dropped from p join h on k = id)
  select total, round(p10, 2) p10, round(p25, 2) p25, round(p50, 2) p50, round(p75, 2) p75, round(p90, 2) p90, round(median_age_days, 4) median_age_days, with_history, dropped, round(dropped / with_history, 2) drop_rate from s, r""")
 def dom17(spark, d):
-    rows = listings(spark, d).withColumn("source_listed_at", F.col("listed_at"))
+    rows = listings(spark, d).where("price_cents is not null").withColumn("source_listed_at", F.col("listed_at"))  # also for the drop rate
     # a line's number may repeat in an order: then the row that comes first in the files counts
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     history = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("listing_id"), F.col("l_shipdate").alias("recorded_at"), F.col("l_linenumber").alias("seq"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("price_cents"), *place)

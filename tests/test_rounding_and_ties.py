@@ -1,6 +1,7 @@
 """Values on an edge, halves and repeated line numbers: queries against their SQL on hand-made tables."""
 
 import datetime
+import random
 
 import duckdb
 import pytest
@@ -68,3 +69,19 @@ def test_first_and_last_price_of_repeated_line_numbers(spark, tmp_path):
         lineitem=("l_orderkey long, l_linenumber int, l_shipdate timestamp_ntz, l_extendedprice double", lines),
     )
     assert want[0][-2] == 20 and got == want
+
+
+@pytest.mark.parametrize("odd", ["plain", "unpriced listings", "ids of two vehicles", "unpriced lines"])
+def test_pricing_of_odd_rows(spark, tmp_path, odd):
+    rng = random.Random(1)
+    day = lambda: datetime.datetime(1997, 1, 1) + datetime.timedelta(days=rng.randrange(40))
+    price = lambda gap: None if odd == gap and rng.random() < 0.3 else round(rng.uniform(1, 1000), 2)
+    orders = [(i // 2 if odd == "ids of two vehicles" else i, rng.randrange(30), day(), price("unpriced listings"), "O", "1") for i in range(60)]
+    lines = [(rng.randrange(60), i, day(), price("unpriced lines")) for i in range(300)]
+    got, want = both(
+        spark, tmp_path, "dom17_pricing",
+        customer=(CUSTOMER, [(i, "c", 0, 1.0, "s") for i in range(30)]), region=("r_regionkey int, r_name string", [(0, "r")]), nation=("n_nationkey int, n_name string, n_regionkey int", [(0, "n", 0)]),
+        orders=("o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_totalprice double, o_orderstatus string, o_orderpriority string", orders),
+        lineitem=("l_orderkey long, l_linenumber int, l_shipdate timestamp_ntz, l_extendedprice double", lines),
+    )
+    assert got == want
