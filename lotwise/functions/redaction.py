@@ -7,6 +7,8 @@ secret. An expression runs only on lines that have the characters which it needs
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,18 +39,19 @@ SHAPES = [
 FAR = r"À-῿Ⰰ-￿"
 
 
-def _let(value: Column, f) -> Column:
+def let(value: Column, f) -> Column:
     """f of a value that is worked out once."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def private_name(name: Column) -> Column:
     """Whether a name's value is private: by a part of it or as a whole, percent-decoded up to three times; what does not decode is private."""
+    whole = "|".join([*PRIVATE_PARTS, f"^(?:{'|'.join(PRIVATE_NAMES)})$"])
+    of = lambda n: F.lower(F.regexp_replace(n, "[^A-Za-z0-9]", "")).rlike(whole) | n.rlike(f"[{FAR}%]")
+    decoded = name
     for _ in range(3):
-        name = _let(name, lambda n: F.when(F.contains(n, F.lit("%")), F.try_url_decode(F.replace(n, F.lit("+"), F.lit("%2B")))).otherwise(n))
-    bare = _let(name, lambda n: F.lower(F.regexp_replace(n, "[^A-Za-z0-9]", "")))
-    known = _let(bare, lambda b: b.isin(*PRIVATE_NAMES) | b.rlike("|".join(PRIVATE_PARTS)))
-    return F.coalesce(known | name.rlike(f"[{FAR}%]"), F.lit(True))
+        decoded = let(decoded, lambda n: F.when(F.contains(n, F.lit("%")), F.try_url_decode(F.replace(n, F.lit("+"), F.lit("%2B")))).otherwise(n))
+    return F.coalesce(let(name, lambda n: F.when(F.contains(n, F.lit("%")), let(decoded, of)).otherwise(of(n))), F.lit(True))
 
 
 def _assigns(piece: Column) -> Column:
@@ -61,15 +64,15 @@ def _assigns(piece: Column) -> Column:
     head = F.rtrim(F.regexp_replace(piece, r"[=:]$", ""), F.lit(" \t\"'\\"))
     plain = F.regexp_replace(F.translate(head, "\t", " "), rf"\[[A-Za-z0-9_.-]{{0,20}}\]$|[^A-Za-z0-9_.%+{FAR} -]", "\n")
     run = F.trim(F.regexp_replace(F.substring_index(F.rtrim(plain, F.lit("\n ")), "\n", -1), " +", " "))
-    return F.contains(piece, F.lit("\\u")) | _let(run, lambda r: (r != "") & of(r))
+    return F.contains(piece, F.lit("\\u")) | let(run, lambda r: (r != "") & of(r))
 
 
 def _cut_assignments(line: Column) -> Column:
     def of(pieces: Column) -> Column:
         private = F.transform(pieces, lambda p: p.rlike("[=:]$") & _assigns(p))
-        return _let(F.array_position(private, True), lambda at: F.when(at > 0, F.concat(F.array_join(F.slice(pieces, 1, at.cast("int")), ""), F.lit(GONE))).otherwise(line))
+        return let(F.array_position(private, True), lambda at: F.when(at > 0, F.concat(F.array_join(F.slice(pieces, 1, at.cast("int")), ""), F.lit(GONE))).otherwise(line))
 
-    return F.when(line.rlike("[=:]"), _let(F.split(line, "(?<=[=:])"), of)).otherwise(line)
+    return F.when(line.rlike("[=:]"), let(F.split(line, "(?<=[=:])"), of)).otherwise(line)
 
 
 def _cut_urls(line: Column) -> Column:
@@ -78,7 +81,7 @@ def _cut_urls(line: Column) -> Column:
     def of(word: Column) -> Column:
         at = F.instr(word, "://") + 3
         rest = F.substr(word, at)
-        return _let(F.regexp_extract(rest, "^[^?#]*", 0), lambda place: F.concat(
+        return let(F.regexp_extract(rest, "^[^?#]*", 0), lambda place: F.concat(
             F.substr(word, F.lit(1), at - 1), F.when(F.contains(place, F.lit("@")), f"{GONE}@").otherwise(""), F.substring_index(place, "@", -1),
             F.substr(rest, F.length(place) + 1, F.lit(1)), F.when(F.length(rest) > F.length(place) + 1, GONE).otherwise(""),
         ))
@@ -102,11 +105,27 @@ def _cut_shape(pattern: str, to: str, needs: list[str]):
     return of
 
 
+#: What a text has if it has a shape: a character, or one of some words (in lower case).
+_MARKS, _WORDS = "@+0-9", "|".join(sorted({n for _, _, some in SHAPES for n in some if len(n) > 1 and n != "digit"}))
+
+
+def _may_have_shape(c: Column) -> Column:
+    return c.rlike(f"[{_MARKS}]") | F.lower(c).rlike(_WORDS)
+
+
+def _may_have(c: Column) -> Column:
+    """Whether a text has any character or word without which no step changes anything."""
+    return c.rlike(f"[=:{_MARKS}]") | F.lower(c).rlike("|".join([*WHOLE_LINES, _WORDS]))
+
+
 def redact(c: Column) -> Column:
     """A text without credentials and personal data; null stays null."""
     whole = lambda x: F.lower(x).rlike("|".join(WHOLE_LINES))
     lines = F.transform(F.split(c, "\n"), lambda x: F.when(whole(x), GONE).when(F.contains(x, F.lit("://")), _cut_urls(x)).otherwise(x))
-    lines = F.transform(lines, _cut_assignments)
-    for shape in SHAPES:
-        lines = F.transform(lines, _cut_shape(*shape))
-    return F.array_join(lines, "\n")
+    lines = F.when(c.rlike("[=:]"), F.transform(lines, _cut_assignments)).otherwise(lines)
+
+    def shaped(line: Column) -> Column:
+        return F.get(reduce(lambda l, shape: F.transform(l, _cut_shape(*shape)), SHAPES, F.array(line)), F.lit(0))
+
+    lines = F.transform(lines, lambda x: F.when(_may_have_shape(x), shaped(x)).otherwise(x))
+    return F.when(_may_have(c), F.array_join(lines, "\n")).otherwise(c)

@@ -1,22 +1,26 @@
-"""STR34: JSON without private keys, and JSON inside texts cleaned as JSON, as joins by level.
+"""STR34: JSON without private keys, and JSON inside texts cleaned as JSON, level by level within a row.
 
-Every value is a row. A round opens the objects and arrays of a level (Spark's variant), leaves out private keys, and
-finds JSON inside their texts; then levels are put together again from the deepest up, keys in order. A text that has no
-JSON, or whose brackets do not parse, is free text (``lotwise.functions.redaction``).
+A level is an array of values. The next one has what lies in its objects and arrays (Spark's variant) under keys that are not
+private, and the JSON inside its texts; then levels are put together again from the deepest up, keys in order. A text that has
+no JSON, or whose brackets do not parse, is free text (``lotwise.functions.redaction``). No row is moved. A round opens
+``LEVELS`` levels; rows that have more go on to the next.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.functions.redaction import private_name, redact
+from lotwise.functions.redaction import let, private_name, redact
 from lotwise.operators.graph import shared_table
 
 #: Budgets of depth, of values of a text, and of characters of a text and a key.
 MOST_DEPTH, MOST_NODES, MOST_STRING, MOST_KEY = 32, 20_000, 65_536, 256
 CUT = "[TRUNCATED]"
-_COLUMNS = ["id", "node", "parent", "pos", "key", "kind", "text", "plain", "found", "quoted"]
+#: Levels that a round opens.
+LEVELS = 6
 
 
 def _brackets(depth: int) -> str:
@@ -38,88 +42,114 @@ def as_json(c: Column) -> Column:
     return F.when(c.isNull(), "null").otherwise(F.substr(whole, F.lit(6), F.length(whole) - 6))
 
 
-def _parted(df: DataFrame) -> DataFrame:
-    """Rows of kind ``string`` become texts: their plain parts, and the JSON between them as ``found``."""
-    cut = F.when(F.length("text") > MOST_STRING, F.concat(F.left("text", F.lit(MOST_STRING)), F.lit("…" + CUT))).otherwise(F.col("text"))
-    string = F.col("kind") == "string"
-    df = df.withColumn("text", F.when(string, cut).otherwise(F.col("text")))
-    df = df.withColumn("shape", F.when(~string, "none").when(F.col("text").rlike(r"^\s*[\[{]") & F.try_parse_json("text").isNotNull(), "whole").when(F.col("text").rlike(r"[\[{]"), "within").otherwise("plain"))
+def _node(row: Column) -> Column:
+    """A value (key, kind, text) with its parts, if it is a ``string``: plain ones, and the JSON between them as ``found``."""
+    text, string = row["text"], row["kind"] == "string"
+    cut = F.when(string & (F.length(text) > MOST_STRING), F.concat(F.left(text, F.lit(MOST_STRING)), F.lit("…" + CUT))).otherwise(text)
     none = F.array().cast("array<string>")
-    case = lambda whole, within, plain: F.when(F.col("shape") == "whole", whole).when(F.col("shape") == "within", within).when(F.col("shape") == "plain", plain).otherwise(none)
-    found = case(F.array("text"), F.regexp_extract_all("text", F.lit(f"({FOUND})"), F.lit(1)), none)
-    plain = case(none, F.split("text", FOUND), F.array("text"))  # a text that is JSON has no plain part
-    return df.withColumns({"found": found, "plain": plain}).drop("shape")
 
+    def parted(t: Column) -> Column:
+        whole = t.rlike(r"^\s*[\[{]") & F.try_parse_json(t).isNotNull()  # such a text has no plain part
+        parts = (
+            F.when(~string | t.isNull(), F.struct(none.alias("plain"), none.alias("found"))).when(~t.rlike(r"[\[{]"), F.struct(F.array(t).alias("plain"), none.alias("found")))
+            .when(whole, F.struct(none.alias("plain"), F.array(t).alias("found"))).otherwise(F.struct(F.split(t, FOUND).alias("plain"), F.regexp_extract_all(t, F.lit(f"({FOUND})"), F.lit(1)).alias("found")))
+        )
+        return let(parts, lambda p: F.struct(row["key"].alias("key"), row["kind"].alias("kind"), t.alias("text"), p["plain"].alias("plain"), p["found"].alias("found")))
+
+    return let(cut, parted)
+
+
+def _kind(json: Column, depth: int) -> Column:
+    """What a value's JSON is: a box to open, a string, or a value that is written as it is."""
+    box = lambda kind: "cut" if depth >= MOST_DEPTH else kind
+    return F.when(F.startswith(json, F.lit('"')), "string").when(F.startswith(json, F.lit("{")), box("object")).when(F.startswith(json, F.lit("[")), box("array")).otherwise("as it is")
 
-def _kind(v: Column, depth: int) -> Column:
-    """What a variant is: a box to open, a string, or a value that is written as it is."""
-    shape = F.regexp_extract(F.coalesce(F.schema_of_variant(v), F.lit("VOID")), "^[A-Z]+", 0)
-    return F.when(shape == "STRING", "string").when(~shape.isin("OBJECT", "ARRAY"), "as it is").when(F.lit(depth >= MOST_DEPTH), "cut").otherwise(F.lower(shape))
 
+def _within(node: Column, depth: int) -> Column:
+    """The values within a text, an object or an array, without those under private keys."""
+    row = lambda key, kind, text: F.struct(key.cast("string").alias("key"), kind.alias("kind"), text.alias("text"))
 
-def _opened(level: DataFrame, depth: int) -> DataFrame:
-    """The rows within a level's texts, objects and arrays, in one pass."""
-    row = lambda pos, key, kind, text: F.struct(pos.cast("int").alias("pos"), key.cast("string").alias("key"), kind.alias("kind"), text.alias("text"))
-    nothing = F.lit(None)
+    def value(key: Column, v: Column) -> Column:
+        of = lambda j: let(_kind(j, depth), lambda k: row(key, k, F.when(k == "string", F.try_variant_get(v, "$", "string")).otherwise(j)))
+        return let(F.coalesce(F.to_json(v), F.lit("null")), of)
 
-    def value(pos: Column, key: Column, v: Column) -> Column:
-        string = F.schema_of_variant(v) == "STRING"
-        return row(pos, key, _kind(v, depth), F.when(string, F.try_variant_get(v, "$", "string")).otherwise(F.coalesce(F.to_json(v), F.lit("null"))))
+    def json(text: Column) -> Column:
+        return row(F.lit(None), F.when(F.try_parse_json(text).isNull(), "as it is").otherwise(_kind(F.ltrim(text, F.lit(" \t\r\n")), depth)), text)
 
-    def json(text: Column, pos: Column) -> Column:
-        parsed = F.try_parse_json(text)
-        return row(pos, nothing, F.when(parsed.isNull(), "as it is").otherwise(_kind(parsed, depth)), text)
+    def open_key(key: Column) -> Column:
+        return (F.length(key) <= MOST_KEY) & ~private_name(key) & (redact(key) == key)
 
-    parsed = F.try_parse_json("text")
+    parsed = F.try_parse_json(node["text"])
+    members = F.filter(F.map_entries(F.try_variant_get(parsed, "$", "map<string, variant>")), lambda e: open_key(e["key"]))
     rows = (
-        F.when(F.col("kind") == "string", F.transform("found", json))
-        .when(F.col("kind") == "object", F.transform(F.map_entries(F.try_variant_get(parsed, "$", "map<string, variant>")), lambda e: value(F.lit(0), e["key"], e["value"])))
-        .when(F.col("kind") == "array", F.transform(F.try_variant_get(parsed, "$", "array<variant>"), lambda v, i: value(i, nothing, v)))
+        F.when(node["kind"] == "string", F.transform(node["found"], json)).when(node["kind"] == "object", F.transform(members, lambda e: value(e["key"], e["value"])))
+        .when(node["kind"] == "array", F.transform(F.try_variant_get(parsed, "$", "array<variant>"), lambda v: value(F.lit(None), v)))
     )
-    # a row is known by its number among its parent's
-    below = level.select("id", F.col("node").alias("parent"), F.posexplode(rows).alias("n", "row")).select("id", "parent", "n", "row.*")
-    key = F.col("key")
-    open_key = (F.length(key) <= MOST_KEY) & ~private_name(key) & (redact(key) == key)
-    below = below.where(key.isNull() | open_key)
-    return below.withColumn("node", F.concat("parent", F.lit("/"), F.col("n").cast("string"))).drop("n").withColumn("quoted", F.lit(True))
-
-
-def _written(level: DataFrame, below: DataFrame | None) -> DataFrame:
-    """Each row of a level as text, from what its rows below have become."""
-    if below is None:
-        rows = level.withColumn("rows", F.array().cast("array<struct<key:string,pos:int,text:string>>"))
-    else:
-        whole = below.groupBy("id", F.col("parent").alias("node")).agg(F.array_sort(F.collect_list(F.struct("key", "pos", F.col("done").alias("text")))).alias("rows"))
-        rows = level.join(whole, ["id", "node"], "left")
-    texts = lambda f: F.coalesce(F.array_join(F.transform("rows", f), ","), F.lit(""))
-    obj = F.concat(F.lit("{"), texts(lambda r: F.concat(as_json(r["key"]), F.lit(":"), r["text"])), F.lit("}"))
-    arr = F.concat(F.lit("["), texts(lambda r: r["text"]), F.lit("]"))
-    mixed = F.concat(F.array_join(F.zip_with("plain", F.transform("rows", lambda r: r["text"]), lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), ""))
-    free = F.when(F.size("plain") == 0, F.get("rows", F.lit(0))["text"]).otherwise(redact(F.when(F.size("rows") > 0, mixed).otherwise(F.array_join("plain", ""))))
-    done = (
-        F.when(F.col("kind") == "object", obj).when(F.col("kind") == "array", arr).when(F.col("kind") == "cut", as_json(F.lit(CUT)))
-        .when((F.col("kind") == "string") & F.col("quoted"), as_json(F.col("free"))).when(F.col("kind") == "string", F.col("free")).otherwise(F.col("text"))
+    nothing = F.array().cast("array<struct<key:string,kind:string,text:string>>")
+    return F.transform(F.coalesce(rows, nothing), _node)
+
+
+def _opened(level: str, depth: int) -> Column:
+    return F.transform(level, lambda n: _within(n, depth))
+
+
+def _written(node: Column, rows: Column, quoted: bool) -> Column:
+    """A value as text, from what the values within it (key, text) have become."""
+    texts = lambda of, f: F.array_join(F.transform(of, f), ",")
+    obj = F.concat(F.lit("{"), texts(F.array_sort(rows), lambda r: F.concat(as_json(r["key"]), F.lit(":"), r["text"])), F.lit("}"))
+    arr = F.concat(F.lit("["), texts(rows, lambda r: r["text"]), F.lit("]"))
+    mixed = F.array_join(F.zip_with(node["plain"], F.transform(rows, lambda r: r["text"]), lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), "")
+    free = F.when(node["text"].isNull(), None).when(F.size(node["plain"]) == 0, F.get(rows, F.lit(0))["text"]).otherwise(let(mixed, redact))
+    return (
+        F.when(node["kind"] == "object", obj).when(node["kind"] == "array", arr).when(node["kind"] == "cut", as_json(F.lit(CUT)))
+        .when(node["kind"] == "string", as_json(free) if quoted else free).otherwise(node["text"])
     )
-    return rows.withColumn("free", F.when((F.col("kind") == "string") & F.col("text").isNotNull(), free)).select("id", "parent", "key", "pos", done.alias("done"))
+
+
+def _places(groups: Column) -> Column:
+    """Where each of some arrays begins when they stand end to end, and its size."""
+    start = F.struct(F.array().cast("array<struct<at:int,n:int>>").alias("done"), F.lit(0).alias("at"))
+    add = lambda s, g: F.struct(F.concat(s["done"], F.array(F.struct(s["at"].alias("at"), F.size(g).alias("n")))).alias("done"), (s["at"] + F.size(g)).alias("at"))
+    return F.aggregate(groups, start, add, lambda s: s["done"])
+
+
+def _level(k: int, made) -> Column:
+    """A level as texts, from the next one (``made``)."""
+    # the next level is worked out once, not again for each value
+    return let(F.col("made"), lambda below: F.zip_with(f"l{k}", f"a{k}", lambda n, p: made(n, F.slice(below, p["at"] + 1, p["n"]))))
+
+
+def _together(df: DataFrame, levels: int) -> DataFrame:
+    """With the text ``made`` of levels l0, l1, ..., whose values lie within each other at a0, a1, ..."""
+    made = lambda k: lambda n, rows: F.struct(n["key"].alias("key"), _written(n, rows, k > 0).alias("text"))
+    none = F.array().cast("array<struct<key:string,text:string>>")
+    df = df.withColumn("made", F.transform(f"l{levels}", lambda n: made(levels)(n, none)))
+    for k in reversed(range(levels)):
+        df = df.withColumn("made", _level(k, made(k)))
+    return df.withColumn("made", F.col("made")[0]["text"])
 
 
 def redact_json(df: DataFrame, row_id: str, text: str, out: str = "redacted") -> DataFrame:
-    """``row_id`` (unique) and the cleaned text. Depth beyond ``MOST_DEPTH`` and texts of more than ``MOST_NODES`` values become ``CUT``; texts over ``MOST_STRING`` are cut."""
-    fixed = {"node": F.lit(""), "parent": F.lit(""), "pos": F.lit(0), "key": F.lit(None).cast("string"), "kind": F.lit("string"), "quoted": F.lit(False)}
-    root = df.select(F.col(row_id).alias("id"), F.col(text).alias("text")).withColumns(fixed)
-    levels = [shared_table(_parted(root).select(*_COLUMNS))]
+    """``row_id`` and the cleaned text. Depth beyond ``MOST_DEPTH`` and texts of more than ``MOST_NODES`` values become ``CUT``; texts over ``MOST_STRING`` are cut."""
+    root = F.struct(F.lit(None).cast("string").alias("key"), F.lit("string").alias("kind"), F.col(text).alias("text"))
+    # texts are dealt out, since a table of few bytes has much work
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    df = df.select(row_id, text).repartition(tasks)
+    left = df.select(F.col(row_id).alias("id"), F.array(_node(root)).alias("l0"), F.lit(0).alias("n"))
+    done, depth = [], 0
     while True:
-        level = shared_table(_parted(_opened(levels[-1], len(levels) - 1)).select(*_COLUMNS))
-        if level.isEmpty():
-            break
-        levels.append(level)
-    below = None
-    for level in reversed(levels):
-        below = _written(level, below)
-    if len(levels) > 1:
-        many = levels[1].select("id")
-        for level in levels[2:]:
-            many = many.unionByName(level.select("id"))
-        many = many.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_NODES)
-        below = below.join(many, "id", "left").withColumn("done", F.when(F.col("n").isNotNull(), CUT).otherwise(F.col("done")))
-    return below.select(F.col("id").alias(row_id), F.col("done").alias(out))
+        for k in range(depth, depth + LEVELS):
+            opened = left.withColumn("opened", _opened(f"l{k}", k))
+            sized = opened.withColumn("n", F.col("n") + F.aggregate("opened", F.lit(0), lambda s, g: s + F.size(g)))
+            few = F.when(F.col("n") <= MOST_NODES, F.col("opened")).otherwise(F.slice("opened", 1, 0))  # of others nothing is needed
+            left = sized.withColumn("opened", few).withColumns({f"a{k}": _places(F.col("opened")), f"l{k + 1}": F.flatten("opened")}).drop("opened")
+        depth += LEVELS
+        ready = (F.col("n") > MOST_NODES) | (F.size(f"l{depth}") == 0)
+        made = F.when(F.col("n") > MOST_NODES, CUT).when(ready, F.col("made"))
+        left = _together(left, depth - 1)
+        state = [f"l{k}" for k in range(depth + 1)] + [f"a{k}" for k in range(depth)]
+        table = shared_table(left.select("id", made.alias("done"), ready.alias("ready"), "n", *[F.when(~ready, F.col(c)).alias(c) for c in state]))
+        done.append(table.where("ready").select(F.col("id").alias(row_id), F.col("done").alias(out)))
+        left = table.where("not ready").select("id", "n", *state)
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)

@@ -84,3 +84,12 @@ def test_budgets(spark, monkeypatch, kind):
         assert CUT in got and got.count("[") <= 7
     else:
         assert got == CUT if kind == "wide" else got == ("x " * 40_000)[:MOST_STRING] + "\u2026" + CUT
+
+
+def test_rows_of_one_id_stay_apart_and_none_is_moved_for_a_level(spark, monkeypatch):
+    monkeypatch.setattr(redaction, "LEVELS", 2)
+    deep = '{"a":[{"b":"{\\"token\\":1,\\"c\\":[[2]]}"}]}'
+    df = spark.createDataFrame([(1, '{"a":1,"pwd":2}'), (1, '{"b":[2]}'), (None, '{"c":{"d":"j@a.com"}}'), (2, deep), (2, None)], "i int, c string")
+    out = redact_json(df, "i", "c")
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, '{"a":1}'), (1, '{"b":[2]}'), (None, '{"c":{"d":"[EMAIL]"}}'), (2, deep.replace('\\"token\\":1,', "")), (2, None)], key=repr)
+    assert not re.search("Join|Exchange|Aggregate", out._jdf.queryExecution().executedPlan().toString())
