@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,30 +28,40 @@ def vin_groups(df: DataFrame, score: Column, row_id: str = "id", vin: str = "vin
 
 def dealer_key(p: str) -> Column:
     """STR32: profile, else website host, else name."""
-    c = lambda n: F.col(f"{p}_{n}")
+    c = lambda n: F.col(f"{p}_{n}" if p else n)
     return F.coalesce(F.concat(F.lit("profile:"), F.nullif(c("dealer_profile_id"), F.lit(""))), F.concat(F.lit("host:"), host(c("dealer_website"))), F.concat(F.lit("name:"), normalized(c("dealer_name"))))
 
 
 def shared_hashes(a: Column, b: Column) -> Column:
     """SET07: how many hashes of ``a`` are also in ``b``; null is none."""
-    none = F.array().cast("array<string>")
-    return F.size(F.filter(F.coalesce(a, none), lambda h: F.array_contains(F.coalesce(b, none), h)))
+    return F.when(a.isNull() | b.isNull(), 0).otherwise(F.size(F.filter(a, lambda h: F.array_contains(b, h))))
+
+
+#: Columns whose texts are compared.
+TEXTS = ("make", "model", "trim", "stock_number", "zip", "city", "state")
+
+
+def comparable(df: DataFrame) -> DataFrame:
+    """Rows with their texts as they are compared and ``dealer_key``, so that ``score_pairs`` need not work them out again for each pair."""
+    return df.withColumns({**{c: normalized(F.col(c)) for c in TEXTS}, "dealer_key": dealer_key("")})
 
 
 def score_pairs(pairs: DataFrame, miles: Column | None = None) -> DataFrame:
     """DOM08: decision, score and signals of pairs with columns a_* and b_*. Evidence against is absolute and comes first.
 
     ``miles`` is how far the mileages lie apart, for pairs whose mileages are derived: a difference of products is rounded otherwise than a product of the difference.
+    Pairs of ``comparable`` rows are known by their ``a_dealer_key``.
     """
     a, b = (lambda n: F.col(f"a_{n}")), (lambda n: F.col(f"b_{n}"))
-    text = lambda n: (normalized(a(n)), normalized(b(n)))
+    ready = "a_dealer_key" in pairs.columns
+    text = lambda n: (a(n), b(n)) if ready else (normalized(a(n)), normalized(b(n)))
     same = lambda n: text(n)[0] == text(n)[1]
     other = lambda n: F.coalesce(text(n)[0] != text(n)[1], F.lit(False))
     va, vb = vin_normal(a("vin")), vin_normal(b("vin"))
     vin_clash = F.coalesce(vin_valid(va) & vin_check_digit(va) & vin_valid(vb) & vin_check_digit(vb) & (va != vb), F.lit(False))
     against = F.when(vin_clash, "conflicting_vin").when(other("make") | other("model") | F.coalesce(F.abs(a("year") - b("year")) > 1, F.lit(False)), "incompatible_vehicle").when(F.coalesce(a("conflicting_image_hash"), F.lit(False)) | F.coalesce(b("conflicting_image_hash"), F.lit(False)), "conflicting_image_hash")
     yes = lambda c: F.coalesce(c, F.lit(False))
-    dealer, stock = yes(dealer_key("a") == dealer_key("b")), yes(same("stock_number"))
+    dealer, stock = yes((a("dealer_key") == b("dealer_key")) if ready else (dealer_key("a") == dealer_key("b"))), yes(same("stock_number"))
     stable = [(dealer & stock, "stable_dealer_stock_number", 100), (yes((a("source_url") == b("source_url")) & (a("source_url") != "")), "identical_source_url", 100)]
     priced = yes((a("price_cents") > 0) & (b("price_cents") > 0))
     close_price = priced & (F.abs(a("price_cents") - b("price_cents")) <= F.least(a("price_cents"), b("price_cents")) * PRICE_SHARE)
@@ -61,10 +74,12 @@ def score_pairs(pairs: DataFrame, miles: Column | None = None) -> DataFrame:
     ]
     listed = lambda rules: F.filter(F.array(*[F.when(w, F.struct(F.lit(n).alias("id"), F.lit(k).alias("weight"))) for w, n, k in rules]), lambda x: x.isNotNull())
     signals = F.when(against.isNotNull(), F.array(F.struct(against.alias("id"), F.lit(0).alias("weight")))).when(F.size(listed(stable)) > 0, listed(stable)).otherwise(listed(fuzzy))
-    out = pairs.withColumn("signals", signals).withColumn("score", F.aggregate("signals", F.lit(0), lambda s, x: s + x["weight"]))
-    lone = F.col("signals")[0]["id"]
-    decision = F.when(lone.isin("stable_dealer_stock_number", "identical_source_url"), "auto_link").when(lone.isin("conflicting_vin", "incompatible_vehicle", "conflicting_image_hash"), "no_match").when(F.col("score") >= CANDIDATE, "candidate").otherwise("no_match")
-    return out.withColumn("decision", decision)
+    # sums of the rules themselves, not of the list of signals, which a query without signals leaves out
+    total = lambda rules: reduce(add, [F.when(w, k).otherwise(0) for w, _, k in rules])
+    linked = reduce(or_, [w for w, _, _ in stable])
+    score = F.when(against.isNotNull(), 0).when(linked, total(stable)).otherwise(total(fuzzy))
+    decision = F.when(against.isNotNull(), "no_match").when(linked, "auto_link").when(F.col("score") >= CANDIDATE, "candidate").otherwise("no_match")
+    return pairs.withColumns({"signals": signals, "score": score}).withColumn("decision", decision)
 
 
 def linked_vehicles(scored: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:

@@ -137,19 +137,20 @@ def blocked_pairs(df: DataFrame, block: list[str], row_id: str, condition: Colum
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-(total or 0) // PAIRS_A_TASK))
     large = work.where(F.col("__pairs") > PAIRS_A_TASK).select(*[F.col(c).alias(f"__of_{c}") for c in key], F.ceil(F.col("__pairs") / PAIRS_A_TASK).cast("int").alias("__shares"))
 
+    # a share that is always the same would fall out of the join's keys, and rows would be dealt again by those left, over fewer tasks
+    parted = [*key, "__share"] if (most or 0) > PAIRS_A_TASK else key
+
     def dealt(side: DataFrame, share: Column) -> DataFrame:
-        """With the share of its cell that a row goes to."""
-        if (most or 0) <= PAIRS_A_TASK:
-            side = side.withColumn("__share", F.lit(0))
-        else:
+        """With the share of its cell that a row goes to, if any cell has more than one."""
+        if parted is not key:
             known = side.join(large, [F.col(c) == F.col(f"__of_{c}") for c in key], "left").withColumn("__shares", F.coalesce("__shares", F.lit(1)))
             side = known.withColumn("__share", share).drop("__shares", *[f"__of_{c}" for c in key])
-        return side.repartition(tasks, *key, "__share")
+        return side.repartition(tasks, *parted)
 
     a = dealt(looking, F.pmod(F.xxhash64(row_id), F.col("__shares")).cast("int"))
     b = dealt(rows, F.explode(F.sequence(F.lit(0), F.col("__shares") - 1)))
     a, b = a.select([F.col(c).alias(f"a_{c}") for c in a.columns]), b.select([F.col(c).alias(f"b_{c}") for c in b.columns])
-    on = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in [*key, "__share"]]
+    on = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in parted]
     if near:
         on.append(F.abs(F.col(f"a_{near[0]}") - F.col(f"b_{near[0]}")) <= near[1])
     pairs = a.hint("merge").join(b.hint("merge"), on).where(F.col(f"a_{row_id}") < F.col(f"b_{row_id}")).drop("a___cell", "b___cell", "a___share", "b___share")

@@ -97,9 +97,9 @@ def dom08(spark, d):
     rows = c.select(
         F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("make"), F.lit("m").alias("model"), F.lit(2020).alias("year"), F.lit("LE").alias("trim"), null("string").alias("vin"), (F.col("c_acctbal") * 10).alias("mileage"), null("bigint").alias("price_cents"),
         null("string").alias("zip"), F.col("c_nationkey").cast("string").alias("city"), F.lit("TX").alias("state"), null("string").alias("dealer_profile_id"), null("string").alias("dealer_website"), (F.col("c_custkey") % 7).cast("string").alias("dealer_name"),
-        null("string").alias("stock_number"), null("string").alias("source_url"), null("array<string>").alias("image_hashes"), null("boolean").alias("conflicting_image_hash"), "c_nationkey", "c_acctbal",
+        null("string").alias("stock_number"), null("string").alias("source_url"), null("array<string>").alias("image_hashes"), null("boolean").alias("conflicting_image_hash"), "c_nationkey", "c_acctbal", F.col("c_mktsegment").alias("segment"),
     )
-    pairs = joins.blocked_pairs(rows, ["make", "c_nationkey"], "id", near=("c_acctbal", 400))
+    pairs = joins.blocked_pairs(identity.comparable(rows), ["segment", "c_nationkey"], "id", near=("c_acctbal", 400))
     return identity.score_pairs(pairs, F.abs(F.col("a_c_acctbal") - F.col("b_c_acctbal")) * 10).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "score")
 
 

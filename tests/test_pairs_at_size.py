@@ -52,3 +52,10 @@ def test_links_join_what_all_pairs_join_and_are_no_more_than_rows(spark):
     pairs = joins.blocked_pairs(df, ["block"], "id", near=("v", 5.0)).select("a_id", "b_id")
     got, want = (sorted(map(tuple, connected(x, *x.columns).collect())) for x in (links, pairs))
     assert got == want and len({c for _, c in want}) > 5
+
+
+def test_rows_of_scored_pairs_are_dealt_once_and_signals_are_not_listed_for_a_score(spark):
+    from lotwise.plans.registry import queries
+
+    plan = queries()["dom08_pair_score"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "lambda" not in plan
