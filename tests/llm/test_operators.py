@@ -531,3 +531,39 @@ def test_components(spark):
     assert set(got) == linked and set(got.values()) <= linked
     assert len({(root(x), c) for x, c in got.items()}) == len({root(x) for x in linked}) == len(set(got.values()))
     assert common.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_the_query_of_copies_leaves_no_pair_out(spark, tmp_path, monkeypatch):
+    """Pictures of one vector with a component changed, in several blocks: links are those of every pair by force, whatever the candidates."""
+    rng = np.random.default_rng(9)
+    vectors = []
+    for _ in range(6):
+        base = rng.normal(size=64)
+        for k in range(4):
+            vectors.append([float(x) if i != 10 * k + 3 else float(x) + 0.01 for i, x in enumerate(base)])
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    pixels = {r["image_id"]: np.frombuffer(bytes(r["pixels"]), np.uint8).reshape(64, 64) for r in media.drawn(df).collect()}
+    first = {p.tobytes(): i for i, p in sorted(pixels.items(), reverse=True)}  # equal pictures are one class
+    points = {i: media.describe(pixels[i]) for i in first.values()}
+    true = Counter(x for i in points for j in points if j < i and media.agreeing(points[i], points[j]) for x in (i, j))
+    monkeypatch.setattr(media, "VOTES", 10**6)
+    got = {r["image_id"]: r["links"] for r in queries.op8_image_copies(spark, str(tmp_path)).collect()}
+    assert sum(true.values()) > 10 and got == {i: true[first[p.tobytes()]] for i, p in pixels.items()}
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_exact_meeting_equals_each_pair_by_force(same):
+    rng = np.random.default_rng(4)
+    pictures = [np.kron(rng.integers(0, 255, (8, 8)), np.ones((8, 8))).astype(np.uint8) for _ in range(12)]
+    pictures += [np.clip(p.astype(int) + rng.integers(-4, 5, p.shape), 0, 255).astype(np.uint8) for p in pictures[:5]]
+    points = [media.describe(p) for p in pictures]
+    a = media.Block([p.tobytes() for p in points])
+    b = a if same else media.Block([p.tobytes() for p in points[::-1]])
+    mine, theirs, _ = media.meet(a, None if same else b, exact=True)
+    want = [[media.agreeing(x, y) for y in b.points] for x in a.points]
+    if same:
+        assert (mine + theirs).tolist() == [sum(want[min(i, j)][max(i, j)] for j in range(len(want)) if j != i) for i in range(len(want))]
+    else:
+        assert mine.tolist() == [sum(r) for r in want] and theirs.tolist() == [sum(c) for c in zip(*want, strict=True)]
+    assert mine.sum() >= 3
